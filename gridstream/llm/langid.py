@@ -210,7 +210,7 @@ def identify(docs: DataFrame, model: tuple[list[str], Params] | None, text: str
 
     Null texts and texts without a letter are UNKNOWN with score 0, as is every
     text when nothing could be learned. Rows are handled alone: all stay,
-    equal texts get equal results up to rounding, ties go to the first name. Input columns
+    scores have six decimals, ties go to the first name. Input columns
     named like the results are replaced.
     """
     spark = docs.sparkSession
@@ -233,7 +233,7 @@ def identify(docs: DataFrame, model: tuple[list[str], Params] | None, text: str
                     at += 1
                 prob = pooled(model[1], [raw for _, raw in part])
                 for (i, _), row in zip(part, prob, strict=True):
-                    labels[i], scores[i] = model[0][int(row.argmax())], min(1.0, float(row.max()))
+                    labels[i], scores[i] = model[0][int(row.argmax())], round(min(1.0, float(row.max())), 6)
             yield pd.DataFrame({"label": labels, "score": scores})
 
     rest = [c for c in docs.columns if c not in (label, score)]

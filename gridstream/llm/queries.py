@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstream.llm import html_lines, langid, media
+from gridstream.llm import html_lines, importance, langid, line_dedup, media, oracles, packing, sentence_spans, training_order
 from gridstream.llm.common import table
 
 
@@ -36,10 +36,55 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 20 code points or more that three documents share, dropped but in the last."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.dedup_lines(docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed vocabulary files lie."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot, shard and place of every token sequence."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = training_order.sequences(docs, tokenizer_path())
+    return training_order.shards(training_order.with_slots(rows, key=20240607))
+
+
+def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents resampled towards the labelled good ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.sample_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without sentences of repeated runs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = sentence_spans.dedup_spans(docs)
+    return kept.select("doc_id", "n_sentences", "n_removed", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.token_pieces(docs, tokenizer_path()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_lines": op1_html_lines,
     "op2_media": op2_media,
+    "op3_training_order": op3_training_order,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_importance": op5_importance,
+    "op7_sentence_spans": op7_sentence_spans,
+    "op9_best_fit": op9_best_fit,
     "op10_langid": op10_langid,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
