@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstream.llm import html_lines, importance, langid, line_dedup, media, oracles, packing, sentence_spans, training_order
+from gridstream.llm import html_lines, importance, langid, line_dedup, media, oracles, packing, sentence_spans, simhash, training_order
 from gridstream.llm.common import table
 
 
@@ -70,6 +70,13 @@ def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_sentences", "n_removed", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -83,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_importance": op5_importance,
     "op7_sentence_spans": op7_sentence_spans,
+    "op8_simhash": op8_simhash,
     "op9_best_fit": op9_best_fit,
     "op10_langid": op10_langid,
 }
