@@ -22,4 +22,29 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-ORACLES = {"op4_line_dedup": LINE_DEDUP}
+DECONTAMINATION = r"""
+WITH item_words AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, array_to_string(w[k:k + 9], ' ') AS win, least(len(w), 10) AS n
+  FROM item_words, range(1, greatest(2, len(w) - 8)) AS r(k) WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT n FROM windows),
+doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), runs AS (
+  SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS win
+  FROM doc_words, sizes, range(1, len(w) - n + 2) AS r(k)
+), hits AS (SELECT doc_id, k, n, item FROM runs JOIN windows USING (win, n)),
+hit_words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, range(k, k + n) AS r(p) GROUP BY doc_id
+), hit_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+ORACLES = {"op6_fm_index": DECONTAMINATION, "op4_line_dedup": LINE_DEDUP}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstream.llm import html_lines, importance, langid, line_dedup, media, oracles, packing, sentence_spans, simhash, training_order
+from gridstream.llm import fm_index, html_lines, importance, langid, line_dedup, media, oracles, packing, sentence_spans, simhash, training_order
 from gridstream.llm.common import table
 
 
@@ -63,6 +63,17 @@ def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.sample_documents(docs, table(spark, sf_dir, "labels"))
 
 
+def op6_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every text that lie in windows of benchmark items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = fm_index.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    hit = fm_index.n_hit(F.col("spans"))
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without sentences of repeated runs."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -89,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_training_order": op3_training_order,
     "op4_line_dedup": op4_line_dedup,
     "op5_importance": op5_importance,
+    "op6_fm_index": op6_fm_index,
     "op7_sentence_spans": op7_sentence_spans,
     "op8_simhash": op8_simhash,
     "op9_best_fit": op9_best_fit,
