@@ -1,22 +1,64 @@
-"""A corpus pipeline of five operators; each stage works on what the one before kept."""
+"""A corpus pipeline of five operators; each stage works on what the one before kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of ``documents``, with ``n_chars`` brought up to date where
+the text changed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstream.llm import langid
+from gridstream.llm import fm_index, langid, line_dedup, packing, simhash
 from gridstream.llm.common import frozen, table
-from gridstream.llm.queries import held_out
+from gridstream.llm.queries import held_out, tokenizer_path
+
+
+def _as_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
+    length = F.char_length("text").cast("long")
+    return docs.withColumn("n_chars", length).select(columns) if "n_chars" in columns else docs.select(columns)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network knows; texts without a letter go."""
+    """Keep documents whose language the network can tell; null texts and texts without a letter go."""
     model = langid.learn(docs, ~held_out() & F.col("doc_id").isNotNull())
     return langid.identify(docs, model).where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
 
 
-STAGES = [("language_id", identify_language)]
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop lines that three documents share, but in the last one; documents that lose every line go."""
+    kept = line_dedup.dedup_lines(docs)
+    some = kept.where((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines")))
+    return _as_documents(some.withColumn("text", F.col("kept")), docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, keep the document of the smallest id."""
+    groups = simhash.near_duplicates(docs)
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
+    return docs.join(first, docs["doc_id"] == F.col("_first"), "left_semi")
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut the words of benchmark windows out of the texts; texts left without a word go."""
+    found = fm_index.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    left = (F.size("spans") == 0) | (fm_index.n_hit(F.col("spans")) < F.col("n_words"))
+    return _as_documents(fm_index.without_spans(found.where(left)), docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place of every token piece in sequences of at most 2048 tokens."""
+    return packing.pack(packing.token_pieces(docs, tokenizer_path()))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_repeated_lines),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", remove_benchmark),
+    ("best_fit_packing", pack_sequences),
+]
 
 ORACLE_SQL = None  # a trained network and a tokenizer have no SQL form
 
