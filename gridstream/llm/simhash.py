@@ -15,10 +15,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstream.llm.common import frozen, ship
+from gridstream.llm.common import frozen, row_key, same_row, ship
 from gridstream.llm.components import components
 
 BITS = 64
@@ -73,7 +73,8 @@ def fingerprints_of(texts: list[str | None]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ``fp`` (the fingerprint's bits as a long) of every row."""
+    """doc_id, ``th`` (hash of the text, to tell rows apart) and ``fp`` (the
+    fingerprint's bits as a long) of every row."""
     ship(docs.sparkSession)
 
     @F.pandas_udf("long")
@@ -81,7 +82,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         for batch in batches:
             yield pd.Series(fingerprints_of(batch.tolist()).view(np.int64))
 
-    return docs.select(F.col(doc_id).alias("doc_id"), fp(F.col(text)).alias("fp"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), fp(F.col(text)).alias("fp"))
 
 
 def masks(blocks: int, radius: int = RADIUS) -> list[int]:
@@ -226,7 +227,7 @@ def links(nodes: DataFrame, count: int, radius: int = RADIUS, blocks: int | None
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ``fp`` and ``component_id`` (smallest id reachable over links) of every row.
+    """doc_id, ``th``, ``fp`` and ``component_id`` (smallest id reachable over links) of every row.
 
     Texts without words (null and empty ones) have fingerprint 0 and are linked
     like any others. Equal fingerprints are joined before any comparison, so
@@ -239,4 +240,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int | None =
     rooted = nodes.join(roots, nodes["fp"] == roots["u"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels = frozen(rooted.join(least, "root").select("fp", "component_id"), "fingerprint-components")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(labels, "fp").select("doc_id", "th", "fp", "component_id")
+
+
+def first_of_groups(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of the smallest id of each component, one row of each: of
+    several with that id, the one of the smallest text hash; of equal rows, one.
+    Rows without an id stay only where no
+    row near them has one, one of each fingerprint."""
+    groups = near_duplicates(docs, radius, doc_id=doc_id, text=text)
+    smallest = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = smallest.where(F.col("component_id").isNotNull()).groupBy(F.col("component_id").alias("_id")).agg(F.min("th").alias("_th"))
+    # without an id, a component is only told by its fingerprints: keep one row of each
+    unnamed = smallest.where(F.col("component_id").isNull()).groupBy("fp").agg(F.min("th").alias("_th")).select(F.lit(None).cast(dict(groups.dtypes)["doc_id"]).alias("_id"), "_th")
+    chosen = named.unionByName(unnamed)
+    rows = docs.select(*docs.columns, *row_key(doc_id, text))
+    kept = rows.join(chosen, same_row(rows, chosen), "left_semi")
+    again = Window.partitionBy("_id", "_th").orderBy("_th")
+    return kept.withColumn("_n", F.row_number().over(again)).where(F.col("_n") == 1).select(*docs.columns)
