@@ -27,17 +27,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines that three documents share, but in the last one; documents that lose every line go."""
-    kept = line_dedup.dedup_lines(docs)
-    some = kept.where((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines")))
-    return _as_documents(some.withColumn("text", F.col("kept")), docs.columns)
+    """Drop lines that three documents share, but in the last one. Documents stay, if with fewer lines."""
+    return _as_documents(line_dedup.dedup_lines(docs).withColumn("text", F.col("kept")), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, keep the document of the smallest id."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, docs["doc_id"] == F.col("_first"), "left_semi")
+    return simhash.first_of_groups(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
