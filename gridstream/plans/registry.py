@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gridstream.plans import aggregates, episodes, qualification
+from gridstream.plans import aggregates, episodes, qualification, sessions, streams
 
-MODULES = [qualification, aggregates, episodes]
+MODULES = [qualification, aggregates, episodes, sessions, streams]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
