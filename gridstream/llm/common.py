@@ -6,38 +6,21 @@ that every executor can read them again after another one is lost.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
+from gridstream.cluster import ship
 
+__all__ = ["frozen", "row_key", "same_row", "shared_dir", "ship", "table", "with_dense_index", "with_global_rank"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package once per application, so that Python
-    workers can import it whatever their own path is."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="gridstream-")) / "gridstream_package.zip"
-    with zipfile.ZipFile(path, "w") as out:
-        for source in sorted(root.rglob("*.py")):
-            out.write(source, source.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(path))
-    _shipped.add(app)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder. Only where it is unset (as in tests on
     one machine) a local folder is made and set."""
