@@ -52,14 +52,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
                     n = len(own) // 4
                     rows.append((key, piece, at // 4, n, zlib.crc32(own), part, seen[n]))
                     seen[n] += 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "_part", "_rank"])
-            out["doc_id"] = out["doc_id"].astype(batch["doc_id"].dtype) if len(out) else out["doc_id"]
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "_part", "_rank"])
 
+    # ids pass as text: pandas would turn a column of integers with a null into floats
     kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(
-        cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, _part int, _rank long"
+    found = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text")).mapInPandas(
+        cut, "doc_id string, piece int, start long, length long, ids_crc32 long, _part int, _rank long"
     )
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
