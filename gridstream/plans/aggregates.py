@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from gridstream.operators import aggregate as A
 from gridstream.operators import lfr as L
-from gridstream.plans.base import M
+from gridstream.plans.base import DENSE, M
 from gridstream.sources.fixtures import measurements, metric_samples, read
 
 SETTINGS = L.Settings()
+DENSE_MS = 5
 
 
 def _mapping(spark: SparkSession, d: str) -> DataFrame:
@@ -29,7 +30,7 @@ def _units(spark: SparkSession, d: str) -> DataFrame:
 
 def _seconds(spark: SparkSession, d: str) -> DataFrame:
     units = _units(spark, d)
-    return L.pmu_second(L.accepted_inputs(measurements(spark, d), units, SETTINGS), units, SETTINGS)
+    return L.pmu_second(L.accepted_inputs(measurements(spark, d, DENSE_MS), units, SETTINGS), units, SETTINGS)
 
 
 def o40_pmu_second(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +116,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _flags = ", ".join(f"CAST(arg_max(coalesce({q}::INT, -1), k) AS INT) AS {q}" for q in ("quality_valid", "quality_substituted", "quality_operator_blocked", "quality_overflow", "quality_old_data"))
-_LFR = f"""{M}, u AS (SELECT 'pmu-' || n_nationkey AS pmu, 'urn:grid:site:' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS site FROM nation WHERE n_nationkey < 6),
+_LFR = f"""{DENSE}, u AS (SELECT 'pmu-' || n_nationkey AS pmu, 'urn:grid:site:' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS site FROM nation WHERE n_nationkey < 6),
 i AS (SELECT pmu, mrid LIKE '%:click' AS is_f, double_value AS v, "offset", floor(epoch_ms(timestamp_field) / 1000)::BIGINT AS second, floor(epoch_ms(received_at) / 1000)::BIGINT AS rs,
   floor((epoch_ms(received_at) - 600) / 1000)::BIGINT - 1 AS closed,
   (quality_valid IS NULL)::INT + (quality_valid IS FALSE)::INT + coalesce(quality_substituted, false)::INT + coalesce(quality_old_data, false)::INT + (double_value IS NULL)::INT

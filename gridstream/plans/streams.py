@@ -57,7 +57,8 @@ def o73_stream_export(spark: SparkSession, d: str) -> DataFrame:
 
 def o74_stream_lfr(spark: SparkSession, d: str) -> DataFrame:
     path, s = storage.scratch(spark, "lfr"), aggregates.SETTINGS
-    cells = jobs.stream_lfr_cells(_live(spark, d), aggregates._units(spark, d), s)
+    live = jobs.replayed(spark, measurements(spark, d, aggregates.DENSE_MS), "live")
+    cells = jobs.stream_lfr_cells(live, aggregates._units(spark, d), s)
     jobs.run_to_end(cells, path, jobs.publish_lfr(path, "urn:lfr:preferred", s))
     schema = "publication_id string, mrid string, double_value double, timestamp_field timestamp_ntz, timestamp_mccs timestamp_ntz, quality_valid boolean"
     return spark.read.schema(schema).parquet(path).select("publication_id", F.round("double_value", 6).alias("double_value"), "timestamp_field")

@@ -17,14 +17,15 @@ def _at(ms: str) -> str:
     return f"TIMESTAMP_NTZ '{START}' + make_dt_interval(0, 0, 0, CAST(({ms}) / 1000 AS DECIMAL(18, 6)))"
 
 
+STEP = "event_id * 125"  # milliseconds between two rows
 _mccs = "event_id * 125 - CASE WHEN event_id % 11 = 0 THEN 60000 ELSE 0 END"
 _field = "event_id * 125 - 20 - CASE WHEN event_id % 11 = 0 THEN 2500 ELSE 0 END"
 _mrid = "concat('urn:grid:site:', lpad(CAST(user_id % 20 AS STRING), 2, '0'), ':', event_type)"
 
 
-def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measurements from ``events``: 100 signals, every 11th row a minute late."""
-    return read(spark, sf_dir, "events").selectExpr(
+def measurements(spark: SparkSession, sf_dir: str, step_ms: int = 125) -> DataFrame:
+    """Measurements from ``events``: 100 signals, a row every ``step_ms``, every 11th a minute late."""
+    columns = [
         f"{_mrid} AS mrid",
         f"CASE WHEN event_id % 29 = 0 THEN 'wrong' ELSE {_mrid} END AS kafka_key",
         "'live' AS topic", "0 AS partition", "event_id AS offset",
@@ -44,7 +45,8 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN event_id % 17 = 0 THEN true END AS quality_substituted",
         "CAST(NULL AS BOOLEAN) AS quality_operator_blocked", "CAST(NULL AS BOOLEAN) AS quality_overflow",
         "CASE WHEN event_id % 23 = 0 THEN true WHEN event_id % 5 = 0 THEN false END AS quality_old_data",
-    )
+    ]
+    return read(spark, sf_dir, "events").selectExpr(*[c.replace(STEP, f"event_id * {step_ms}") for c in columns])
 
 
 def membership_log(spark: SparkSession, sf_dir: str) -> DataFrame:
