@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from gridstream.llm.common import row_key, same_row, ship
 
 WINDOW = 10
-SHARD_WORDS = 1 << 19
+SHARD_WORDS = 1 << 18
 SAMPLE = 8
 BLOCK_BYTES = 32 << 20  # benchmark text sent to the tasks at a time
 
@@ -33,27 +32,39 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_table).split()
 
 
+class Numbers(dict):
+    """Numbers words from 1 in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 1
+        return n
+
+
 class Phrases:
     """The distinct windows of a block of items, and which items have each.
 
     A window is a run of ``window`` words of an item; an item of fewer words,
-    but not none, is one window. Items without words have none.
+    but not none, is one window. Items without words have none. Windows are
+    rows of the block's own word numbers, last word first, filled with 0.
     """
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        self.ids: dict[bytes, int] = {}
+        numbers = Numbers()
         owners: dict[tuple[int, ...], set[str]] = {}
         for name, text in items:
-            words = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
+            words = [numbers[w] for w in words_of(text)]
             for k in range(max(1, len(words) - window + 1) if words else 0):
                 owners.setdefault(tuple(words[k : k + window]), set()).add(name)
-        self.windows = list(owners)
+        self.words = list(numbers)
         self.items = [sorted(x) for x in owners.values()]
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
-        self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
-        self.reversed = np.zeros((len(self.windows), window), np.int64)
-        for k, w in enumerate(self.windows):
-            self.reversed[k, : len(w)] = w[::-1]
+        self.lengths = np.array([len(w) for w in owners], np.int64)
+        self.backward = np.zeros((len(owners), window), np.int64)
+        for k, w in enumerate(owners):
+            self.backward[k, : len(w)] = w[::-1]
+
+    def numbered(self, numbers: dict[bytes, int]) -> np.ndarray:
+        """The windows in a shard's word numbers; 0 for words that it lacks."""
+        return np.array([0, *[numbers.get(w, 0) for w in self.words]], np.int64)[self.backward]
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
@@ -63,7 +74,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     n = len(symbols)
     zero = symbols == 0
     first = np.where(zero, np.cumsum(zero) - 1, symbols.astype(np.int64) + zero.sum())
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)
     value = first[order]
     at = np.arange(n)
     start = np.maximum.accumulate(np.where(np.concatenate([[True], value[1:] != value[:-1]]), at, 0))
@@ -78,7 +89,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
         own = order[todo]
         ahead = own + step
         key = rank[own] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        turn = np.argsort(key, kind="stable")
+        turn = np.argsort(key)
         own, key = own[turn], key[turn]
         order[todo] = own
         start[todo] = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), todo, 0))
@@ -130,14 +141,15 @@ class Index:
             low, high = np.where(one, total + low - a, a), np.where(one, total + high - b, b)
         return self.before[symbol] + high - low
 
-    def search(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row ranges (first, end) of the phrases that occur, and their numbers."""
-        which = np.arange(len(phrases.windows))
+    def search(self, backward: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row ranges (first, end) of the phrases that occur, and their numbers.
+        A phrase is a row of symbols, last one first; 0 occurs nowhere."""
+        which = np.flatnonzero(lengths > 0)
         low, high = np.zeros(len(which), np.int64), np.full(len(which), self.n)
-        for k in range(phrases.reversed.shape[1]):
-            on = phrases.lengths[which] > k
-            symbol = phrases.reversed[which, k]
-            known = on & (symbol < len(self.before) - 1)
+        for k in range(backward.shape[1]):
+            symbol = backward[which, k]
+            on = lengths[which] > k
+            known = on & (symbol > 0) & (symbol < len(self.before) - 1)
             ask = np.where(known, symbol, 0)
             low = np.where(known, self.before[ask] + self.rank(ask, low), np.where(on, 0, low))
             high = np.where(known, self.before[ask] + self.rank(ask, high), np.where(on, 0, high))
@@ -157,47 +169,39 @@ class Index:
         return out
 
 
-def scan_shard(ids: list[np.ndarray], phrases: Phrases) -> list[tuple[list[tuple[int, int]], list[str]]]:
-    """Merged word spans (first, end) and items found, for each document's word
-    numbers (0: in no phrase). Runs too short for the shortest phrase are left
-    out of the index, since nothing can occur there."""
-    sizes = np.array([len(x) for x in ids], np.int64)
-    nothing: list[tuple[list[tuple[int, int]], list[str]]] = [([], []) for _ in ids]
-    if not phrases.windows:
-        return nothing
-    # documents apart by a zero
-    flat = np.zeros(int(sizes.sum()) + len(ids), np.int64)
+def scan_shard(shard: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tuple[int, int]], list[str]]]:
+    """Merged word spans (first, end) and items found, for each document's words.
+    The index holds every word of the shard, each document ended by a 0."""
+    found: list[tuple[list[tuple[int, int]], list[str]]] = [([], []) for _ in shard]
+    sizes = np.array([len(x) for x in shard], np.int64)
+    if not len(phrases.lengths) or not sizes.sum():
+        return found
+    numbers = Numbers()
+    flat = np.zeros(int(sizes.sum()) + len(shard), np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
-    for x, a in zip(ids, starts, strict=True):
-        flat[a : a + len(x)] = x
-    edges = np.diff(np.concatenate([[0], (flat > 0).astype(np.int8), [0]]))
-    first, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    long = end - first >= phrases.shortest
-    first, end = first[long], end[long]
-    if not len(first):
-        return nothing
-    width = end - first + 1  # with the zero that follows (the last document's is there too)
-    where = np.repeat(first - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
-    index = Index(flat[where])
-    low, high, which = index.search(phrases)
+    for words, a in zip(shard, starts.tolist(), strict=True):
+        flat[a : a + len(words)] = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+    index = Index(flat)
+    low, high, which = index.search(phrases.numbered(numbers), phrases.lengths)
     if not len(which):
-        return nothing
+        return found
     size = high - low
     rows = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
     window = np.repeat(which, size)
-    place = where[index.locate(rows)]
+    place = index.locate(rows)
     mark = np.zeros(len(flat) + 1, np.int32)
     np.add.at(mark, place, 1)
     np.add.at(mark, place + phrases.lengths[window], -1)
     hit = np.diff(np.concatenate([[0], (np.cumsum(mark) > 0).astype(np.int8), [0]]))
     a, b = np.flatnonzero(hit == 1), np.flatnonzero(hit == -1)
     for k, s, t in zip((np.searchsorted(starts, a, side="right") - 1).tolist(), a.tolist(), b.tolist(), strict=True):
-        nothing[k][0].append((s - int(starts[k]), t - int(starts[k])))
-    found: dict[int, set[str]] = {}
-    pairs = np.unique((np.searchsorted(starts, place, side="right") - 1) * len(phrases.windows) + window)
-    for k, w in zip((pairs // len(phrases.windows)).tolist(), (pairs % len(phrases.windows)).tolist(), strict=True):
-        found.setdefault(k, set()).update(phrases.items[w])
-    return [(spans, sorted(found.get(k, ()))) for k, (spans, _) in enumerate(nothing)]
+        found[k][0].append((s - int(starts[k]), t - int(starts[k])))
+    items: dict[int, set[str]] = {}
+    n = len(phrases.lengths)
+    pairs = np.unique((np.searchsorted(starts, place, side="right") - 1) * n + window)
+    for k, w in zip((pairs // n).tolist(), (pairs % n).tolist(), strict=True):
+        items.setdefault(k, set()).update(phrases.items[w])
+    return [(spans, sorted(items.get(k, ()))) for k, (spans, _) in enumerate(found)]
 
 
 def _scan(docs: DataFrame, phrases: Phrases, text: str, shard_words: int) -> DataFrame:
@@ -208,17 +212,20 @@ def _scan(docs: DataFrame, phrases: Phrases, text: str, shard_words: int) -> Dat
     @F.pandas_udf("n_words long, spans array<struct<first:int,end:int>>, items array<string>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         phrases = held.value
-        number = phrases.ids.get
+
+        def done(shard: list[list[bytes]]) -> list[tuple]:
+            return [(len(x), [{"first": s, "end": e} for s, e in spans], items) for x, (spans, items) in zip(shard, scan_shard(shard, phrases), strict=True)]
+
         for batch in batches:
             rows, shard, waiting = [], [], 0
             for body in batch:
                 words = words_of(body)
-                shard.append(np.fromiter(map(number, words, repeat(0)), np.int64, len(words)))
+                shard.append(words)
                 waiting += len(words)
                 if waiting >= shard_words:
-                    rows += [(len(x), [{"first": s, "end": e} for s, e in spans], items) for x, (spans, items) in zip(shard, scan_shard(shard, phrases), strict=True)]
+                    rows += done(shard)
                     shard, waiting = [], 0
-            rows += [(len(x), [{"first": s, "end": e} for s, e in spans], items) for x, (spans, items) in zip(shard, scan_shard(shard, phrases), strict=True)]
+            rows += done(shard)
             yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
 
     return docs.withColumn("_s", scan(F.col(text)))

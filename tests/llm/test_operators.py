@@ -288,11 +288,9 @@ def test_suffix_order_and_index():
         spell = lambda i, s=s, rank=rank: [(0, int(rank[k])) if s[k] == 0 else (1, int(s[k])) for k in range(i, len(s))]
         assert order.tolist() == sorted(range(len(s)), key=spell)
         index = fm_index.Index(s)
-        phrases = fm_index.Phrases([])
         words = [tuple(rng.integers(1, 5, rng.integers(1, 4)).tolist()) for _ in range(10)]
-        phrases.windows, phrases.lengths = words, np.array([len(w) for w in words])
-        phrases.reversed = np.array([list(w[::-1]) + [0] * (3 - len(w)) for w in words])
-        low, high, which = index.search(phrases)
+        backward = np.array([list(w[::-1]) + [0] * (3 - len(w)) for w in words])
+        low, high, which = index.search(backward, np.array([len(w) for w in words]))
         found = {k: sorted(index.locate(np.arange(a, b)).tolist()) for a, b, k in zip(low, high, which, strict=True)}
         for k, w in enumerate(words):
             assert found.get(k, []) == [i for i in range(len(s)) if tuple(s[i : i + len(w)].tolist()) == w]
