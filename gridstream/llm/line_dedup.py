@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridstream.llm.common import row_key, same_row
+from gridstream.llm.common import frozen, row_key, same_row
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANKS = " \t\n\x0b\f\r"
@@ -33,7 +33,8 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     and the sorted array ``_drop``; rows that keep all have none.
 
     Keys are told apart by 128 hash bits. The count per key is aggregated before
-    the shuffle, and only keys of enough documents take part in the join back.
+    the shuffle. The frequent keys are stored, so that the join back deals both
+    sides out anew and Spark can split the partitions of very common lines.
     """
     lines = docs.select(*row_key(doc_id, text), F.posexplode(lines_of(F.col(text))).alias("_pos", "_line"))
     keyed = lines.withColumn("_key", line_key(F.col("_line"))).where(F.char_length("_key") >= min_chars)
@@ -41,7 +42,7 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     # a row per document and key, so that the count is of documents
     lists = docs.select(*row_key(doc_id, text), F.array_distinct(F.transform(F.filter(F.transform(lines_of(F.col(text)), line_key), lambda k: F.char_length(k) >= min_chars), lambda k: F.struct(F.xxhash64(k).alias("_h"), F.xxhash64(F.lit(7), k).alias("_g")))).alias("_keys"))
     counted = lists.select("_id", F.inline("_keys")).groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_last"))
-    frequent = counted.where(F.col("_n") >= min_docs).drop("_n")
+    frequent = frozen(counted.where(F.col("_n") >= min_docs).drop("_n"), "frequent-lines")
     hit = hashed.join(frequent, ["_h", "_g"]).where(~F.col("_id").eqNullSafe(F.col("_last")))
     return hit.groupBy("_id", "_th").agg(F.sort_array(F.collect_set("_pos")).alias("_drop"))
 
