@@ -16,14 +16,29 @@ from gridstream.llm.common import frozen, row_key, same_row, ship
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
+LONGEST = 10  # words; longer sentences are cut into parts, so that one long sentence is several too
 _end = re.compile(r"(?<=[.!?])\s+|\n\s*")
+_word = re.compile(r"\S+")
 
 
 def sentences_of(text: str) -> list[tuple[int, int]]:
     """Character spans that tile the text: each sentence with the white space after it.
-    A sentence ends after . ! or ? before white space, and at a line break."""
+    A sentence ends after . ! or ? before white space, and at a line break; one
+    of more than LONGEST words is cut at its commas and after LONGEST words without one."""
     cuts = [0, *[m.end() for m in _end.finditer(text)], len(text)]
-    return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+    spans = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b - a > 2 * LONGEST and len(text[a:b].split()) > LONGEST:
+            starts, size = [a], 0
+            for m in _word.finditer(text, a, b):
+                if size == LONGEST or (size and comma):
+                    starts.append(m.start())
+                    size = 0
+                size, comma = size + 1, text[m.end() - 1] == ","
+            spans += zip(starts, [*starts[1:], b], strict=True)
+        elif b > a:
+            spans.append((a, b))
+    return spans
 
 
 def runs_of(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[int, np.ndarray, np.ndarray, list[bytes]]:
