@@ -12,10 +12,21 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstream.cluster import ship
+from gridstream import cluster
+
+BATCH = 1000  # rows that a task hands to Python at a time: texts may be long
 
 __all__ = ["frozen", "row_key", "same_row", "shared_dir", "ship", "table", "with_dense_index", "with_global_rank"]
 
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in Python workers, and lower the session's Arrow
+    batch to BATCH rows, which bounds the workers' memory where texts are long."""
+    cluster.ship(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,7 +6,7 @@ import json
 import re
 from array import array
 
-REMEMBERED = 250_000  # words of a generation, at each of two levels in a worker
+REMEMBERED = 120_000  # words of a generation, at each of two levels in a worker
 
 _encoders: dict[str, Encoder] = {}
 
