@@ -6,7 +6,7 @@ import json
 import re
 from array import array
 
-REMEMBERED = 120_000  # words of a generation, at each of two levels in a worker
+REMEMBERED = 180_000  # words of a generation, at each of two levels in a worker
 
 _encoders: dict[str, Encoder] = {}
 
@@ -63,13 +63,19 @@ class Encoder:
             self.unsafe = re.compile("[^\t\n\r -~¡-¬®-ÿ]")
             plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
             rest = (b for b in range(256) if b not in plain)
-            self.shown = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+            self.shown = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
             self.pieces, self.words = _Memory(self._piece), _Memory(self._word)
 
     def _piece(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.tokenizer.model.tokenize("".join([self.shown[b] for b in piece.encode()]))]).tobytes()
+        # printable ASCII stands for itself in the vocabulary's spelling of bytes
+        spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
 
     def _word(self, word: str) -> bytes:
+        if word.isalpha():  # letters alone are one piece, and so is one mark after them
+            return self.pieces[word]
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            return self.pieces[word[:-1]] + self.pieces[word[-1]]
         return b"".join([self.pieces[p] for p in self.cut.findall(word)])
 
     def encode(self, text: str) -> bytes:
