@@ -57,14 +57,18 @@ def _named(attrs: str, inside: bool) -> bool:
     """Whether class, id or role names such a part; an article has its own header."""
     for _, value in _attr.findall(attrs):
         for word in _pieces.split(value.strip("\"' ").lower()):
-            if any(part in NAMES and not (inside and part == "header") for part in (word, *word.split("-"))):
+            parts = word.split("-")
+            if parts[0] in ("has", "with", "no", "is"):
+                continue  # says something about a wrapper of the article
+            if any(part in NAMES and not (inside and part == "header") for part in (word, *parts)):
                 return True
     return False
 
 
 def page_lines(page: str) -> tuple[list[tuple[str, int, int, bool]], bool]:
     """(text, its length, length inside links, inside an article) per line, and
-    whether the page names its article. Lines of skipped parts have no text."""
+    whether the page names its article. A line is a block's text; a skipped part
+    is one blank line."""
     lines: list[tuple[str, int, int, bool]] = []
     parts: list[str] = []
     linked = 0
@@ -74,8 +78,8 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, int, bool]], bool]:
 
     def close_line() -> None:
         nonlocal linked
-        text = " ".join("".join(parts).split())
-        lines.append((text, len(text), min(linked, len(text)), article > 0))
+        if text := " ".join("".join(parts).split()):
+            lines.append((text, len(text), min(linked, len(text)), article > 0))
         parts.clear()
         linked = 0
 
@@ -115,8 +119,12 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, int, bool]], bool]:
                 pop(len(stack) - 1)
             attrs = m["attrs"]
             main = tag in ("article", "main") or (bool(attrs) and re.search(r"""role\s*=\s*["']?(main|article)\b""", attrs, re.I) is not None)
-            skip = tag in BOILER or (tag == "header" and not article) or (bool(attrs) and tag != "body" and tag != "html" and not main and (_named(attrs, article > 0) or _hidden.search(attrs) is not None))
-            main = main and not skipped
+            named_so = bool(attrs) and tag not in ("body", "html", "main") and (_named(attrs, article > 0 or main) or _hidden.search(attrs) is not None)
+            skip = tag in BOILER or (tag == "header" and not article) or named_so
+            main = main and not skipped and not skip
+            if skip and not skipped:
+                close_line()
+                lines.append(("", 0, 0, False))
             named = named or main
             stack.append((tag, skip, main))
             skipped += skip

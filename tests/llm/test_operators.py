@@ -40,8 +40,13 @@ def test_main_text_of_a_named_article():
 
 def test_main_text_by_line_blocks_alone():
     long, menu = "word " * 40, "".join(f"<div><a href=/{k}>link number {k} of the menu</a></div>" for k in range(9))
-    page = f"<body>{menu}<div><p>{long}<p>short<p>{long}</div>{menu}<div>tail</div></body>"
-    assert html_lines.main_text(page).split("\n") == [long.strip(), "short", long.strip()]
+    page = f"<body class=has-sidebar>{menu}<div class=with-header><h1>Title</h1><section><p>{long}</p></section><div class=ad>buy</div><div><p>short</p></div><p>{long}</div>{menu}<div>tail</div></body>"
+    assert html_lines.main_text(page).split("\n") == ["Title", long.strip(), "short", long.strip()]
+
+
+def test_comments_are_no_article():
+    page = "<main><p>Text.</p></main><article class='comment'><p>Nice!</p></article><div class='reader-comments'><article><p>Yes</p></article></div>"
+    assert html_lines.main_text(page) == "Text."
 
 
 @pytest.mark.parametrize("page", [None, "", "   ", "<p", "<!-- x", "<script>a", "</div></p>", "<article></article>"])
