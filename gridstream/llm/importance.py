@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridstream.llm.common import ship, with_global_rank
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
 TARGET_ROWS = 20_000  # labelled rows that the target model is fitted on, at most
 SEED = 11
 
