@@ -23,7 +23,7 @@ def ship(spark: SparkSession) -> None:
     """Make the package importable in Python workers, and lower the session's Arrow
     batch to BATCH rows, which bounds the workers' memory where texts are long."""
     cluster.ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH:  # 0: no bound
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
 
