@@ -6,9 +6,12 @@ that every executor can read them again after another one is lost.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ from gridstream import cluster
 
 BATCH = 1000  # rows that a task hands to Python at a time: texts may be long
 
-__all__ = ["frozen", "row_key", "same_row", "shared_dir", "ship", "table", "with_dense_index", "with_global_rank"]
+__all__ = ["frozen", "give_back", "row_key", "same_row", "shared_dir", "ship", "table", "with_dense_index", "with_global_rank"]
 
 
 def ship(spark: SparkSession) -> None:
@@ -27,6 +30,14 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
 
+def give_back() -> None:
+    """At the end of a Python stage's task: return freed memory to the system, since
+    workers live on and the next stage's need adds to what they hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

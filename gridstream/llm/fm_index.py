@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridstream.llm.common import row_key, same_row, ship
+from gridstream.llm.common import give_back, row_key, same_row, ship
 
 WINDOW = 10
 SHARD_WORDS = 1 << 18
@@ -32,14 +33,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_table).split()
 
 
-class Numbers(dict):
-    """Numbers words from 1 in the order in which they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self) + 1
-        return n
-
-
 class Phrases:
     """The distinct windows of a block of items, and which items have each.
 
@@ -49,10 +42,10 @@ class Phrases:
     """
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        numbers = Numbers()
+        numbers: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set[str]] = {}
         for name, text in items:
-            words = [numbers[w] for w in words_of(text)]
+            words = [numbers.setdefault(w, len(numbers) + 1) for w in words_of(text)]
             for k in range(max(1, len(words) - window + 1) if words else 0):
                 owners.setdefault(tuple(words[k : k + window]), set()).add(name)
         self.words = list(numbers)
@@ -62,9 +55,16 @@ class Phrases:
         for k, w in enumerate(owners):
             self.backward[k, : len(w)] = w[::-1]
 
-    def numbered(self, numbers: dict[bytes, int]) -> np.ndarray:
-        """The windows in a shard's word numbers; 0 for words that it lacks."""
-        return np.array([0, *[numbers.get(w, 0) for w in self.words]], np.int64)[self.backward]
+    def numbered(self, hashes: np.ndarray) -> np.ndarray:
+        """The windows in a shard's word numbers (a word's number is the place of
+        its hash among the shard's sorted ones, from 1); 0 for words that it lacks."""
+        own = np.fromiter(map(hash, self.words), np.int64, len(self.words))
+        at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+        return np.append(0, np.where(hashes[at] == own, at + 1, 0))[self.backward]
+
+    def spelt(self, window: int) -> list[bytes]:
+        """The words of a window."""
+        return [self.words[w - 1] for w in self.backward[window, : self.lengths[window]][::-1]]
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
@@ -73,14 +73,18 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     on beyond the end of a run. Prefix doubling; settled suffixes are left out."""
     n = len(symbols)
     zero = symbols == 0
-    first = np.where(zero, np.cumsum(zero) - 1, symbols.astype(np.int64) + zero.sum())
-    order = np.argsort(first)
-    value = first[order]
+    first = np.where(zero, np.cumsum(zero) - 1, symbols.astype(np.int64) + zero.sum()) + 1
+    base, step = int(first.max(initial=0)) + 1, 1
+    value = first
+    while base ** (step + 1) < 1 << 62 and step < 3:  # as many symbols as fit in a word are sorted at once
+        value = value * base + np.concatenate([first[step:], np.zeros(min(step, n), np.int64)])
+        step += 1
+    order = np.argsort(value)
+    value = value[order]
     at = np.arange(n)
     start = np.maximum.accumulate(np.where(np.concatenate([[True], value[1:] != value[:-1]]), at, 0))
     rank = np.empty(n, np.int64)
     rank[order] = start
-    step = 1
     while True:
         single = np.concatenate([start[1:] != start[:-1], [True]]) & (start == at)
         todo = np.flatnonzero(~single)
@@ -108,7 +112,7 @@ class Index:
         self.before = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=top + 1))]).astype(np.int64)
         self.bits = max(1, top.bit_length())
         self.zeros = np.zeros((self.bits, n + 1), np.int32)  # zeros before each place, by level
-        rows = last
+        rows = last.astype(np.int32)
         for level in range(self.bits):
             one = (rows >> (self.bits - 1 - level)) & 1
             np.cumsum(1 - one, out=self.zeros[level, 1:])
@@ -176,19 +180,23 @@ def scan_shard(shard: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tu
     sizes = np.array([len(x) for x in shard], np.int64)
     if not len(phrases.lengths) or not sizes.sum():
         return found
-    numbers = Numbers()
     flat = np.zeros(int(sizes.sum()) + len(shard), np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
-    for words, a in zip(shard, starts.tolist(), strict=True):
-        flat[a : a + len(words)] = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+    hashes, number = np.unique(np.fromiter(map(hash, chain.from_iterable(shard)), np.int64, int(sizes.sum())), return_inverse=True)
+    flat[np.arange(len(number)) + np.repeat(np.arange(len(shard)), sizes)] = number + 1
     index = Index(flat)
-    low, high, which = index.search(phrases.numbered(numbers), phrases.lengths)
+    low, high, which = index.search(phrases.numbered(hashes), phrases.lengths)
     if not len(which):
         return found
     size = high - low
     rows = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
     window = np.repeat(which, size)
     place = index.locate(rows)
+    # two words may share a hash: compare the words themselves
+    spelt = {w: phrases.spelt(w) for w in which.tolist()}
+    owner = np.searchsorted(starts, place, side="right") - 1
+    true = [shard[k][a : a + len(spelt[w])] == spelt[w] for k, a, w in zip(owner.tolist(), (place - starts[owner]).tolist(), window.tolist(), strict=True)]
+    place, window = place[true], window[true]
     mark = np.zeros(len(flat) + 1, np.int32)
     np.add.at(mark, place, 1)
     np.add.at(mark, place + phrases.lengths[window], -1)
@@ -227,6 +235,7 @@ def _scan(docs: DataFrame, phrases: Phrases, text: str, shard_words: int) -> Dat
                     shard, waiting = [], 0
             rows += done(shard)
             yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+        give_back()
 
     return docs.withColumn("_s", scan(F.col(text)))
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridstream.llm.common import ship
+from gridstream.llm.common import give_back, ship
 
 WIDTH = 64  # bytes in a window; documents are cut into such windows
 HIDDEN = 8
@@ -235,6 +235,7 @@ def identify(docs: DataFrame, model: tuple[list[str], Params] | None, text: str
                 for (i, _), row in zip(part, prob, strict=True):
                     labels[i], scores[i] = model[0][int(row.argmax())], round(min(1.0, float(row.max())), 6)
             yield pd.DataFrame({"label": labels, "score": scores})
+        give_back()
 
     rest = [c for c in docs.columns if c not in (label, score)]
     return docs.select(*rest, predict(F.col(text)).alias("_p")).select(*rest, F.col("_p.label").alias(label), F.col("_p.score").alias(score))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstream.llm.common import frozen, ship
+from gridstream.llm.common import frozen, give_back, ship
 from gridstream.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -53,6 +53,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
                     rows.append((key, piece, at // 4, n, zlib.crc32(own), part, seen[n]))
                     seen[n] += 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "_part", "_rank"])
+        ids_of.forget()
+        give_back()
 
     # ids pass as text: pandas would turn a column of integers with a null into floats
     kind = dict(docs.dtypes)[doc_id]

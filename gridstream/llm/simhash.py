@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstream.llm.common import frozen, row_key, same_row, ship
+from gridstream.llm.common import frozen, give_back, row_key, same_row, ship
 from gridstream.llm.components import components
 
 BITS = 64
@@ -81,6 +81,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(fingerprints_of(batch.tolist()).view(np.int64))
+        give_back()
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), fp(F.col(text)).alias("fp"))
 

@@ -85,6 +85,13 @@ class Encoder:
         self.pieces.renew()
         return b"".join(map(self.words.__getitem__, text.lower().split()))
 
+    def forget(self) -> None:
+        """Drop the remembered words."""
+        if self.by_word:
+            for memory in (self.words, self.pieces):
+                memory.clear()
+                memory.before = {}
+
 
 def encoder(path: str) -> Encoder:
     """One encoder for each worker and file."""
