@@ -21,6 +21,8 @@ from gridstream.llm.common import ship
 WINDOW = 3
 SURGE = 86
 LINK_SHARE = 0.6
+WEIGHT = 4  # by which a named article lowers the threshold of its lines and raises that of the others
+HELD = 1 / 3  # share of the text that a named article must hold to count
 
 # Element names of HTML with a meaning for the layout.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "select", "xmp")
@@ -158,24 +160,49 @@ def surges(lengths: list[int], threshold: int, window: int = WINDOW) -> list[tup
     return found
 
 
+def _fullest(lengths: list[int]) -> int:
+    return max((sum(lengths[k : k + WINDOW]) for k in range(len(lengths))), default=0)
+
+
+def _article_lengths(lines: list[tuple[str, int, int, bool]]) -> list[int]:
+    """Lengths of the article's lines. A linked title is text; only a whole window of lines made of links is blank."""
+    linked = [inside and n > 0 and links > LINK_SHARE * n for _, n, links, inside in lines]
+    menu = [False] * len(lines)
+    for k in range(len(lines) - WINDOW + 1):
+        if all(linked[k : k + WINDOW]):
+            menu[k : k + WINDOW] = [True] * WINDOW
+    return [n if inside and not listed else 0 for (_, n, _, inside), listed in zip(lines, menu, strict=True)]
+
+
 def main_text(page: str | None) -> str:
     """The article of one page; blocks in page order, one per line.
 
-    Null or empty pages give an empty text. Where the page names its article
-    (``article``, ``main`` or such a role), lines outside count as blank and
-    any text inside is a surge; otherwise lines made of links count as blank
+    Null or empty pages give an empty text. Lines made of links count as blank,
     and the threshold is SURGE, or half the fullest window of a short page.
+    Where the page names its article (``article``, ``main`` or such a role) and
+    that holds at least HELD of its text, the name weights the threshold: lines
+    inside need SURGE / WEIGHT, and a surge there reaches back to the blank
+    window before it; lines outside need SURGE * WEIGHT. An article that holds
+    less (a teaser card) means nothing.
     """
     if not page:
         return ""
     lines, named = page_lines(page)
-    if named:
-        lengths, threshold = [n if inside else 0 for _, n, _, inside in lines], 0
+    lengths = [0 if links > LINK_SHARE * n else n for _, n, links, _ in lines]
+    inner = _article_lengths(lines) if named else []
+    outer = [0 if inside else n for n, (*_, inside) in zip(lengths, lines, strict=True)]
+    if sum(inner) and sum(inner) >= HELD * (sum(inner) + sum(outer)):
+        kept = set()
+        least = 0
+        for a, b in surges(inner, min(SURGE // WEIGHT, _fullest(inner) // 2)):
+            while a > least and any(inner[max(least, a - WINDOW) : a]):
+                a -= 1
+            kept.update(k for k in range(a, b) if inner[k])
+            least = b
+        kept.update(k for a, b in surges(outer, SURGE * WEIGHT) for k in range(a, b) if outer[k])
     else:
-        lengths = [0 if links > LINK_SHARE * n else n for _, n, links, _ in lines]
-        fullest = max((sum(lengths[k : k + WINDOW]) for k in range(len(lengths))), default=0)
-        threshold = min(SURGE, fullest // 2)
-    return "\n".join(lines[k][0] for a, b in surges(lengths, threshold) for k in range(a, b) if lengths[k])
+        kept = {k for a, b in surges(lengths, min(SURGE, _fullest(lengths) // 2)) for k in range(a, b) if lengths[k]}
+    return "\n".join(lines[k][0] for k in sorted(kept))
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

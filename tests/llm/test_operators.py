@@ -49,6 +49,21 @@ def test_comments_are_no_article():
     assert html_lines.main_text(page) == "Text."
 
 
+def test_a_teaser_card_is_no_article():
+    text = "word " * 60
+    for card in ("<article></article>", "<article><h3>Read this too</h3></article>"):
+        got = html_lines.main_text(f"<body><div><h1>Title</h1><p>{text}</p><p>{text}</p></div><div class=ad>buy</div><nav>x</nav><aside>y</aside>{card}</body>")
+        assert got.split("\n")[:3] == ["Title", text.strip(), text.strip()]
+
+
+def test_windows_decide_inside_a_named_article():
+    text = "word " * 60
+    links = "".join(f"<li><a href=/{k}>see also number {k}</a></li>" for k in range(5))
+    page = f"<article><p>Share</p><nav>a</nav><nav>b</nav><nav>c</nav><h1><a href=/>Title</a></h1><p>{text}</p><p>short</p><ul>{links}</ul><p>Print</p></article><p>{text * 2}</p>"
+    assert html_lines.main_text(page).split("\n") == ["Title", text.strip(), "short", (text * 2).strip()]
+    assert html_lines.main_text("<article><h1>Title</h1><p>Text.</p></article><p>Imprint</p>") == "Title\nText."
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<p", "<!-- x", "<script>a", "</div></p>", "<article></article>"])
 def test_odd_pages(page):
     assert html_lines.main_text(page) in ("", "<p")
