@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,45 +16,115 @@ from gridstream.llm.common import frozen, row_key, same_row, ship
 MIN_SENTENCES = 2
 MIN_WORDS = 20
 LONGEST = 10  # words; longer sentences are cut into parts, so that one long sentence is several too
-_end = re.compile(r"(?<=[.!?])\s+|\n\s*")
-_word = re.compile(r"\S+")
+SPACE, ALONE, END, WIDE_END, COMMA, LINE, CLOSING = 1, 2, 4, 8, 16, 32, 64
+
+
+def _classes() -> np.ndarray:
+    """What each code point is to the cuts."""
+    table = np.zeros(0x110000, np.uint8)
+    for code in range(0x3001):
+        if chr(code).isspace():
+            table[code] = SPACE
+    # scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, Han, full-width forms
+    for a, b in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3001, 0x312F), (0x31A0, 0x9FFF), (0xF900, 0xFAFF), (0xFF01, 0xFF9F), (0x20000, 0x323AF)):
+        table[a : b + 1] |= ALONE
+    for marks, bit in ((".!?\u2026\u061f\u06d4\u0964\u0965\u1362\u0589", END), ("\u3002\uff01\uff1f\uff0e\uff61", WIDE_END), (",\u060c\u3001\uff0c\uff1b\uff64", COMMA), ("\n", LINE), ("\u300d\u300f\uff09\u3011\u300b", CLOSING)):
+        for mark in marks:
+            table[ord(mark)] |= bit
+    return table
+
+
+CLASSES = _classes()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _parts(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """First word of each part; per word its place in the text and its place in
+    the last result, the lower-cased words with a zero before each as UTF-32.
+
+    A word is what stands between white space, and each character of a script
+    without spaces. Sentences are cut at their ends. Where LONGEST places
+    between words hold none, the window's last comma is a cut, or else the
+    place with the smallest hash of the two words around it: so every cut is
+    decided by fewer than 2 * LONGEST words around it, wherever counting began,
+    and no part is longer than LONGEST.
+    """
+    codes = _codes(text)
+    kinds = CLASSES[codes]
+    solid = (kinds & SPACE) == 0
+    alone = (kinds & ALONE) != 0
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1] | alone[1:] | alone[:-1]
+    at = np.flatnonzero(begins)
+    if not len(at):
+        return at, at, at, b""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    chars = _codes(low)
+    word = np.cumsum(begins)[solid] - 1
+    place = np.arange(len(word)) + word + 1
+    body = np.zeros(len(word) + len(at), "<u4")
+    body[place] = chars[solid]
+    offsets = place[np.searchsorted(word, np.arange(len(at)))] - 1
+
+    n = len(at)
+    value = np.add.reduceat(_mixed(body.astype(np.uint64) + (np.arange(len(body)) - np.repeat(offsets, np.diff([*offsets, len(body)]))).astype(np.uint64) * np.uint64(0xC4CEB9FE1A85EC53)), offsets)
+    rank = np.zeros(n, np.uint64)
+    rank[1:] = _mixed(_mixed(value[:-1]) + value[1:]) | np.uint64(2)
+    last = np.append(at[1:], len(codes)) - 1  # the word's last character, before white space
+    ends = np.maximum.accumulate(np.where(solid, np.arange(len(codes)), 0))[last]
+    before, spaced = kinds[ends[:-1]], ends[:-1] + 1 < at[1:]
+    rank[1:][(before & COMMA) != 0] = 1
+    lines = np.concatenate([[0], np.cumsum((kinds & LINE) != 0)])
+    closed = (kinds[at[1:]] & (CLOSING | WIDE_END)) != 0
+    after_wide = (before & WIDE_END) != 0
+    after_wide[1:] |= ((before[1:] & CLOSING) != 0) & after_wide[:-1]
+    stop = (((before & END) != 0) & spaced) | (lines[at[1:]] > lines[ends[:-1]]) | (after_wide & ~closed)
+    rank[1:][stop] = 0
+    cut = rank == 0
+    if n > LONGEST:
+        windows = np.lib.stride_tricks.sliding_window_view(rank[::-1], LONGEST)  # the last of equal places
+        chosen = n - 1 - (np.arange(len(windows)) + windows.argmin(axis=1))
+        cut[chosen] = True
+    return np.flatnonzero(cut), at, offsets, body.tobytes()
 
 
 def sentences_of(text: str) -> list[tuple[int, int]]:
     """Character spans that tile the text: each sentence with the white space after it.
-    A sentence ends after . ! or ? before white space, and at a line break; one
-    of more than LONGEST words is cut at its commas and after LONGEST words without one."""
-    cuts = [0, *[m.end() for m in _end.finditer(text)], len(text)]
-    spans = []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        if b - a > 2 * LONGEST and len(text[a:b].split()) > LONGEST:
-            starts, size = [a], 0
-            for m in _word.finditer(text, a, b):
-                if size == LONGEST or (size and comma):
-                    starts.append(m.start())
-                    size = 0
-                size, comma = size + 1, text[m.end() - 1] == ","
-            spans += zip(starts, [*starts[1:], b], strict=True)
-        elif b > a:
-            spans.append((a, b))
-    return spans
+    A sentence ends after . ! ? or such a mark of other scripts before white space,
+    after a full-width mark, and at a line break; one of more than LONGEST words
+    is cut at commas or where its words say so (see ``_parts``)."""
+    first, at, _, _ = _parts(text)
+    edges = [0, *at[first[1:]].tolist(), len(text)]
+    return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
 
 
 def runs_of(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[int, np.ndarray, np.ndarray, list[bytes]]:
     """Number of sentences; first and last sentence and hash of each run. From
-    every sentence one run starts: the shortest with at least ``min_sentences``
-    sentences that have words and ``min_words`` words. Case and white space do
-    not matter."""
-    spans = sentences_of(text)
-    words = [(k, s) for k, (a, b) in enumerate(spans) if (s := text[a:b].lower().split())]
-    ends = np.cumsum([len(s) for _, s in words], dtype=np.int64)
-    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    last = np.maximum(np.searchsorted(ends, starts + min_words), np.arange(len(words)) + min_sentences - 1)
-    n = int((last < len(words)).sum())
-    joined = [" ".join(s) for _, s in words]
-    where = np.array([k for k, _ in words], np.int64)
-    hashes = [xxhash.xxh3_128_digest("\n".join(joined[i : j + 1]).encode("utf-8", "surrogatepass")) for i, j in enumerate(last[:n])]
-    return len(spans), where[:n], where[last[:n]], hashes
+    every sentence, and to every sentence, goes one run: the shortest with at
+    least ``min_sentences`` sentences and ``min_words`` words, so that a
+    repeated passage is covered up to its last cut. Case and white space do not
+    matter."""
+    first, at, offsets, body = _parts(text)
+    parts = len(first)
+    starts, ends, index = first, np.append(first[1:], len(at)), np.arange(parts)
+    last = np.maximum(np.searchsorted(ends, starts + min_words), index + min_sentences - 1)
+    back = np.minimum(np.searchsorted(starts, ends - min_words, "right") - 1, index - min_sentences + 1)
+    pairs = np.unique(np.concatenate([(index * parts + last)[last < parts], (back * parts + index)[back >= 0]]))
+    a, b = pairs // max(parts, 1), pairs % max(parts, 1)
+    bounds = 4 * np.append(offsets, len(body) // 4)
+    view = memoryview(body)
+    hashes = [xxhash.xxh3_128_digest(view[i:j]) for i, j in zip(bounds[starts[a]].tolist(), bounds[ends[b]].tolist(), strict=True)] if len(pairs) else []
+    return max(parts, int(bool(text))), a, b, hashes
 
 
 def span_hashes(docs: DataFrame, min_sentences: int, min_words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -98,9 +167,11 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
     ship(docs.sparkSession)
     spans = span_hashes(docs, min_sentences, min_words, doc_id, text)
     place = F.struct("_id", "_th", "_from")
-    counted = spans.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first"))
+    counted = spans.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n"))
     repeated = frozen(counted.where(F.col("_n") > 1).drop("_n"), "repeated-spans")
-    later = spans.join(repeated, ["_h", "_g"]).where(~place.eqNullSafe(F.col("_first")))
+    hits = frozen(spans.join(repeated, ["_h", "_g"]), "repeated-places")  # few, so that only they carry places to the next step
+    firsts = frozen(hits.groupBy("_h", "_g").agg(F.min(place).alias("_first")), "first-places")
+    later = hits.join(firsts, ["_h", "_g"]).where(~place.eqNullSafe(F.col("_first")))
     covered = later.groupBy("_id", "_th").agg(F.collect_set(F.struct("_from", "_to")).alias("_gone"))
     rest = docs.select(*[c for c in docs.columns if c not in (kept, "n_sentences", "n_removed")], *row_key(doc_id, text))
     joined = rest.join(covered, same_row(rest, covered), "left").select(*[rest[c] for c in rest.columns if c not in ("_id", "_th")], "_gone")

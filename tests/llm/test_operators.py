@@ -272,6 +272,37 @@ def test_sentence_spans_against_brute_force(spark):
     assert {r.doc_id: r.n_removed for r in sentence_spans.dedup_spans(docs_of(spark, rows), 2, 4).collect()} == want
 
 
+@pytest.mark.parametrize("shift", range(10))
+def test_long_passages_are_found_at_every_offset(spark, shift):
+    rng = random.Random(shift)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passage = [word() for _ in range(60)]
+    own = [[word() for _ in range(23)], [word() for _ in range(23 + shift)]]
+    rows = [(k, " ".join([*x, *passage, *[word() for _ in range(30)]])) for k, x in enumerate(own)]
+    got = {r.doc_id: r.kept.split() for r in sentence_spans.dedup_spans(docs_of(spark, rows)).collect()}
+    assert got[0] == rows[0][1].split()
+    gone = [w for w in rows[1][1].split() if w not in got[1]]
+    assert len(gone) >= 60 - 2 * sentence_spans.LONGEST and set(gone) <= set(passage)
+
+
+def test_sentence_spans_of_text_without_spaces(spark):
+    rng = random.Random(3)
+    line = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    passage = f"{line(15)}\u3002{line(12)}\uff01{line(14)}\uff1f"
+    rows = [(1, f"{line(9)}\u3002{passage}{line(8)}\u3002"), (2, f"{line(30)}\u3002{passage}{line(21)}\u3002")]
+    got = {r.doc_id: r for r in sentence_spans.dedup_spans(docs_of(spark, rows)).collect()}
+    assert got[1].kept == rows[0][1] and got[2].kept == rows[1][1].replace(passage, "")
+    assert sentence_spans.sentences_of("\u3042\u3002\u3044\uff01") == [(0, 2), (2, 4)]
+
+
+def test_last_sentence_of_a_passage_goes_too(spark):
+    own = lambda c, n: " ".join(f"{c}{k}" for k in range(n)) + "."
+    passage = " ".join(own(c, n) for c, n in (("p", 10), ("q", 9), ("r", 10), ("s", 8)))
+    rows = [(1, f"{own('a', 9)} {passage} {own('b', 9)}"), (2, f"{own('c', 9)} {passage} {own('d', 9)}")]
+    got = {r.doc_id: r.kept for r in sentence_spans.dedup_spans(docs_of(spark, rows)).collect()}
+    assert got[2] == f"{own('c', 9)} {own('d', 9)}"
+
+
 # --- importance ------------------------------------------------------------------
 
 
