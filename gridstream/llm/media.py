@@ -29,6 +29,7 @@ FRAME, HOP = 128, 64
 MELS = 16
 BLOCK = 32  # frames in a tensor
 UNIT = 192
+STEP = HOP * DOWN / (RATE * UP)  # seconds a frame
 
 TENSOR = pa.fixed_shape_tensor(pa.float32(), (BLOCK, MELS))
 
@@ -144,31 +145,118 @@ def encode_media(docs: DataFrame, text: str = "text", media: str = "media") -> D
     return docs.withColumn(media, wave(F.col(text)))
 
 
+DIGEST_KINDS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames long, active_s double"
+DIGEST = [(c, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[t]) for c, t in (x.split() for x in DIGEST_KINDS.split(", "))]
+
+
+def _digest(stored: bytes, mel: np.ndarray, spans: list[tuple[int, int]]) -> dict:
+    payload = from_wave(stored)
+    active = sum(b - a for a, b in spans)
+    mean = ",".join(f"{x:.2f}" for x in mel.mean(axis=0, dtype=np.float64) + 0.0)
+    feature = f"frames={len(mel)};segments={len(spans)};active={active};mel={mean}"
+    values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, len(mel), active * HOP * DOWN / (RATE * UP))
+    return dict(zip((c for c, _ in DIGEST), values, strict=True))
+
+
 def media_digest(docs: DataFrame, media: str = "media") -> DataFrame:
     """Add digests of the stored file, of the payload read back from it, and of
     its features. A null file gives nulls."""
     ship(docs.sparkSession)
 
-    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames long, active_s double")
+    @F.pandas_udf(DIGEST_KINDS)
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "active_s"]
+        names = [c for c, _ in DIGEST]
         for batch in batches:
             rows = []
             for stored in batch:
                 if stored is None:
                     rows.append((None,) * len(names))
                     continue
-                payload = from_wave(stored)
-                mel, _, spans = features(payload)
-                active = sum(b - a for a, b in spans)
-                mean = ",".join(f"{x:.2f}" for x in mel.mean(axis=0, dtype=np.float64) + 0.0)
-                feature = f"frames={len(mel)};segments={len(spans)};active={active};mel={mean}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, len(mel), active * HOP * DOWN / (RATE * UP)))
+                mel, _, spans = features(from_wave(stored))
+                rows.append(tuple(_digest(stored, mel, spans).values()))
             yield pd.DataFrame(rows, columns=names)
 
     return docs.withColumn("_d", digest(F.col(media))).select(*[c for c in docs.columns if c != media], "_d.*")
 
 
+def _blocks(stored: bytes) -> tuple[np.ndarray, list[int], list[list[list[float]]]]:
+    """Log-mel frames of a file in blocks of (BLOCK, MELS), the last filled with
+    zeros; frames of each block and the active spans in it (seconds)."""
+    mel, _, spans = features(from_wave(stored))
+    n = -(-len(mel) // BLOCK)
+    full = np.zeros((n * BLOCK, MELS), np.float32)
+    full[: len(mel)] = mel
+    sizes = [min(BLOCK, len(mel) - i * BLOCK) for i in range(n)]
+    inside: list[list[list[float]]] = [[] for _ in range(n)]
+    for a, b in spans:
+        for i in range(a // BLOCK, (b - 1) // BLOCK + 1):
+            inside[i].append([max(a, i * BLOCK) * STEP, min(b, (i + 1) * BLOCK) * STEP])
+    return full.reshape(n, BLOCK, MELS), sizes, inside
+
+
+def with_tensors(docs: DataFrame, media: str = "media", tensors: str = "tensors") -> DataFrame:
+    """Add the tensors of each file as one array: per block start_s, end_s,
+    n_frames, active and ``mel`` as in ``media_tensors``. A null file has none."""
+    ship(docs.sparkSession)
+    k = docs.columns.index(media)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 100):  # tensors are as large as their files
+                batch = whole.slice(at, 100)
+                offsets, values, starts, ends, sizes, active = [0], [], [], [], [], []
+                for stored in batch.column(k):
+                    if stored.is_valid:
+                        blocks, frames, inside = _blocks(stored.as_py())
+                        values.append(blocks.reshape(-1))
+                        starts += [i * BLOCK * STEP for i in range(len(frames))]
+                        ends += [(i * BLOCK + x) * STEP for i, x in enumerate(frames)]
+                        sizes += frames
+                        active += inside
+                    offsets.append(len(sizes))
+                flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.float32))
+                mel = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BLOCK * MELS), flat)
+                block = pa.StructArray.from_arrays(
+                    [pa.array(starts, pa.float64()), pa.array(ends, pa.float64()), pa.array(sizes, pa.int64()), pa.array(active, pa.list_(pa.list_(pa.float64()))), mel],
+                    ["start_s", "end_s", "n_frames", "active", "mel"],
+                )
+                mask = batch.column(k).is_null() if batch.column(k).null_count else None
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), block, mask=mask)], [*batch.schema.names, tensors])
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    return docs.mapInArrow(add, f"{kinds}, `{tensors}` array<struct<start_s: double, end_s: double, n_frames: long, active: array<array<double>>, mel: array<float>>>")
+
+
+def stored_digest(docs: DataFrame, media: str = "media", tensors: str = "tensors") -> DataFrame:
+    """The columns of ``media_digest``, its features taken from stored tensors
+    instead of being computed again; both columns are left out."""
+    ship(docs.sparkSession)
+    kept = [(c, t) for c, t in docs.dtypes if c not in (media, tensors)]
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            lists = batch.column(len(kept) + 1)
+            for stored, blocks in zip(batch.column(len(kept)), lists, strict=True):
+                if not stored.is_valid:
+                    rows.append({})
+                    continue
+                block = blocks.values
+                n = int(np.sum(block.field("n_frames").to_numpy()))
+                mel = block.field("mel").flatten().to_numpy().reshape(-1, MELS)[:n]
+                spans: list[list[float]] = []
+                for a, b in (x for inside in block.field("active").to_pylist() for x in inside):
+                    if spans and round(spans[-1][1] / STEP) == round(a / STEP):
+                        spans[-1][1] = b  # goes on across the edge of a block
+                    else:
+                        spans.append([a, b])
+                rows.append(_digest(stored.as_py(), mel, [(round(a / STEP), round(b / STEP)) for a, b in spans]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *[pa.array([r.get(c) for r in rows], t) for c, t in DIGEST]], [*[c for c, _ in kept], *[c for c, _ in DIGEST]])
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in kept)
+    return docs.select(*[c for c, _ in kept], media, tensors).mapInArrow(digest, f"{kinds}, {DIGEST_KINDS}")
+
+
 def media_tensors(docs: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
     """One row per block of BLOCK frames: key, block, start_s, end_s, n_frames,
     active spans inside the block (seconds) and ``mel``, the values of a

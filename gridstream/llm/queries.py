@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridstream.llm import fm_index, html_lines, importance, langid, line_dedup, media, oracles, packing, sentence_spans, simhash, training_order
-from gridstream.llm.common import table
+from gridstream.llm.common import frozen, shared_dir, table
 
 
 def op1_html_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +19,11 @@ def op1_html_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wave files of every text, read back and described."""
+    """Wave files and feature tensors of every text, stored, read back and described."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text")
-    return media.media_digest(media.encode_media(docs).drop("text"))
+    stored = frozen(media.with_tensors(media.encode_media(docs).drop("text")), "tensors")
+    return media.stored_digest(stored)
 
 
 def held_out() -> F.Column:
@@ -51,10 +53,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slot, shard and place of every token sequence."""
+    """Slot, shard and place of every token sequence, read back from the shard files."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = training_order.sequences(docs, tokenizer_path())
-    return training_order.shards(training_order.with_slots(rows, key=20240607))
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    return training_order.shards(training_order.with_slots(rows, key=20240607), path=path)
 
 
 def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

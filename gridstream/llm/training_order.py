@@ -90,7 +90,7 @@ def shards(slotted: DataFrame, length: int = LENGTH, per_shard: int = SHARD, pat
     a file there, written under a name of its own and renamed when complete, so
     that a repeated task only writes the same file again. Returns per record:
     doc_id, piece, n_tokens, slot, shard, position and crc32 of the record as
-    read back from the shard's bytes.
+    read back from the shard's file, or without a ``path`` from its bytes.
     """
     ship(slotted.sparkSession)
     spark = slotted.sparkSession
@@ -101,7 +101,7 @@ def shards(slotted: DataFrame, length: int = LENGTH, per_shard: int = SHARD, pat
     kind = dict(slotted.dtypes)["doc_id"]
     filler = int(PAD).to_bytes(2, "little")
 
-    def finish(shard: int, rows: list[tuple], body: bytearray) -> pd.DataFrame:
+    def finish(shard: int, rows: list[tuple], body: bytes | bytearray) -> pd.DataFrame:
         if path is not None:
             from pyarrow import fs
 
@@ -112,6 +112,10 @@ def shards(slotted: DataFrame, length: int = LENGTH, per_shard: int = SHARD, pat
             with store.open_output_stream(own) as out:
                 out.write(bytes(body))
             store.move(own, name)
+            with store.open_input_file(name) as stored:
+                body = stored.read()
+            if len(body) != len(rows) * stride:
+                raise OSError(f"{name} holds {len(body)} bytes for {len(rows)} records")
         return pd.DataFrame(
             [(key, piece, n, slot, shard, k, zlib.crc32(body[k * stride : (k + 1) * stride])) for k, (key, piece, n, slot) in enumerate(rows)],
             columns=["doc_id", "piece", "n_tokens", "slot", "shard", "position", "crc32"],

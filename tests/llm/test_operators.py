@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gridstream.llm import components, fm_index, html_lines, importance, langid, line_dedup, media, packing, sentence_spans, simhash, tokens, training_order
+from gridstream.llm import common, components, fm_index, html_lines, importance, langid, line_dedup, media, packing, queries, sentence_spans, simhash, tokens, training_order
 from gridstream.llm.queries import tokenizer_path
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
@@ -123,6 +123,19 @@ def test_media_queries(spark):
     assert media.media_digest(media.encode_media(empty(spark))).count() == 0
 
 
+def test_the_media_query_stores_waves_and_tensors(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    got = queries.op2_media(spark, "/root/testdata/sf0.001")
+    (folder,) = tmp_path.glob("tensors-*")
+    stored = spark.read.parquet(f"file://{folder}")
+    assert stored.where("tensors IS NULL OR media IS NULL").count() == 0
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text")
+    want = media.media_digest(media.encode_media(docs).drop("text"))
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    none = spark.createDataFrame([(1, None), (2, media.to_wave(media.payload_of("tone " * 3000)))], "doc_id long, media binary")
+    assert sorted(map(str, media.stored_digest(media.with_tensors(none)).collect())) == sorted(map(str, media.media_digest(none).collect()))
+
+
 # --- tokens, packing, order ----------------------------------------------------
 
 
@@ -213,6 +226,15 @@ def test_shards_are_resumable(spark, tmp_path):
 # --- lines and sentences ---------------------------------------------------------
 
 
+def test_the_query_writes_its_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "shared_dir", lambda _: f"file://{tmp_path}")
+    out = queries.op3_training_order(spark, "/root/testdata/sf0.001").orderBy("slot").collect()
+    (folder,) = tmp_path.glob("shards-*")
+    records = list(training_order.read_from(f"file://{folder}", 0, len(out)))
+    assert len(records) == len(out) and [zlib.crc32(x.tobytes()) for x in records] == [r.crc32 for r in out]
+    assert all(r.slot == r.shard * training_order.SHARD + r.position for r in out)
+
+
 def brute_lines(rows, min_chars, min_docs):
     def key(line):
         return re.sub("[A-Z]", lambda m: m[0].lower(), line.strip("\x20\t\n\x0b\f\r"))
