@@ -39,11 +39,14 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     lines = docs.select(*row_key(doc_id, text), F.posexplode(lines_of(F.col(text))).alias("_pos", "_line"))
     keyed = lines.withColumn("_key", line_key(F.col("_line"))).where(F.char_length("_key") >= min_chars)
     hashed = keyed.select("_id", "_th", "_pos", F.xxhash64("_key").alias("_h"), F.xxhash64(F.lit(7), "_key").alias("_g"))
-    # a row per document and key, so that the count is of documents
+    # a row per row and key; rows are at least as many as documents, so this finds all candidates
     lists = docs.select(*row_key(doc_id, text), F.array_distinct(F.transform(F.filter(F.transform(lines_of(F.col(text)), line_key), lambda k: F.char_length(k) >= min_chars), lambda k: F.struct(F.xxhash64(k).alias("_h"), F.xxhash64(F.lit(7), k).alias("_g")))).alias("_keys"))
-    counted = lists.select("_id", F.inline("_keys")).groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_last"))
-    frequent = frozen(counted.where(F.col("_n") >= min_docs).drop("_n"), "frequent-lines")
-    hit = hashed.join(frequent, ["_h", "_g"]).where(~F.col("_id").eqNullSafe(F.col("_last")))
+    counted = lists.select("_id", F.inline("_keys")).groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n"))
+    candidates = frozen(counted.where(F.col("_n") >= min_docs).drop("_n"), "candidate-lines")
+    held = frozen(hashed.join(candidates, ["_h", "_g"]), "candidate-places")
+    by_docs = held.groupBy("_h", "_g").agg(F.count_distinct("_id").alias("_n"), F.max("_id").alias("_last"))
+    frequent = frozen(by_docs.where(F.col("_n") >= min_docs).drop("_n"), "frequent-lines")
+    hit = held.join(frequent, ["_h", "_g"]).where(~F.col("_id").eqNullSafe(F.col("_last")))
     return hit.groupBy("_id", "_th").agg(F.sort_array(F.collect_set("_pos")).alias("_drop"))
 
 
@@ -53,8 +56,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     A key of at least ``min_chars`` code points that occurs in at least
     ``min_docs`` documents loses its lines everywhere but in the document of
     the largest id that holds it, which keeps them all. A null id is smaller
-    than any other; every row counts as a document, so repeated rows of the
-    largest id all keep their lines. A null text is one empty line. Other
+    than any other and counts as no document, and rows of one id count as one;
+    repeated rows of the largest id all keep their lines. A null text is one empty line. Other
     columns pass; input columns named like results are replaced.
     """
     drops = dropped_positions(docs, min_chars, min_docs, doc_id, text)

@@ -264,6 +264,14 @@ def test_line_dedup(spark):
     assert [(r.n_dropped, len(r.kept)) for r in long] == [(30_000, 0), (30_000, 0), (0, len(one) + 4)]
 
 
+def test_line_dedup_counts_documents_not_rows(spark):
+    shared = "one and the same line of text"
+    rows = [(5, shared), (5, f"{shared}\nother"), (9, shared)]
+    assert {r.n_dropped for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()} == {0}
+    got = line_dedup.dedup_lines(docs_of(spark, [*rows, (2, shared)])).collect()
+    assert sorted((r.doc_id, r.n_dropped) for r in got) == [(2, 1), (5, 1), (5, 1), (9, 0)]
+
+
 def test_sentences_tile_the_text():
     for t in ["", "a", "One. Two!  Three?\n\nFour", "\n\n", " . . ", "No end"]:
         spans = sentence_spans.sentences_of(t)
