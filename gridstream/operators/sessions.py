@@ -34,8 +34,13 @@ def session_join(df: DataFrame, requests: DataFrame) -> DataFrame:
 
 def validate_requests(df: DataFrame) -> DataFrame:
     """Add ``reasons`` and ``verdict``: accepted, rejected (evidence is written), or
-    quarantine (no valid evidence is possible)."""
+    quarantine (no valid evidence is possible). A column ``metadata`` (array of
+    key and value, or a map) is checked where the requests have one."""
     length = F.col("ended_at") - F.col("started_at")
+    more = {}
+    if "metadata" in df.columns:
+        keys = F.map_keys("metadata") if dict(df.dtypes)["metadata"].startswith("map") else F.col("metadata.key")
+        more = {"metadata_count": F.coalesce(F.size(keys), F.lit(0)) > MAX_METADATA, "metadata_unsorted": F.coalesce(~sorted_unique(keys), F.lit(False))}
     bad_id = ~canonical_uuid(F.col("session_id"))
     bad_time = F.col("started_at").isNull() | F.col("ended_at").isNull() | F.col("requested_at").isNull()
     why = reasons(
@@ -43,7 +48,7 @@ def validate_requests(df: DataFrame) -> DataFrame:
         interval_too_long=length > F.expr(f"INTERVAL '{MAX_HOURS}' HOUR"),
         mrid_count=~F.coalesce(F.size("mrids"), F.lit(0)).between(1, MAX_MRIDS),
         mrids_unsorted=~sorted_unique(F.col("mrids")),
-        mrid_length=F.exists("mrids", lambda m: (F.octet_length(m) == 0) | (F.octet_length(m) > MAX_TEXT)),
+        mrid_length=F.exists("mrids", lambda m: (F.octet_length(m) == 0) | (F.octet_length(m) > MAX_TEXT)), **more,
     )
     hard = F.arrays_overlap("reasons", F.array(*map(F.lit, ("bad_session_id", "missing_time", "empty_interval"))))
     verdict = F.when(hard, "quarantine").when(F.size("reasons") > 0, "rejected").otherwise("accepted")

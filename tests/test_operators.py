@@ -9,6 +9,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from gridstream.operators import sessions as request_checks
 from gridstream.functions import columns as C
 from gridstream.operators import aggregate, alarms, catalogs, lfr, qualify, sessions
 from gridstream.schema import MEASUREMENTS
@@ -193,3 +194,12 @@ def test_artifact_schema(spark, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/a").drop("_session")
     assert sessions.schema_reasons(back, SESSION_VALUES) == []
     assert sessions.schema_reasons(back.drop("mrid"), SESSION_VALUES)[0] == "columns"
+
+
+def test_request_metadata_is_bounded_and_sorted(spark):
+    pairs = lambda keys: "array(" + ", ".join(f"named_struct('key', '{k}', 'value', 'v')" for k in keys) + ")"
+    base = "SELECT '6f9619ff-8b86-5011-b42d-00cf4fc964ff' AS session_id, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS started_at, TIMESTAMP_NTZ '2024-01-01 01:00:00' AS ended_at, TIMESTAMP_NTZ '2024-01-01 02:00:00' AS requested_at, array('a') AS mrids"
+    for keys, want in ((["a", "b"], []), (["b", "a"], ["metadata_unsorted"]), (["a", "a"], ["metadata_unsorted"]), ([f"k{i:02d}" for i in range(33)], ["metadata_count"])):
+        row = request_checks.validate_requests(spark.sql(f"{base}, {pairs(keys)} AS metadata")).first()
+        assert row.reasons == want and row.verdict == ("rejected" if want else "accepted")
+    assert request_checks.validate_requests(spark.sql(base)).first().verdict == "accepted"
