@@ -333,6 +333,71 @@ def test_last_sentence_of_a_passage_goes_too(spark):
     assert got[2] == f"{own('c', 9)} {own('d', 9)}"
 
 
+def brute_spans(rows, min_sentences, min_words):
+    """Sentences removed from texts whose sentences end at ". " and have at most ten words; own splitting, own runs."""
+    def runs(text):
+        own = [x.lower().split() for x in re.findall(r"[^.]+\.\s*", text)]
+        n, found = len(own), set()
+        size = lambda a, b: sum(map(len, own[a : b + 1]))
+        for i in range(n):
+            ahead = [j for j in range(i, n) if j - i + 1 >= min_sentences and size(i, j) >= min_words]
+            back = [j for j in range(i + 1) if i - j + 1 >= min_sentences and size(j, i) >= min_words]
+            found |= {(i, min(ahead))} if ahead else set()
+            found |= {(max(back), i)} if back else set()
+        return own, found or ({(0, n - 1)} if n else set())
+
+    first, texts = {}, {}
+    for place, (i, t) in enumerate(rows):
+        texts[place] = runs(t)
+        own, found = texts[place]
+        for a, b in found:
+            key = str(own[a : b + 1])
+            at = (i is not None, i or 0, a)
+            first[key] = min(first.get(key, at), at)
+    out = []
+    for place, (i, _) in enumerate(rows):
+        own, found = texts[place]
+        gone = {k for a, b in found if first[str(own[a : b + 1])] != (i is not None, i or 0, a) for k in range(a, b + 1)}
+        out.append((i, len(own), len(gone), ". ".join(" ".join(w).rstrip(".") for k, w in enumerate(own) if k not in gone)))
+    return out
+
+
+@pytest.mark.parametrize("held", [1 << 20, 9])
+def test_sentence_spans_against_own_splitting(spark, monkeypatch, held):
+    monkeypatch.setattr(sentence_spans, "HELD", held)
+    rng = random.Random(15)
+    pool = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(1, 5))).capitalize() + "." for _ in range(9)]
+    rows = [(k if k else None, " ".join(rng.choice(pool) for _ in range(rng.randrange(1, 12)))) for k in range(60)]
+    df = docs_of(spark, rows).repartition(3)
+    got = [(r.doc_id, r.n_sentences, r.n_removed, " ".join(r.kept.lower().split()).rstrip(".")) for r in sentence_spans.dedup_spans(df, 3, 6).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, brute_spans(rows, 3, 6)))
+
+
+def test_sentence_spans_of_odd_rows(spark):
+    short = "same short text."
+    rows = [("b", short, 1), ("a", short, 2), ("c", "Der Satz eins. Kurz.", 3), ("d", " der satz  eins. kurz.", 4), (None, short, 5), ("e", " \n ", 6), ("f", "", 7), ("g", None, 8), ("b", "another text", 9), ("b", short, 10)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, _n int").withColumn("kept", F.lit("old")).withColumn("extra", F.lit(1))
+    out = sentence_spans.dedup_spans(df)
+    assert out.columns == ["doc_id", "text", "extra", "kept", "n_sentences", "n_removed"]
+    got = sorted((repr(r.doc_id), r.text, r.kept, r.n_sentences, r.n_removed) for r in out.select("doc_id", "text", "kept", "n_sentences", "n_removed").collect() if r.text)
+    assert got == sorted([("None", short, short, 1, 0), ("'a'", short, "", 1, 1), ("'b'", short, "", 1, 1), ("'b'", short, "", 1, 1), ("'b'", "another text", "another text", 1, 0), ("'c'", rows[2][1], rows[2][1], 2, 0), ("'d'", rows[3][1], "", 2, 2), ("'e'", " \n ", " \n ", 1, 0)])
+    assert sorted(repr((r.kept, r.n_sentences)) for r in out.collect() if not r.text) == ["('', 0)", "(None, 0)"]
+
+
+def test_sentence_spans_of_a_long_text(spark):
+    rng = random.Random(16)
+    tale = " ".join(f"w{rng.randrange(10**6)}é" + ("." if k % 7 == 0 else "") for k in range(200_000))
+    got = {r.doc_id: r for r in sentence_spans.dedup_spans(docs_of(spark, [(1, tale), (2, f"Own start here. {tale}"), (3, "Clean.")])).collect()}
+    assert got[1].kept == tale and got[1].n_removed == 0 and len(got[2].kept) < 100 and got[3].kept == "Clean."
+
+
+def test_a_passage_in_very_many_documents(spark):
+    p = " ".join(f"{w} {v} {w}{v}." for w in WORDS for v in WORDS[:3])
+    rows = [(k, f"Own{k} a{k} b{k}. {p} End{k} c{k}.") for k in range(3000)]
+    out = sentence_spans.dedup_spans(docs_of(spark, rows).repartition(7), min_words=40)
+    assert {(r.doc_id == 0, r.kept) for r in out.where("doc_id % 500 = 0").collect()} == {(k == 0, rows[0][1] if k == 0 else f"Own{k} a{k} b{k}. End{k} c{k}.") for k in range(0, 3000, 500)}
+
+
 # --- importance ------------------------------------------------------------------
 
 
