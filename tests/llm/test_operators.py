@@ -226,6 +226,36 @@ def test_shards_are_resumable(spark, tmp_path):
 # --- lines and sentences ---------------------------------------------------------
 
 
+def test_sequences_hold_every_text(spark):
+    rng = random.Random(21)
+    rows = [(k if k % 5 else None, rng.choice([None, "", " ".join(rng.choice(WORDS) for _ in range(rng.choice([1, 9, 40, 400])))])) for k in range(80)] + [(7, "again"), (7, "again")]
+    df = docs_of(spark, rows).withColumn("ids", F.lit(1)).withColumn("slot", F.lit("x")).coalesce(1)
+    got = training_order.sequences(df, tokenizer_path(), length=16).collect()
+    e = tokens.encoder(tokenizer_path())
+    want, owner, inside = [], [], []
+    for i, t in rows:
+        own = [*np.frombuffer(e.encode(t or ""), "<u4").tolist(), training_order.END]
+        want += own
+        owner += [i] * len(own)
+        inside += range(len(own))
+    have = [np.frombuffer(r.ids, "<u2").tolist() for r in got]
+    assert sum(have, []) == want and {len(x) for x in have[:-1]} == {16}
+    for k, r in enumerate(got):
+        part = [(o, j) for o, j in zip(owner[16 * k : 16 * k + 16], inside[16 * k : 16 * k + 16], strict=True)]
+        assert r.doc_ids == [o for n, (o, j) in enumerate(part) if n == 0 or j == 0] and r.start == part[0][1] and r.n_tokens == len(part)
+    assert training_order.sequences(empty(spark), tokenizer_path()).count() == 0
+    slotted = training_order.with_slots(training_order.sequences(df, tokenizer_path(), length=16), 3)
+    assert sorted(r.slot for r in slotted.collect()) == list(range(len(got)))
+
+
+def test_a_short_record_is_told_from_text(spark, tmp_path):
+    path = f"file://{tmp_path}/shards"
+    slotted = training_order.with_slots(training_order.sequences(docs_of(spark, [(1, "one two three")]), tokenizer_path(), length=16), 1)
+    (row,) = training_order.shards(slotted, 16, 10, path).collect()
+    (record,) = training_order.read_from(path, 0, 5, 16, 10)
+    assert (record != training_order.PAD).sum() == row.n_tokens and record[row.n_tokens - 1] == training_order.END
+
+
 def test_the_query_writes_its_shards(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries, "shared_dir", lambda _: f"file://{tmp_path}")
     out = queries.op3_training_order(spark, "/root/testdata/sf0.001").orderBy("slot").collect()
