@@ -29,8 +29,10 @@ FRAME, HOP = 128, 64
 MELS = 16
 BLOCK = 32  # frames in a tensor
 UNIT = 192
+CHUNK = 1 << 16  # filter steps at once
 STEP = HOP * DOWN / (RATE * UP)  # seconds a frame
 
+STORED = BLOCK * MELS * 2  # bytes of a stored tensor: half-precision values in row order
 TENSOR = pa.fixed_shape_tensor(pa.float32(), (BLOCK, MELS))
 
 
@@ -87,12 +89,19 @@ HANN = np.hanning(FRAME + 1)[:-1].astype(np.float32)
 
 
 def resample(samples: np.ndarray) -> np.ndarray:
-    """UP/DOWN times as many samples; the input length is a multiple of DOWN."""
-    width = FILTERS.shape[0]
-    padded = np.zeros(len(samples) + width, np.float32)
-    padded[TAPS // 2 : TAPS // 2 + len(samples)] = samples
-    windows = np.lib.stride_tricks.as_strided(padded, (len(samples) // DOWN, width), (4 * DOWN, 4))
-    return (windows @ FILTERS).reshape(-1)
+    """UP/DOWN times as many samples; the input length is a multiple of DOWN.
+    Unsigned 8-bit samples are taken as -1 to 1. Works in steps of bounded memory."""
+    width, n = FILTERS.shape[0], len(samples) // DOWN
+    out = np.empty((n, UP), np.float32)
+    for a in range(0, n, CHUNK):
+        k = min(CHUNK, n - a)
+        begin = a * DOWN - TAPS // 2
+        part = samples[max(0, begin) : begin + k * DOWN + width]
+        padded = np.zeros(k * DOWN + width, np.float32)
+        padded[max(0, -begin) : max(0, -begin) + len(part)] = (part.astype(np.float32) - 128) / 128 if part.dtype == np.uint8 else part
+        windows = np.lib.stride_tricks.as_strided(padded, (k, width), (4 * DOWN, 4))
+        out[a : a + k] = windows @ FILTERS
+    return out.reshape(-1)
 
 
 def log_mel(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,10 +132,9 @@ def segments(power: np.ndarray, above: float = 0.5, below: float = 0.25) -> list
 
 
 def features(payload: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Log-mel frames, their energy and the active spans of one payload."""
-    samples = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
-    mel, power = log_mel(resample(samples))
-    return mel, power, segments(power)
+    """Log-mel frames (in half precision, as they are stored), their energy and the active spans of one payload."""
+    mel, power = log_mel(resample(np.frombuffer(payload, np.uint8)))
+    return mel.astype(np.float16), power, segments(power)
 
 
 def encode_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
@@ -160,7 +168,8 @@ def _digest(stored: bytes, mel: np.ndarray, spans: list[tuple[int, int]]) -> dic
 
 def media_digest(docs: DataFrame, media: str = "media") -> DataFrame:
     """Add digests of the stored file, of the payload read back from it, and of
-    its features. A null file gives nulls."""
+    its features. A null file gives nulls; every row stays, equal files give
+    equal values, and input columns named like results are replaced."""
     ship(docs.sparkSession)
 
     @F.pandas_udf(DIGEST_KINDS)
@@ -176,7 +185,8 @@ def media_digest(docs: DataFrame, media: str = "media") -> DataFrame:
                 rows.append(tuple(_digest(stored, mel, spans).values()))
             yield pd.DataFrame(rows, columns=names)
 
-    return docs.withColumn("_d", digest(F.col(media))).select(*[c for c in docs.columns if c != media], "_d.*")
+    rest = [c for c in docs.columns if c != media and c not in dict(DIGEST)]
+    return docs.select(*rest, digest(F.col(media)).alias("_d")).select(*rest, "_d.*")
 
 
 def _blocks(stored: bytes) -> tuple[np.ndarray, list[int], list[list[list[float]]]]:
@@ -184,7 +194,7 @@ def _blocks(stored: bytes) -> tuple[np.ndarray, list[int], list[list[list[float]
     zeros; frames of each block and the active spans in it (seconds)."""
     mel, _, spans = features(from_wave(stored))
     n = -(-len(mel) // BLOCK)
-    full = np.zeros((n * BLOCK, MELS), np.float32)
+    full = np.zeros((n * BLOCK, MELS), np.float16)
     full[: len(mel)] = mel
     sizes = [min(BLOCK, len(mel) - i * BLOCK) for i in range(n)]
     inside: list[list[list[float]]] = [[] for _ in range(n)]
@@ -196,8 +206,10 @@ def _blocks(stored: bytes) -> tuple[np.ndarray, list[int], list[list[list[float]
 
 def with_tensors(docs: DataFrame, media: str = "media", tensors: str = "tensors") -> DataFrame:
     """Add the tensors of each file as one array: per block start_s, end_s,
-    n_frames, active and ``mel`` as in ``media_tensors``. A null file has none."""
+    n_frames, active and ``mel`` as in ``media_tensors``. A null file has none;
+    an input column named like the result is replaced."""
     ship(docs.sparkSession)
+    docs = docs.drop(tensors)
     k = docs.columns.index(media)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,8 +226,7 @@ def with_tensors(docs: DataFrame, media: str = "media", tensors: str = "tensors"
                         sizes += frames
                         active += inside
                     offsets.append(len(sizes))
-                flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.float32))
-                mel = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BLOCK * MELS), flat)
+                mel = _halves(np.concatenate(values) if values else np.zeros(0, np.float16))
                 block = pa.StructArray.from_arrays(
                     [pa.array(starts, pa.float64()), pa.array(ends, pa.float64()), pa.array(sizes, pa.int64()), pa.array(active, pa.list_(pa.list_(pa.float64()))), mel],
                     ["start_s", "end_s", "n_frames", "active", "mel"],
@@ -224,14 +235,15 @@ def with_tensors(docs: DataFrame, media: str = "media", tensors: str = "tensors"
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), block, mask=mask)], [*batch.schema.names, tensors])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(add, f"{kinds}, `{tensors}` array<struct<start_s: double, end_s: double, n_frames: long, active: array<array<double>>, mel: array<float>>>")
+    return docs.mapInArrow(add, f"{kinds}, `{tensors}` array<struct<start_s: double, end_s: double, n_frames: long, active: array<array<double>>, mel: binary>>")
 
 
 def stored_digest(docs: DataFrame, media: str = "media", tensors: str = "tensors") -> DataFrame:
     """The columns of ``media_digest``, its features taken from stored tensors
-    instead of being computed again; both columns are left out."""
+    instead of being computed again; both columns are left out, and input columns
+    named like results."""
     ship(docs.sparkSession)
-    kept = [(c, t) for c, t in docs.dtypes if c not in (media, tensors)]
+    kept = [(c, t) for c, t in docs.dtypes if c not in (media, tensors) and c not in dict(DIGEST)]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +255,7 @@ def stored_digest(docs: DataFrame, media: str = "media", tensors: str = "tensors
                     continue
                 block = blocks.values
                 n = int(np.sum(block.field("n_frames").to_numpy()))
-                mel = block.field("mel").flatten().to_numpy().reshape(-1, MELS)[:n]
+                mel = np.frombuffer(b"".join(block.field("mel").to_pylist()), np.float16).reshape(-1, MELS)[:n]
                 spans: list[list[float]] = []
                 for a, b in (x for inside in block.field("active").to_pylist() for x in inside):
                     if spans and round(spans[-1][1] / STEP) == round(a / STEP):
@@ -257,42 +269,24 @@ def stored_digest(docs: DataFrame, media: str = "media", tensors: str = "tensors
     return docs.select(*[c for c, _ in kept], media, tensors).mapInArrow(digest, f"{kinds}, {DIGEST_KINDS}")
 
 
+def _halves(values: np.ndarray) -> pa.Array:
+    """Half-precision values as a binary column of whole tensors."""
+    n = values.size * 2 // STORED
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * STORED).astype(np.int32)), pa.py_buffer(values.tobytes())])
+
+
 def media_tensors(docs: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
     """One row per block of BLOCK frames: key, block, start_s, end_s, n_frames,
-    active spans inside the block (seconds) and ``mel``, the values of a
-    (BLOCK, MELS) tensor in row order, the last block filled with zeros.
-    ``tensor_column`` gives the Arrow tensor of such a column. Null files give
-    no row."""
-    ship(docs.sparkSession)
+    active spans inside the block (seconds) and ``mel``, the half-precision
+    values of a (BLOCK, MELS) tensor in row order, the last block filled with
+    zeros. ``tensor_column`` gives the Arrow tensor of such a column. Null files
+    give no row, repeated rows their blocks each; other columns are left out."""
     kind = dict(docs.dtypes)[key]
-    step = HOP * DOWN / (RATE * UP)
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, stored in zip(batch.column(0), batch.column(1), strict=True):
-                if not stored.is_valid:
-                    continue
-                mel, _, spans = features(from_wave(stored.as_py()))
-                n = -(-len(mel) // BLOCK)
-                full = np.zeros((n * BLOCK, MELS), np.float32)
-                full[: len(mel)] = mel
-                tensor = pa.FixedShapeTensorArray.from_numpy_ndarray(full.reshape(n, BLOCK, MELS))
-                sizes = [min(BLOCK, len(mel) - i * BLOCK) for i in range(n)]
-                inside = [[[max(a, i * BLOCK) * step, min(b, (i + 1) * BLOCK) * step] for a, b in spans if a < (i + 1) * BLOCK and b > i * BLOCK] for i in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([k.as_py()] * n, batch.column(0).type), pa.array(range(n), pa.int64()),
-                        pa.array([i * BLOCK * step for i in range(n)]), pa.array([(i * BLOCK + s) * step for i, s in enumerate(sizes)]),
-                        pa.array(sizes, pa.int64()), pa.array(inside, pa.list_(pa.list_(pa.float64()))),
-                        tensor.storage.cast(pa.list_(pa.float32())),
-                    ],
-                    ["key", "block", "start_s", "end_s", "n_frames", "active", "mel"],
-                )
-
-    return docs.select(key, media).mapInArrow(blocks, f"key {kind}, block long, start_s double, end_s double, n_frames long, active array<array<double>>, mel array<float>")
+    stored = with_tensors(docs.select(F.col(key).cast(kind).alias("key"), F.col(media).alias("_media")), "_media", "_tensors")
+    return stored.select("key", F.posexplode("_tensors").alias("block", "_t")).select("key", F.col("block").cast("long").alias("block"), "_t.*")
 
 
 def tensor_column(mel: pa.Array | pa.ChunkedArray) -> pa.Array:
     """A collected ``mel`` column as an Arrow array of the fixed-shape tensor type."""
-    flat = mel.combine_chunks() if isinstance(mel, pa.ChunkedArray) else mel
-    return pa.ExtensionArray.from_storage(TENSOR, flat.cast(pa.list_(pa.float32(), BLOCK * MELS)))
+    values = np.frombuffer(b"".join(mel.to_pylist()), np.float16).astype(np.float32)
+    return pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(values), BLOCK * MELS))

@@ -136,6 +136,48 @@ def test_the_media_query_stores_waves_and_tensors(spark, tmp_path, monkeypatch):
     assert sorted(map(str, media.stored_digest(media.with_tensors(none)).collect())) == sorted(map(str, media.media_digest(none).collect()))
 
 
+def test_media_with_clashing_columns(spark):
+    df = docs_of(spark, [(1, "tone " * 300), (1, "tone " * 300), (2, None)]).withColumn("feature", F.lit(1)).withColumn("tensors", F.lit("x")).withColumn("media", F.lit(0))
+    waves = media.encode_media(df).drop("text")
+    one, two = media.media_digest(waves.drop("tensors")), media.stored_digest(media.with_tensors(waves))
+    assert one.columns == two.columns and one.columns.count("feature") == 1 and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
+def test_log_mel_against_plain_sums():
+    rng = np.random.default_rng(22)
+    x = rng.standard_normal(64 * 5).astype(np.float32)
+    mel, power = media.log_mel(x)
+    rate = media.RATE * media.UP / media.DOWN
+    to_mel, to_hertz = (lambda f: 2595 * np.log10(1 + f / 700)), (lambda m: 700 * (10 ** (m / 2595) - 1))
+    edges = [to_hertz(to_mel(40) + k * (to_mel(rate / 2) - to_mel(40)) / 17) for k in range(18)]
+    padded = [*x.tolist(), *[0.0] * 64]
+    for t in range(5):
+        own = padded[64 * t : 64 * t + 128]
+        frame = [v * 0.5 * (1 - np.cos(2 * np.pi * k / 128)) for k, v in enumerate(own)]
+        for m in range(16):
+            total = 0.0
+            for f in range(65):
+                hertz = f * rate / 128
+                weight = max(0.0, min((hertz - edges[m]) / (edges[m + 1] - edges[m]), (edges[m + 2] - hertz) / (edges[m + 2] - edges[m + 1])))
+                if weight:
+                    total += weight * abs(sum(v * np.exp(-2j * np.pi * f * k / 128) for k, v in enumerate(frame))) ** 2
+            assert abs(mel[t, m] - np.log(total + 1e-6)) < 2e-2
+        assert abs(power[t] - 10 * np.log10(np.mean(np.square(frame)) + 1e-9)) < 1e-2
+
+
+def test_resampling_of_a_tone_and_in_chunks(monkeypatch):
+    t = np.arange(9000)
+    got = media.resample(np.sin(2 * np.pi * 500 * t / 8000).astype(np.float32))
+    want = np.sin(2 * np.pi * 500 * (np.arange(6000) * 1.5) / 8000)
+    lag = min(range(-6, 7), key=lambda s: np.abs(np.roll(got, s)[50:-50] - want[50:-50]).max())
+    near = min(np.abs(np.roll(got, lag)[50:-50] - np.sin(2 * np.pi * 500 * (np.arange(6000) * 1.5 + d) / 8000)[50:-50]).max() for d in np.linspace(-1.5, 1.5, 61))
+    assert near < 0.03
+    raw = np.random.default_rng(1).integers(0, 256, 192 * 40).astype(np.uint8)
+    whole = media.resample((raw.astype(np.float32) - 128) / 128)
+    monkeypatch.setattr(media, "CHUNK", 64)
+    assert np.abs(media.resample(raw) - whole).max() < 1e-5
+
+
 # --- tokens, packing, order ----------------------------------------------------
 
 
