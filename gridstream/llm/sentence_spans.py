@@ -146,7 +146,7 @@ def cut_texts(texts: list[str]) -> Cut:
 
 
 class Runs(NamedTuple):
-    """Runs of sentences: text, first sentence (in the text), number of sentences, bytes from, number of bytes, 128 hash bits."""
+    """Runs of sentences: text, first sentence (in the text), number of sentences, bytes from, number of bytes, 128 hash bits (of which 96 are compared)."""
 
     doc: np.ndarray
     first: np.ndarray
@@ -225,36 +225,45 @@ def split_repeats(ids: pa.Array, th: np.ndarray, first: np.ndarray, h: np.ndarra
     return firsts[np.argsort(h[firsts])], own[differs & ~again]
 
 
-LISTS = (("_ids", None), ("_ths", "long"), ("_first", "int"), ("_count", "short"), ("_start", "int"), ("_size", "int"), ("_h", "long"), ("_g", "long"))
-KINDS = {"long": np.int64, "int": np.int32, "short": np.int16}
+# What is sent of a place besides the id; hashes only of places that may be the first.
+PLACE = {"th": "<i8", "first": "<i4", "count": "<i4", "start": "<i4", "size": "<i4"}
+HASHED = PLACE | {"h": "<u8", "g": "<u4"}
+
+
+def packed(columns: list[np.ndarray], kinds: dict[str, str]) -> bytes:
+    """Numbers of several columns, byte by byte: high bytes are alike, and shuffles compress them away."""
+    return b"".join(np.ascontiguousarray(c.astype(k)).view(np.uint8).reshape(len(c), -1).T.tobytes() for c, k in zip(columns, kinds.values(), strict=True))
+
+
+def unpacked(raw: bytes, rows: int, kinds: dict[str, str]) -> list[np.ndarray]:
+    """The columns again."""
+    out, at = [], 0
+    for k in kinds.values():
+        size = np.dtype(k).itemsize
+        out.append(np.frombuffer(raw, np.uint8, rows * size, at).reshape(size, rows).T.copy().view(k).reshape(-1))
+        at += rows * size
+    return out
 
 
 def _dealt(ids: pa.Array, ths: np.ndarray, runs: list[Runs], sentences: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A row per bucket with the first places of its hashes, and one (bucket of its
-    own choice, no hashes) with the later places and each text's number of
-    sentences (as ``_count`` of a place -1)."""
+    """A row per bucket with the first places of its hashes, and one (in a bucket
+    of its own choice) with the later places and each text's number of sentences
+    (as ``start`` of a place -1)."""
     doc, first, count, start, size, h, g = (np.concatenate([r[k] for r in runs]) for k in range(7))
     th = ths[doc]
     held = ids.take(pa.array(doc))
-    keep, later = split_repeats(held, th, first, h, g)
-    bucket = ((h[keep] >> _u(33)) * _u(buckets) >> _u(31)).astype(np.int64)  # rises with the hash
-    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))[: len(keep)]
-    docs = np.arange(len(ths))
-    some = int(ths[0] % buckets)
-    offsets = np.concatenate([edges, [len(keep), len(keep) + len(later) + len(docs)]]).astype(np.int32)
-    zero = np.zeros(len(docs), np.int64)
-    columns = [
-        np.concatenate([th[keep], th[later], ths]),
-        np.concatenate([first[keep], first[later], zero - 1]),
-        np.minimum(np.concatenate([count[keep], count[later], zero]), 32767),
-        np.concatenate([start[keep], start[later], sentences]),
-        np.concatenate([size[keep], size[later], zero]),
-    ]
-    lists = [pa.ListArray.from_arrays(offsets, pa.concat_arrays([held.take(pa.array(np.concatenate([keep, later]))), ids]))]
-    lists += [pa.ListArray.from_arrays(offsets, pa.array(x.astype(KINDS[k]))) for x, (_, k) in zip(columns, LISTS[1:6], strict=True)]
-    hashed = np.minimum(offsets, len(keep)).astype(np.int32)
-    lists += [pa.ListArray.from_arrays(hashed, pa.array(x[keep].view(np.int64))) for x in (h, g)]
-    return pa.RecordBatch.from_arrays([pa.array(np.append(bucket[edges], some).astype(np.int32)), *lists], ["_bucket", *[c for c, _ in LISTS]])
+    keep, later = split_repeats(held, th, first, h, g & _u(0xFFFFFFFF))
+    bucket = ((h >> _u(33)) * _u(buckets) >> _u(31)).astype(np.int64)
+    keep = keep[np.argsort(bucket[keep] * len(ths) + doc[keep])]
+    edges = np.flatnonzero(np.append(True, np.diff(bucket[keep]) != 0))[: len(keep)].tolist()
+    place = [th, first, count, start, size, h, g & _u(0xFFFFFFFF)]
+    rows = [packed([c[keep[a:b]] for c in place], HASHED) for a, b in zip(edges, [*edges[1:], len(keep)], strict=True)]
+    none = np.zeros(len(ths), np.int64)
+    rows.append(packed([np.concatenate([c[later], d]) for c, d in zip(place[:5], (ths, none - 1, none, sentences, none), strict=True)], PLACE))
+    offsets = np.array([*edges, len(keep), len(keep) + len(later) + len(ths)], np.int32)
+    lists = pa.ListArray.from_arrays(offsets, pa.concat_arrays([held.take(pa.array(np.concatenate([keep, later]))), ids]))
+    buckets_of = [*bucket[keep[edges]].tolist(), int(ths[0] % buckets)]
+    return pa.RecordBatch.from_arrays([pa.array(buckets_of, pa.int32()), pa.array([True] * len(edges) + [False]), lists, pa.array(rows, pa.binary())], ["_bucket", "_hashed", "_ids", "_places"])
 
 
 def run_places(docs: DataFrame, min_sentences: int, min_words: int, buckets: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -286,21 +295,25 @@ def run_places(docs: DataFrame, min_sentences: int, min_words: int, buckets: int
             yield _dealt(pa.concat_arrays(ids), np.concatenate(ths), runs, np.concatenate(sentences), buckets)
         give_back()
 
-    lists = ", ".join(f"{c} array<{t or kind}>" for c, t in LISTS)
-    return docs.select(*row_key(doc_id, text), F.col(text).alias("_text")).mapInArrow(hashed, f"_bucket int, {lists}")
+    return docs.select(*row_key(doc_id, text), F.col(text).alias("_text")).mapInArrow(hashed, f"_bucket int, _hashed boolean, _ids array<{kind}>, _places binary")
 
 
 def later_places(dealt: DataFrame, doc_kind: str) -> DataFrame:
     """Places of runs that occurred before, and each text's number of sentences, from rows sorted by bucket."""
 
     def resolve(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = [pa.concat_arrays([r.column(k + 1).flatten() for r in rows]) for k in range(len(LISTS))]
-        hashed = np.concatenate([np.repeat(r.column(7).value_lengths().to_numpy() > 0, r.column(1).value_lengths().to_numpy()) for r in rows])
-        of = np.flatnonzero(hashed)
-        th, first, h, g = flat[1].to_numpy()[of], flat[2].to_numpy()[of], flat[6].to_numpy().view(_u), flat[7].to_numpy().view(_u)
-        _, later = split_repeats(flat[0].take(pa.array(of)), th, first, h, g)
-        at = pa.array(np.concatenate([np.flatnonzero(~hashed), of[later]]))
-        yield pa.RecordBatch.from_arrays([x.take(at) for x in flat[:6]], ["_id", "_th", "_first", "_count", "_start", "_size"])
+        table = pa.Table.from_batches(rows).combine_chunks()
+        for hashed in (True, False):
+            own = table.filter(pc.equal(table.column(1), hashed)).combine_chunks()
+            if not len(own):
+                continue
+            sizes, kinds = pc.list_value_length(own.column(2)).to_pylist(), HASHED if hashed else PLACE
+            ids = own.column(2).combine_chunks().flatten()
+            place = [np.concatenate(c) for c in zip(*[unpacked(x, n, kinds) for x, n in zip(own.column(3).to_pylist(), sizes, strict=True)], strict=True)]
+            if hashed:
+                later = split_repeats(ids, place[0], place[1], place[5], place[6])[1]
+                ids, place = ids.take(pa.array(later)), [c[later] for c in place[:5]]
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, place)], ["_id", "_th", "_first", "_count", "_start", "_size"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -317,7 +330,7 @@ def later_places(dealt: DataFrame, doc_kind: str) -> DataFrame:
             yield from resolve(held)
         give_back()
 
-    return dealt.mapInArrow(found, f"_id {doc_kind}, _th long, _first int, _count short, _start int, _size int")
+    return dealt.mapInArrow(found, f"_id {doc_kind}, _th long, _first int, _count int, _start int, _size int")
 
 
 def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
