@@ -33,40 +33,56 @@ BLOCK = {
     "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "search", "section", "summary", "table", "tbody",
     "td", "tfoot", "th", "thead", "tr", "ul",
 }
+HOLDERS = {"article", "main", "body"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-# Words in class, id or role that name parts around the article.
+# Words in class, id or role that name parts around the article,
+# and words that only say what kind of box it is ("ad-box", "site-header").
 NAMES = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "banner", "breadcrumb", "breadcrumbs", "byline",
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "alert", "banner", "breadcrumb", "breadcrumbs", "byline",
     "comment", "comments", "commentlist", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr",
-    "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "alert", "overlay",
-    "pagination", "pager", "popup", "promo", "promoted", "promotion", "reader-comments", "recommended", "related", "replies", "respond",
-    "search", "share", "sharing", "sidebar", "signup", "site-footer", "site-header", "skip", "social", "sponsor", "sponsored",
+    "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "overlay",
+    "pagination", "pager", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies", "respond",
+    "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored",
     "subscribe", "tags", "teaser", "toolbar", "topbar", "widget", "widgets",
 }
+BOXES = {
+    "area", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "card", "cards", "col", "container", "content", "form",
+    "global", "group", "holder", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "page", "panel",
+    "post", "posts", "primary", "reader", "right", "row", "section", "secondary", "site", "slot", "stories", "thread", "title", "top", "unit", "user", "wrap", "wrapper",
+}
 
+# No unquoted part of a tag goes beyond the next "<", so that broken tags are not read twice.
+_inside = r"(?:[^<>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+"
 _raw = "|".join(RAW)
 _token = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_raw})\b(?P<rattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?<!/)>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_raw})\b{_inside}(?<!/)>.*?(?:</(?P=raw)\b[^<>]*>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<attrs>{_inside})>|<[!?][^<>]*>",
     re.S | re.I,
 )
-_attr = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_hidden = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_pieces = re.compile(r"[\s_]+")
-
-
-def _named(attrs: str, inside: bool) -> bool:
-    """Whether class, id or role names such a part; an article has its own header."""
-    for _, value in _attr.findall(attrs):
-        for word in _pieces.split(value.strip("\"' ").lower()):
-            parts = word.split("-")
-            if parts[0] in ("has", "with", "no", "is"):
-                continue  # says something about a wrapper of the article
-            if any(part in NAMES and not (inside and part == "header") for part in (word, *parts)):
+_attribute = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_part = re.compile(r"[-_]+")
+
+
+def _attributes(raw: str) -> dict[str, str]:
+    return {name.lower(): value.strip("\"' ").lower() for name, value in reversed(_attribute.findall(raw))} if raw else {}
+
+
+def _named(attributes: dict[str, str], inside: bool) -> bool:
+    """Whether a whole word of class, id or role names such a part, alone or with
+    words for boxes and other such parts; an article has its own header."""
+    for name in ("class", "id", "role"):
+        for word in attributes.get(name, "").split():
+            parts = [word] if word in NAMES else _part.split(word)
+            found = [p for p in parts if p in NAMES and not (inside and p == "header")]
+            if found and all(p in NAMES or p in BOXES or p.isdigit() for p in parts):
                 return True
     return False
 
 
+def _hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")) is not None
+
+
 def page_lines(page: str) -> tuple[list[tuple[str, int, int, bool]], bool]:
     """(text, its length, length inside links, inside an article) per line, and
     whether the page names its article. A line is a block's text; a skipped part
@@ -75,6 +91,8 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, int, bool]], bool]:
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # name, skipped, article
+    places: dict[str, list[int]] = {}  # of each name in the stack
+    holders: list[int] = []  # places of what no stray end tag leaves
     skipped = article = anchor = 0
     named = False
 
@@ -89,6 +107,9 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, int, bool]], bool]:
         nonlocal skipped, article, anchor
         while len(stack) > upto:
             name, was_skipped, was_article = stack.pop()
+            places[name].pop()
+            if name in HOLDERS:
+                holders.pop()
             skipped -= was_skipped
             article -= was_article
             anchor -= name == "a"
@@ -110,24 +131,23 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, int, bool]], bool]:
         elif tag == "br":
             parts.append(" ")
         if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if stack[k][0] in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
-                    break  # a stray end tag closes nothing outside its container
+            if (own := places.get(tag)) and (tag in HOLDERS or tag == "html" or not holders or own[-1] >= holders[-1]):
+                pop(own[-1])
         elif tag not in VOID and not m["attrs"].endswith("/"):
             if tag in ("p", "li", "tr", "td", "th", "option", "dt", "dd") and stack and stack[-1][0] == tag:
                 pop(len(stack) - 1)
-            attrs = m["attrs"]
-            main = tag in ("article", "main") or (bool(attrs) and re.search(r"""role\s*=\s*["']?(main|article)\b""", attrs, re.I) is not None)
-            named_so = bool(attrs) and tag not in ("body", "html", "main") and (_named(attrs, article > 0 or main) or _hidden.search(attrs) is not None)
+            attributes = _attributes(m["attrs"])
+            main = tag in ("article", "main") or not {"main", "article"}.isdisjoint(attributes.get("role", "").split())
+            named_so = bool(attributes) and tag not in ("body", "html", "main") and (_named(attributes, article > 0 or main) or _hidden(attributes))
             skip = tag in BOILER or (tag == "header" and not article) or named_so
             main = main and not skipped and not skip
             if skip and not skipped:
                 close_line()
                 lines.append(("", 0, 0, False))
             named = named or main
+            places.setdefault(tag, []).append(len(stack))
+            if tag in HOLDERS:
+                holders.append(len(stack))
             stack.append((tag, skip, main))
             skipped += skip
             article += main
