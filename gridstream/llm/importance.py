@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridstream.llm.common import ship, with_global_rank
+from gridstream.llm.common import frozen, ship, with_global_rank
 
 BUCKETS = 1 << 16
 TARGET_ROWS = 20_000  # labelled rows that the target model is fitted on, at most
@@ -58,8 +58,9 @@ def weigh(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: st
     """doc_id, n_grams, log_ratio and gumbel_key of each row.
 
     The key is the log ratio plus Gumbel noise that a hash of id, text and seed
-    determines, so that a lost task draws it again alike. Null and empty texts
-    have ratio 0. Other columns are left out.
+    determines, so that a lost task draws it again alike. Null texts and texts
+    without words have no n-grams, ratio 0, and the least of all keys. Repeated
+    rows get equal keys; other columns are left out, whatever their names.
     """
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(weights)  # a number per bucket
@@ -73,14 +74,17 @@ def weigh(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: st
 
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), F.xxhash64(text)), 11) + 0.5) / float(1 << 53)
     scored = docs.select(F.col(doc_id).alias("doc_id"), uniform.alias("_u"), score(F.col(text)).alias("_s"))
-    return scored.select("doc_id", "_s.n_grams", "_s.log_ratio", (F.col("_s.log_ratio") - F.log(-F.log("_u"))).alias("gumbel_key"))
+    key = F.when(F.col("_s.n_grams") > 0, F.col("_s.log_ratio") - F.log(-F.log("_u"))).otherwise(float("-inf"))
+    return scored.select("doc_id", "_s.n_grams", "_s.log_ratio", key.alias("gumbel_key"))
 
 
 def resample(weighed: DataFrame, keep: int) -> DataFrame:
     """The ``keep`` rows of the largest keys (Gumbel top-k: a sample without
-    replacement in proportion to the ratios), with their rank. Equal keys are
-    ordered by id; the order is found by a range sort, not in one task."""
-    ranked = with_global_rank(weighed, [F.desc("gumbel_key"), F.asc("doc_id"), F.asc("n_grams")], "weights")
+    replacement in proportion to the ratios), with their rank. Rows without
+    n-grams are never drawn, so fewer may be kept. Equal keys are ordered by id;
+    the order is found by a range sort, not in one task."""
+    drawn = frozen(weighed, "keys").where(F.col("n_grams") > 0)  # stored, since a range sort reads its rows twice
+    ranked = with_global_rank(drawn, [F.desc("gumbel_key"), F.asc("doc_id"), F.asc("n_grams")], "weights")
     return ranked.where(F.col("rank") < keep)
 
 
