@@ -32,16 +32,15 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     """Positions (from 0) of the lines to drop: ``_id``, ``_th`` of ``row_key``
     and the sorted array ``_drop``; rows that keep all have none.
 
-    Keys are told apart by 128 hash bits. The count per key is aggregated before
-    the shuffle. The frequent keys are stored, so that the join back deals both
+    Keys are told apart by 128 hash bits and stored once. The count per key is
+    aggregated before the shuffle. The frequent keys are stored, so that the join back deals both
     sides out anew and Spark can split the partitions of very common lines.
     """
-    lines = docs.select(*row_key(doc_id, text), F.posexplode(lines_of(F.col(text))).alias("_pos", "_line"))
-    keyed = lines.withColumn("_key", line_key(F.col("_line"))).where(F.char_length("_key") >= min_chars)
-    hashed = keyed.select("_id", "_th", "_pos", F.xxhash64("_key").alias("_h"), F.xxhash64(F.lit(7), "_key").alias("_g"))
-    # a row per row and key; rows are at least as many as documents, so this finds all candidates
-    lists = docs.select(*row_key(doc_id, text), F.array_distinct(F.transform(F.filter(F.transform(lines_of(F.col(text)), line_key), lambda k: F.char_length(k) >= min_chars), lambda k: F.struct(F.xxhash64(k).alias("_h"), F.xxhash64(F.lit(7), k).alias("_g")))).alias("_keys"))
-    counted = lists.select("_id", F.inline("_keys")).groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n"))
+    # an exploded column is computed once, however often it is read
+    keys = docs.select(*row_key(doc_id, text), F.posexplode(F.transform(lines_of(F.col(text)), line_key)).alias("_pos", "_key")).where(F.char_length("_key") >= min_chars)
+    hashed = frozen(keys.select("_id", "_th", "_pos", F.xxhash64("_key").alias("_h"), F.xxhash64(F.lit(7), "_key").alias("_g")), "line-keys")
+    # lines are at least as many as documents, so this finds all candidates
+    counted = hashed.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n"))
     candidates = frozen(counted.where(F.col("_n") >= min_docs).drop("_n"), "candidate-lines")
     held = frozen(hashed.join(candidates, ["_h", "_g"]), "candidate-places")
     by_docs = held.groupBy("_h", "_g").agg(F.count_distinct("_id").alias("_n"), F.max("_id").alias("_last"))
