@@ -7,11 +7,11 @@ over the languages; a document's distribution is the mean over its positions.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +20,9 @@ from gridstream.llm.common import give_back, ship
 WIDTH = 64  # bytes in a window; documents are cut into such windows
 HIDDEN = 8
 SAMPLE = 6000  # windows of each language to learn from, at most
-LANGUAGES = 64
 BATCH = 2048  # windows at once: their states fit a core's cache
 UNKNOWN = "und"
-_letter = re.compile(r"[^\W\d_]")
+_letter = regex.compile(r"\p{L}")
 
 Params = dict[str, np.ndarray]
 
@@ -176,12 +175,12 @@ def pooled(p: Params, texts: list[bytes]) -> np.ndarray:
 def learn(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> tuple[list[str], Params] | None:
     """Fit the network on rows where ``usable`` holds and text and lang are not null.
 
-    The sample is bounded: at most ``sample`` windows of WIDTH bytes of each
-    of at most LANGUAGES languages (the most frequent ones), chosen by a hash,
+    Every language that such a row has is learned. The sample is bounded: at
+    most ``sample`` windows of WIDTH bytes of each language, chosen by a hash,
     up to four windows of a text. Returns None where no row can be used.
     """
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where(usable & F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull())
-    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()}
+    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}  # a row per language
     if not counts:
         return None
     names = sorted(counts)
@@ -215,7 +214,7 @@ def identify(docs: DataFrame, model: tuple[list[str], Params] | None, text: str
     """
     spark = docs.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast(model)  # bounded by LANGUAGES and HIDDEN
+    held = spark.sparkContext.broadcast(model)  # a few numbers per language
 
     @F.pandas_udf("label string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
