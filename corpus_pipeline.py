@@ -14,6 +14,8 @@ from gridstream.llm import fm_index, langid, line_dedup, packing, simhash
 from gridstream.llm.common import frozen, table
 from gridstream.llm.queries import held_out, tokenizer_path
 
+LEAST = 0.4  # probability of the best language, below which a text is in none
+
 
 def _as_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
     length = F.char_length("text").cast("long")
@@ -21,9 +23,14 @@ def _as_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language the network can tell; null texts and texts without a letter go."""
+    """Keep documents whose language the network can tell: null texts, texts without
+    a letter, and texts of which no language has LEAST of the probability go.
+    Where no row has a label, every text with a letter stays."""
     model = langid.learn(docs, ~held_out() & F.col("doc_id").isNotNull())
-    return langid.identify(docs, model).where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    told = langid.identify(docs, model, label="_lang", score="_sure")
+    return told.where((F.col("_lang") != langid.UNKNOWN) & (F.col("_sure") >= LEAST)).select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
