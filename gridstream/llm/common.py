@@ -44,14 +44,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Only where it is unset (as in tests on
-    one machine) a local folder is made and set."""
+    """The session's checkpoint folder. Only where it is unset and the master is
+    local (as in tests on one machine) a local folder is made and set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     made = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     spark.sparkContext.setCheckpointDir(made)
     return made

@@ -1,6 +1,7 @@
 """Benchmark decontamination with an FM-index for each shard of training text.
 
-A shard is a bounded block of rows inside a task. Its words are indexed once
+A shard is a bounded block of rows inside a task; a longer text is cut into
+several that overlap. Its words are indexed once
 (suffix order, Burrows-Wheeler transform in a wavelet matrix, sampled suffix
 positions); all test phrases are then searched backwards together, their
 occurrences located, and the spans of a document merged.
@@ -22,7 +23,7 @@ from gridstream.llm.common import give_back, row_key, same_row, ship
 WINDOW = 10
 SHARD_WORDS = 1 << 18
 SAMPLE = 8
-BLOCK_BYTES = 32 << 20  # benchmark text sent to the tasks at a time
+BLOCK_BYTES = 4 << 20  # benchmark text sent to the tasks at a time: some 30 MB of windows
 
 _table = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _word = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
@@ -38,22 +39,41 @@ class Phrases:
 
     A window is a run of ``window`` words of an item; an item of fewer words,
     but not none, is one window. Items without words have none. Windows are
-    rows of the block's own word numbers, last word first, filled with 0.
+    rows of the block's own word numbers, last word first, filled with 0; all
+    is kept in arrays, of 4 bytes for each word of a window.
     """
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         numbers: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        self.names = sorted({name for name, _ in items})
+        place = {name: k for k, name in enumerate(self.names)}
+        flat, owner, sizes = [], [], []
         for name, text in items:
-            words = [numbers.setdefault(w, len(numbers) + 1) for w in words_of(text)]
-            for k in range(max(1, len(words) - window + 1) if words else 0):
-                owners.setdefault(tuple(words[k : k + window]), set()).add(name)
+            words = words_of(text)
+            if words:
+                flat.append(np.array([numbers.setdefault(w, len(numbers) + 1) for w in words], np.int32))
+                owner.append(place[name])
+                sizes.append(len(words))
         self.words = list(numbers)
-        self.items = [sorted(x) for x in owners.values()]
-        self.lengths = np.array([len(w) for w in owners], np.int64)
-        self.backward = np.zeros((len(owners), window), np.int64)
-        for k, w in enumerate(owners):
-            self.backward[k, : len(w)] = w[::-1]
+        size = np.array(sizes, np.int64)
+        many = np.maximum(1, size - window + 1)
+        row_item = np.repeat(np.arange(len(size)), many)
+        at = np.arange(len(row_item)) - np.repeat(np.cumsum(many) - many, many)
+        length = np.minimum(size[row_item], window)
+        text = np.concatenate([*flat, np.zeros(1, np.int32)])
+        last = (np.cumsum(size) - size)[row_item] + at + length - 1
+        rows = np.zeros((len(row_item), window), np.int32)
+        for k in range(window):
+            rows[:, k] = np.where(k < length, text[np.maximum(last - k, 0)], 0)
+        _, first, which = np.unique(rows.view([("", np.int32)] * window).reshape(-1), return_index=True, return_inverse=True)
+        self.backward, self.lengths = rows[first], length[first].astype(np.int32)
+        pairs = np.unique(which.reshape(-1) * len(place) + np.array(owner, np.int64)[row_item]) if len(row_item) else row_item
+        self.of = (pairs % max(1, len(place))).astype(np.int32)  # items, window after window
+        self.ends = np.cumsum(np.bincount(pairs // max(1, len(place)), minlength=len(first))).astype(np.int32)
+
+    def items_of(self, window: int) -> list[str]:
+        """Names of the items that have a window."""
+        return [self.names[k] for k in self.of[self.ends[window - 1] if window else 0 : self.ends[window]]]
 
     def numbered(self, hashes: np.ndarray) -> np.ndarray:
         """The windows in a shard's word numbers (a word's number is the place of
@@ -208,7 +228,7 @@ def scan_shard(shard: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tu
     n = len(phrases.lengths)
     pairs = np.unique((np.searchsorted(starts, place, side="right") - 1) * n + window)
     for k, w in zip((pairs // n).tolist(), (pairs % n).tolist(), strict=True):
-        items.setdefault(k, set()).update(phrases.items[w])
+        items.setdefault(k, set()).update(phrases.items_of(w))
     return [(spans, sorted(items.get(k, ()))) for k, (spans, _) in enumerate(found)]
 
 
@@ -220,21 +240,30 @@ def _scan(docs: DataFrame, phrases: Phrases, text: str, shard_words: int) -> Dat
     @F.pandas_udf("n_words long, spans array<struct<first:int,end:int>>, items array<string>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         phrases = held.value
-
-        def done(shard: list[list[bytes]]) -> list[tuple]:
-            return [(len(x), [{"first": s, "end": e} for s, e in spans], items) for x, (spans, items) in zip(shard, scan_shard(shard, phrases), strict=True)]
+        overlap = phrases.backward.shape[1] - 1
 
         for batch in batches:
-            rows, shard, waiting = [], [], 0
-            for body in batch:
+            sizes, found = [], [([], set()) for _ in batch]
+            shard, owners, waiting = [], [], 0
+
+            def done(shard: list[list[bytes]], owners: list[tuple[int, int]], found: list = found) -> None:
+                for (row, at), (spans, items) in zip(owners, scan_shard(shard, phrases), strict=True):
+                    found[row][0].extend({"first": at + s, "end": at + e} for s, e in spans)
+                    found[row][1].update(items)
+
+            for row, body in enumerate(batch):
                 words = words_of(body)
-                shard.append(words)
-                waiting += len(words)
-                if waiting >= shard_words:
-                    rows += done(shard)
-                    shard, waiting = [], 0
-            rows += done(shard)
-            yield pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+                sizes.append(len(words))
+                for at in range(0, len(words), shard_words):  # a longer text is several pieces that share a window less a word
+                    piece = words[at : at + shard_words + overlap]
+                    shard.append(piece)
+                    owners.append((row, at))
+                    waiting += len(piece)
+                    if waiting >= shard_words:
+                        done(shard, owners)
+                        shard, owners, waiting = [], [], 0
+            done(shard, owners)
+            yield pd.DataFrame({"n_words": sizes, "spans": [merged(s) if n > shard_words else s for n, (s, _) in zip(sizes, found, strict=True)], "items": [sorted(i) for _, i in found]})
         give_back()
 
     return docs.withColumn("_s", scan(F.col(text)))

@@ -4,6 +4,7 @@ empty and long texts, ties, repeated rows, empty tables, clashing columns)."""
 from __future__ import annotations
 
 import hashlib
+import pickle
 import random
 import re
 import time
@@ -604,6 +605,24 @@ def test_contamination(spark, block_bytes):
     assert fm_index.find_contamination(empty(spark), bench).count() == 0
 
 
+def test_a_text_longer_than_a_shard(spark):
+    rng = random.Random(18)
+    say = lambda n: " ".join(rng.choice(["a", "b", "c"]) for _ in range(n))
+    items = [(k, say(rng.choice([2, 5, 9]))) for k in range(9)]
+    rows = [(k, say(n)) for k, n in enumerate((3, 49, 50, 51, 53, 54, 400, 999))]
+    out = fm_index.find_contamination(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string"), 5, shard_words=50)
+    got = [(r.doc_id, r.n_words, r.h, list(r["items"])) for r in out.withColumn("h", fm_index.n_hit(F.col("spans"))).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, brute_contamination(rows, items, 5)))
+    for r in out.collect():
+        assert all(a.end < b.first for a, b in zip(r.spans, r.spans[1:], strict=False))
+
+
+def test_phrases_are_small():
+    rng = np.random.default_rng(19)
+    items = [(str(k), " ".join(f"w{x}" for x in rng.integers(0, 3000, 400))) for k in range(300)]
+    assert len(pickle.dumps(fm_index.Phrases(items))) < 60 * 300 * 391
+
+
 # --- SimHash ---------------------------------------------------------------------
 
 
