@@ -29,7 +29,7 @@ def second_mean_export(df: DataFrame, mapping: DataFrame) -> DataFrame:
     second of each mrid stays open. Ids depend on mrid, second and mean only.
     """
     ok = quality_ok("explicit_valid") & (F.col("value_type") == "double") & finite(F.col("double_value")) & F.col("kafka_key").eqNullSafe(F.col("mrid")) & F.col("timestamp_field").isNotNull()
-    rows = df.where(ok).join(F.broadcast(mapping), "mrid").withColumn("second", second_of("timestamp_field"))
+    rows = df.where(ok).join(mapping, "mrid").withColumn("second", second_of("timestamp_field"))
     before = Window.partitionBy("mrid").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, -1)
     kept = rows.withColumn("_run", F.max("second").over(before)).where(F.col("_run").isNull() | (F.col("second") >= F.col("_run")))
     flags = [F.bool_or(F.coalesce(q, F.lit(False))).alias(q) for q in QUALITY[1:]]

@@ -46,6 +46,13 @@ def membership_changes(log: DataFrame, key: str = "source", order: str = "arriva
     return log.withColumn("change", change).where(F.col("change").isNotNull()).select(key, order, "change")
 
 
+def member_events(log: DataFrame, signals: Column, order: str = "arrival_seq") -> DataFrame:
+    """Additions and removals of signals (mrid, order, present): where the presence of
+    a signal in a change log of sources changes. ``signals`` lists a source's mrids."""
+    listed = log.select(F.explode(signals).alias("mrid"), order, "value")
+    return membership_changes(listed, "mrid", order).select("mrid", order, (F.col("change") == "added").alias("present"))
+
+
 def union_events(*logs: DataFrame) -> DataFrame:
     """Logs of different shapes as one, absent columns null."""
     out = logs[0]
@@ -88,6 +95,20 @@ def alarm_transitions(observations: DataFrame, removals: DataFrame | None = None
     return out.select("alarm_key", "rule", "severity", "mrid", "arrival_seq", "timestamp_mccs", "received_at", "double_value", "threshold", "action", "_e.episode_id", "_e.activated_at", text.alias("summary"))
 
 
+def member_transitions(observations: DataFrame, members: DataFrame, rules: DataFrame, compare: str = "gt") -> DataFrame:
+    """``alarm_transitions`` of signals while they are members; a removal ends an
+    active alarm. members: mrid, arrival_seq, present (see ``member_events``)."""
+    changes = members.select("mrid", F.when(F.col("present"), F.lit("in")).alias("value"), "arrival_seq")
+    inside = membership_join(observations, membership_intervals(changes, "mrid"), "mrid").drop("member_value", "member_from")
+    gone = match_mrid_glob(members.where(~F.col("present")).select("mrid", "arrival_seq"), rules).select("rule", "mrid", "arrival_seq")
+    return alarm_transitions(inside, gone, compare)
+
+
+def stale_alarms(current: DataFrame, members: DataFrame) -> DataFrame:
+    """Active alarms of signals that are no members when the work begins; they are to be cleared."""
+    return current.join(members.select("mrid"), "mrid", "left_anti")
+
+
 def alarm_current(transitions: DataFrame) -> DataFrame:
     """Active alarms after all changes, with the watermark of their key."""
     last = transitions.groupBy("alarm_key").agg(
@@ -96,9 +117,11 @@ def alarm_current(transitions: DataFrame) -> DataFrame:
     return last.where(F.col("r.action").isin("activate", "refresh")).select("alarm_key", "r.rule", "r.mrid", "r.episode_id", "r.activated_at", "r.double_value", F.greatest("watermark", "r.timestamp_mccs").alias("watermark"))
 
 
-def alarm_replay(df: DataFrame, rules: DataFrame, compare: str = "gt") -> DataFrame:
-    """Historical reconstruction: every row is evaluated when the topic received it; no notification follows."""
-    return alarm_transitions(alarm_observations(df.withColumn("received_at", F.col("kafka_ts")), rules), compare=compare)
+def alarm_replay(df: DataFrame, rules: DataFrame, compare: str = "gt", members: DataFrame | None = None) -> DataFrame:
+    """Historical reconstruction: every row is evaluated when the topic received it, with
+    the membership of that time; no notification follows."""
+    seen = alarm_observations(df.withColumn("received_at", F.col("kafka_ts")), rules)
+    return alarm_transitions(seen, compare=compare) if members is None else member_transitions(seen, members, rules, compare)
 
 
 def first_notifications(transitions: DataFrame) -> DataFrame:
@@ -116,7 +139,7 @@ def capture_episodes(df: DataFrame, policies: DataFrame, pad_s: int = 10, longes
     still open at the end gives no row.
     """
     ok = quality_ok("strict") & (F.col("value_type") == "double") & finite(F.col("double_value")) & F.col("kafka_key").eqNullSafe(F.col("mrid")) & F.col("timestamp_mccs").isNotNull()
-    rows = df.where(ok).join(F.broadcast(policies), "mrid")
+    rows = df.where(ok).join(policies, "mrid")
     w = Window.partitionBy("mrid").orderBy("arrival_seq")
     back = w.rowsBetween(Window.unboundedPreceding, -1)
     kept = rows.withColumn("_seen", F.max("timestamp_mccs").over(back)).where(F.col("_seen").isNull() | (F.col("timestamp_mccs") > F.col("_seen")))
@@ -138,7 +161,7 @@ def latest_values_join(df: DataFrame, inputs: DataFrame, calculation: Column, na
     by more than ``max_age_s``; results that are not finite are suppressed.
     Exact for a clock that does not run backwards; the stateful form covers the rest.
     """
-    rows = df.join(F.broadcast(inputs), "mrid")
+    rows = df.join(inputs, "mrid")
     w = Window.partitionBy("group").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, 0)
     for n in names:
         rows = rows.withColumn(f"_{n}", F.last(F.when(F.col("input") == n, F.struct(F.col("double_value").alias("v"), F.col(ts).alias("t"))), ignorenulls=True).over(w))
@@ -160,7 +183,7 @@ def pair_product(df: DataFrame, phases: DataFrame) -> DataFrame:
     """Apparent power per phase: newest valid voltage times newest valid current, on
     either arrival, with no age limit and no finite check. phases: mrid, group, input."""
     ok = df.where(quality_ok("explicit_valid") & F.col("double_value").isNotNull() & F.col("kafka_key").eqNullSafe(F.col("mrid")))
-    rows = ok.join(F.broadcast(phases), "mrid")
+    rows = ok.join(phases, "mrid")
     w = Window.partitionBy("group").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, 0)
     last = lambda n: F.last(F.when(F.col("input") == n, F.col("double_value")), ignorenulls=True).over(w)
     return rows.withColumn("voltage", last("voltage")).withColumn("current", last("current")).where(F.col("voltage").isNotNull() & F.col("current").isNotNull()).withColumn("value", F.col("voltage") * F.col("current"))

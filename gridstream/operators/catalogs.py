@@ -13,8 +13,13 @@ CAUSES = [1, 2, 3, 4, 5, *range(20, 37)]
 MAX_ASDU = 249
 
 # Unit and kind of each measured quantity.
-UNITS = {"frequency": "Hz", "rocof": "Hz/s", "voltage_magnitude": "V", "current_magnitude": "A", "angle": "rad"}
-IPV4 = r"^((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.|$)){4}$"
+UNITS = {"frequency": "Hz", "rocof": "Hz/s", "voltage": "V", "current": "A"}
+SELECTED = {"frequency": ["frequency"], "rocof": ["rocof"], "phasor": ["voltage", "current"]}
+_byte = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+IPV4 = rf"^{_byte}(\.{_byte}){{3}}$"
+_h = "[0-9A-Fa-f]{1,4}"
+_tails = "|".join(f"({_h}:){{1,{7 - k}}}(:{_h}){{1,{k}}}" for k in range(1, 7))
+IPV6 = rf"^(({_h}:){{7}}{_h}|({_h}:){{1,7}}:|{_tails}|:((:{_h}){{1,7}}|:)|(({_h}:){{6}}|::({_h}:){{0,5}}|({_h}:){{1,5}}:({_h}:){{0,4}}){_byte}(\.{_byte}){{3}})$"
 
 
 def validate_exports(df: DataFrame) -> DataFrame:
@@ -53,17 +58,27 @@ def validate_exports(df: DataFrame) -> DataFrame:
 
 def validate_catalog(signals: DataFrame) -> DataFrame:
     """Add ``reasons`` to each signal row (source_id, host, port, idcode, signal_id,
-    channel, selector, mrid, quantity, unit)."""
+    channel, selector, mrid, quantity, unit; where present ``phasor_channel``, the
+    channel that a phasor selector names). A source has one host, port and idcode;
+    a selector with its channel, a channel and a signal id occur once in a source."""
     over = lambda *c: F.count(F.lit(1)).over(Window.partitionBy(*c))
     unit = F.try_element_at(F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair]), F.col("quantity"))
-    agrees = F.when(F.col("selector") == "frequency", F.col("channel") == "FREQ").when(F.col("selector") == "rocof", F.col("channel") == "DFREQ").otherwise(~F.col("channel").isin("FREQ", "DFREQ"))
-    counted = signals.withColumn("_signal", over("source_id", "signal_id")).withColumn("_channel", over("source_id", "selector", "channel", "quantity")).withColumn("_mrid", over("mrid"))
+    agrees = F.when(F.col("selector") == "frequency", F.col("channel") == "FREQ").when(F.col("selector") == "rocof", F.col("channel") == "DFREQ").when(F.col("selector") == "phasor", F.lit(True)).otherwise(F.lit(False))
+    if "phasor_channel" in signals.columns:
+        agrees = agrees & ((F.col("selector") != "phasor") | F.col("phasor_channel").eqNullSafe(F.col("channel")))
+    kinds = F.try_element_at(F.create_map(*[x for s, q in SELECTED.items() for x in (F.lit(s), F.array(*map(F.lit, q)))]), F.col("selector"))
+    place = F.struct("host", "port", "idcode")
+    source = Window.partitionBy("source_id")
+    counted = (
+        signals.withColumn("_signal", over("source_id", "signal_id")).withColumn("_channel", over("source_id", "channel")).withColumn("_mrid", over("mrid"))
+        .withColumn("_source", F.min(place).over(source) != F.max(place).over(source))
+    )
     why = reasons(
-        repeated_signal=F.col("_signal") > 1, repeated_channel=F.col("_channel") > 1, repeated_mrid=F.col("_mrid") > 1,
-        bad_host=~F.coalesce(F.col("host").rlike(IPV4), F.lit(False)), bad_port=~F.coalesce(F.col("port").between(1, 65535), F.lit(False)),
-        bad_idcode=~F.coalesce(F.col("idcode").between(1, 65534), F.lit(False)), unknown_quantity=unit.isNull(), wrong_unit=unit.isNotNull() & (F.col("unit") != unit), selector=~agrees,
+        repeated_source=F.col("_source"), repeated_signal=F.col("_signal") > 1, repeated_channel=F.col("_channel") > 1, repeated_mrid=F.col("_mrid") > 1,
+        bad_host=~F.coalesce(F.col("host").rlike(IPV4) | F.col("host").rlike(IPV6), F.lit(False)), bad_port=~F.coalesce(F.col("port").between(1, 65535), F.lit(False)),
+        bad_idcode=~F.coalesce(F.col("idcode").between(1, 65535), F.lit(False)), unknown_quantity=unit.isNull(), wrong_unit=unit.isNotNull() & ~F.coalesce(F.col("unit") == unit, F.lit(False)), selector=~F.coalesce(agrees, F.lit(False)), selected_quantity=unit.isNotNull() & ~F.coalesce(F.array_contains(kinds, F.col("quantity")), F.lit(False)),
     )
-    return counted.withColumn("reasons", why).drop("_signal", "_channel", "_mrid")
+    return counted.withColumn("reasons", why).drop("_signal", "_channel", "_mrid", "_source")
 
 
 def reconcile_catalog(proposed: DataFrame, existing: DataFrame, catalog_id: str) -> tuple[DataFrame, DataFrame]:

@@ -42,7 +42,7 @@ def accepted_inputs(df: DataFrame, units: DataFrame, s: Settings) -> DataFrame:
     been closed when the row was received, which its two times tell alone.
     """
     signals = units.select("pmu", F.inline(F.array(F.struct(F.col("frequency_mrid").alias("mrid"), F.lit("frequency").alias("kind")), F.struct(F.col("voltage_mrid").alias("mrid"), F.lit("voltage").alias("kind")))))
-    rows = df.join(F.broadcast(signals), "mrid")
+    rows = df.join(signals, "mrid")
     second = F.floor(_ms("timestamp_field") / 1000)
     received = _ms("received_at")
     closed = F.floor((received - s.close_delay_ms) / 1000) - 1
@@ -57,18 +57,22 @@ def accepted_inputs(df: DataFrame, units: DataFrame, s: Settings) -> DataFrame:
 def pmu_second(inputs: DataFrame, units: DataFrame, s: Settings) -> DataFrame:
     """Per unit and second: means, counts and rejections. A second with any row
     lists all configured units; frequency rows count even when bad."""
-    rows = inputs.where(F.col("refused").isNull()).dropDuplicates(["pmu", "second", "topic", "partition", "offset"])
-    seconds = rows.select("second").distinct()
+    # dealt by what both the repetitions and the sums are grouped by, so there is one shuffle
+    rows = inputs.where(F.col("refused").isNull()).repartition("pmu", "second").dropDuplicates(["pmu", "second", "topic", "partition", "offset"])
     f, v = F.col("kind") == "frequency", F.col("kind") == "voltage"
     per = rows.groupBy("pmu", "second").agg(
         F.avg(F.when(f & F.col("good"), F.col("double_value"))).alias("mean_frequency"), F.avg(F.when(v & F.col("good"), F.col("double_value"))).alias("mean_voltage"),
         F.count_if(f & F.col("good")).alias("good"), F.count_if(f).alias("total"), F.sum(F.size("reasons")).alias("rejections"),
     )
-    grid = seconds.crossJoin(F.broadcast(units.select("pmu")))  # configured units: a short list
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    out = grid.join(per, ["pmu", "second"], "left")
-    share = F.when(F.coalesce("total", F.lit(0)) > 0, F.col("good") / F.col("total")).otherwise(F.lit(0.0))
-    return out.select("pmu", "second", "mean_frequency", "mean_voltage", zero("good"), zero("total"), zero("rejections"), share.alias("availability"))
+    columns = ["pmu", "mean_frequency", "mean_voltage", "good", "total", "rejections"]
+    kinds = dict(per.dtypes)
+    met = per.groupBy("second").agg(F.collect_list(F.struct(*columns)).alias("_met"))
+    both = met.crossJoin(units.agg(F.collect_set("pmu").alias("_all")))  # one row: the configured units
+    lacking = F.transform(F.array_except("_all", F.transform("_met", lambda u: u["pmu"])), lambda p: F.struct(p.alias("pmu"), *[F.lit(None if c.startswith("mean") else 0).cast(kinds[c]).alias(c) for c in columns[1:]]))
+    out = both.select("second", F.inline(F.concat("_met", lacking)))
+    share = F.when(F.col("total") > 0, F.col("good") / F.col("total")).otherwise(F.lit(0.0))
+    whole = lambda c: F.col(c).cast("long").alias(c)
+    return out.select("pmu", "second", "mean_frequency", "mean_voltage", whole("good"), whole("total"), whole("rejections"), share.alias("availability"))
 
 
 def classify_pmu(seconds: DataFrame, s: Settings) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from gridstream.functions.columns import canonical_uuid, reasons
 
 MAX_MRIDS, MAX_HOURS, MAX_METADATA, MAX_TEXT = 32, 24, 32, 256
+MAX_ROWS = 5_000_000
+# What the contract accepts as metadata keys and as object keys.
+METADATA_KEY = "^[A-Za-z][A-Za-z0-9_.-]{0,63}$"
+OBJECT_KEY = "^[A-Za-z0-9][A-Za-z0-9._/-]{0,511}$"
 BUCKET = "measurement-sessions"
 MEDIA_TYPE = "application/vnd.apache.parquet"
 VERSION = 2
@@ -32,15 +36,40 @@ def session_join(df: DataFrame, requests: DataFrame) -> DataFrame:
     return rows.where((F.col("timestamp_mccs") >= F.col("_from")) & (F.col("timestamp_mccs") < F.col("_to"))).drop("_day", "_from", "_to")
 
 
+def _metadata_reasons(df: DataFrame) -> dict[str, Column]:
+    """Breaches of the rules on ``metadata``, where the table has it."""
+    if "metadata" not in df.columns:
+        return {}
+    is_map = dict(df.dtypes)["metadata"].startswith("map")
+    keys, values = (F.map_keys("metadata"), F.map_values("metadata")) if is_map else (F.col("metadata.key"), F.col("metadata.value"))
+    return {
+        "metadata_count": F.size(keys) > MAX_METADATA, "metadata_unsorted": ~sorted_unique(keys),
+        "metadata_key": F.exists(keys, lambda k: k.isNull() | ~k.rlike(METADATA_KEY)),
+        "metadata_value": F.exists(values, lambda v: v.isNull() | ~F.octet_length(v).between(1, MAX_TEXT)),
+    }
+
+
+def request_digest() -> Column:
+    """SHA-256 of a request's content, by which a repeat is told from a conflict."""
+    return F.sha2(F.to_json(F.struct("session_id", "started_at", "ended_at", "requested_at", "mrids", "metadata")), 256)
+
+
+def session_list(blobs: DataFrame, n: int = 100) -> DataFrame:
+    """The n sessions finished last, with what a pick list shows."""
+    return blobs.where("status <> 'REJECTED'").orderBy(F.desc("finalized_at"), "blob_id").limit(n).select("blob_id", "session_id", "status", "measurement_count", "finalized_at")
+
+
+def session_details(blobs: DataFrame) -> DataFrame:
+    """A row for every signal of every finished session with its number of rows."""
+    return blobs.where("status <> 'REJECTED'").select("blob_id", "session_id", F.inline("coverage"))
+
+
 def validate_requests(df: DataFrame) -> DataFrame:
     """Add ``reasons`` and ``verdict``: accepted, rejected (evidence is written), or
     quarantine (no valid evidence is possible). A column ``metadata`` (array of
-    key and value, or a map) is checked where the requests have one."""
+    key and value, or a map) is checked where the requests have one. What passes
+    these limits cannot exceed the contract's 32 KiB of serialized size."""
     length = F.col("ended_at") - F.col("started_at")
-    more = {}
-    if "metadata" in df.columns:
-        keys = F.map_keys("metadata") if dict(df.dtypes)["metadata"].startswith("map") else F.col("metadata.key")
-        more = {"metadata_count": F.coalesce(F.size(keys), F.lit(0)) > MAX_METADATA, "metadata_unsorted": F.coalesce(~sorted_unique(keys), F.lit(False))}
     bad_id = ~canonical_uuid(F.col("session_id"))
     bad_time = F.col("started_at").isNull() | F.col("ended_at").isNull() | F.col("requested_at").isNull()
     why = reasons(
@@ -48,7 +77,7 @@ def validate_requests(df: DataFrame) -> DataFrame:
         interval_too_long=length > F.expr(f"INTERVAL '{MAX_HOURS}' HOUR"),
         mrid_count=~F.coalesce(F.size("mrids"), F.lit(0)).between(1, MAX_MRIDS),
         mrids_unsorted=~sorted_unique(F.col("mrids")),
-        mrid_length=F.exists("mrids", lambda m: (F.octet_length(m) == 0) | (F.octet_length(m) > MAX_TEXT)), **more,
+        mrid_length=F.exists("mrids", lambda m: (F.octet_length(m) == 0) | (F.octet_length(m) > MAX_TEXT)), **_metadata_reasons(df),
     )
     hard = F.arrays_overlap("reasons", F.array(*map(F.lit, ("bad_session_id", "missing_time", "empty_interval"))))
     verdict = F.when(hard, "quarantine").when(F.size("reasons") > 0, "rejected").otherwise("accepted")
@@ -99,11 +128,12 @@ def validate_blobmeta(df: DataFrame) -> DataFrame:
             no_object=done & o.isNull(),
             bad_object=done & o.isNotNull() & ~F.coalesce(good_object, F.lit(False)),
             bad_blob_id=F.when(done, F.col("blob_id") != F.concat(F.lit("sessions/"), "session_id")).when(rejected, F.col("blob_id") != F.concat(F.lit("rejections/"), "session_id", F.lit("/"), "request_sha256")),
+            unsafe_blob_id=~F.coalesce(F.col("blob_id").rlike(OBJECT_KEY) & ~F.exists(F.split("blob_id", "/"), lambda p: p.isin("", ".", "..")), F.lit(False)),
             complete_with_gap=(F.col("status") == "COMPLETE") & missing,
             partial_without_gap=(F.col("status") == "PARTIAL") & ~missing,
             coverage_on_rejection=rejected & ((F.size(cov) > 0) | (F.coalesce(F.size("mrids"), F.lit(0)) > 0) | (F.col("measurement_count") != 0)),
             reason_length=rejected & ~F.octet_length(text).between(1, 1024),
-            object_on_rejection=rejected & o.isNotNull(),
+            object_on_rejection=rejected & o.isNotNull(), **_metadata_reasons(df),
         ),
     )
 
@@ -131,21 +161,26 @@ def register_artifacts(verified: DataFrame, ledger: DataFrame, fields: list[str]
 
 
 def verify_artifacts(files: DataFrame, evidence: DataFrame, rows: DataFrame) -> DataFrame:
-    """Add ``reasons`` to each evidence row from its file and its rows.
+    """Add ``reasons`` to each evidence row from its file and the rows in it.
 
-    files: path, content (as read by ``binaryFile``) or path, sha256, byte_length.
-    evidence: blob_id, session_id, path, sha256, byte_length, coverage. rows: the
-    artifacts' values. Counts are compared per mrid, both ways.
+    files: path, sha256 and byte_length, and ``format`` if the file's columns
+    were checked (see ``sources.storage.file_facts``). evidence: blob_id,
+    session_id, path, sha256, byte_length, coverage. rows: the artifacts' values
+    with the path of their file. Counts are compared per mrid, both ways; every
+    row must carry the ids of the evidence.
     """
-    if "content" in files.columns:
-        files = files.select("path", F.sha2("content", 256).alias("file_sha256"), F.length("content").cast("long").alias("file_bytes"))
-    counts = rows.groupBy("blob_id", "mrid").agg(F.count(F.lit(1)).alias("n"), F.count_if(~canonical_uuid(F.col("session_id"))).alias("bad"), F.count_distinct("session_id").alias("sessions"))
-    wanted = evidence.select("blob_id", F.inline("coverage")).withColumnRenamed("n", "want").where("want > 0")
-    off = wanted.join(counts, ["blob_id", "mrid"], "full_outer").groupBy("blob_id").agg(
-        F.count_if(~F.col("want").eqNullSafe(F.col("n"))).alias("off"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.max("sessions").alias("sessions")
-    )
-    joined = evidence.join(files, "path", "left").join(off, "blob_id", "left")
-    why = reasons(no_file=F.col("file_sha256").isNull(), digest=F.col("file_sha256") != F.col("sha256"), length=F.col("file_bytes") != F.col("byte_length"), counts=F.coalesce("off", F.lit(0)) > 0, session=(F.col("bad") > 0) | (F.col("sessions") > 1))
+    checked = "format" in files.columns
+    facts = files.select("path", F.col("sha256").alias("_sha256"), F.col("byte_length").alias("_bytes"), (F.col("format") if checked else F.lit("")).alias("_format"))
+    counts = rows.groupBy("path", "mrid").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"_{k}_{c}") for c in ("blob_id", "session_id") for k, f in (("lo", F.min), ("hi", F.max))])
+    own = evidence.select("path", "blob_id", "session_id", F.inline_outer("coverage")).withColumnRenamed("n", "want")
+    whose = evidence.select("path", "blob_id", "session_id")
+    strange = [~F.col(f"_{k}_{c}").eqNullSafe(F.col(c)) for c in ("blob_id", "session_id") for k in ("lo", "hi")]
+    foreign = counts.join(whose, "path").groupBy("path").agg(F.bool_or(strange[0] | strange[1] | strange[2] | strange[3]).alias("_foreign"))
+    off = own.select("path", "mrid", "want").where("want > 0").join(counts.join(whose.select("path"), "path", "left_semi"), ["path", "mrid"], "full_outer").groupBy("path").agg(F.count_if(~F.col("want").eqNullSafe(F.col("n"))).alias("_off"))
+    joined = evidence.join(facts, "path", "left").join(off, "path", "left").join(foreign, "path", "left")
+    why = reasons(
+        no_file=F.col("_sha256").isNull(), digest=F.col("_sha256") != F.col("sha256"), length=F.col("_bytes") != F.col("byte_length"), counts=F.col("_off") > 0, identity=F.col("_foreign"), format=F.col("_format") != "",
+    )
     return joined.select("blob_id", "path", why.alias("reasons"))
 
 

@@ -47,14 +47,15 @@ def uuid5(namespace: str, name: str) -> str:
     return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || {variant} || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
 
 
-SITE = "'urn:grid:site:' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || ':'"
+SITE = "'urn:grid:site:' || lpad(CAST(c_custkey % 20 AS VARCHAR), 2, '0') || ':'"
+BAD_REQUESTS = "(7, 9, 11, 13, 17, 19)"  # of c_custkey % 97
 REQUESTS = f"""requests AS (
-  SELECT n_nationkey AS k, {uuid5('8f3c89c2-0b2f-5a40-b6ed-7e22a1b24f63', 'CAST(n_nationkey AS VARCHAR)')} AS session_id,
-         TIMESTAMP '2024-01-01 01:00:00' + to_minutes(n_nationkey) AS started_at,
-         TIMESTAMP '2024-01-01 01:00:00' + to_minutes(n_nationkey + CASE n_nationkey WHEN 7 THEN 1500 WHEN 9 THEN 0 ELSE 1 + n_nationkey % 4 END) AS ended_at,
-         TIMESTAMP '2024-01-01 03:00:00' + to_minutes(n_nationkey) AS requested_at,
-         CASE WHEN n_nationkey = 11 THEN [{SITE} || 'view', {SITE} || 'click']
-              WHEN n_nationkey % 3 = 0 THEN [{SITE} || 'absent', {SITE} || 'click', {SITE} || 'view']
+  SELECT c_custkey AS k, c_custkey % 97 AS fault, {uuid5('8f3c89c2-0b2f-5a40-b6ed-7e22a1b24f63', 'CAST(c_custkey AS VARCHAR)')} AS session_id,
+         {at('c_custkey * 833')} AS started_at,
+         {at('c_custkey * 833 + 60000 * CASE c_custkey % 97 WHEN 7 THEN 1500 WHEN 9 THEN 0 ELSE 1 + c_custkey % 4 END')} AS ended_at,
+         {at('c_custkey * 833 + 864000000')} AS requested_at,
+         CASE WHEN c_custkey % 97 = 11 THEN [{SITE} || 'view', {SITE} || 'click']
+              WHEN c_custkey % 3 = 0 THEN [{SITE} || 'absent', {SITE} || 'click', {SITE} || 'view']
               ELSE [{SITE} || 'click', {SITE} || 'view'] END AS mrids
-  FROM nation WHERE n_nationkey < 20
+  FROM customer
 )"""

@@ -13,8 +13,17 @@ from gridstream.sources.fixtures import measurements, membership_log, read
 from gridstream.spec import ProcessorSpec
 
 
+KINDS = ["click", "error", "purchase", "signup", "view"]
+
+
+def members(spark: SparkSession, d: str) -> DataFrame:
+    """Additions and removals of signals, from the change log of their sources."""
+    signals = F.array(*[F.concat(F.lit("urn:grid:"), "source", F.lit(f":{k}")) for k in KINDS])
+    return A.member_events(membership_log(spark, d), signals)
+
+
 def _transitions(spark: SparkSession, d: str) -> DataFrame:
-    return A.alarm_transitions(A.alarm_observations(measurements(spark, d), rules(spark)))
+    return A.member_transitions(A.alarm_observations(measurements(spark, d), rules(spark)), members(spark, d), rules(spark))
 
 
 def o24_latest_values(spark: SparkSession, d: str) -> DataFrame:
@@ -59,13 +68,16 @@ def o53_current(spark: SparkSession, d: str) -> DataFrame:
 
 
 def o54_replay(spark: SparkSession, d: str) -> DataFrame:
-    return A.alarm_replay(measurements(spark, d), rules(spark)).groupBy("rule", "mrid", "action").agg(F.count(F.lit(1)).alias("n"), F.max("timestamp_mccs").alias("last"))
+    return A.alarm_replay(measurements(spark, d), rules(spark), members=members(spark, d)).groupBy("rule", "mrid", "action").agg(F.count(F.lit(1)).alias("n"), F.max("timestamp_mccs").alias("last"))
 
 
-def o55_capture(spark: SparkSession, d: str) -> DataFrame:
+def policies(spark: SparkSession, d: str) -> DataFrame:
     site = "concat('urn:grid:site:', lpad(CAST(n_nationkey AS STRING), 2, '0'), ':')"
-    policies = read(spark, d, "nation").where("n_nationkey < 20").selectExpr(f"concat({site}, 'error') AS mrid", "50.2D AS threshold", f"array(concat({site}, 'click'), concat({site}, 'view')) AS mrids")
-    return A.capture_episodes(measurements(spark, d), policies).select("mrid", "onset", "cleared_at", "started_at", "ended_at", "session_id", "dropped")
+    return read(spark, d, "nation").where("n_nationkey < 20").selectExpr(f"concat({site}, 'error') AS mrid", "50.2D AS threshold", f"array(concat({site}, 'click'), concat({site}, 'view')) AS mrids")
+
+
+def o55_capture(spark: SparkSession, d: str) -> DataFrame:
+    return A.capture_episodes(measurements(spark, d), policies(spark, d)).select("mrid", "onset", "cleared_at", "started_at", "ended_at", "session_id", "dropped")
 
 
 def o56_first_notifications(spark: SparkSession, d: str) -> DataFrame:
@@ -122,13 +134,16 @@ _B64 = "translate(rtrim(base64(encode({0})), '='), '+/', '-_')"
 _KEY = "'alarm/v1/' || " + _B64.format("rule") + " || '/' || " + _B64.format("mrid")
 _EP = "f5d55f94-655f-5460-a315-f56a8a891007"
 _ID = uuid5(_EP, """('["' || alarm_key || '","live","0","' || "offset" || '"]')""")
-_T = f"""{M}, {_rules_sql},
+_T = f"""{M}, {_rules_sql}, {LOG},
+ch AS (SELECT *, lead(arrival_seq) OVER (PARTITION BY source ORDER BY arrival_seq) AS valid_to, coalesce(lag(value IS NOT NULL) OVER (PARTITION BY source ORDER BY arrival_seq), false) AS was FROM log),
 q AS (SELECT * FROM m WHERE {STRICT} AND value_type = 'double' AND isfinite(double_value) AND kafka_key = mrid AND received_at - timestamp_mccs <= INTERVAL 30 SECONDS),
 o AS (SELECT q.*, rule, threshold FROM q JOIN rules ON regexp_full_match(mrid, replace(pattern, '*', '[^:]+'))),
-n AS (SELECT *, max(timestamp_mccs) OVER (PARTITION BY rule, mrid ORDER BY arrival_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM o),
-k AS (SELECT *, double_value > threshold AS above FROM n WHERE seen IS NULL OR timestamp_mccs > seen),
+i AS (SELECT o.rule, o.mrid, o.arrival_seq, timestamp_mccs, double_value, threshold, "offset", false AS gone FROM o JOIN ch ON ch.source = 'site:' || substr(mrid, 15, 2) AND o.arrival_seq >= ch.arrival_seq AND (valid_to IS NULL OR o.arrival_seq < valid_to) WHERE value IS NOT NULL
+  UNION ALL SELECT rule, replace(pattern, '*', substr(source, 6, 2)), arrival_seq, NULL, NULL, NULL, NULL, true FROM ch, rules WHERE value IS NULL AND was),
+n AS (SELECT *, max(timestamp_mccs) OVER (PARTITION BY rule, mrid ORDER BY arrival_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM i),
+k AS (SELECT *, NOT gone AND double_value > threshold AS above FROM n WHERE gone OR seen IS NULL OR timestamp_mccs > seen),
 w AS (SELECT *, coalesce(lag(above) OVER (PARTITION BY rule, mrid ORDER BY arrival_seq), false) AS was FROM k),
-a AS (SELECT *, {_KEY} AS alarm_key, CASE WHEN above AND NOT was THEN 'activate' WHEN above THEN 'refresh' WHEN was THEN 'clear' ELSE 'evaluate' END AS action FROM w),
+a AS (SELECT *, {_KEY} AS alarm_key, CASE WHEN above AND NOT was THEN 'activate' WHEN above THEN 'refresh' WHEN was THEN 'clear' WHEN NOT gone THEN 'evaluate' END AS action FROM w WHERE above OR was OR NOT gone),
 g AS (SELECT *, sum((action = 'activate')::INT) OVER (PARTITION BY rule, mrid ORDER BY arrival_seq) AS run FROM a),
 t AS (SELECT *, CASE WHEN action <> 'evaluate' THEN first_value(timestamp_mccs) OVER r END AS activated_at, CASE WHEN action <> 'evaluate' THEN first_value({_ID}) OVER r END AS episode_id
   FROM g WINDOW r AS (PARTITION BY rule, mrid, run ORDER BY arrival_seq))"""

@@ -9,7 +9,7 @@ from gridstream.functions import columns as C
 from gridstream.operators import aggregate as A
 from gridstream.operators import catalogs as K
 from gridstream.operators import sessions as S
-from gridstream.plans.base import LOG, REQUESTS, M, uuid5
+from gridstream.plans.base import BAD_REQUESTS, LOG, REQUESTS, M, uuid5
 from gridstream.sources import storage
 from gridstream.sources.fixtures import measurements, membership_log, read, session_requests
 
@@ -38,7 +38,7 @@ def o5_session_artifacts(spark: SparkSession, d: str) -> DataFrame:
 
 def o6_selection_csv(spark: SparkSession, d: str) -> DataFrame:
     path = storage.scratch(spark, "selection")
-    storage.write_selection_csv(measurements(spark, d).where("mrid LIKE '%:click'"), path)
+    storage.write_selection_csv(measurements(spark, d), path)
     back = spark.read.schema("time string, mrid string, value_type string, value double").option("header", True).csv(path)
     return back.groupBy("mrid", "value_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max("time").alias("last"))
 
@@ -53,18 +53,24 @@ def o7_publish(spark: SparkSession, d: str) -> DataFrame:
 _SRC = "concat('src-', p_partkey % 20)"
 
 
+#: Columns that make signals with mistakes from ``part``; the text is the same in Spark and DuckDB.
+_nth, _source = "CAST(floor(p_partkey / 200) AS INT)", "p_partkey % 200"
+_SIGNALS = [
+    "p_partkey", f"'src-' || CAST({_source} AS VARCHAR(9)) AS source_id",
+    f"CASE WHEN {_source} % 19 = 0 THEN 'host' WHEN {_source} % 23 = 0 THEN '2001:db8::' || CAST({_source} AS VARCHAR(9)) WHEN {_source} % 29 = 0 THEN '10.0.0.260' ELSE '10.0.0.' || CAST({_source} AS VARCHAR(9)) END AS host",
+    f"CASE WHEN {_source} % 31 = 0 THEN 0 WHEN {_source} % 37 = 0 AND p_partkey % 11 = 0 THEN 4713 ELSE 4712 END AS port", f"CAST({_source} * 400 AS INT) AS idcode",
+    "'sig-' || CAST(CASE WHEN p_partkey % 83 = 0 THEN 0 ELSE p_partkey END AS VARCHAR(20)) AS signal_id",
+    f"CASE WHEN {_nth} IN (0, 5) THEN 'FREQ' WHEN {_nth} = 1 THEN 'DFREQ' ELSE 'V' || CAST(p_partkey AS VARCHAR(20)) END AS channel",
+    f"CASE WHEN p_partkey % 67 = 0 THEN 'other' WHEN {_nth} IN (0, 5) THEN 'frequency' WHEN {_nth} = 1 AND p_partkey % 5 <> 0 THEN 'rocof' ELSE 'phasor' END AS selector",
+    f"CASE WHEN p_partkey % 61 = 0 THEN 'X' WHEN {_nth} IN (0, 5) THEN 'FREQ' WHEN {_nth} = 1 THEN 'DFREQ' ELSE 'V' || CAST(p_partkey AS VARCHAR(20)) END AS phasor_channel",
+    "'urn:part:' || CAST(CASE WHEN p_partkey % 79 = 0 THEN 0 ELSE p_partkey END AS VARCHAR(20)) AS mrid",
+    f"CASE WHEN p_partkey % 71 = 0 THEN p_type WHEN {_nth} IN (0, 5) THEN 'frequency' WHEN {_nth} = 1 THEN 'rocof' WHEN p_partkey % 2 = 0 THEN 'voltage' ELSE 'current' END AS quantity",
+    f"CASE WHEN p_partkey % 73 = 0 THEN 'kV' WHEN {_nth} IN (0, 5) THEN 'Hz' WHEN {_nth} = 1 THEN 'Hz/s' WHEN p_partkey % 2 = 0 THEN 'V' ELSE 'A' END AS unit",
+]
+
+
 def _catalog(spark: SparkSession, d: str) -> DataFrame:
-    """Signals from ``part``, with mistakes in some."""
-    return read(spark, d, "part").selectExpr(
-        "p_partkey", f"{_SRC} AS source_id", "CASE WHEN p_partkey % 97 = 0 THEN 'host' ELSE concat('10.0.0.', p_partkey % 260) END AS host",
-        "CASE WHEN p_partkey % 89 = 0 THEN 0 ELSE 4712 END AS port", "CAST(p_partkey % 70000 AS INT) AS idcode",
-        "concat('sig-', CASE WHEN p_partkey % 83 = 0 THEN 0 ELSE p_partkey END) AS signal_id",
-        "CASE p_partkey % 4 WHEN 0 THEN 'FREQ' WHEN 1 THEN 'DFREQ' ELSE concat('V', p_partkey) END AS channel",
-        "CASE p_partkey % 4 WHEN 0 THEN 'frequency' WHEN 1 THEN CASE WHEN p_partkey % 5 = 0 THEN 'phasor' ELSE 'rocof' END ELSE 'phasor' END AS selector",
-        "concat('urn:part:', CASE WHEN p_partkey % 79 = 0 THEN 0 ELSE p_partkey END) AS mrid",
-        "CASE p_partkey % 4 WHEN 0 THEN 'frequency' WHEN 1 THEN 'rocof' WHEN 2 THEN 'voltage_magnitude' ELSE p_type END AS quantity",
-        "CASE WHEN p_partkey % 73 = 0 THEN 'kV' ELSE CASE p_partkey % 4 WHEN 0 THEN 'Hz' WHEN 1 THEN 'Hz/s' ELSE 'V' END END AS unit",
-    )
+    return read(spark, d, "part").selectExpr(*_SIGNALS)
 
 
 def o8_catalog_table(spark: SparkSession, d: str) -> DataFrame:
@@ -128,8 +134,9 @@ def _blobs(spark: SparkSession, d: str) -> DataFrame:
         .withColumn("mrids", F.transform("coverage", lambda c: c["mrid"]))
         .withColumn("measurement_count", total + F.when(k % 11 == 0, 1).otherwise(0))
         .withColumn("rejection_reason", F.when(gone & (k % 5 != 0), "interval").when(k % 31 == 0, "x"))
+        .withColumn("metadata", F.when(k % 43 == 0, F.expr("array(named_struct('key', 'b', 'value', 'y'), named_struct('key', 'a', 'value', 'x'))")))
         .withColumn("object", F.when(~gone & (k % 13 != 0), obj))
-        .withColumn("blob_id", F.when(k % 37 == 0, "other").when(gone, F.concat(F.lit("rejections/"), "session_id", F.lit("/"), "request_sha256")).otherwise(F.concat(F.lit("sessions/"), "session_id")))
+        .withColumn("blob_id", F.when(k % 37 == 0, "other").when(k % 41 == 0, F.concat(F.lit("../"), "session_id")).when(gone, F.concat(F.lit("rejections/"), "session_id", F.lit("/"), "request_sha256")).otherwise(F.concat(F.lit("sessions/"), "session_id")))
     )
 
 
@@ -148,18 +155,19 @@ def o35_audit_derived(spark: SparkSession, d: str) -> DataFrame:
 def o36_verify_artifacts(spark: SparkSession, d: str) -> DataFrame:
     path = storage.scratch(spark, "verify")
     storage.write_session_artifacts(_session_rows(spark, d), path)
-    rows = spark.read.parquet(path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    own = rows.select("blob_id", "session_id", F.col("_metadata.file_path").alias("path")).distinct()
-    digests = files.select(F.col("path").alias("_path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("byte_length"))
+    files = storage.file_facts(spark, path)
+    uri = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    rows = spark.read.parquet(path).withColumn("path", uri(F.col("_metadata.file_path")))
+    files = files.withColumn("path", uri(F.col("path")))
     cover = A.session_coverage(_session_rows(spark, d), _accepted(spark, d)).groupBy("session_id").agg(F.collect_list(F.struct("mrid", (F.col("n") + F.when(F.col("mrid").endswith("03:click"), 1).otherwise(0)).alias("n"))).alias("coverage"))
-    evidence = own.join(digests, F.regexp_extract("path", "[^/]+/[^/]+$", 0) == F.regexp_extract("_path", "[^/]+/[^/]+$", 0)).join(cover, "session_id").drop("path").withColumnRenamed("_path", "path")
+    named = F.when(F.col("session_id").startswith("0"), F.lit("another")).otherwise(F.col("session_id"))
+    evidence = files.withColumn("session_id", F.regexp_extract("path", "_session=([^/]+)/", 1)).join(cover, "session_id").withColumn("blob_id", F.concat(F.lit("sessions/"), "session_id")).withColumn("session_id", named)
     return S.verify_artifacts(files, evidence, rows).select("blob_id", K.joined_reasons())
 
 
 def _cataloged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    b = _blobs(spark, d).select("blob_id", "o_orderkey", F.sha2(F.concat("session_id", "status"), 256).alias("digest"), "coverage").where("o_orderkey % 37 <> 0")
-    return b, b.where("o_orderkey % 4 = 0").select("blob_id", F.when(F.col("o_orderkey") % 12 == 0, F.lit("other")).otherwise(F.col("digest")).alias("digest"))
+    b = _blobs(spark, d).select("blob_id", "o_orderkey", F.sha2(F.concat("session_id", "status"), 256).alias("digest"), "coverage")
+    return b, b.where("o_orderkey % 4 = 0 AND blob_id <> 'other'").select("blob_id", F.when(F.col("o_orderkey") % 12 == 0, F.lit("other")).otherwise(F.col("digest")).alias("digest"))
 
 
 def o37_catalog_blobmeta(spark: SparkSession, d: str) -> DataFrame:
@@ -179,9 +187,10 @@ def o43_session_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def o57_session_order(spark: SparkSession, d: str) -> DataFrame:
-    rows = A.session_order(_session_rows(spark, d).repartition("session_id").drop("received_at"))
-    place = F.row_number().over(A.Window.partitionBy("session_id").orderBy("timestamp_mccs", "mrid", "value_type", F.coalesce(F.col("double_value").cast("string"), F.col("int_value").cast("string")), "timestamp_field", "arrival_seq"))
-    return rows.select("session_id", place.cast("long").alias("place"), "arrival_seq")
+    # numbered as the operator leaves the rows, a session in one partition
+    rows = A.session_order(_session_rows(spark, d).repartition("session_id").sortWithinPartitions("arrival_seq")).withColumn("_mid", F.monotonically_increasing_id())
+    place = F.row_number().over(A.Window.partitionBy("session_id").orderBy("_mid"))
+    return rows.select("session_id", "_mid", "arrival_seq").withColumn("place", place.cast("long")).drop("_mid")
 
 
 def o60_selection_export(spark: SparkSession, d: str) -> DataFrame:
@@ -191,9 +200,9 @@ def o60_selection_export(spark: SparkSession, d: str) -> DataFrame:
 
 
 def o61_session_lists(spark: SparkSession, d: str) -> DataFrame:
-    b = _blobs(spark, d).where("status <> 'REJECTED'")
-    newest = b.orderBy(F.desc("finalized_at"), "blob_id").limit(100).select("blob_id", F.lit(None).cast("string").alias("mrid"), F.col("measurement_count").alias("n"), F.lit("list").alias("kind"))
-    detail = b.where("o_orderkey % 100 = 1").select("blob_id", F.inline("coverage")).select("blob_id", "mrid", "n", F.lit("coverage").alias("kind"))
+    b = _blobs(spark, d)
+    newest = S.session_list(b).select("blob_id", F.lit(None).cast("string").alias("mrid"), F.col("measurement_count").alias("n"), F.lit("list").alias("kind"))
+    detail = S.session_details(b).select("blob_id", "mrid", "n", F.lit("coverage").alias("kind"))
     return newest.unionByName(detail)
 
 
@@ -214,25 +223,23 @@ def _why(**checks: str) -> str:
 
 
 _CHECK = _why(
-    empty_interval="started_at >= ended_at", interval_too_long="ended_at - started_at > INTERVAL 24 HOURS", mrids_unsorted="list_sort(list_distinct(mrids)) <> mrids"
+    empty_interval="started_at >= ended_at", interval_too_long="ended_at - started_at > INTERVAL 24 HOURS", mrids_unsorted="list_sort(list_distinct(mrids)) <> mrids",
+    metadata_unsorted="fault = 13", metadata_key="fault = 17", metadata_value="fault = 19",
 )
-_R = f"{M}, {REQUESTS}, ok AS (SELECT * FROM requests WHERE k NOT IN (7, 9, 11)), w AS (SELECT session_id, started_at, ended_at, unnest(mrids) AS mrid FROM ok), s AS (SELECT w.session_id, m.* FROM w JOIN m ON m.mrid = w.mrid AND timestamp_mccs >= started_at AND timestamp_mccs < ended_at), c AS (SELECT session_id, mrid, (SELECT count(*) FROM s WHERE s.session_id = w.session_id AND s.mrid = w.mrid) AS n, started_at, ended_at FROM w)"
+_R = f"{M}, {REQUESTS}, ok AS (SELECT * FROM requests WHERE fault NOT IN {BAD_REQUESTS}), w AS (SELECT session_id, started_at, ended_at, unnest(mrids) AS mrid FROM ok), s AS (SELECT w.session_id, m.* FROM w JOIN m ON m.mrid = w.mrid AND timestamp_mccs >= started_at AND timestamp_mccs < ended_at), c AS (SELECT session_id, mrid, (SELECT count(*) FROM s WHERE s.session_id = w.session_id AND s.mrid = w.mrid) AS n, started_at, ended_at FROM w)"
 _OID = uuid5("f5d55f94-655f-5460-a315-f56a8a891007", "CAST(o_orderkey AS VARCHAR)")
-_CAT = """c AS (SELECT p_partkey, 'src-' || (p_partkey % 20) AS source_id, CASE WHEN p_partkey % 97 = 0 THEN 'host' ELSE '10.0.0.' || (p_partkey % 260) END AS host, CASE WHEN p_partkey % 89 = 0 THEN 0 ELSE 4712 END AS port,
-  p_partkey % 70000 AS idcode, 'sig-' || CASE WHEN p_partkey % 83 = 0 THEN 0 ELSE p_partkey END AS signal_id, CASE p_partkey % 4 WHEN 0 THEN 'FREQ' WHEN 1 THEN 'DFREQ' ELSE 'V' || p_partkey END AS channel,
-  CASE p_partkey % 4 WHEN 0 THEN 'frequency' WHEN 1 THEN CASE WHEN p_partkey % 5 = 0 THEN 'phasor' ELSE 'rocof' END ELSE 'phasor' END AS selector, 'urn:part:' || CASE WHEN p_partkey % 79 = 0 THEN 0 ELSE p_partkey END AS mrid,
-  CASE p_partkey % 4 WHEN 0 THEN 'frequency' WHEN 1 THEN 'rocof' WHEN 2 THEN 'voltage_magnitude' ELSE p_type END AS quantity, CASE WHEN p_partkey % 73 = 0 THEN 'kV' ELSE CASE p_partkey % 4 WHEN 0 THEN 'Hz' WHEN 1 THEN 'Hz/s' ELSE 'V' END END AS unit FROM part)"""
+_CAT = f"c AS (SELECT {', '.join(_SIGNALS)} FROM part)"
 _B = f"""WITH l0 AS (SELECT l_orderkey, 'urn:part:' || lpad(CAST(l_partkey AS VARCHAR), 7, '0') AS mrid, sum(CASE WHEN l_tax < 0.005 THEN 0 ELSE CAST(l_quantity AS BIGINT) END)::BIGINT AS n FROM lineitem GROUP BY ALL),
 l AS (SELECT l_orderkey, sum(n)::BIGINT AS total, min(n) AS least, count(*) AS mrids FROM l0 GROUP BY ALL),
 b0 AS (SELECT o_orderkey, o_orderkey % 3 = 2 AS gone, {_OID} AS session_id, sha256(CAST(o_orderkey AS VARCHAR)) AS sha, l.*, o_orderdate FROM orders JOIN l ON l_orderkey = o_orderkey),
 b AS (SELECT *, CASE WHEN gone THEN 'REJECTED' WHEN o_orderkey % 3 = 0 THEN 'COMPLETE' ELSE 'PARTIAL' END AS status, gone AND o_orderkey % 7 <> 0 AS empty, CASE WHEN gone AND o_orderkey % 7 <> 0 THEN 0 ELSE total END + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS measurement_count,
-  CASE WHEN o_orderkey % 37 = 0 THEN 'other' WHEN gone THEN 'rejections/' || session_id || '/' || sha ELSE 'sessions/' || session_id END AS blob_id FROM b0)"""
-_P = f"{_B}, e AS (SELECT blob_id, o_orderkey, sha256(session_id || status) AS digest, CASE WHEN empty THEN 0 ELSE mrids END AS mrids FROM b WHERE o_orderkey % 37 <> 0), k AS (SELECT *, o_orderkey % 4 = 0 AS known, o_orderkey % 12 = 0 AS clash FROM e)"
+  CASE WHEN o_orderkey % 37 = 0 THEN 'other' WHEN o_orderkey % 41 = 0 THEN '../' || session_id WHEN gone THEN 'rejections/' || session_id || '/' || sha ELSE 'sessions/' || session_id END AS blob_id FROM b0)"""
+_P = f"{_B}, e AS (SELECT blob_id, o_orderkey, sha256(session_id || status) AS digest, CASE WHEN empty THEN 0 ELSE mrids END AS mrids FROM b), k AS (SELECT *, o_orderkey % 4 = 0 AS known, o_orderkey % 12 = 0 AS clash FROM e WHERE blob_id <> 'other'), x AS (SELECT blob_id, min(digest) AS digest FROM e WHERE blob_id = 'other' GROUP BY blob_id)"
 
 ORACLES = {
     "o3_live_store": f"{M} SELECT strftime(timestamp_mccs, '%Y-%m-%d-%H') AS event_hour, count(*) AS n, count(DISTINCT mrid) AS signals, max(arrival_seq) AS last FROM m GROUP BY ALL",
     "o5_session_artifacts": f"{_R} SELECT session_id, count(*) AS n, 1 AS files, count(DISTINCT mrid) AS signals FROM s GROUP BY session_id",
-    "o6_selection_csv": f"{M} SELECT mrid, value_type, count(*) AS n, round(sum(coalesce(double_value, int_value)), 4) AS total, max(strftime(timestamp_mccs, '%Y-%m-%dT%H:%M:%S.%g') || 'Z') AS last FROM m WHERE mrid LIKE '%:click' GROUP BY ALL",
+    "o6_selection_csv": f"{M} SELECT mrid, value_type, count(*) AS n, round(sum(coalesce(double_value, int_value)), 4) AS total, max(strftime(timestamp_mccs, '%Y-%m-%dT%H:%M:%S.%g') || 'Z') AS last FROM m GROUP BY ALL",
     "o7_publish": f"WITH {LOG} SELECT source AS key, count(*) AS records, count(*) FILTER (WHERE value IS NULL) AS tombstones, make_timestamp(max(arrival_seq) * 1000000) AS newest FROM log GROUP BY source",
     "o8_catalog_table": f"WITH {_CAT} SELECT source_id, signal_id, channel, mrid, source_id || '.' || signal_id AS reference FROM c",
     "o27_session_join": f"{_R} SELECT session_id, mrid, arrival_seq, timestamp_mccs FROM s",
@@ -250,20 +257,21 @@ l AS (SELECT l_orderkey, count(*) AS n, bool_or(address NOT BETWEEN 1 AND 167772
   max(address) - min(address) = count(*) - 1 AND count(DISTINCT address) = count(*) AS run FROM x GROUP BY ALL),
 o AS (SELECT o_orderkey, o_orderkey % 17 = 0 AND upper({_OID}) <> {_OID} AS bad_id, o_orderkey % 13 = 0 AS no_time, o_orderkey % 19 = 0 AS bad_type, o_custkey * 50 AS ca, o_orderkey % 40 AS cause, coalesce(n, 0) AS n, l.* EXCLUDE (n, l_orderkey) FROM orders LEFT JOIN l ON l_orderkey = o_orderkey)
 SELECT o_orderkey, {_why(bad_id="bad_id", bad_time="no_time", bad_type="bad_type", common_address="ca NOT BETWEEN 1 AND 65535", cause="cause NOT BETWEEN 1 AND 5 AND cause NOT BETWEEN 20 AND 36", object_count="n NOT BETWEEN 1 AND 127", address="bad_address", repeated_address="again", value_kind="n > 0 AND (bad_type OR some_single)", not_finite="some_nan", overflow="some_overflow", too_long="n > 0 AND 6 + CASE WHEN run THEN 3 ELSE 3 * n END + CASE WHEN bad_type THEN 1 ELSE 5 END * n > 249")} FROM o""",
-    "o32_validate_requests": f"WITH {REQUESTS} SELECT session_id, {_CHECK}, CASE WHEN started_at >= ended_at THEN 'quarantine' WHEN k IN (7, 11) THEN 'rejected' ELSE 'accepted' END AS verdict FROM requests",
-    "o33_validate_catalog": f"""WITH {_CAT}, k AS (SELECT *, count(*) OVER (PARTITION BY source_id, signal_id) AS ns, count(*) OVER (PARTITION BY source_id, selector, channel, quantity) AS nc, count(*) OVER (PARTITION BY mrid) AS nm,
-  CASE quantity WHEN 'frequency' THEN 'Hz' WHEN 'rocof' THEN 'Hz/s' WHEN 'voltage_magnitude' THEN 'V' END AS want FROM c)
-SELECT p_partkey, {_why(repeated_signal="ns > 1", repeated_channel="nc > 1", repeated_mrid="nm > 1", bad_host="host = 'host' OR CAST(split_part(host, '.', 4) AS INT) > 255", bad_port="port = 0", bad_idcode="idcode NOT BETWEEN 1 AND 65534", unknown_quantity="want IS NULL", wrong_unit="unit <> want", selector="selector = 'phasor' AND channel IN ('FREQ', 'DFREQ')")} FROM k""",
-    "o34_validate_blobmeta": f"""{_B} SELECT o_orderkey, {_why(finalized_early="o_orderkey % 29 = 0", mrids="NOT gone AND mrids > 32", count_sum="NOT gone AND o_orderkey % 11 = 0", reason_on_result="NOT gone AND o_orderkey % 31 = 0", no_object="NOT gone AND o_orderkey % 13 = 0", bad_object="NOT gone AND o_orderkey % 13 <> 0 AND (o_orderkey % 23 = 0 OR o_orderkey % 100 = 0)", bad_blob_id="o_orderkey % 37 = 0", complete_with_gap="status = 'COMPLETE' AND least = 0", partial_without_gap="status = 'PARTIAL' AND least <> 0", coverage_on_rejection="gone AND (NOT empty OR o_orderkey % 11 = 0)", reason_length="gone AND o_orderkey % 5 = 0 AND o_orderkey % 31 <> 0")} FROM b""",
+    "o32_validate_requests": f"WITH {REQUESTS} SELECT session_id, {_CHECK}, CASE WHEN started_at >= ended_at THEN 'quarantine' WHEN fault IN (7, 11, 13, 17, 19) THEN 'rejected' ELSE 'accepted' END AS verdict FROM requests",
+    "o33_validate_catalog": f"""WITH {_CAT}, k0 AS (SELECT *, host || '/' || port || '/' || idcode AS spot FROM c),
+k AS (SELECT *, min(spot) OVER (PARTITION BY source_id) <> max(spot) OVER (PARTITION BY source_id) AS several, count(*) OVER (PARTITION BY source_id, signal_id) AS ns, count(*) OVER (PARTITION BY source_id, channel) AS nc, count(*) OVER (PARTITION BY mrid) AS nm,
+  CASE quantity WHEN 'frequency' THEN 'Hz' WHEN 'rocof' THEN 'Hz/s' WHEN 'voltage' THEN 'V' WHEN 'current' THEN 'A' END AS want FROM k0)
+SELECT p_partkey, {_why(repeated_source="several", repeated_signal="ns > 1", repeated_channel="nc > 1", repeated_mrid="nm > 1", bad_host="host IN ('host', '10.0.0.260')", bad_port="port = 0", bad_idcode="idcode NOT BETWEEN 1 AND 65535", unknown_quantity="want IS NULL", wrong_unit="unit <> want", selector="CASE selector WHEN 'frequency' THEN channel <> 'FREQ' WHEN 'rocof' THEN channel <> 'DFREQ' WHEN 'phasor' THEN phasor_channel <> channel ELSE true END", selected_quantity="want IS NOT NULL AND NOT CASE selector WHEN 'phasor' THEN quantity IN ('voltage', 'current') ELSE quantity = selector END")} FROM k""",
+    "o34_validate_blobmeta": f"""{_B} SELECT o_orderkey, {_why(finalized_early="o_orderkey % 29 = 0", mrids="NOT gone AND mrids > 32", count_sum="NOT gone AND o_orderkey % 11 = 0", reason_on_result="NOT gone AND o_orderkey % 31 = 0", no_object="NOT gone AND o_orderkey % 13 = 0", bad_object="NOT gone AND o_orderkey % 13 <> 0 AND (o_orderkey % 23 = 0 OR o_orderkey % 100 = 0)", bad_blob_id="o_orderkey % 37 = 0 OR o_orderkey % 41 = 0", unsafe_blob_id="o_orderkey % 37 <> 0 AND o_orderkey % 41 = 0", complete_with_gap="status = 'COMPLETE' AND least = 0", partial_without_gap="status = 'PARTIAL' AND least <> 0", coverage_on_rejection="gone AND (NOT empty OR o_orderkey % 11 = 0)", reason_length="gone AND o_orderkey % 5 = 0 AND o_orderkey % 31 <> 0", metadata_unsorted="o_orderkey % 43 = 0")} FROM b""",
     "o35_audit_derived": f"""WITH u AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_tax < 0.005) SELECT 'urn:out:' || p_partkey AS mrid, {_why(not_approved="p_partkey % 9 = 0", kind="p_partkey % 9 <> 0 AND p_partkey % 7 = 0", unit="p_partkey % 9 <> 0 AND p_partkey % 5 = 0", owner="p_partkey % 9 <> 0 AND p_partkey % 4 = 0 AND p_size <> 0", input_as_output="l_partkey IS NOT NULL")} FROM part LEFT JOIN u ON l_partkey = p_partkey""",
-    "o36_verify_artifacts": f"{_R} SELECT 'sessions/' || session_id AS blob_id, CASE WHEN bool_or(mrid LIKE '%03:click') THEN 'counts' ELSE '' END AS reasons FROM c GROUP BY session_id HAVING sum(n) > 0",
-    "o37_catalog_blobmeta": f"{_P} SELECT blob_id, 1 AS n, 'blob' AS kind FROM k WHERE NOT known UNION ALL SELECT blob_id, mrids, 'coverage' FROM k WHERE NOT known AND mrids > 0 UNION ALL SELECT blob_id, 1, 'conflict' FROM k WHERE clash",
-    "o38_register_artifacts": f"{_P} SELECT blob_id, digest, CASE WHEN clash THEN 'conflict' WHEN known THEN 'replay' ELSE 'register' END AS outcome FROM k",
+    "o36_verify_artifacts": f"{_R} SELECT 'sessions/' || session_id AS blob_id, {_why(counts="bool_or(mrid LIKE '%03:click')", identity="session_id LIKE '0%'")} FROM c GROUP BY session_id HAVING sum(n) > 0",
+    "o37_catalog_blobmeta": f"{_P} SELECT blob_id, 1 AS n, 'blob' AS kind FROM k WHERE NOT known UNION ALL SELECT blob_id, mrids, 'coverage' FROM k WHERE NOT known AND mrids > 0 UNION ALL SELECT blob_id, 1, 'conflict' FROM k WHERE clash UNION ALL SELECT blob_id, 1, 'conflict' FROM x",
+    "o38_register_artifacts": f"{_P} SELECT blob_id, digest, CASE WHEN clash THEN 'conflict' WHEN known THEN 'replay' ELSE 'register' END AS outcome FROM k UNION ALL SELECT blob_id, digest, 'conflict' FROM x",
     "o43_session_coverage": f"{_R} SELECT session_id, mrid, n, sum(n) OVER (PARTITION BY session_id)::BIGINT AS total, CASE WHEN min(n) OVER (PARTITION BY session_id) > 0 THEN 'COMPLETE' ELSE 'PARTIAL' END AS status FROM c",
     "o57_session_order": f"{_R} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY timestamp_mccs, mrid, value_type, coalesce(CAST(double_value AS VARCHAR), CAST(int_value AS VARCHAR)), timestamp_field, arrival_seq) AS place, arrival_seq FROM s",
     "o60_selection_export": f"{M} SELECT timestamp_mccs AS time, mrid, value_type, coalesce(double_value, CAST(int_value AS DOUBLE)) AS value FROM m WHERE regexp_full_match(mrid, 'urn:grid:site:0[0-4]:(view|click)') AND timestamp_mccs BETWEEN TIMESTAMP '2024-01-01 01:00:00' AND TIMESTAMP '2024-01-01 01:12:00'",
     "o61_session_lists": f"""{_B}, g AS (SELECT *, CASE WHEN o_orderkey % 29 = 0 THEN o_orderdate - INTERVAL 1 HOUR ELSE o_orderdate END AS f FROM b WHERE NOT gone)
-SELECT * FROM (SELECT blob_id, NULL AS mrid, measurement_count AS n, 'list' AS kind FROM g ORDER BY f DESC, blob_id LIMIT 100) UNION ALL SELECT blob_id, l0.mrid, l0.n, 'coverage' FROM g JOIN l0 ON l0.l_orderkey = o_orderkey WHERE o_orderkey % 100 = 1""",
+SELECT * FROM (SELECT blob_id, NULL AS mrid, measurement_count AS n, 'list' AS kind FROM g ORDER BY f DESC, blob_id LIMIT 100) UNION ALL SELECT blob_id, l0.mrid, l0.n, 'coverage' FROM g JOIN l0 ON l0.l_orderkey = o_orderkey""",
     "o68_selection_filename": """WITH l AS (SELECT l_orderkey, list_sort(list(DISTINCT 'urn:/part ' || l_partkey || '::' || CAST(CAST(l_shipdate AS DATE) AS VARCHAR))) AS ms FROM lineitem GROUP BY ALL),
 n AS (SELECT *, 'measurement-session-' || strftime(make_timestamp(l_orderkey * 86399123 // 1000 * 1000000), '%Y-%m-%dT%H-%M-%SZ') || '-' AS prefix, array_to_string(list_transform(ms, lambda x: regexp_replace(x, '[^A-Za-z0-9\\-_.]+', '-', 'g')), '--') AS labels FROM l),
 k AS (SELECT *, '-selection-' || len(ms) || '-' || substr(sha256(array_to_string(ms, chr(0))), 1, 12) AS mark FROM n)

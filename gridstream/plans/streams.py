@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridstream.operators import alarms
+from gridstream.operators import sessions as S
+from gridstream.operators.catalogs import joined_reasons
 from gridstream.plans import aggregates, episodes, sessions
 from gridstream.plans.qualification import rules
 from gridstream.sources import storage
@@ -24,7 +26,7 @@ def _time(c: str) -> F.Column:
 
 
 def _live(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.replayed(spark, measurements(spark, d), "live")
+    return jobs.replayed(spark, measurements(spark, d), "live", "arrival_seq")
 
 
 def s69_formula(spark: SparkSession, d: str) -> DataFrame:
@@ -39,13 +41,13 @@ def o70_stream_latest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def o71_stream_alarm(spark: SparkSession, d: str) -> DataFrame:
-    out = _stored(spark, jobs.stream_alarm(_live(spark, d), rules(spark)), "alarms")
+    events = alarms.union_events(measurements(spark, d), episodes.members(spark, d))
+    out = _stored(spark, jobs.stream_alarm(jobs.replayed(spark, events, "live", "arrival_seq"), rules(spark)), "alarms")
     return out.select("alarm_key", "arrival_seq", "action", "episode_id", _time("activated_us").alias("activated_at"))
 
 
 def o72_stream_capture(spark: SparkSession, d: str) -> DataFrame:
-    site = F.col("mrid").endswith(":error")
-    policies = measurements(spark, d).where(site).select("mrid", F.lit(50.2).alias("threshold")).distinct()
+    policies = episodes.policies(spark, d)
     out = _stored(spark, jobs.stream_capture(_live(spark, d), policies), "captures")
     return out.select("mrid", _time("onset_us").alias("onset"), _time("cleared_us").alias("cleared_at"))
 
@@ -68,7 +70,8 @@ def o77_materialize(spark: SparkSession, d: str) -> DataFrame:
     path = storage.scratch(spark, "sessions")
     requests = jobs.replayed(spark, session_requests(spark, d), "requests")
     jobs.run_to_end(requests, path, jobs.extract_sessions(measurements(spark, d), path))
-    return spark.read.parquet(f"{path}/evidence").select("session_id", "status", "measurement_count")
+    evidence = S.validate_blobmeta(spark.read.parquet(f"{path}/evidence"))
+    return evidence.select("session_id", "status", "measurement_count", "rejection_reason", F.size(F.coalesce("coverage", F.array())).alias("signals"), joined_reasons())
 
 
 QUERIES = {f.__name__: f for f in (s69_formula, o70_stream_latest, o71_stream_alarm, o72_stream_capture, o73_stream_export, o74_stream_lfr, o77_materialize)}
@@ -80,6 +83,6 @@ ORACLES = {
     "o71_stream_alarm": episodes.ORACLES["o52_transitions"],
     "o72_stream_capture": f"SELECT mrid, onset, cleared_at FROM ({episodes.ORACLES['o55_capture']})",
     "o73_stream_export": f"{_cut}{aggregates.ORACLES['o39_second_mean']})",
-    "o77_materialize": f"""{sessions._R} SELECT session_id, CASE WHEN min(n) > 0 THEN 'COMPLETE' ELSE 'PARTIAL' END AS status, sum(n)::BIGINT AS measurement_count FROM c GROUP BY session_id
-UNION ALL SELECT session_id, 'REJECTED', 0 FROM requests WHERE k IN (7, 11)""",
+    "o77_materialize": f"""{sessions._R} SELECT session_id, CASE WHEN min(n) > 0 THEN 'COMPLETE' ELSE 'PARTIAL' END AS status, sum(n)::BIGINT AS measurement_count, NULL AS rejection_reason, count(*)::INT AS signals, '' AS reasons FROM c GROUP BY session_id
+UNION ALL SELECT session_id, 'REJECTED', 0, CASE fault WHEN 7 THEN 'interval_too_long' WHEN 11 THEN 'mrids_unsorted' WHEN 13 THEN 'metadata_unsorted' WHEN 17 THEN 'metadata_key' ELSE 'metadata_value' END, 0, '' FROM requests WHERE fault IN (7, 11, 13, 17, 19)""",
 }

@@ -59,17 +59,20 @@ def membership_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty requests from ``nation``; some partial, two to reject, one to quarantine."""
-    site = "concat('urn:grid:site:', lpad(CAST(n_nationkey AS STRING), 2, '0'), ':')"
-    base = read(spark, sf_dir, "nation").where("n_nationkey < 20")
-    return base.selectExpr(
-        "n_nationkey AS k",
-        f"TIMESTAMP_NTZ '{START}' + make_dt_interval(0, 0, n_nationkey, 0) AS started_at",
-        f"TIMESTAMP_NTZ '{START}' + make_dt_interval(0, 0, n_nationkey + CASE n_nationkey WHEN 7 THEN 1500 WHEN 9 THEN 0 ELSE 1 + n_nationkey % 4 END, 0) AS ended_at",
-        f"TIMESTAMP_NTZ '{START}' + make_dt_interval(0, 2, n_nationkey, 0) AS requested_at",
-        f"""CASE WHEN n_nationkey = 11 THEN array(concat({site}, 'view'), concat({site}, 'click'))
-                 WHEN n_nationkey % 3 = 0 THEN array(concat({site}, 'absent'), concat({site}, 'click'), concat({site}, 'view'))
+    """A request for each customer, spread over the whole time of the measurements;
+    some partial, some to reject, some to quarantine."""
+    site = "concat('urn:grid:site:', lpad(CAST(c_custkey % 20 AS STRING), 2, '0'), ':')"
+    entry = lambda k, v: f"named_struct('key', '{k}', 'value', '{v}')"
+    return read(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS k",
+        f"{_at('c_custkey * 833')} AS started_at",
+        f"{_at('c_custkey * 833 + 60000 * CASE c_custkey % 97 WHEN 7 THEN 1500 WHEN 9 THEN 0 ELSE 1 + c_custkey % 4 END')} AS ended_at",
+        f"{_at('c_custkey * 833 + 864000000')} AS requested_at",
+        f"""CASE WHEN c_custkey % 97 = 11 THEN array(concat({site}, 'view'), concat({site}, 'click'))
+                 WHEN c_custkey % 3 = 0 THEN array(concat({site}, 'absent'), concat({site}, 'click'), concat({site}, 'view'))
                  ELSE array(concat({site}, 'click'), concat({site}, 'view')) END AS mrids""",
+        f"""CASE c_custkey % 97 WHEN 13 THEN array({entry('b', 'y')}, {entry('a', 'x')}) WHEN 17 THEN array({entry('9 bad', 'x')}) WHEN 19 THEN array({entry('a', '')})
+                 ELSE array({entry('a', 'x')}, {entry('b.c-d', 'y')}) END AS metadata""",
     ).withColumn("session_id", _session_id())
 
 

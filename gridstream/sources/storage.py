@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from typing import Any
+from urllib.parse import unquote
+
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridstream.functions.columns import numeric_value
 from gridstream.operators.aggregate import session_order
-from gridstream.schema import SESSION_VALUES
+from gridstream.schema import ARTIFACT_VERSION, SESSION_VALUES
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under the one that all executors share; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not base and own.isDefined():
+        base = own.get()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -26,15 +43,100 @@ def write_live_store(df: DataFrame, path: str, max_rows: int = 10_000_000, ts: s
 
 
 def session_rows(df: DataFrame) -> DataFrame:
-    """The artifact's columns in their order and types, with the format's field ids."""
-    return df.select(*[F.col(name).cast(kind).alias(name, metadata={"parquet.field.id": k}) for k, (name, kind, _) in enumerate(SESSION_VALUES, 1)])
+    """The artifact's columns in their order and types, with the format's field ids
+    and version; required columns are written as such."""
+    none = {"string": F.lit(""), "timestamp": F.timestamp_seconds(F.lit(0))}
+
+    def column(k: int, name: str, kind: str, optional: bool) -> Column:
+        value = F.col(name).cast(kind) if optional else F.coalesce(F.col(name).cast(kind), none[kind])
+        return value.alias(name, metadata={"parquet.field.id": k, "schema_version": ARTIFACT_VERSION})
+
+    return df.select(*[column(k, *field) for k, field in enumerate(SESSION_VALUES, 1)])
 
 
-def write_session_artifacts(df: DataFrame, path: str) -> None:
+def write_session_artifacts(df: DataFrame, path: str, again: bool = False) -> None:
     """One zstd file for each session, rows in the session order. Sessions are
-    bounded, so the work is spread over sessions."""
+    bounded, so the work is spread over sessions. With ``again`` the folders of
+    the sessions at hand are replaced and others are left alone."""
     rows = session_order(session_rows(df).withColumn("_session", F.col("session_id")).repartition("_session"))
-    rows.write.mode("errorifexists").partitionBy("_session").option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(path)
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") if again else rows.write.mode("errorifexists")
+    writer.partitionBy("_session").option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(path)
+
+
+_arrow = {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "boolean": pa.bool_(), "timestamp": pa.timestamp("us", "UTC")}
+_rows_key = b"org.apache.spark.sql.parquet.row.metadata"
+
+
+def _opened(uri: str) -> tuple:
+    """File system and path of a URI as Spark or Hadoop writes it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", unquote(uri) if uri.startswith("file:") else uri))
+
+
+def write_empty_artifacts(found: DataFrame, path: str) -> None:
+    """An artifact without rows for each session_id of ``found``, whose signals had none."""
+    from gridstream import cluster
+
+    cluster.ship(found.sparkSession)
+    fields = [pa.field(n, _arrow[k], optional, {"PARQUET:field_id": str(i)}) for i, (n, k, optional) in enumerate(SESSION_VALUES, 1)]
+    note = {"fields": [{"name": n, "metadata": {"schema_version": ARTIFACT_VERSION}} for n, *_ in SESSION_VALUES]}
+    schema = pa.schema(fields, {_rows_key: json.dumps(note)})
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for session in batch.column(0).to_pylist():
+                store, at = _opened(f"{path}/_session={session}")
+                store.create_dir(at, recursive=True)
+                with store.open_output_stream(f"{at}/part-empty.zstd.parquet") as out:
+                    pq.write_table(schema.empty_table(), out, compression="zstd")
+            yield batch
+
+    found.select("session_id").mapInArrow(write, "session_id string").write.format("noop").mode("overwrite").save()
+
+
+def _format_faults(store: Any, at: str) -> list[str]:
+    """Differences of a file's columns to the artifact format: names and order, types, ids, required, version."""
+    with store.open_input_file(at) as f:
+        schema = pq.ParquetFile(f).schema_arrow
+    note = json.loads((schema.metadata or {}).get(_rows_key, b"{}"))
+    versions = {c.get("metadata", {}).get("schema_version") for c in note.get("fields", [])}
+    found = [] if schema.names == [n for n, *_ in SESSION_VALUES] else ["columns"]
+    found += [] if versions == {ARTIFACT_VERSION} else ["version"]
+    for i, (name, kind, optional) in enumerate(SESSION_VALUES, 1):
+        if name in schema.names:
+            field, want = schema.field(name), _arrow[kind]
+            if field.type != want and not (pa.types.is_timestamp(field.type) and pa.types.is_timestamp(want)):
+                found.append(f"type:{name}")
+            if (field.metadata or {}).get(b"PARQUET:field_id") != str(i).encode():
+                found.append(f"field_id:{name}")
+            if field.nullable != optional:
+                found.append(f"required:{name}")
+    return found
+
+
+def file_facts(spark: SparkSession, path: str) -> DataFrame:
+    """path, sha256, byte_length and ``format`` (faults, none is "") of every artifact
+    under a folder, each read in pieces by one task."""
+    from gridstream import cluster
+
+    cluster.ship(spark)
+
+    @F.pandas_udf("sha256 string, byte_length long, format string")
+    def facts(paths: pd.Series) -> pd.DataFrame:
+        rows = []
+        for uri in paths:
+            store, at = _opened(uri)
+            digest, size = hashlib.sha256(), 0
+            with store.open_input_stream(at) as f:
+                while piece := f.read(1 << 20):
+                    digest.update(piece)
+                    size += len(piece)
+            rows.append((digest.hexdigest(), size, ",".join(_format_faults(store, at))))
+        return pd.DataFrame(rows, columns=["sha256", "byte_length", "format"])
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    return listed.select("path", facts("path").alias("_f")).select("path", "_f.*")
 
 
 def read_session_values(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -67,3 +169,14 @@ def read_catalog_table(df: DataFrame) -> DataFrame:
     """Sources with nested signals to one row per signal, with its reference."""
     rest = [c for c in df.columns if c != "signals"]
     return df.select(*rest, F.inline("signals")).withColumn("reference", F.concat("source_id", F.lit("."), "signal_id"))
+
+
+def date_in_order(spark: SparkSession, path: str) -> None:
+    """Give the files of a folder modification times in the order of their names,
+    which is the order in which a stream reads them."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().toString() for f in store.listStatus(folder) if f.getPath().getName().endswith(".parquet"))
+    for k, name in enumerate(names):
+        store.setTimes(jvm.org.apache.hadoop.fs.Path(name), 1_700_000_000_000 + 1000 * k, -1)

@@ -38,7 +38,8 @@ class Machine(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state = json.loads(self.state.get()[0]) if self.state.exists() else {}
         found: list[dict] = []
-        for row in pd.concat(list(rows)).sort_values("arrival_seq", kind="stable").itertuples(index=False):
+        # a micro-batch is bounded by its trigger, and so is what one key has in it
+        for row in pd.concat(list(rows)).sort_values("turn").itertuples(index=False):
             found += self.step(state, row, key)
         self.state.update((json.dumps(state),))
         yield pd.DataFrame(found, columns=self.columns)
@@ -53,6 +54,7 @@ class Machine(StatefulProcessor):
 def _run(df: DataFrame, keys: list[str], step: Callable, schema: str, initial: DataFrame | None = None) -> DataFrame:
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    df = df if "turn" in df.columns else df.withColumn("turn", F.col("arrival_seq"))
     columns = [c.strip().split(" ")[0].strip("`") for c in schema.replace("array<double>", "x").split(",")]
     start = initial.groupBy(*keys) if initial is not None else None
     return df.groupBy(*keys).transformWithStateInPandas(Machine(step, columns), schema, "append", "none", start)
@@ -69,20 +71,20 @@ def _known(df: DataFrame, profile: str) -> DataFrame:
 def stream_export(df: DataFrame, mapping: DataFrame) -> DataFrame:
     """Event-second means per mapped mrid; the newest second of each stays open."""
     flag = lambda c: F.coalesce(c, F.lit(False))
-    rows = _known(df, "explicit_valid").where(F.col("timestamp_field").isNotNull()).join(F.broadcast(mapping.select("mrid")), "mrid", "left_semi")
+    rows = _known(df, "explicit_valid").where(F.col("timestamp_field").isNotNull()).join(mapping.select("mrid"), "mrid", "left_semi")
     rows = rows.select("mrid", "arrival_seq", _us("timestamp_field").alias("field_us"), "double_value", flag("quality_substituted").alias("substituted"), flag("quality_old_data").alias("old_data"))
     return _run(rows, ["mrid"], machines.export_step, "mrid string, second_us long, n long, mean double, quality_substituted boolean, quality_old_data boolean")
 
 
 def stream_capture(df: DataFrame, policies: DataFrame) -> DataFrame:
     """Closed episodes above each policy's threshold."""
-    rows = _known(df, "strict").where(F.col("timestamp_mccs").isNotNull()).join(F.broadcast(policies.select("mrid", "threshold")), "mrid")
+    rows = _known(df, "strict").where(F.col("timestamp_mccs").isNotNull()).join(policies.select("mrid", "threshold"), "mrid")
     return _run(rows.select("mrid", "arrival_seq", _us("timestamp_mccs").alias("mccs_us"), "double_value", "threshold"), ["mrid"], machines.capture_step, "mrid string, onset_us long, cleared_us long")
 
 
 def stream_latest_values(df: DataFrame, inputs: DataFrame, names: list[str], max_age_s: float | None, clock: str = "kafka_ts") -> DataFrame:
     """Values of all inputs of a group on each arrival, exact for out-of-order clocks too."""
-    rows = _known(df, "explicit_valid").join(F.broadcast(inputs), "mrid")
+    rows = _known(df, "explicit_valid").join(inputs, "mrid")
     age = -1 if max_age_s is None else round(max_age_s * 1e6)
     rows = rows.select("group", "arrival_seq", "input", _us(clock).alias("clock_us"), "double_value", F.lit(",".join(names)).alias("names"), F.lit(age).cast("long").alias("max_age_us"))
     return _run(rows, ["group"], machines.latest_step, "group string, arrival_seq long, newest_us long, inputs array<double>")
@@ -90,12 +92,21 @@ def stream_latest_values(df: DataFrame, inputs: DataFrame, names: list[str], max
 
 def stream_alarm(df: DataFrame, rules: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """Alarm transitions per rule and mrid. ``initial`` (rule, mrid, state) restores
-    the state from stored alarms, see ``alarm_states``. Rules are a short list."""
+    the state from stored alarms, see ``alarm_states``.
+
+    If ``df`` has a column ``present``, rows where it is not null are changes of
+    the membership of their mrid (see ``alarms.member_events``): a signal is
+    evaluated only while it is a member, and its removal ends an active alarm.
+    """
+    member = F.col("present") if "present" in df.columns else F.lit(None).cast("boolean")
+    df = df.withColumn("_present", member)
     size = lambda c: F.size(F.split(c, ":"))
-    patterns = F.broadcast(rules.withColumn("_n", size("glob")).withColumn("_p", glob_regex(F.col("glob"))))
+    patterns = rules.withColumn("_n", size("glob")).withColumn("_p", glob_regex(F.col("glob")))
     fresh = F.col("received_at") - F.col("timestamp_mccs") <= F.expr("INTERVAL '30' SECOND")
-    rows = _known(df, "strict").where(fresh).withColumn("_n", size("mrid")).join(patterns, "_n").where(F.expr("mrid RLIKE _p"))
-    rows = rows.select("rule", "mrid", "arrival_seq", alarm_key(F.col("rule"), F.col("mrid")).alias("alarm_key"), "topic", "partition", "offset", _us("timestamp_mccs").alias("mccs_us"), "double_value", "threshold", F.lit(False).alias("gone"))
+    counted = df.where(F.col("_present").isNotNull()).unionByName(_known(df.where(F.col("_present").isNull()), "strict").where(fresh))
+    rows = counted.withColumn("_n", size("mrid")).join(patterns, "_n").where(F.expr("mrid RLIKE _p"))
+    rows = rows.select("rule", "mrid", "arrival_seq", alarm_key(F.col("rule"), F.col("mrid")).alias("alarm_key"), "topic", F.col("partition").cast("string").alias("partition"), F.col("offset").cast("string").alias("offset"), F.coalesce(_us("timestamp_mccs"), F.lit(0)).alias("mccs_us"), "double_value", "threshold", F.coalesce(~F.col("_present"), F.lit(False)).alias("gone"), F.coalesce(F.col("_present"), F.lit(False)).alias("joined"), F.lit("present" in df.columns).alias("bound"),
+        (2 * F.col("arrival_seq") + F.when(F.col("_present").isNull(), 1).otherwise(0)).alias("turn"))  # changes of membership before rows of their place
     return _run(rows, ["rule", "mrid"], machines.alarm_step, "alarm_key string, rule string, mrid string, arrival_seq long, mccs_us long, action string, episode_id string, activated_us long", initial)
 
 
@@ -127,35 +138,65 @@ def publish_lfr(output: str, mrid: str, s: lfr.Settings) -> Callable[[DataFrame,
     def publish(cells: DataFrame, batch: int) -> None:
         spark = cells.sparkSession
         pending = lfr.publications(lfr.preferred_frequency(lfr.classify_pmu(cells, s), s), mrid, s)
-        try:
-            sent = spark.read.parquet(output).select("publication_id")
-        except Exception as missing:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            sent = pending.select("publication_id").limit(0)
+        sent = _stored(spark, output, "publication_id string")
         lfr.outbox(pending, sent).write.mode("append").parquet(output)
 
     return publish
 
 
-def extract_sessions(live: DataFrame, output: str) -> Callable[[DataFrame, int], None]:
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that the first batch has yet to write."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def extract_sessions(live: DataFrame, output: str, max_rows: int = sessions.MAX_ROWS) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: validate requests, extract the accepted ones, and write
-    artifacts and evidence. Sessions that have evidence are not made again."""
+    artifacts, evidence and conflicts.
+
+    A request of a known session is a replay if its digest is the same, and
+    otherwise a conflict; of several in one batch the first asked for counts.
+    Artifacts are written first, each session's folder anew, and evidence last:
+    a batch that was broken off in between is simply done again. A session of
+    more than ``max_rows`` rows is FAILED and has no artifact.
+    """
 
     def extract(requests: DataFrame, batch: int) -> None:
         spark = requests.sparkSession
-        checked = sessions.validate_requests(requests.dropDuplicates(["session_id"]))
-        try:
-            checked = checked.join(spark.read.parquet(f"{output}/evidence").select("session_id"), "session_id", "left_anti")
-        except Exception as missing:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-        accepted = checked.where("verdict = 'accepted'")
-        rows = sessions.session_join(live, accepted).withColumn("blob_id", F.concat(F.lit("sessions/"), "session_id"))
-        storage.write_session_artifacts(rows, f"{output}/artifacts/batch={batch}")
-        cover = aggregate.session_coverage(rows, accepted).groupBy("session_id").agg(F.first("status").alias("status"), F.first("total").alias("measurement_count"))
-        rejected = checked.where("verdict = 'rejected'").select("session_id", F.lit("REJECTED").alias("status"), F.lit(0).cast("long").alias("measurement_count"))
-        cover.unionByName(rejected).write.mode("append").parquet(f"{output}/evidence")  # last, so that a repeat finds its work undone
+        full = requests if "metadata" in requests.columns else requests.withColumn("metadata", F.lit(None).cast("array<struct<key: string, value: string>>"))
+        asked = full.withColumn("request_sha256", sessions.request_digest()).dropDuplicates(["session_id", "request_sha256"])
+        first = asked.groupBy("session_id").agg(F.min_by("request_sha256", F.struct("requested_at", "request_sha256")).alias("_first"))
+        held = _stored(spark, f"{output}/evidence", "session_id string, request_sha256 string").withColumnRenamed("request_sha256", "_held")
+        marked = asked.join(first, "session_id").join(held, "session_id", "left")
+        clash = marked.where(F.coalesce("_held", "_first") != F.col("request_sha256"))
+        clash.select("session_id", "request_sha256", F.coalesce("_held", "_first").alias("held_sha256")).write.mode("overwrite").parquet(f"{output}/conflicts/batch={batch}")
+        new = sessions.validate_requests(marked.where(F.col("_held").isNull() & (F.col("request_sha256") == F.col("_first"))).drop("_held", "_first"))
+        accepted = new.where("verdict = 'accepted'")
+        rows = sessions.session_join(live, accepted.drop("metadata", "reasons", "verdict", "request_sha256")).withColumn("blob_id", F.concat(F.lit("sessions/"), "session_id"))
+        cover = aggregate.session_coverage(rows, accepted).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("mrid", "n"))).alias("coverage"), F.first("status").alias("_status"), F.first("total").alias("_total"))
+        path = f"{output}/artifacts/batch={batch}"
+        storage.write_session_artifacts(rows.join(cover.where(F.col("_total") > max_rows), "session_id", "left_anti"), path, again=True)
+        storage.write_empty_artifacts(cover.where("_total = 0"), path)
+        facts = storage.file_facts(spark, path).withColumn("session_id", F.regexp_extract("path", "_session=([^/]+)/", 1))
+        known = new.where("verdict <> 'quarantine'").join(cover, "session_id", "left").join(facts, "session_id", "left")
+        done = (F.col("verdict") == "accepted") & (F.col("_total") <= max_rows)
+        obj = F.struct(
+            F.lit(sessions.BUCKET).alias("bucket"), F.concat(F.lit("sessions/"), "session_id", F.lit("/values.parquet")).alias("object_key"), F.lit(sessions.MEDIA_TYPE).alias("media_type"),
+            F.lit(sessions.VERSION).alias("version"), "byte_length", "sha256",
+        )
+        why = F.when(F.col("verdict") == "rejected", F.substring(F.array_join("reasons", ","), 1, 1024)).when(~done, F.lit("too_many_rows"))
+        evidence = known.select(
+            "session_id", "request_sha256", F.when(F.col("verdict") == "rejected", "REJECTED").when(done, F.col("_status")).otherwise("FAILED").alias("status"),
+            F.when(F.col("verdict") == "rejected", F.concat(F.lit("rejections/"), "session_id", F.lit("/"), "request_sha256")).otherwise(F.concat(F.lit("sessions/"), "session_id")).alias("blob_id"),
+            F.when(done, F.col("mrids")).alias("mrids"), F.when(done, F.col("coverage")).alias("coverage"), F.when(done, F.col("_total")).otherwise(0).cast("long").alias("measurement_count"), why.alias("rejection_reason"),
+            F.when(done, obj).alias("object"), F.when(done, F.col("path")).alias("path"), "started_at", "ended_at", "requested_at",
+            F.greatest("requested_at", F.current_timestamp().cast("timestamp_ntz")).alias("finalized_at"),
+        )
+        evidence.write.mode("append").parquet(f"{output}/evidence")
 
     return extract
 
@@ -167,8 +208,18 @@ def run_to_end(df: DataFrame, output: str, each: Callable[[DataFrame, int], None
     query.awaitTermination()
 
 
-def replayed(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """A stored table as a stream of its files."""
+def replayed(spark: SparkSession, df: DataFrame, name: str, order: str | None = None, files: int = 32) -> DataFrame:
+    """A stored table as a stream of its files, ``files`` of them in a micro-batch.
+
+    With ``order`` the files hold ranges of that column and are read in its
+    order, so keyed state may go on from one micro-batch to the next; a file
+    has at most 100,000 rows.
+    """
     path = storage.scratch(spark, name)
-    df.write.parquet(path)
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    if order is None:
+        df.write.parquet(path)
+        return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(n, order).sortWithinPartitions(order).write.option("maxRecordsPerFile", 100_000).parquet(path)
+    storage.date_in_order(spark, path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)

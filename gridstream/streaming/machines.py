@@ -70,10 +70,17 @@ EPISODES = uuid.UUID("f5d55f94-655f-5460-a315-f56a8a891007")
 
 
 def alarm_step(state: State, row: Any, key: tuple) -> list[dict]:
-    """Transitions of one rule and mrid; a removal clears but keeps the watermark."""
-    base = {"alarm_key": row.alarm_key, "rule": key[0], "mrid": key[1], "arrival_seq": row.arrival_seq, "mccs_us": row.mccs_us}
+    """Transitions of one rule and mrid; a removal clears but keeps the watermark.
+    Where ``bound``, rows count only between joining and removal."""
+    base = {"alarm_key": row.alarm_key, "rule": key[0], "mrid": key[1], "arrival_seq": row.arrival_seq, "mccs_us": None if row.gone else row.mccs_us}
     active = state.get("episode")
+    if getattr(row, "joined", False):
+        state["member"] = True
+        return []
+    if getattr(row, "bound", False) and not row.gone and not state.get("member"):
+        return []
     if row.gone:
+        state.pop("member", None)
         state.pop("episode", None)
         return [base | {"action": "clear", "episode_id": active[0], "activated_us": active[1]}] if active else []
     if row.mccs_us <= state.get("watermark", -math.inf):

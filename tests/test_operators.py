@@ -203,3 +203,72 @@ def test_request_metadata_is_bounded_and_sorted(spark):
         row = request_checks.validate_requests(spark.sql(f"{base}, {pairs(keys)} AS metadata")).first()
         assert row.reasons == want and row.verdict == ("rejected" if want else "accepted")
     assert request_checks.validate_requests(spark.sql(base)).first().verdict == "accepted"
+
+
+def test_alarms_of_members_only(spark):
+    rows = measures(spark, [("urn:a:f", 0, 60), ("urn:a:f", 1, 60), ("urn:a:f", 2, 60), ("urn:a:f", 3, 70), ("urn:a:f", 4, 70), ("urn:b:f", 5, 70)])
+    log = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("a", None, 3), ("a", None, 4), ("a", "z", 4), ("c", None, 5)], "source string, value string, arrival_seq long")
+    changes = alarms.member_events(log.where("NOT (arrival_seq = 4 AND value IS NULL)"), F.array(F.concat(F.lit("urn:"), "source", F.lit(":f"))))
+    out = alarms.member_transitions(alarms.alarm_observations(rows, rule(spark)), changes, rule(spark)).orderBy("arrival_seq").collect()
+    assert [(r.arrival_seq, r.action) for r in out] == [(1, "activate"), (2, "refresh"), (3, "clear"), (4, "activate")]
+    current = spark.createDataFrame([("urn:a:f", "e1"), ("urn:b:f", "e2")], "mrid string, episode_id string")
+    assert [r.episode_id for r in alarms.stale_alarms(current, changes.where("present")).collect()] == ["e2"]
+
+
+def test_sessions_are_restartable(spark, tmp_path):
+    from gridstream.streaming import jobs
+
+    sid = lambda k: str(uuid.UUID(int=(k << 80) | (5 << 76) | (8 << 60)))
+    ask = lambda k, mrids, minutes=60, meta=(): (sid(k), T0 - dt.timedelta(minutes=1), T0 + dt.timedelta(minutes=minutes), T0, mrids, [tuple(x) for x in meta])
+    schema = "session_id string, started_at timestamp_ntz, ended_at timestamp_ntz, requested_at timestamp_ntz, mrids array<string>, metadata array<struct<key: string, value: string>>"
+    live = measures(spark, [("m", k, k) for k in range(6)] + [("n", 1, 2)])
+    batch = spark.createDataFrame([ask(1, ["m", "n"], meta=[("a", "b")]), ask(2, ["m", "o"]), ask(3, ["x"]), ask(4, ["n", "m"]), ask(5, ["m"])], schema)
+    out = f"file://{tmp_path}/s"
+    extract = jobs.extract_sessions(live, out, max_rows=6)
+    work = jobs.storage.file_facts
+    jobs.storage.file_facts = lambda *_: 1 / 0  # broken off after the artifacts
+    try:
+        with pytest.raises(ZeroDivisionError):
+            extract(batch, 0)
+    finally:
+        jobs.storage.file_facts = work
+    extract(batch, 0)
+    extract(batch, 0)  # a repeat
+    extract(spark.createDataFrame([ask(1, ["m"]), ask(5, ["m"]), ask(6, ["n"])], schema), 1)
+    found = sessions.validate_blobmeta(spark.read.parquet(f"{out}/evidence"))
+    got = {r.session_id: r for r in found.collect()}
+    assert found.count() == 6 and {r.session_id for r in spark.read.parquet(f"{out}/conflicts").collect()} == {sid(1)}
+    assert [got[sid(k)].status for k in range(1, 7)] == ["FAILED", "PARTIAL", "PARTIAL", "REJECTED", "COMPLETE", "COMPLETE"]
+    assert got[sid(1)].rejection_reason == "too_many_rows" and got[sid(3)].measurement_count == 0 and got[sid(4)].rejection_reason == "mrids_unsorted"
+    assert all(not r.reasons for r in got.values() if r.status != "FAILED")
+    evidence = spark.read.parquet(f"{out}/evidence").where("object IS NOT NULL").select("blob_id", "session_id", "path", "object.sha256", "object.byte_length", "coverage")
+    uri = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    rows = spark.read.parquet(f"{out}/artifacts").withColumn("path", uri(F.col("_metadata.file_path")))
+    facts = jobs.storage.file_facts(spark, f"{out}/artifacts").withColumn("path", uri(F.col("path")))
+    evidence = evidence.withColumn("path", uri(F.col("path")))
+    assert {tuple(r.reasons) for r in sessions.verify_artifacts(facts, evidence, rows).collect()} == {()}
+    wrong = evidence.withColumn("session_id", F.lit(sid(9)))
+    assert {tuple(r.reasons) for r in sessions.verify_artifacts(facts, wrong, rows).where("path NOT LIKE '%empty%'").collect()} == {("identity",)}
+    spark.read.parquet(f"{out}/artifacts").drop("_session", "batch").withColumn("mrid", F.col("double_value")).write.parquet(f"{out}/odd")
+    faults = {r.format for r in jobs.storage.file_facts(spark, f"{out}/odd").collect()}
+    assert all("type:mrid" in f and "required:blob_id" in f for f in faults)
+
+
+def test_ip_addresses(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(1)
+    texts = ["::", "::1", "1::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "::ffff:10.0.0.1", "1:2:3:4:5:6:1.2.3.4", "2001:db8::1", "10.0.0.1", "10.0.0.256", "01.2.3.4", "1.2.3", "1.2.3.4.", "1:2", "1::2::3", "12345::", "g::", ":", ":::", "", "host", "1:2:3:4:5:6:7:8:9"]
+    texts += ["".join(rng.choice(["1", "ab", ":", ":", "::", "f"]) for _ in range(rng.randrange(2, 12))) for _ in range(300)]
+    texts = [t for t in texts if "%" not in t]
+
+    def known(t):
+        try:
+            return bool(ipaddress.ip_address(t))
+        except ValueError:
+            return False
+
+    df = spark.createDataFrame([(t,) for t in texts], "host string")
+    got = [r[0] for r in df.select(F.col("host").rlike(catalogs.IPV4) | F.col("host").rlike(catalogs.IPV6)).collect()]
+    assert [t for t, g in zip(texts, got, strict=True) if g != known(t)] == []
