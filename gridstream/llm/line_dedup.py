@@ -43,7 +43,8 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     counted = hashed.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n"))
     candidates = frozen(counted.where(F.col("_n") >= min_docs).drop("_n"), "candidate-lines")
     held = frozen(hashed.join(candidates, ["_h", "_g"]), "candidate-places")
-    by_docs = held.groupBy("_h", "_g").agg(F.count_distinct("_id").alias("_n"), F.max("_id").alias("_last"))
+    # distinct first, dealt by all three, so that no task gathers a very common line's documents
+    by_docs = held.select("_h", "_g", "_id").distinct().groupBy("_h", "_g").agg(F.count("_id").alias("_n"), F.max("_id").alias("_last"))
     frequent = frozen(by_docs.where(F.col("_n") >= min_docs).drop("_n"), "frequent-lines")
     hit = held.join(frequent, ["_h", "_g"]).where(~F.col("_id").eqNullSafe(F.col("_last")))
     return hit.groupBy("_id", "_th").agg(F.sort_array(F.collect_set("_pos")).alias("_drop"))
