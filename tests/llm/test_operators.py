@@ -275,6 +275,19 @@ def test_sweep_is_best_fit():
         assert len(fill) <= one_at_a_time(lengths, capacity) + 1
 
 
+def test_the_plan_does_not_grow_with_the_pieces():
+    rng = random.Random(23)
+    shape = {x: rng.random() ** 4 for x in range(1, 2049)}
+    sizes = []
+    for n in (10**3, 10**6, 10**9, 10**12):
+        counts = {x: max(1, int(w * n)) for x, w in shape.items()}
+        plan = packing.sweep(counts)
+        placed, last = sum(x[2] for x in plan), max(x[3] + x[2] for x in plan)
+        assert placed == sum(counts.values()) and last <= 1.01 * (sum(x * c for x, c in counts.items()) / 2048 + 2048)
+        sizes.append(len(plan))
+    assert max(sizes) < 3 * 2048 * 10 and sizes[-1] < 2 * sizes[1]
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 64, 1000, 4097])
 def test_permutation(n):
     x = np.arange(n)
