@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstream.functions.columns import EPISODE_NAMESPACE, finite, numeric_value, uuid5
+from gridstream.functions.running import with_running
 from gridstream.operators.qualify import quality_ok
 from gridstream.schema import QUALITY
 
@@ -30,8 +31,7 @@ def second_mean_export(df: DataFrame, mapping: DataFrame) -> DataFrame:
     """
     ok = quality_ok("explicit_valid") & (F.col("value_type") == "double") & finite(F.col("double_value")) & F.col("kafka_key").eqNullSafe(F.col("mrid")) & F.col("timestamp_field").isNotNull()
     rows = df.where(ok).join(mapping, "mrid").withColumn("second", second_of("timestamp_field"))
-    before = Window.partitionBy("mrid").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, -1)
-    kept = rows.withColumn("_run", F.max("second").over(before)).where(F.col("_run").isNull() | (F.col("second") >= F.col("_run")))
+    kept = with_running(rows, ["mrid"], "arrival_seq", _run=("max_before", F.col("second"))).where(F.col("_run").isNull() | (F.col("second") >= F.col("_run")))
     flags = [F.bool_or(F.coalesce(q, F.lit(False))).alias(q) for q in QUALITY[1:]]
     cells = kept.groupBy("mrid", "second", *[c for c in mapping.columns if c != "mrid"]).agg(exact_mean(F.collect_list("double_value")).alias("mean"), F.count(F.lit(1)).alias("n"), *flags)
     closed = cells.withColumn("_newest", F.max("second").over(Window.partitionBy("mrid"))).where(F.col("second") < F.col("_newest")).drop("_newest")

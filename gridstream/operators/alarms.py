@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstream.functions.columns import EPISODE_NAMESPACE, SESSION_NAMESPACE, alarm_key, canonical_json, finite, summary, uuid5
+from gridstream.functions.running import with_running
 from gridstream.operators.qualify import match_mrid_glob, quality_ok
+from gridstream.sources.storage import frozen
 
 COMPARE = {
     "gt": (lambda v, t: v > t, "greater than"),
@@ -26,14 +28,13 @@ def membership_join(df: DataFrame, intervals: DataFrame, key: str = "source", or
     """Rows with the membership that held when they arrived: equal key, order inside the interval.
 
     At most one interval matches a row, so each side is merged into one ordered
-    stream per key and the newest interval start is carried forward; no pairs
-    of rows and intervals are formed.
+    stream per key and the newest interval start is carried forward, from one
+    bucket of arrivals to the next; no pairs of rows and intervals are formed.
     """
     columns = [c for c in df.columns]
     starts = intervals.select(F.col(key), F.col("valid_from").alias("_o"), F.lit(0).alias("_side"), F.struct("value", "valid_from", "valid_to").alias("_m"), F.lit(None).cast(df.select(F.struct(*columns)).schema[0].dataType).alias("_r"))
     rows = df.select(F.col(key), F.col(order).alias("_o"), F.lit(1).alias("_side"), F.lit(None).cast(starts.schema["_m"].dataType).alias("_m"), F.struct(*columns).alias("_r"))
-    w = Window.partitionBy(key).orderBy("_o", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = starts.unionByName(rows).withColumn("_m", F.last("_m", ignorenulls=True).over(w))
+    both = with_running(starts.unionByName(rows).withColumn("_turn", 2 * F.col("_o") + F.col("_side")), [key], "_turn", _member=("last", F.col("_m"))).drop("_m").withColumnRenamed("_member", "_m")
     inside = F.col("_m").isNotNull() & (F.col("_m.valid_to").isNull() | (F.col("_o") < F.col("_m.valid_to")))
     return both.where((F.col("_side") == 1) & inside).select("_r.*", F.col("_m.value").alias("member_value"), F.col("_m.valid_from").alias("member_from"))
 
@@ -48,9 +49,8 @@ def membership_changes(log: DataFrame, key: str = "source", order: str = "arriva
 
 def member_events(log: DataFrame, signals: Column, order: str = "arrival_seq") -> DataFrame:
     """Additions and removals of signals (mrid, order, present): where the presence of
-    a signal in a change log of sources changes. ``signals`` lists a source's mrids."""
-    listed = log.select(F.explode(signals).alias("mrid"), order, "value")
-    return membership_changes(listed, "mrid", order).select("mrid", order, (F.col("change") == "added").alias("present"))
+    their source in a change log changes. ``signals`` lists the mrids of a ``source``."""
+    return membership_changes(log, "source", order).select(F.explode(signals).alias("mrid"), order, (F.col("change") == "added").alias("present"))
 
 
 def union_events(*logs: DataFrame) -> DataFrame:
@@ -74,33 +74,39 @@ def alarm_transitions(observations: DataFrame, removals: DataFrame | None = None
 
     A row counts only if newer than every earlier counted row of its key. A
     removal (rule, mrid, arrival_seq) ends an active alarm and keeps the
-    watermark. All windows share one order, so there is one sort.
+    watermark. Work is spread over keys and buckets of arrivals; the counted rows
+    are stored once on the way.
     """
     beyond, words = COMPARE[compare]
     events = observations.withColumn("_gone", F.lit(False))
     if removals is not None:
         events = union_events(events, removals.withColumn("_gone", F.lit(True)))
-    w = Window.partitionBy("rule", "mrid").orderBy("arrival_seq")
-    seen = F.max(F.when(~F.col("_gone"), F.col("timestamp_mccs"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    kept = events.withColumn("_seen", seen).where(F.col("_gone") | F.col("_seen").isNull() | (F.col("timestamp_mccs") > F.col("_seen")))
+    keys = ["rule", "mrid"]
+    needed = ["rule", "severity", "mrid", "arrival_seq", "timestamp_mccs", "received_at", "double_value", "threshold", "topic", "partition", "offset", "_gone"]
+    newer = with_running(events.select(needed), keys, "arrival_seq", _seen=("max_before", F.when(~F.col("_gone"), F.col("timestamp_mccs"))))
+    kept = newer.where(F.col("_gone") | F.col("_seen").isNull() | (F.col("timestamp_mccs") > F.col("_seen")))
     above = ~F.col("_gone") & beyond(F.col("double_value"), F.col("threshold"))
-    marked = kept.withColumn("above", above).withColumn("_was", F.coalesce(F.lag("above").over(w), F.lit(False)))
+    kept = frozen(kept.drop("_seen"), "alarm-rows")
+    marked = with_running(kept.withColumn("above", above), keys, "arrival_seq", _was=("last_before", F.col("above"))).withColumn("_was", F.coalesce("_was", F.lit(False)))
     action = F.when(F.col("above") & ~F.col("_was"), "activate").when(F.col("above"), "refresh").when(F.col("_was"), "clear").when(~F.col("_gone"), "evaluate")
     acted = marked.withColumn("action", action).where(F.col("action").isNotNull())
     key = alarm_key(F.col("rule"), F.col("mrid"))
-    opened = F.when(F.col("action") == "activate", F.struct(F.col("timestamp_mccs").alias("activated_at"), uuid5(EPISODE_NAMESPACE, canonical_json(key, F.col("topic"), F.col("partition"), F.col("offset"))).alias("episode_id")))
-    run = F.last(opened, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = acted.withColumn("_e", F.when(F.col("action") != "evaluate", run)).withColumn("alarm_key", key)
+    opened = F.when(F.col("action") == "activate", F.struct(F.col("timestamp_mccs").alias("activated_at"), "topic", "partition", "offset"))
+    run = with_running(acted, keys, "arrival_seq", _run=("last", opened)).withColumn("_e", F.when(F.col("action") != "evaluate", F.col("_run"))).withColumn("alarm_key", key)
+    episode = F.when(F.col("_e").isNotNull(), uuid5(EPISODE_NAMESPACE, canonical_json(F.col("alarm_key"), F.col("_e.topic"), F.col("_e.partition"), F.col("_e.offset"))))
+    out = run.withColumn("episode_id", episode)
     text = F.when(F.col("above"), summary(F.col("double_value"), F.col("threshold"), words))
-    return out.select("alarm_key", "rule", "severity", "mrid", "arrival_seq", "timestamp_mccs", "received_at", "double_value", "threshold", "action", "_e.episode_id", "_e.activated_at", text.alias("summary"))
+    return out.select("alarm_key", "rule", "severity", "mrid", "arrival_seq", "timestamp_mccs", "received_at", "double_value", "threshold", "action", "episode_id", "_e.activated_at", text.alias("summary"))
 
 
 def member_transitions(observations: DataFrame, members: DataFrame, rules: DataFrame, compare: str = "gt") -> DataFrame:
     """``alarm_transitions`` of signals while they are members; a removal ends an
     active alarm. members: mrid, arrival_seq, present (see ``member_events``)."""
-    changes = members.select("mrid", F.when(F.col("present"), F.lit("in")).alias("value"), "arrival_seq")
-    inside = membership_join(observations, membership_intervals(changes, "mrid"), "mrid").drop("member_value", "member_from")
-    gone = match_mrid_glob(members.where(~F.col("present")).select("mrid", "arrival_seq"), rules).select("rule", "mrid", "arrival_seq")
+    watched = match_mrid_glob(members.select("mrid", "arrival_seq", "present"), rules).select("rule", "mrid", "arrival_seq", "present")
+    changes = watched.select("mrid", F.when(F.col("present"), F.lit("in")).alias("value"), "arrival_seq")
+    narrow = frozen(observations.select("rule", "severity", "mrid", "arrival_seq", "timestamp_mccs", "received_at", "double_value", "threshold", "topic", "partition", "offset"), "observations")
+    inside = membership_join(narrow, membership_intervals(changes, "mrid"), "mrid").drop("member_value", "member_from")
+    gone = watched.where(~F.col("present")).select("rule", "mrid", "arrival_seq")
     return alarm_transitions(inside, gone, compare)
 
 
@@ -140,12 +146,11 @@ def capture_episodes(df: DataFrame, policies: DataFrame, pad_s: int = 10, longes
     """
     ok = quality_ok("strict") & (F.col("value_type") == "double") & finite(F.col("double_value")) & F.col("kafka_key").eqNullSafe(F.col("mrid")) & F.col("timestamp_mccs").isNotNull()
     rows = df.where(ok).join(policies, "mrid")
-    w = Window.partitionBy("mrid").orderBy("arrival_seq")
-    back = w.rowsBetween(Window.unboundedPreceding, -1)
-    kept = rows.withColumn("_seen", F.max("timestamp_mccs").over(back)).where(F.col("_seen").isNull() | (F.col("timestamp_mccs") > F.col("_seen")))
-    marked = kept.withColumn("above", F.col("double_value") > F.col("threshold")).withColumn("_was", F.coalesce(F.lag("above").over(w), F.lit(False)))
-    onset = F.last(F.when(F.col("above") & ~F.col("_was"), F.col("timestamp_mccs")), ignorenulls=True).over(back)
-    ended = marked.withColumn("onset", onset).where(~F.col("above") & F.col("_was"))
+    newer = with_running(rows.select("mrid", "arrival_seq", "timestamp_mccs", "double_value", "threshold", "mrids"), ["mrid"], "arrival_seq", _seen=("max_before", F.col("timestamp_mccs")))
+    kept = frozen(newer.where(F.col("_seen").isNull() | (F.col("timestamp_mccs") > F.col("_seen"))).drop("_seen"), "capture-rows")
+    marked = with_running(kept.withColumn("above", F.col("double_value") > F.col("threshold")), ["mrid"], "arrival_seq", _was=("last_before", F.col("above"))).withColumn("_was", F.coalesce("_was", F.lit(False)))
+    changed = marked.where(F.col("above") != F.col("_was"))
+    ended = with_running(changed, ["mrid"], "arrival_seq", onset=("last_before", F.when(F.col("above"), F.col("timestamp_mccs")))).where(~F.col("above"))
     pad = F.expr(f"INTERVAL '{pad_s}' SECOND")
     out = ended.select("mrid", "arrival_seq", "onset", F.col("timestamp_mccs").alias("cleared_at"), (F.col("onset") - pad).alias("started_at"), (F.col("timestamp_mccs") + pad).alias("ended_at"), F.col("timestamp_mccs").alias("requested_at"), "mrids")
     text = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
@@ -162,9 +167,8 @@ def latest_values_join(df: DataFrame, inputs: DataFrame, calculation: Column, na
     Exact for a clock that does not run backwards; the stateful form covers the rest.
     """
     rows = df.join(inputs, "mrid")
-    w = Window.partitionBy("group").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, 0)
-    for n in names:
-        rows = rows.withColumn(f"_{n}", F.last(F.when(F.col("input") == n, F.struct(F.col("double_value").alias("v"), F.col(ts).alias("t"))), ignorenulls=True).over(w))
+    newest_of = {f"_{n}": ("last", F.when(F.col("input") == n, F.struct(F.col("double_value").alias("v"), F.col(ts).alias("t")))) for n in names}
+    rows = with_running(rows, ["group"], "arrival_seq", **newest_of)
     known = F.lit(True)
     for n in names:
         known = known & F.col(f"_{n}").isNotNull()
@@ -184,9 +188,8 @@ def pair_product(df: DataFrame, phases: DataFrame) -> DataFrame:
     either arrival, with no age limit and no finite check. phases: mrid, group, input."""
     ok = df.where(quality_ok("explicit_valid") & F.col("double_value").isNotNull() & F.col("kafka_key").eqNullSafe(F.col("mrid")))
     rows = ok.join(phases, "mrid")
-    w = Window.partitionBy("group").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda n: F.last(F.when(F.col("input") == n, F.col("double_value")), ignorenulls=True).over(w)
-    return rows.withColumn("voltage", last("voltage")).withColumn("current", last("current")).where(F.col("voltage").isNotNull() & F.col("current").isNotNull()).withColumn("value", F.col("voltage") * F.col("current"))
+    last = lambda n: ("last", F.when(F.col("input") == n, F.col("double_value")))
+    return with_running(rows, ["group"], "arrival_seq", voltage=last("voltage"), current=last("current")).where(F.col("voltage").isNotNull() & F.col("current").isNotNull()).withColumn("value", F.col("voltage") * F.col("current"))
 
 
 def formula(df: DataFrame, source: str, target: str, calculation: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstream.functions.columns import finite, reasons
+from gridstream.functions.running import with_running
 from gridstream.schema import FLAGS, QUALITY, VALUE_COLUMNS
 
 
@@ -103,8 +104,7 @@ def freshness_filter(df: DataFrame, max_age_s: float = 30, now: str = "received_
 
 def newer_only(df: DataFrame, keys: list[str], ts: str = "timestamp_mccs", order: str = "arrival_seq") -> DataFrame:
     """Rows strictly newer than every earlier row of their key. Rows without a time go."""
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = df.where(F.col(ts).isNotNull()).withColumn("_seen", F.max(ts).over(before))
+    seen = with_running(df.where(F.col(ts).isNotNull()), keys, order, _seen=("max_before", F.col(ts)))
     return seen.where(F.col("_seen").isNull() | (F.col(ts) > F.col("_seen"))).drop("_seen")
 
 

@@ -36,6 +36,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def frozen(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read again, where several steps
+    after one another each read their input twice."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_live_store(df: DataFrame, path: str, max_rows: int = 10_000_000, ts: str = "timestamp_mccs") -> None:
     """Append without roll-up in hourly folders, files of at most ``max_rows`` rows."""
     hour = F.date_format(F.col(ts), "yyyy-MM-dd-HH")

@@ -272,3 +272,31 @@ def test_ip_addresses(spark):
     df = spark.createDataFrame([(t,) for t in texts], "host string")
     got = [r[0] for r in df.select(F.col("host").rlike(catalogs.IPV4) | F.col("host").rlike(catalogs.IPV6)).collect()]
     assert [t for t, g in zip(texts, got, strict=True) if g != known(t)] == []
+
+
+@pytest.mark.parametrize("width", [1, 7, 1 << 20])
+def test_running_values_in_buckets(spark, width):
+    from gridstream.functions.running import with_running
+
+    rng = random.Random(width)
+    rows = [(rng.choice("ab"), k, rng.choice([None, rng.randrange(100)])) for k in range(200)]
+    df = spark.createDataFrame(rows, "key string, seq long, v int").repartition(3)
+    got = with_running(df, ["key"], "seq", width, top=("max_before", F.col("v")), was=("last_before", F.col("v")), now=("last", F.col("v"))).collect()
+    want = []
+    for key, seq, v in rows:
+        before = [x for k, s, x in rows if k == key and s < seq and x is not None]
+        want.append((key, seq, v, max(before, default=None), before[-1] if before else None, v if v is not None else (before[-1] if before else None)))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_alarms_do_not_depend_on_buckets(spark, monkeypatch):
+    from gridstream.functions import running
+
+    rng = random.Random(3)
+    rows = measures(spark, [("urn:a:f", k + rng.randrange(-3, 3), rng.choice([50, 60])) for k in range(120)])
+    log = spark.createDataFrame([(f"urn:a:f", k % 3 > 0, 7 * k) for k in range(18)], "mrid string, present boolean, arrival_seq long")
+    found = []
+    for width in (1 << 20, 5):
+        monkeypatch.setattr(running, "WIDTH", width)
+        found.append(sorted(map(repr, alarms.member_transitions(alarms.alarm_observations(rows, rule(spark)), log, rule(spark)).collect())))
+    assert found[0] == found[1] and len(found[0]) > 20
