@@ -48,20 +48,15 @@ def initial(classes: int, seed: int) -> Params:
     }
 
 
-def soft(a: np.ndarray) -> np.ndarray:
-    """The activation x / (1 + |x|), in place; a gate is its half plus 1/2. It
-    bends like tanh and costs a fraction of it over every byte of a corpus."""
-    size = np.abs(a)
-    size += 1
-    np.divide(a, size, out=a)
+def gate(a: np.ndarray) -> np.ndarray:
+    """The logistic function, in place."""
+    a *= 0.5
+    np.tanh(a, out=a)
+    a += 1
+    a *= 0.5
     return a
 
 
-def slope(y: np.ndarray) -> np.ndarray:
-    """Derivative of ``soft`` where its value is y."""
-    return (1 - np.abs(y)) ** 2
-
-
 def run(p: Params, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
     """States (step, row, 2 * HIDDEN) of byte windows; keep: also each step's gates."""
     h, (rows, width) = HIDDEN, x.shape
@@ -74,12 +69,10 @@ def run(p: Params, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]
         table[1].take(columns[width - 1 - t], axis=0, out=into[1], mode="clip")
         gates = state @ p["u_gates"]
         gates += into[..., : 2 * h]
-        soft(gates)
-        gates += 1
-        gates *= 0.5
+        gate(gates)
         update, reset = gates[..., :h], gates[..., h:]
         inner = state @ p["u_new"]
-        new = soft(into[..., 2 * h :] + reset * inner)
+        new = np.tanh(into[..., 2 * h :] + reset * inner)
         if keep:
             tape.append((state, update, reset, inner, new))
         state = new + update * (state - new)
@@ -122,9 +115,9 @@ def gradients(p: Params, x: np.ndarray, y: np.ndarray) -> tuple[float, Params]:
         state, update, reset, inner, new = tape[t]
         back[0] += above[t, :, :h]
         back[1] += above[width - 1 - t, :, h:]
-        d_new = back * (1 - update) * slope(new)
-        d_update = back * (state - new) * 0.5 * slope(2 * update - 1)
-        d_reset = d_new * inner * 0.5 * slope(2 * reset - 1)
+        d_new = back * (1 - update) * (1 - new * new)
+        d_update = back * (state - new) * update * (1 - update)
+        d_reset = d_new * inner * reset * (1 - reset)
         d_inner = d_new * reset
         d_gates = np.concatenate([d_update, d_reset], axis=2)
         into[t] = np.concatenate([d_gates, d_new], axis=2)

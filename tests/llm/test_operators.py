@@ -739,11 +739,12 @@ def test_gradient_through_time():
     x, y = rng.integers(1, 255, (5, 64)).astype(np.uint8), rng.integers(0, 3, 5)
     _, g = langid.gradients(p, x, y)
     for k in p:
-        at = np.unravel_index(np.argmax(np.abs(g[k])), g[k].shape)
-        a, b = {**p, k: p[k].copy()}, {**p, k: p[k].copy()}
-        a[k][at] += 1e-2
-        b[k][at] -= 1e-2
-        assert abs((langid.gradients(a, x, y)[0] - langid.gradients(b, x, y)[0]) / 2e-2 - g[k][at]) < 0.02 * abs(g[k][at]) + 1e-5
+        for flat in np.argsort(-np.abs(g[k]), axis=None)[:8]:
+            at = np.unravel_index(flat, g[k].shape)
+            a, b = {**p, k: p[k].copy()}, {**p, k: p[k].copy()}
+            a[k][at] += 1e-2
+            b[k][at] -= 1e-2
+            assert abs((langid.gradients(a, x, y)[0] - langid.gradients(b, x, y)[0]) / 2e-2 - g[k][at]) < 0.02 * abs(g[k][at]) + 1e-5
 
 
 def test_windows_cover_every_byte():
