@@ -59,13 +59,13 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def frozen(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+def frozen(df: DataFrame, name: str, level: int = 3, page: int = 1 << 20) -> DataFrame:
     """Write a table to the shared folder and read it back: the lineage is cut
     and values that depend on the partitioning cannot change any more. ``level``
-    is how hard zstd tries."""
+    is how hard zstd tries, ``page`` the bytes it sees at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
+    df.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": str(level), "parquet.page.size": str(page)}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -109,7 +109,7 @@ def with_slots(rows: DataFrame, key: int) -> DataFrame:
     """Store the rows, number them densely, and add ``slot``, the permuted number.
     Rows are told apart by their place, so repeated ones get a slot each; input
     columns named ``slot``, ``_mid`` or ``_index`` are replaced. An empty table gives none."""
-    kept = frozen(rows.withColumn("_mid", F.monotonically_increasing_id()), "sequences", level=6)
+    kept = frozen(rows.withColumn("_mid", F.monotonically_increasing_id()), "sequences", level=9, page=8 << 20)
     n = kept.count()
 
     @F.pandas_udf("long")
