@@ -19,7 +19,7 @@ from gridstream import cluster
 
 BATCH = 1000  # rows that a task hands to Python at a time: texts may be long
 
-__all__ = ["frozen", "give_back", "row_key", "same_row", "shared_dir", "ship", "table", "with_dense_index", "with_global_rank"]
+__all__ = ["frozen", "give_back", "packed", "row_key", "same_row", "shared_dir", "ship", "table", "unpacked", "with_dense_index", "with_global_rank"]
 
 
 def ship(spark: SparkSession) -> None:
@@ -100,6 +100,19 @@ def with_dense_index(df: DataFrame, mid: str, index: str) -> DataFrame:
     )
 
 
+def packed(df: DataFrame, replaced: list[str], **own: Column) -> DataFrame:
+    """The user's columns but the replaced ones as one struct ``row``, beside an
+    operator's own columns: whatever the user's are called, no names clash."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in replaced]
+    return df.select(F.struct(*(kept or [F.lit(0).alias("_none")])).alias("row"), *[c.alias(n) for n, c in own.items()])
+
+
+def unpacked(df: DataFrame, *results: str | Column) -> DataFrame:
+    """The user's columns again, with an operator's results after them."""
+    out = df.select("row.*", *results)
+    return out.drop("_none") if df.schema["row"].dataType.names == ["_none"] else out
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """Columns that tell the rows of a document table apart. Rows that agree in
     them hold the same id and text, so decisions on them agree too."""

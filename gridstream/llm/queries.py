@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstream.llm import fm_index, html_lines, importance, langid, line_dedup, media, oracles, packing, sentence_spans, simhash, training_order
+from gridstream.llm import fm_index, html_lines, importance, infilling, langid, line_dedup, media, oracles, packing, sentence_spans, simhash, training_order
 from gridstream.llm.common import frozen, shared_dir, table
 
 
@@ -98,6 +98,13 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(docs, tokenizer_path()))
 
 
+def op11_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut into prefix, middle and suffix by its id, put together anew, and rebuilt."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = frozen(infilling.framed(docs), "framed-texts", level=1)
+    return infilling.digested(infilling.infilled(stored))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_lines": op1_html_lines,
     "op2_media": op2_media,
@@ -109,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_best_fit": op9_best_fit,
     "op10_langid": op10_langid,
+    "op11_infilling": op11_infilling,
 }
 
 ORACLES: dict[str, str] = oracles.ORACLES
