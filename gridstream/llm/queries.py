@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstream.llm import fm_index, html_lines, importance, infilling, langid, line_dedup, media, oracles, packing, sentence_spans, simhash, spelling, training_order
+from gridstream.llm import fm_index, html_lines, importance, infilling, jaccard, langid, line_dedup, media, oracles, packing, sentence_spans, simhash, spelling, training_order
 from gridstream.llm.common import frozen, shared_dir, table
 
 
@@ -105,6 +105,12 @@ def op11_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infilling.digested(infilling.infilled(stored))
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of shingles and component of every text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.similar_sets(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of all texts with their near words, forms and roots."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -123,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit": op9_best_fit,
     "op10_langid": op10_langid,
     "op11_infilling": op11_infilling,
+    "op12_jaccard": op12_jaccard,
     "op13_spelling": op13_spelling,
 }
 
