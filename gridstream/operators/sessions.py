@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridstream.functions.columns import canonical_uuid, reasons
+from gridstream.functions.intervals import interval_join, micros
 
 MAX_MRIDS, MAX_HOURS, MAX_METADATA, MAX_TEXT = 32, 24, 32, 256
 MAX_ROWS = 5_000_000
@@ -16,6 +17,7 @@ BUCKET = "measurement-sessions"
 MEDIA_TYPE = "application/vnd.apache.parquet"
 VERSION = 2
 MAX_OBJECT = 4 << 30
+MAX_EVIDENCE = 32 << 10  # bytes
 
 
 def sorted_unique(items: Column) -> Column:
@@ -23,17 +25,48 @@ def sorted_unique(items: Column) -> Column:
     return (F.array_sort(F.array_distinct(items)) == items)
 
 
+def blob_id() -> Column:
+    """Identity of a materialized session's blob."""
+    return F.concat(F.lit("sessions/"), F.col("session_id"), F.lit("/measurements"))
+
+
+def rejected_id() -> Column:
+    """Identity of a rejected request."""
+    return F.concat(F.lit("rejections/"), F.col("session_id"), F.lit("/"), F.col("request_sha256"))
+
+
+def object_key() -> Column:
+    """Where a session's artifact lies in the bucket."""
+    return F.concat(blob_id(), F.lit(".parquet"))
+
+
+def in_hours(live: DataFrame, intervals: DataFrame, start: str, end: str) -> DataFrame:
+    """Rows of a live store's ``event_hour`` folders that some interval touches.
+
+    The hours are found while the query runs and reach the scan as a filter on
+    its folders. They are at most the hours of the store's time (8,784 short
+    texts a year), which bounds the broadcast. Tables without the column pass as they are.
+    """
+    if "event_hour" not in live.columns:
+        return live
+    hour = F.expr("INTERVAL '1' HOUR")
+    touched = F.sequence(F.date_trunc("hour", F.col(start)).cast("timestamp_ntz"), F.col(end).cast("timestamp_ntz"), hour)
+    hours = intervals.where(F.col(start) < F.col(end)).select(F.explode(touched).alias("h")).select(F.date_format("h", "yyyy-MM-dd-HH").alias("event_hour")).distinct()
+    # Spark only carries a side that filters over to the folders of the other
+    return live.join(F.broadcast(hours.where(F.col("event_hour") > "")), "event_hour", "left_semi")
+
+
 def session_join(df: DataFrame, requests: DataFrame) -> DataFrame:
     """Rows of each request's signals in its half-open interval, bounds cut to milliseconds.
 
-    The join is on the mrid and on the days that an interval touches, so that
-    a long request meets only its own days' rows.
+    See ``interval_join`` for how rows and requests meet, and ``in_hours`` for what is
+    read of a live store. Columns of ``df`` and ``session_id``.
     """
     cut = lambda c: F.date_trunc("millisecond", F.col(c)).cast("timestamp_ntz")
-    wanted = requests.select("session_id", cut("started_at").alias("_from"), cut("ended_at").alias("_to"), F.explode("mrids").alias("mrid"))
-    days = wanted.select("*", F.explode(F.sequence(F.to_date("_from"), F.to_date("_to"))).alias("_day"))
-    rows = df.withColumn("_day", F.to_date("timestamp_mccs")).join(days, ["mrid", "_day"])
-    return rows.where((F.col("timestamp_mccs") >= F.col("_from")) & (F.col("timestamp_mccs") < F.col("_to"))).drop("_day", "_from", "_to")
+    asked = requests.select("session_id", cut("started_at").alias("_from"), cut("ended_at").alias("_to"), "mrids")
+    wanted = asked.select("session_id", "_from", "_to", F.explode("mrids").alias("mrid"))
+    live = in_hours(df, asked, "_from", "_to")
+    return interval_join(live, wanted, "mrid", "timestamp_mccs", "_from", "_to").drop("_from", "_to")
 
 
 def _metadata_reasons(df: DataFrame) -> dict[str, Column]:
@@ -90,16 +123,57 @@ def coverage_audit(blobs: DataFrame, coverage: DataFrame, live: DataFrame) -> Da
     blobs: blob_id, started_at, ended_at. coverage: blob_id, mrid, expected.
     """
     wanted = blobs.join(coverage, "blob_id").select("blob_id", "mrid", "expected", "started_at", "ended_at")
-    days = wanted.select("*", F.explode(F.sequence(F.to_date("started_at"), F.to_date("ended_at"))).alias("_day"))
-    rows = live.select("mrid", "timestamp_mccs", F.to_date("timestamp_mccs").alias("_day"))
-    inside = (F.col("timestamp_mccs") >= F.col("started_at")) & (F.col("timestamp_mccs") < F.col("ended_at"))
-    found = days.join(rows, ["mrid", "_day"]).where(inside).groupBy("blob_id", "mrid").agg(F.count(F.lit(1)).alias("actual"))
+    rows = in_hours(live, blobs, "started_at", "ended_at").select("mrid", "timestamp_mccs")
+    spans = wanted.select("blob_id", "mrid", "started_at", "ended_at")
+    found = interval_join(rows, spans, "mrid", "timestamp_mccs", "started_at", "ended_at").groupBy("blob_id", "mrid").agg(F.count(F.lit(1)).alias("actual"))
     out = wanted.join(found, ["blob_id", "mrid"], "left").withColumn("actual", F.coalesce("actual", F.lit(0)).cast("long"))
     return out.select("blob_id", "mrid", "expected", "actual", (F.col("expected") == F.col("actual")).alias("matches"))
 
 
-def validate_blobmeta(df: DataFrame) -> DataFrame:
-    """Add ``reasons``: all breaches of the evidence contract.
+def _varint(n: Column) -> Column:
+    """Bytes of a non-negative number on the wire."""
+    return F.ceil(F.length(F.bin(n)) / 7)
+
+
+def _sized(length: Column) -> Column:
+    """Bytes of a tag, a length and as many bytes."""
+    return 1 + _varint(length) + length
+
+
+def evidence_size(df: DataFrame) -> Column:
+    """Bytes of an evidence row as the message that is published: field numbers are
+    under 16, so a tag is one byte; empty texts and zeros are left out."""
+
+    def text(c: Column) -> Column:
+        n = F.coalesce(F.octet_length(c), F.lit(0))
+        return F.when(n > 0, _sized(n)).otherwise(0)
+
+    def number(c: Column) -> Column:
+        return F.when(c > 0, 1 + _varint(c)).otherwise(0)
+
+    def time(c: str) -> Column:
+        us = micros(F.col(c))
+        seconds = F.floor(us / 1_000_000)
+        own = F.when(seconds < 0, 11).otherwise(number(seconds)) + number(1000 * F.pmod(us, F.lit(1_000_000)))
+        return F.coalesce(_sized(own), F.lit(0))
+
+    def each(items: Column, size) -> Column:
+        return F.aggregate(F.coalesce(items, F.array()), F.lit(0).cast("long"), lambda a, x: a + size(x))
+
+    o = F.col("object")
+    total = text(F.col("blob_id")) + text(F.col("session_id")) + F.lit(34) + text(F.col("rejection_reason")) + number(F.col("measurement_count")) + F.lit(2)
+    for c in ("requested_at", "started_at", "ended_at", "finalized_at"):
+        total = total + time(c)
+    total = total + each(F.col("mrids"), lambda m: _sized(F.octet_length(m))) + each(F.col("coverage"), lambda c: _sized(text(c["mrid"]) + number(c["n"])))
+    if "metadata" in df.columns:
+        pairs = F.map_entries("metadata") if dict(df.dtypes)["metadata"].startswith("map") else F.col("metadata")
+        total = total + each(pairs, lambda m: _sized(text(m["key"]) + text(m["value"])))
+    inner = text(o["bucket"]) + text(o["object_key"]) + text(o["media_type"]) + number(o["byte_length"]) + number(o["version"]) + F.lit(34)
+    return total + F.when(o.isNull(), 0).otherwise(_sized(inner))
+
+
+def validate_blobmeta(df: DataFrame, bucket: str = BUCKET) -> DataFrame:
+    """Add ``reasons``: all breaches of the evidence contract, for artifacts in ``bucket``.
 
     Columns: session_id, blob_id, request_sha256 (hex), status, mrids, coverage
     (array of mrid, n), measurement_count, rejection_reason, object (bucket,
@@ -110,8 +184,9 @@ def validate_blobmeta(df: DataFrame) -> DataFrame:
     o, cov = F.col("object"), F.coalesce(F.col("coverage"), F.array())
     total = F.aggregate(cov, F.lit(0).cast("long"), lambda a, c: a + c["n"])
     missing = F.exists(cov, lambda c: c["n"] == 0)
-    key = F.concat(F.lit("sessions/"), "session_id", F.lit("/values.parquet"))
-    good_object = (o["bucket"] == BUCKET) & (o["object_key"] == key) & (o["media_type"] == MEDIA_TYPE) & (o["version"] == VERSION) & o["byte_length"].between(1, MAX_OBJECT) & (F.length(o["sha256"]) == 64)
+    named = (o["bucket"] == bucket) & (o["object_key"] == object_key()) & (o["media_type"] == MEDIA_TYPE) & (o["version"] == VERSION)
+    good_object = named & o["byte_length"].between(1, MAX_OBJECT) & (F.length(o["sha256"]) == 64)
+    own_length = F.exists("mrids", lambda m: ~F.octet_length(m).between(1, MAX_TEXT))
     text = F.coalesce("rejection_reason", F.lit(""))
     return df.withColumn(
         "reasons",
@@ -121,19 +196,19 @@ def validate_blobmeta(df: DataFrame) -> DataFrame:
             empty_interval=F.col("started_at") >= F.col("ended_at"),
             finalized_early=F.col("finalized_at") < F.col("requested_at"),
             bad_status=~(done | rejected),
-            mrids=done & (~F.size("mrids").between(1, MAX_MRIDS) | ~sorted_unique(F.col("mrids"))),
+            mrids=done & (~F.size("mrids").between(1, MAX_MRIDS) | ~sorted_unique(F.col("mrids")) | own_length),
             coverage_order=done & (F.transform(cov, lambda c: c["mrid"]) != F.col("mrids")),
             count_sum=done & (F.col("measurement_count") != total),
             reason_on_result=done & (text != ""),
             no_object=done & o.isNull(),
             bad_object=done & o.isNotNull() & ~F.coalesce(good_object, F.lit(False)),
-            bad_blob_id=F.when(done, F.col("blob_id") != F.concat(F.lit("sessions/"), "session_id")).when(rejected, F.col("blob_id") != F.concat(F.lit("rejections/"), "session_id", F.lit("/"), "request_sha256")),
+            bad_blob_id=F.when(done, F.col("blob_id") != blob_id()).when(rejected, F.col("blob_id") != rejected_id()),
             unsafe_blob_id=~F.coalesce(F.col("blob_id").rlike(OBJECT_KEY) & ~F.exists(F.split("blob_id", "/"), lambda p: p.isin("", ".", "..")), F.lit(False)),
             complete_with_gap=(F.col("status") == "COMPLETE") & missing,
             partial_without_gap=(F.col("status") == "PARTIAL") & ~missing,
             coverage_on_rejection=rejected & ((F.size(cov) > 0) | (F.coalesce(F.size("mrids"), F.lit(0)) > 0) | (F.col("measurement_count") != 0)),
             reason_length=rejected & ~F.octet_length(text).between(1, 1024),
-            object_on_rejection=rejected & o.isNotNull(), **_metadata_reasons(df),
+            object_on_rejection=rejected & o.isNotNull(), too_large=evidence_size(df) > MAX_EVIDENCE, **_metadata_reasons(df),
         ),
     )
 

@@ -19,7 +19,7 @@ def _accepted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _session_rows(spark: SparkSession, d: str) -> DataFrame:
-    return S.session_join(measurements(spark, d), _accepted(spark, d)).withColumn("blob_id", F.concat(F.lit("sessions/"), "session_id"))
+    return S.session_join(measurements(spark, d), _accepted(spark, d)).withColumn("blob_id", S.blob_id())
 
 
 def o3_live_store(spark: SparkSession, d: str) -> DataFrame:
@@ -83,8 +83,8 @@ def o27_session_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def o28_coverage_audit(spark: SparkSession, d: str) -> DataFrame:
-    requests = _accepted(spark, d).select(F.concat(F.lit("sessions/"), "session_id").alias("blob_id"), "session_id", "started_at", "ended_at", "mrids")
-    cover = A.session_coverage(_session_rows(spark, d), requests).select(F.concat(F.lit("sessions/"), "session_id").alias("blob_id"), "mrid", (F.col("n") + F.when(F.col("mrid").endswith("view"), 1).otherwise(0)).alias("expected"))
+    requests = _accepted(spark, d).select(S.blob_id().alias("blob_id"), "session_id", "started_at", "ended_at", "mrids")
+    cover = A.session_coverage(_session_rows(spark, d), requests).select(S.blob_id().alias("blob_id"), "mrid", (F.col("n") + F.when(F.col("mrid").endswith("view"), 1).otherwise(0)).alias("expected"))
     return S.coverage_audit(requests, cover, measurements(spark, d))
 
 
@@ -127,7 +127,7 @@ def _blobs(spark: SparkSession, d: str) -> DataFrame:
     empty = F.array().cast("array<struct<mrid:string,n:bigint>>")
     coverage = F.when(gone & (k % 7 != 0), empty).otherwise(F.col("cov"))
     total = F.aggregate("coverage", F.lit(0).cast("long"), lambda a, c: a + c["n"])
-    obj = F.struct(F.lit(S.BUCKET).alias("bucket"), F.concat(F.lit("sessions/"), "session_id", F.lit("/values.parquet")).alias("object_key"), F.lit(S.MEDIA_TYPE).alias("media_type"), F.when(k % 23 == 0, 1).otherwise(2).alias("version"), (k % 100).alias("byte_length"), F.col("request_sha256").alias("sha256"))
+    obj = F.struct(F.lit(S.BUCKET).alias("bucket"), S.object_key().alias("object_key"), F.lit(S.MEDIA_TYPE).alias("media_type"), F.when(k % 23 == 0, 1).otherwise(2).alias("version"), (k % 100).alias("byte_length"), F.col("request_sha256").alias("sha256"))
     start = F.col("o_orderdate")
     return (
         o.select("o_orderkey", sid.alias("session_id"), sha.alias("request_sha256"), coverage.alias("coverage"), F.when(gone, "REJECTED").when(k % 3 == 0, "COMPLETE").otherwise("PARTIAL").alias("status"), start.alias("started_at"), (start + F.expr("INTERVAL '1' HOUR")).alias("ended_at"), start.alias("requested_at"), F.when(k % 29 == 0, start - F.expr("INTERVAL '1' HOUR")).otherwise(start).alias("finalized_at"))
@@ -136,7 +136,7 @@ def _blobs(spark: SparkSession, d: str) -> DataFrame:
         .withColumn("rejection_reason", F.when(gone & (k % 5 != 0), "interval").when(k % 31 == 0, "x"))
         .withColumn("metadata", F.when(k % 43 == 0, F.expr("array(named_struct('key', 'b', 'value', 'y'), named_struct('key', 'a', 'value', 'x'))")))
         .withColumn("object", F.when(~gone & (k % 13 != 0), obj))
-        .withColumn("blob_id", F.when(k % 37 == 0, "other").when(k % 41 == 0, F.concat(F.lit("../"), "session_id")).when(gone, F.concat(F.lit("rejections/"), "session_id", F.lit("/"), "request_sha256")).otherwise(F.concat(F.lit("sessions/"), "session_id")))
+        .withColumn("blob_id", F.when(k % 37 == 0, "other").when(k % 41 == 0, F.concat(F.lit("../"), "session_id")).when(gone, S.rejected_id()).otherwise(S.blob_id()))
     )
 
 
@@ -161,7 +161,7 @@ def o36_verify_artifacts(spark: SparkSession, d: str) -> DataFrame:
     files = files.withColumn("path", uri(F.col("path")))
     cover = A.session_coverage(_session_rows(spark, d), _accepted(spark, d)).groupBy("session_id").agg(F.collect_list(F.struct("mrid", (F.col("n") + F.when(F.col("mrid").endswith("03:click"), 1).otherwise(0)).alias("n"))).alias("coverage"))
     named = F.when(F.col("session_id").startswith("0"), F.lit("another")).otherwise(F.col("session_id"))
-    evidence = files.withColumn("session_id", F.regexp_extract("path", "_session=([^/]+)/", 1)).join(cover, "session_id").withColumn("blob_id", F.concat(F.lit("sessions/"), "session_id")).withColumn("session_id", named)
+    evidence = files.withColumn("session_id", F.regexp_extract("path", "_session=([^/]+)/", 1)).join(cover, "session_id").withColumn("blob_id", S.blob_id()).withColumn("session_id", named)
     return S.verify_artifacts(files, evidence, rows).select("blob_id", K.joined_reasons())
 
 
@@ -233,7 +233,7 @@ _B = f"""WITH l0 AS (SELECT l_orderkey, 'urn:part:' || lpad(CAST(l_partkey AS VA
 l AS (SELECT l_orderkey, sum(n)::BIGINT AS total, min(n) AS least, count(*) AS mrids FROM l0 GROUP BY ALL),
 b0 AS (SELECT o_orderkey, o_orderkey % 3 = 2 AS gone, {_OID} AS session_id, sha256(CAST(o_orderkey AS VARCHAR)) AS sha, l.*, o_orderdate FROM orders JOIN l ON l_orderkey = o_orderkey),
 b AS (SELECT *, CASE WHEN gone THEN 'REJECTED' WHEN o_orderkey % 3 = 0 THEN 'COMPLETE' ELSE 'PARTIAL' END AS status, gone AND o_orderkey % 7 <> 0 AS empty, CASE WHEN gone AND o_orderkey % 7 <> 0 THEN 0 ELSE total END + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS measurement_count,
-  CASE WHEN o_orderkey % 37 = 0 THEN 'other' WHEN o_orderkey % 41 = 0 THEN '../' || session_id WHEN gone THEN 'rejections/' || session_id || '/' || sha ELSE 'sessions/' || session_id END AS blob_id FROM b0)"""
+  CASE WHEN o_orderkey % 37 = 0 THEN 'other' WHEN o_orderkey % 41 = 0 THEN '../' || session_id WHEN gone THEN 'rejections/' || session_id || '/' || sha ELSE 'sessions/' || session_id || '/measurements' END AS blob_id FROM b0)"""
 _P = f"{_B}, e AS (SELECT blob_id, o_orderkey, sha256(session_id || status) AS digest, CASE WHEN empty THEN 0 ELSE mrids END AS mrids FROM b), k AS (SELECT *, o_orderkey % 4 = 0 AS known, o_orderkey % 12 = 0 AS clash FROM e WHERE blob_id <> 'other'), x AS (SELECT blob_id, min(digest) AS digest FROM e WHERE blob_id = 'other' GROUP BY blob_id)"
 
 ORACLES = {
@@ -243,7 +243,7 @@ ORACLES = {
     "o7_publish": f"WITH {LOG} SELECT source AS key, count(*) AS records, count(*) FILTER (WHERE value IS NULL) AS tombstones, make_timestamp(max(arrival_seq) * 1000000) AS newest FROM log GROUP BY source",
     "o8_catalog_table": f"WITH {_CAT} SELECT source_id, signal_id, channel, mrid, source_id || '.' || signal_id AS reference FROM c",
     "o27_session_join": f"{_R} SELECT session_id, mrid, arrival_seq, timestamp_mccs FROM s",
-    "o28_coverage_audit": f"{_R} SELECT 'sessions/' || session_id AS blob_id, mrid, n + (mrid LIKE '%view')::INT AS expected, n AS actual, NOT mrid LIKE '%view' AS matches FROM c",
+    "o28_coverage_audit": f"{_R} SELECT 'sessions/' || session_id || '/measurements' AS blob_id, mrid, n + (mrid LIKE '%view')::INT AS expected, n AS actual, NOT mrid LIKE '%view' AS matches FROM c",
     "o30_reconcile_catalog": """WITH p AS (SELECT 'src-' || (p_partkey % 20) AS s, 'sig-' || p_partkey AS g, 'urn:part:' || CASE WHEN p_partkey % 61 = 0 THEN p_partkey + 1 ELSE p_partkey END AS mrid FROM part WHERE p_partkey % 3 <> 0),
 e0 AS (SELECT CASE WHEN p_partkey % 11 = 0 THEN 20 + p_partkey % 5 ELSE p_partkey % 20 END AS n, 'sig-' || p_partkey AS g, 'urn:part:' || p_partkey AS mrid FROM part WHERE p_partkey % 2 = 0),
 e AS (SELECT 'src-' || n AS s, g, mrid, CASE WHEN n % 6 = 4 THEN 'other' ELSE 'grid' END AS cat FROM e0)
@@ -264,7 +264,7 @@ k AS (SELECT *, min(spot) OVER (PARTITION BY source_id) <> max(spot) OVER (PARTI
 SELECT p_partkey, {_why(repeated_source="several", repeated_signal="ns > 1", repeated_channel="nc > 1", repeated_mrid="nm > 1", bad_host="host IN ('host', '10.0.0.260')", bad_port="port = 0", bad_idcode="idcode NOT BETWEEN 1 AND 65535", unknown_quantity="want IS NULL", wrong_unit="unit <> want", selector="CASE selector WHEN 'frequency' THEN channel <> 'FREQ' WHEN 'rocof' THEN channel <> 'DFREQ' WHEN 'phasor' THEN phasor_channel <> channel ELSE true END", selected_quantity="want IS NOT NULL AND NOT CASE selector WHEN 'phasor' THEN quantity IN ('voltage', 'current') ELSE quantity = selector END")} FROM k""",
     "o34_validate_blobmeta": f"""{_B} SELECT o_orderkey, {_why(finalized_early="o_orderkey % 29 = 0", mrids="NOT gone AND mrids > 32", count_sum="NOT gone AND o_orderkey % 11 = 0", reason_on_result="NOT gone AND o_orderkey % 31 = 0", no_object="NOT gone AND o_orderkey % 13 = 0", bad_object="NOT gone AND o_orderkey % 13 <> 0 AND (o_orderkey % 23 = 0 OR o_orderkey % 100 = 0)", bad_blob_id="o_orderkey % 37 = 0 OR o_orderkey % 41 = 0", unsafe_blob_id="o_orderkey % 37 <> 0 AND o_orderkey % 41 = 0", complete_with_gap="status = 'COMPLETE' AND least = 0", partial_without_gap="status = 'PARTIAL' AND least <> 0", coverage_on_rejection="gone AND (NOT empty OR o_orderkey % 11 = 0)", reason_length="gone AND o_orderkey % 5 = 0 AND o_orderkey % 31 <> 0", metadata_unsorted="o_orderkey % 43 = 0")} FROM b""",
     "o35_audit_derived": f"""WITH u AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_tax < 0.005) SELECT 'urn:out:' || p_partkey AS mrid, {_why(not_approved="p_partkey % 9 = 0", kind="p_partkey % 9 <> 0 AND p_partkey % 7 = 0", unit="p_partkey % 9 <> 0 AND p_partkey % 5 = 0", owner="p_partkey % 9 <> 0 AND p_partkey % 4 = 0 AND p_size <> 0", input_as_output="l_partkey IS NOT NULL")} FROM part LEFT JOIN u ON l_partkey = p_partkey""",
-    "o36_verify_artifacts": f"{_R} SELECT 'sessions/' || session_id AS blob_id, {_why(counts="bool_or(mrid LIKE '%03:click')", identity="session_id LIKE '0%'")} FROM c GROUP BY session_id HAVING sum(n) > 0",
+    "o36_verify_artifacts": f"{_R} SELECT 'sessions/' || session_id || '/measurements' AS blob_id, {_why(counts="bool_or(mrid LIKE '%03:click')", identity="session_id LIKE '0%'")} FROM c GROUP BY session_id HAVING sum(n) > 0",
     "o37_catalog_blobmeta": f"{_P} SELECT blob_id, 1 AS n, 'blob' AS kind FROM k WHERE NOT known UNION ALL SELECT blob_id, mrids, 'coverage' FROM k WHERE NOT known AND mrids > 0 UNION ALL SELECT blob_id, 1, 'conflict' FROM k WHERE clash UNION ALL SELECT blob_id, 1, 'conflict' FROM x",
     "o38_register_artifacts": f"{_P} SELECT blob_id, digest, CASE WHEN clash THEN 'conflict' WHEN known THEN 'replay' ELSE 'register' END AS outcome FROM k UNION ALL SELECT blob_id, digest, 'conflict' FROM x",
     "o43_session_coverage": f"{_R} SELECT session_id, mrid, n, sum(n) OVER (PARTITION BY session_id)::BIGINT AS total, CASE WHEN min(n) OVER (PARTITION BY session_id) > 0 THEN 'COMPLETE' ELSE 'PARTIAL' END AS status FROM c",

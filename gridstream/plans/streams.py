@@ -68,9 +68,10 @@ def o74_stream_lfr(spark: SparkSession, d: str) -> DataFrame:
 
 def o77_materialize(spark: SparkSession, d: str) -> DataFrame:
     path = storage.scratch(spark, "sessions")
+    storage.write_live_store(measurements(spark, d), f"{path}-live")
     requests = jobs.replayed(spark, session_requests(spark, d), "requests")
-    jobs.run_to_end(requests, path, jobs.extract_sessions(measurements(spark, d), path))
-    evidence = S.validate_blobmeta(spark.read.parquet(f"{path}/evidence"))
+    jobs.run_to_end(requests, path, jobs.extract_sessions(spark.read.parquet(f"{path}-live"), path))
+    evidence = S.validate_blobmeta(spark.read.schema(jobs.EVIDENCE).parquet(f"{path}/published"))
     return evidence.select("session_id", "status", "measurement_count", "rejection_reason", F.size(F.coalesce("coverage", F.array())).alias("signals"), joined_reasons())
 
 

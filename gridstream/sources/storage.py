@@ -147,6 +147,37 @@ def file_facts(spark: SparkSession, path: str) -> DataFrame:
     return listed.select("path", facts("path").alias("_f")).select("path", "_f.*")
 
 
+def _folder(spark: SparkSession, uri: str) -> tuple:
+    """Spark's own file system and path of a URI."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    store, folder = _folder(spark, f"{path}/_SUCCESS")
+    return store.exists(folder)
+
+
+def remove_files(files: DataFrame) -> None:
+    """Remove the files of a column ``path``, inside tasks; what is gone already is no fault."""
+    from gridstream import cluster
+
+    cluster.ship(files.sparkSession)
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                store, at = _opened(uri)
+                if store.get_file_info(at).type == fs.FileType.File:
+                    store.delete_file(at)
+            yield batch
+
+    files.select("path").mapInArrow(remove, "path string").write.format("noop").mode("overwrite").save()
+
+
 def read_session_values(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Rows of exactly the registered files; folders are not listed."""
     return spark.read.parquet(*paths)

@@ -154,53 +154,94 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def extract_sessions(live: DataFrame, output: str, max_rows: int = sessions.MAX_ROWS) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: validate requests, extract the accepted ones, and write
-    artifacts, evidence and conflicts.
+NO_METADATA = "array<struct<key: string, value: string>>"
+EVIDENCE = (
+    "session_id string, request_sha256 string, status string, blob_id string, mrids array<string>, coverage array<struct<mrid: string, n: bigint>>, "
+    "measurement_count bigint, rejection_reason string, metadata array<struct<key: string, value: string>>, "
+    "object struct<bucket: string, object_key: string, media_type: string, version: int, byte_length: bigint, sha256: string>, path string, "
+    "started_at timestamp_ntz, ended_at timestamp_ntz, requested_at timestamp_ntz, finalized_at timestamp_ntz"
+)
+
+
+def _written_once(df: DataFrame, path: str) -> DataFrame:
+    """What an earlier attempt has written in full, or else the table, written now."""
+    spark = df.sparkSession
+    if not storage.is_complete(spark, path):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-    A request of a known session is a replay if its digest is the same, and
-    otherwise a conflict; of several in one batch the first asked for counts.
-    Artifacts are written first, each session's folder anew, and evidence last:
-    a batch that was broken off in between is simply done again. A session of
-    more than ``max_rows`` rows is FAILED and has no artifact.
+
+def extract_sessions(live: DataFrame, output: str, max_rows: int = sessions.MAX_ROWS, max_bytes: int = sessions.MAX_OBJECT, bucket: str = sessions.BUCKET) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: validate requests, extract the accepted ones, and write
+    per batch artifacts, evidence, what is to be published, and conflicts.
+
+    The live store is read once: a batch's rows are stored before anything else, and
+    coverage and artifacts are made of what was stored, so that a store that grows
+    meanwhile cannot make them differ. All of a batch's output lies in folders of its number and
+    is written anew if the batch is done again, from the same stored rows.
+
+    A session of more than ``max_rows`` rows or ``max_bytes`` bytes is FAILED: it has no artifact
+    (a file that turned out too large is removed), and its next request is a new
+    attempt. A request of a session that has been finished or rejected is a replay if its digest
+    is the same, and its evidence is published again as it was; otherwise it is a
+    conflict. Of several in one batch the first asked for counts.
     """
 
     def extract(requests: DataFrame, batch: int) -> None:
         spark = requests.sparkSession
-        full = requests if "metadata" in requests.columns else requests.withColumn("metadata", F.lit(None).cast("array<struct<key: string, value: string>>"))
+        full = requests if "metadata" in requests.columns else requests.withColumn("metadata", F.lit(None).cast(NO_METADATA))
         asked = full.withColumn("request_sha256", sessions.request_digest()).dropDuplicates(["session_id", "request_sha256"])
         first = asked.groupBy("session_id").agg(F.min_by("request_sha256", F.struct("requested_at", "request_sha256")).alias("_first"))
-        held = _stored(spark, f"{output}/evidence", "session_id string, request_sha256 string").withColumnRenamed("request_sha256", "_held")
+        known = _stored(spark, f"{output}/evidence", f"{EVIDENCE}, batch int").where((F.col("batch") < batch) & (F.col("status") != "FAILED")).drop("batch")
+        held = known.select("session_id", F.col("request_sha256").alias("_held"))
         marked = asked.join(first, "session_id").join(held, "session_id", "left")
         clash = marked.where(F.coalesce("_held", "_first") != F.col("request_sha256"))
         clash.select("session_id", "request_sha256", F.coalesce("_held", "_first").alias("held_sha256")).write.mode("overwrite").parquet(f"{output}/conflicts/batch={batch}")
+
         new = sessions.validate_requests(marked.where(F.col("_held").isNull() & (F.col("request_sha256") == F.col("_first"))).drop("_held", "_first"))
         accepted = new.where("verdict = 'accepted'")
-        rows = sessions.session_join(live, accepted.drop("metadata", "reasons", "verdict", "request_sha256")).withColumn("blob_id", F.concat(F.lit("sessions/"), "session_id"))
-        cover = aggregate.session_coverage(rows, accepted).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("mrid", "n"))).alias("coverage"), F.first("status").alias("_status"), F.first("total").alias("_total"))
+        found = sessions.session_join(live, accepted.select("session_id", "started_at", "ended_at", "mrids"))
+        rows = _written_once(found.withColumn("blob_id", sessions.blob_id()), f"{output}/rows/batch={batch}")
+        coverage = F.array_sort(F.collect_list(F.struct("mrid", "n")))  # a request has at most 32 signals
+        cover = aggregate.session_coverage(rows, accepted).groupBy("session_id").agg(coverage.alias("coverage"), F.first("status").alias("_status"), F.first("total").alias("_total"))
+
         path = f"{output}/artifacts/batch={batch}"
         storage.write_session_artifacts(rows.join(cover.where(F.col("_total") > max_rows), "session_id", "left_anti"), path, again=True)
         storage.write_empty_artifacts(cover.where("_total = 0"), path)
         facts = storage.file_facts(spark, path).withColumn("session_id", F.regexp_extract("path", "_session=([^/]+)/", 1))
-        known = new.where("verdict <> 'quarantine'").join(cover, "session_id", "left").join(facts, "session_id", "left")
-        done = (F.col("verdict") == "accepted") & (F.col("_total") <= max_rows)
-        obj = F.struct(
-            F.lit(sessions.BUCKET).alias("bucket"), F.concat(F.lit("sessions/"), "session_id", F.lit("/values.parquet")).alias("object_key"), F.lit(sessions.MEDIA_TYPE).alias("media_type"),
-            F.lit(sessions.VERSION).alias("version"), "byte_length", "sha256",
-        )
-        why = F.when(F.col("verdict") == "rejected", F.substring(F.array_join("reasons", ","), 1, 1024)).when(~done, F.lit("too_many_rows"))
-        evidence = known.select(
-            "session_id", "request_sha256", F.when(F.col("verdict") == "rejected", "REJECTED").when(done, F.col("_status")).otherwise("FAILED").alias("status"),
-            F.when(F.col("verdict") == "rejected", F.concat(F.lit("rejections/"), "session_id", F.lit("/"), "request_sha256")).otherwise(F.concat(F.lit("sessions/"), "session_id")).alias("blob_id"),
-            F.when(done, F.col("mrids")).alias("mrids"), F.when(done, F.col("coverage")).alias("coverage"), F.when(done, F.col("_total")).otherwise(0).cast("long").alias("measurement_count"), why.alias("rejection_reason"),
-            F.when(done, obj).alias("object"), F.when(done, F.col("path")).alias("path"), "started_at", "ended_at", "requested_at",
-            F.greatest("requested_at", F.current_timestamp().cast("timestamp_ntz")).alias("finalized_at"),
-        )
-        evidence.write.mode("append").parquet(f"{output}/evidence")
+        everything = new.where("verdict <> 'quarantine'").join(cover, "session_id", "left").join(facts, "session_id", "left")
+        evidence = _evidence(everything, max_rows, max_bytes, bucket)
+        evidence.write.mode("overwrite").parquet(f"{output}/evidence/batch={batch}")
+        own = spark.read.schema(EVIDENCE).parquet(f"{output}/evidence/batch={batch}")
+        storage.remove_files(facts.where(F.col("byte_length") > max_bytes).select("path"))
+
+        again = marked.where(F.col("_held") == F.col("request_sha256")).select("session_id").distinct()
+        out = own.where("status <> 'FAILED'").unionByName(known.join(again, "session_id", "left_semi"))
+        out.write.mode("overwrite").parquet(f"{output}/published/batch={batch}")
 
     return extract
 
 
+def _evidence(requests: DataFrame, max_rows: int, max_bytes: int, bucket: str) -> DataFrame:
+    """Evidence rows of validated requests with their coverage and the facts of their files."""
+    rejected = F.col("verdict") == "rejected"
+    many, large = F.col("_total") > max_rows, F.coalesce(F.col("byte_length") > max_bytes, F.lit(False))
+    done = (F.col("verdict") == "accepted") & ~many & ~large
+    obj = F.struct(
+        F.lit(bucket).alias("bucket"), sessions.object_key().alias("object_key"), F.lit(sessions.MEDIA_TYPE).alias("media_type"),
+        F.lit(sessions.VERSION).alias("version"), "byte_length", "sha256",
+    )
+    why = F.when(rejected, F.substring(F.array_join("reasons", ","), 1, 1024)).when(many, "too_many_rows").when(large, "artifact_too_large")
+    return requests.select(
+        "session_id", "request_sha256", F.when(rejected, "REJECTED").when(done, F.col("_status")).otherwise("FAILED").alias("status"),
+        F.when(rejected, sessions.rejected_id()).otherwise(sessions.blob_id()).alias("blob_id"),
+        F.when(done, F.col("mrids")).alias("mrids"), F.when(done, F.col("coverage")).alias("coverage"),
+        F.when(done, F.col("_total")).otherwise(0).cast("long").alias("measurement_count"), why.alias("rejection_reason"),
+        F.when(done, F.col("metadata")).alias("metadata"), F.when(done, obj).alias("object"), F.when(done, F.col("path")).alias("path"),
+        "started_at", "ended_at", "requested_at", F.greatest("requested_at", F.current_timestamp().cast("timestamp_ntz")).alias("finalized_at"),
+    )
+
+
 def run_to_end(df: DataFrame, output: str, each: Callable[[DataFrame, int], None] | None = None) -> None:
     """Work off what is there and stop: append to a table, or hand batches over."""
     writer = df.writeStream.outputMode("append").option("checkpointLocation", f"{output}-checkpoint").trigger(availableNow=True)

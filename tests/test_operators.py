@@ -234,14 +234,26 @@ def test_sessions_are_restartable(spark, tmp_path):
         jobs.storage.file_facts = work
     extract(batch, 0)
     extract(batch, 0)  # a repeat
-    extract(spark.createDataFrame([ask(1, ["m"]), ask(5, ["m"]), ask(6, ["n"])], schema), 1)
-    found = sessions.validate_blobmeta(spark.read.parquet(f"{out}/evidence"))
+    stored = lambda name: spark.read.schema(f"{jobs.EVIDENCE}, batch int").parquet(f"{out}/{name}")
+    before = {r.session_id: r for r in stored("evidence").drop("batch").collect()}
+    extract(spark.createDataFrame([ask(2, ["m"]), ask(5, ["m"]), ask(6, ["n"])], schema), 1)
+    found = sessions.validate_blobmeta(stored("evidence"))
     got = {r.session_id: r for r in found.collect()}
-    assert found.count() == 6 and {r.session_id for r in spark.read.parquet(f"{out}/conflicts").collect()} == {sid(1)}
+    assert found.count() == 6 and {r.session_id for r in spark.read.parquet(f"{out}/conflicts").collect()} == {sid(2)}
     assert [got[sid(k)].status for k in range(1, 7)] == ["FAILED", "PARTIAL", "PARTIAL", "REJECTED", "COMPLETE", "COMPLETE"]
     assert got[sid(1)].rejection_reason == "too_many_rows" and got[sid(3)].measurement_count == 0 and got[sid(4)].rejection_reason == "mrids_unsorted"
     assert all(not r.reasons for r in got.values() if r.status != "FAILED")
-    evidence = spark.read.parquet(f"{out}/evidence").where("object IS NOT NULL").select("blob_id", "session_id", "path", "object.sha256", "object.byte_length", "coverage")
+    # the replay is published again as it was, a failure is not published, a new attempt may succeed
+    published = {r.session_id: r for r in stored("published").where("batch = 1").drop("batch").collect()}
+    assert set(published) == {sid(5), sid(6)} and published[sid(5)] == before[sid(5)]
+    jobs.extract_sessions(live, out, max_rows=7)(batch.where(F.col("session_id") == sid(1)), 2)
+    assert [r.status for r in stored("published").where("batch = 2").collect()] == ["COMPLETE"]
+    # too large a file is taken back
+    jobs.extract_sessions(live, out, max_bytes=100)(spark.createDataFrame([ask(7, ["m"])], schema), 3)
+    last = stored("evidence").where("batch = 3").first()
+    assert (last.status, last.rejection_reason, last.object) == ("FAILED", "artifact_too_large", None)
+    assert jobs.storage.file_facts(spark, f"{out}/artifacts/batch=3").count() == 0
+    evidence = stored("evidence").where("object IS NOT NULL").select("blob_id", "session_id", "path", "object.sha256", "object.byte_length", "coverage")
     uri = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
     rows = spark.read.parquet(f"{out}/artifacts").withColumn("path", uri(F.col("_metadata.file_path")))
     facts = jobs.storage.file_facts(spark, f"{out}/artifacts").withColumn("path", uri(F.col("path")))
@@ -300,3 +312,73 @@ def test_alarms_do_not_depend_on_buckets(spark, monkeypatch):
         monkeypatch.setattr(running, "WIDTH", width)
         found.append(sorted(map(repr, alarms.member_transitions(alarms.alarm_observations(rows, rule(spark)), log, rule(spark)).collect())))
     assert found[0] == found[1] and len(found[0]) > 20
+
+
+def test_coverage_comes_from_the_stored_rows(spark, tmp_path):
+    from gridstream.streaming import jobs
+
+    sid = str(uuid.UUID(int=(1 << 80) | (5 << 76) | (8 << 60)))
+    schema = "session_id string, started_at timestamp_ntz, ended_at timestamp_ntz, requested_at timestamp_ntz, mrids array<string>"
+    asked = spark.createDataFrame([(sid, T0, T0 + dt.timedelta(hours=1), T0, ["m"])], schema)
+    jobs.storage.write_live_store(measures(spark, [("m", 0, 1), ("m", 1, 2)]), f"{tmp_path}/live")
+    live = lambda: spark.read.parquet(f"{tmp_path}/live")
+    work = jobs.storage.write_session_artifacts
+    jobs.storage.write_session_artifacts = lambda *_, **__: 1 / 0  # broken off after the rows
+    try:
+        with pytest.raises(ZeroDivisionError):
+            jobs.extract_sessions(live(), f"{tmp_path}/s")(asked, 0)
+    finally:
+        jobs.storage.write_session_artifacts = work
+    jobs.storage.write_live_store(measures(spark, [("m", 2, 3)]), f"{tmp_path}/live")  # the store grows meanwhile
+    jobs.extract_sessions(live(), f"{tmp_path}/s")(asked, 0)
+    row = spark.read.schema(jobs.EVIDENCE).parquet(f"{tmp_path}/s/evidence").first()
+    assert row.measurement_count == 2 == spark.read.parquet(row.path).count()
+    assert (row.blob_id, row.object.object_key) == (f"sessions/{sid}/measurements", f"sessions/{sid}/measurements.parquet")
+
+
+def test_points_in_intervals(spark):
+    from gridstream.functions.intervals import interval_join
+
+    rng = random.Random(2)
+    at = lambda s: T0 + dt.timedelta(microseconds=s)
+    points = [(rng.choice("abc"), k, at(rng.randrange(-10**11, 10**11)) if k % 3 else at(rng.randrange(0, 3000))) for k in range(300)] + [("a", 900, None), (None, 901, T0)]
+    spans = []
+    for k in range(150):
+        start = rng.randrange(-10**11, 10**11) if k % 3 else rng.randrange(0, 3000)
+        spans.append((rng.choice("abd"), k, at(start), at(start + rng.choice((0, -5, 1, 7, 1000, 4096, 10**6, 10**8, 86_400 * 10**6, 10**11)))))
+    spans += [("a", 200, points[0][2], points[0][2] + dt.timedelta(microseconds=1)), ("a", 201, None, T0)]
+    p, s = spark.createDataFrame(points, "k string, i int, t timestamp_ntz"), spark.createDataFrame(spans, "k string, j int, a timestamp_ntz, b timestamp_ntz")
+    got = sorted((r.i, r.j) for r in interval_join(p, s, "k", "t", "a", "b").collect())
+    assert got == sorted((i, j) for k, i, t in points for m, j, a, b in spans if k == m and t and a and a <= t < b) and len(got) > 300
+
+
+def test_live_store_is_pruned_to_the_hours_asked_for(spark, tmp_path):
+    from gridstream.sources import storage
+
+    storage.write_live_store(measures(spark, [("m", 3600 * k, k) for k in range(50)]), f"{tmp_path}/live")
+    asked = spark.createDataFrame([("s", T0 + dt.timedelta(hours=3, minutes=-1), T0 + dt.timedelta(hours=5), ["m"])], "session_id string, started_at timestamp_ntz, ended_at timestamp_ntz, mrids array<string>")
+    found = sessions.session_join(spark.read.parquet(f"{tmp_path}/live"), asked)
+    assert sorted(r.double_value for r in found.collect()) == [3.0, 4.0]
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_evidence_size_is_that_of_the_message(spark):
+    row = ("s" * 36, "a" * 64, "COMPLETE", "b" * 200, ["m", "n" * 130], [("m", 0), ("n" * 130, 300)], 300, None, [("k", "v")], ("bucket", "o" * 50, "t", 2, 5000, "c" * 64), "p", T0, T0, T0, T0.replace(year=1969))
+    from gridstream.streaming import jobs
+
+    df = spark.createDataFrame([row], jobs.EVIDENCE)
+    # texts, digest, times of seconds alone (those before 1970 take ten bytes), lists, count, status, metadata, object
+    want = (2 + 36) + (3 + 200) + 34 + 3 * (2 + 6) + (2 + 11) + (2 + 1) + (3 + 130) + (2 + 3) + (3 + 133 + 3) + 3 + 2 + (2 + 6) + (2 + (2 + 6) + (2 + 50) + 3 + 3 + 34 + 2)
+    assert df.select(sessions.evidence_size(df)).first()[0] == want
+    big = df.withColumn("rejection_reason", F.repeat(F.lit("x"), 40_000))
+    assert "too_large" in sessions.validate_blobmeta(big).first().reasons
+
+
+def test_the_contract_s_own_identities_have_no_fault(spark):
+    from gridstream.streaming import jobs
+
+    sid = "6f9619ff-8b86-5011-b42d-00cf4fc964ff"
+    row = (sid, "a" * 64, "COMPLETE", f"sessions/{sid}/measurements", ["m"], [("m", 3)], 3, None, [], ("elsewhere", f"sessions/{sid}/measurements.parquet", sessions.MEDIA_TYPE, 2, 5000, "c" * 64), "p", T0, T0 + dt.timedelta(1), T0, T0)
+    df = spark.createDataFrame([row], jobs.EVIDENCE)
+    assert list(sessions.validate_blobmeta(df, "elsewhere").first().reasons) == []
+    assert list(sessions.validate_blobmeta(df).first().reasons) == ["bad_object"]
