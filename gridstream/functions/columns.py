@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridstream.functions.intervals import micros
+
 # Namespaces of identifiers.
 EPISODE_NAMESPACE = "f5d55f94-655f-5460-a315-f56a8a891007"
 SESSION_NAMESPACE = "8f3c89c2-0b2f-5a40-b6ed-7e22a1b24f63"
@@ -22,6 +24,19 @@ def finite(value: Column) -> Column:
     return F.coalesce(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), F.lit(False))
 
 
+def exact_time(df: DataFrame, ts: str = "timestamp_mccs") -> Column:
+    """struct<seconds, nanos> by which rows are ordered: the pair ``mccs_sec`` and ``mccs_nanos``
+    where a row has it, else the timestamp, which is cut to microseconds; null without both."""
+    us = micros(F.col(ts))
+    part = F.pmod(us, F.lit(1_000_000))
+    cut = F.struct(F.call_function("div", us - part, F.lit(1_000_000)).cast("long").alias("seconds"), (part * 1000).cast("int").alias("nanos"))
+    known = F.when(F.col(ts).isNotNull(), cut)
+    if ts != "timestamp_mccs" or not {"mccs_sec", "mccs_nanos"} <= set(df.columns):
+        return known
+    pair = F.struct(F.col("mccs_sec").cast("long").alias("seconds"), F.col("mccs_nanos").cast("int").alias("nanos"))
+    return F.when(F.col("mccs_sec").isNotNull() & F.col("mccs_nanos").isNotNull(), pair).otherwise(known)
+
+
 def uuid5(namespace: str, name: Column) -> Column:
     """RFC 4122 version 5 UUID of a text name."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstream.functions.columns import EPISODE_NAMESPACE, SESSION_NAMESPACE, alarm_key, canonical_json, finite, summary, uuid5
+from gridstream.functions import running
+from gridstream.functions.columns import EPISODE_NAMESPACE, SESSION_NAMESPACE, alarm_key, canonical_json, exact_time, finite, summary, uuid5
 from gridstream.functions.running import with_running
-from gridstream.operators.qualify import match_mrid_glob, quality_ok
+from gridstream.operators.qualify import match_few, match_mrid_glob, quality_ok
 from gridstream.sources.storage import frozen
 
 COMPARE = {
@@ -68,46 +69,103 @@ def alarm_observations(df: DataFrame, rules: DataFrame) -> DataFrame:
     return match_mrid_glob(df.where(ok & F.col("timestamp_mccs").isNotNull() & fresh), rules)
 
 
-def alarm_transitions(observations: DataFrame, removals: DataFrame | None = None, compare: str = "gt") -> DataFrame:
+OBSERVED = ["rule", "severity", "mrid", "arrival_seq", "timestamp_mccs", "received_at", "double_value", "threshold", "topic", "partition", "offset"]
+
+
+def _alarm_events(observations: DataFrame, changes: DataFrame | None, compare: str, width: int | None) -> DataFrame:
+    """Observations and changes of membership (``present``) as one log, cut into buckets
+    of arrivals. A change comes before the observations of its place."""
+    beyond, _ = COMPARE[compare]
+    seen = observations.select(*OBSERVED, exact_time(observations).alias("at"), beyond(F.col("double_value"), F.col("threshold")).alias("beyond"), F.lit(None).cast("boolean").alias("present"))
+    events = seen if changes is None else union_events(seen, changes.select("rule", "mrid", "arrival_seq", "present"))
+    turn = 2 * F.col("arrival_seq") + F.when(F.col("present").isNull(), 1).otherwise(0)
+    return events.withColumn("_turn", turn).withColumn("_bucket", F.floor(F.col("arrival_seq") / (width or running.WIDTH)))
+
+
+_KEY = ["rule", "mrid"]
+
+
+def _alarm_handed_on(events: DataFrame, bound: bool) -> DataFrame:
+    """Per key and bucket the state in which it begins: ``member_in``, ``newest_in`` (time of
+    the newest counted row) and ``active_in``.
+
+    What a bucket does to the state is summed up in one row: the last change of
+    membership, and, for a key that enters it as a member and as none, the newest row of
+    a member and whether that one is beyond the threshold. That newest row decides: it is
+    counted if it is newer than all before, then it is the bucket's last counted row, and
+    the alarm is as it says unless a removal follows. Without one the state stays, after a
+    removal the alarm has ended. So the states follow from one ordered pass over the sums.
+    """
+    inside = Window.partitionBy(*_KEY, "_bucket").orderBy("_turn", "present").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gone = F.coalesce(~F.col("present"), F.lit(False)).cast("int")
+    rows = events.select(*_KEY, "_bucket", "_turn", "present", "at", "beyond", F.last("present", ignorenulls=True).over(inside).alias("_known"), F.sum(gone).over(inside).alias("_gone"))
+    sums = [F.max_by("present", F.when(F.col("present").isNotNull(), F.col("_turn"))).alias("member_out"), F.max("_gone").alias("_removals")]
+    for name, at_first in (("in", True), ("out", False)):
+        own = F.col("present").isNull() & (F.coalesce("_known", F.lit(at_first)) if bound else F.lit(True))
+        first = F.when(own, F.struct("at", -F.col("_turn")))  # of equal times the first
+        sums.append(F.max_by(F.struct("at", "beyond", "_gone"), first).alias(f"_{name}"))
+    past = Window.partitionBy(*_KEY).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.groupBy(*_KEY, "_bucket").agg(*sums).withColumn("member_in", F.coalesce(F.last("member_out", ignorenulls=True).over(past), F.lit(not bound)))
+    timed = summed.withColumn("_top", F.when(F.col("member_in"), F.col("_in")).otherwise(F.col("_out"))).withColumn("newest_in", F.max("_top.at").over(past))
+    counted = F.col("_top").isNotNull() & (F.col("newest_in").isNull() | (F.col("_top.at") > F.col("newest_in")))
+    state = F.when(F.col("_removals") > 0, counted & F.coalesce(F.col("_top.beyond") & (F.col("_top._gone") == F.col("_removals")), F.lit(False))).otherwise(F.when(counted, F.col("_top.beyond")))
+    return timed.withColumn("_state", state).select(*_KEY, "_bucket", "member_in", "newest_in", F.coalesce(F.last("_state", ignorenulls=True).over(past), F.lit(False)).alias("active_in"))
+
+
+def _alarm_actions(events: DataFrame, bound: bool) -> DataFrame:
+    """Rows with an action, each bucket by itself from the state in which it begins. ``_run`` is
+    the activation to which a row belongs, null if that lies in an earlier bucket."""
+    inside = Window.partitionBy(*_KEY, "_bucket").orderBy("_turn", "present")
+    now, past = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow), inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = events.join(_alarm_handed_on(events, bound), [*_KEY, "_bucket"])
+    member = F.coalesce(F.last("present", ignorenulls=True).over(now), F.col("member_in")) if bound else F.lit(True)
+    rows = rows.withColumn("_at", F.when(F.col("present").isNull() & member, F.col("at")))
+    seen = F.greatest(F.max("_at").over(past), F.col("newest_in"))
+    rows = rows.withColumn("_seen", seen).withColumn("_counted", F.col("_at").isNotNull() & (F.col("_seen").isNull() | (F.col("_at") > F.col("_seen"))))
+    gone = F.coalesce(~F.col("present"), F.lit(False))
+    rows = rows.withColumn("above", F.when(F.col("_counted"), F.col("beyond")).when(gone, F.lit(False)))
+    rows = rows.withColumn("_was", F.coalesce(F.last("above", ignorenulls=True).over(past), F.col("active_in")))
+    action = F.when(F.col("above") & ~F.col("_was"), "activate").when(F.col("above"), "refresh").when(F.col("_was") & ~F.col("above"), "clear").when(F.col("_counted"), "evaluate")
+    acted = rows.withColumn("action", action).where(F.col("action").isNotNull()).withColumn("alarm_key", alarm_key(F.col("rule"), F.col("mrid")))
+    ident = uuid5(EPISODE_NAMESPACE, canonical_json(F.col("alarm_key"), F.col("topic"), F.col("partition"), F.col("offset")))
+    opened = F.when(F.col("action") == "activate", F.struct(ident.alias("episode_id"), F.col("timestamp_mccs").alias("activated_at")))
+    kept = ["alarm_key", *OBSERVED[:8], "action", "above", "_turn", "_bucket"]
+    return acted.withColumn("_opened", opened).select(*kept, F.last("_opened", ignorenulls=True).over(now).alias("_run"))
+
+
+def _transitions(observations: DataFrame, changes: DataFrame | None, bound: bool, compare: str, width: int | None) -> DataFrame:
+    _, words = COMPARE[compare]
+    acted = frozen(_alarm_actions(_alarm_events(observations, changes, compare, width), bound), "alarm-actions")
+    # alarms that go on from one bucket to the next: the last activation before
+    past = Window.partitionBy(*_KEY).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    last = acted.groupBy(*_KEY, "_bucket").agg(F.max_by("_run", F.when(F.col("_run").isNotNull(), F.col("_turn"))).alias("_last"))
+    before = last.select(*_KEY, "_bucket", F.last("_last", ignorenulls=True).over(past).alias("_before"))
+    open_before = F.col("_run").isNull() & (F.col("action") != "evaluate")
+    going_on = acted.where(open_before).join(before.where(F.col("_before").isNotNull()), [*_KEY, "_bucket"]).withColumn("_run", F.col("_before")).drop("_before")
+    out = acted.where(~open_before).unionByName(going_on).withColumn("_e", F.when(F.col("action") != "evaluate", F.col("_run")))
+    text = F.when(F.col("above"), summary(F.col("double_value"), F.col("threshold"), words))
+    return out.select("alarm_key", *OBSERVED[:8], "action", "_e.episode_id", "_e.activated_at", text.alias("summary"))
+
+
+def alarm_transitions(observations: DataFrame, removals: DataFrame | None = None, compare: str = "gt", width: int | None = None) -> DataFrame:
     """Per rule and mrid the accepted rows with ``action``: activate, refresh, clear
     or evaluate; episode id, activation time and evidence text.
 
-    A row counts only if newer than every earlier counted row of its key. A
+    A row counts only if newer (to the nanosecond, where rows have it) than every earlier counted row of its key. A
     removal (rule, mrid, arrival_seq) ends an active alarm and keeps the
-    watermark. Work is spread over keys and buckets of arrivals; the counted rows
-    are stored once on the way.
+    watermark. Work is spread over keys and buckets of ``width`` arrivals, which changes no
+    result: a summary of each bucket, one pass over the summaries, one pass over
+    the rows, whose result is stored once.
     """
-    beyond, words = COMPARE[compare]
-    events = observations.withColumn("_gone", F.lit(False))
-    if removals is not None:
-        events = union_events(events, removals.withColumn("_gone", F.lit(True)))
-    keys = ["rule", "mrid"]
-    needed = ["rule", "severity", "mrid", "arrival_seq", "timestamp_mccs", "received_at", "double_value", "threshold", "topic", "partition", "offset", "_gone"]
-    newer = with_running(events.select(needed), keys, "arrival_seq", _seen=("max_before", F.when(~F.col("_gone"), F.col("timestamp_mccs"))))
-    kept = newer.where(F.col("_gone") | F.col("_seen").isNull() | (F.col("timestamp_mccs") > F.col("_seen")))
-    above = ~F.col("_gone") & beyond(F.col("double_value"), F.col("threshold"))
-    kept = frozen(kept.drop("_seen"), "alarm-rows")
-    marked = with_running(kept.withColumn("above", above), keys, "arrival_seq", _was=("last_before", F.col("above"))).withColumn("_was", F.coalesce("_was", F.lit(False)))
-    action = F.when(F.col("above") & ~F.col("_was"), "activate").when(F.col("above"), "refresh").when(F.col("_was"), "clear").when(~F.col("_gone"), "evaluate")
-    acted = marked.withColumn("action", action).where(F.col("action").isNotNull())
-    key = alarm_key(F.col("rule"), F.col("mrid"))
-    opened = F.when(F.col("action") == "activate", F.struct(F.col("timestamp_mccs").alias("activated_at"), "topic", "partition", "offset"))
-    run = with_running(acted, keys, "arrival_seq", _run=("last", opened)).withColumn("_e", F.when(F.col("action") != "evaluate", F.col("_run"))).withColumn("alarm_key", key)
-    episode = F.when(F.col("_e").isNotNull(), uuid5(EPISODE_NAMESPACE, canonical_json(F.col("alarm_key"), F.col("_e.topic"), F.col("_e.partition"), F.col("_e.offset"))))
-    out = run.withColumn("episode_id", episode)
-    text = F.when(F.col("above"), summary(F.col("double_value"), F.col("threshold"), words))
-    return out.select("alarm_key", "rule", "severity", "mrid", "arrival_seq", "timestamp_mccs", "received_at", "double_value", "threshold", "action", "episode_id", "_e.activated_at", text.alias("summary"))
+    changes = None if removals is None else removals.withColumn("present", F.lit(False))
+    return _transitions(observations, changes, False, compare, width)
 
 
-def member_transitions(observations: DataFrame, members: DataFrame, rules: DataFrame, compare: str = "gt") -> DataFrame:
+def member_transitions(observations: DataFrame, members: DataFrame, rules: DataFrame, compare: str = "gt", width: int | None = None) -> DataFrame:
     """``alarm_transitions`` of signals while they are members; a removal ends an
     active alarm. members: mrid, arrival_seq, present (see ``member_events``)."""
-    watched = match_mrid_glob(members.select("mrid", "arrival_seq", "present"), rules).select("rule", "mrid", "arrival_seq", "present")
-    changes = watched.select("mrid", F.when(F.col("present"), F.lit("in")).alias("value"), "arrival_seq")
-    narrow = frozen(observations.select("rule", "severity", "mrid", "arrival_seq", "timestamp_mccs", "received_at", "double_value", "threshold", "topic", "partition", "offset"), "observations")
-    inside = membership_join(narrow, membership_intervals(changes, "mrid"), "mrid").drop("member_value", "member_from")
-    gone = watched.where(~F.col("present")).select("rule", "mrid", "arrival_seq")
-    return alarm_transitions(inside, gone, compare)
+    changes = match_few(members.select("mrid", "arrival_seq", "present"), rules)
+    return _transitions(observations, changes, True, compare, width)
 
 
 def stale_alarms(current: DataFrame, members: DataFrame) -> DataFrame:
@@ -146,8 +204,9 @@ def capture_episodes(df: DataFrame, policies: DataFrame, pad_s: int = 10, longes
     """
     ok = quality_ok("strict") & (F.col("value_type") == "double") & finite(F.col("double_value")) & F.col("kafka_key").eqNullSafe(F.col("mrid")) & F.col("timestamp_mccs").isNotNull()
     rows = df.where(ok).join(policies, "mrid")
-    newer = with_running(rows.select("mrid", "arrival_seq", "timestamp_mccs", "double_value", "threshold", "mrids"), ["mrid"], "arrival_seq", _seen=("max_before", F.col("timestamp_mccs")))
-    kept = frozen(newer.where(F.col("_seen").isNull() | (F.col("timestamp_mccs") > F.col("_seen"))).drop("_seen"), "capture-rows")
+    narrow = rows.select("mrid", "arrival_seq", "timestamp_mccs", exact_time(rows).alias("at"), "double_value", "threshold", "mrids")
+    newer = with_running(narrow, ["mrid"], "arrival_seq", _seen=("max_before", F.col("at")))
+    kept = frozen(newer.where(F.col("_seen").isNull() | (F.col("at") > F.col("_seen"))).drop("_seen", "at"), "capture-rows")
     marked = with_running(kept.withColumn("above", F.col("double_value") > F.col("threshold")), ["mrid"], "arrival_seq", _was=("last_before", F.col("above"))).withColumn("_was", F.coalesce("_was", F.lit(False)))
     changed = marked.where(F.col("above") != F.col("_was"))
     ended = with_running(changed, ["mrid"], "arrival_seq", onset=("last_before", F.when(F.col("above"), F.col("timestamp_mccs")))).where(~F.col("above"))

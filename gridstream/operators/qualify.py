@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstream.functions.columns import finite, reasons
+from gridstream.functions.columns import exact_time, finite, reasons
 from gridstream.functions.running import with_running
 from gridstream.schema import FLAGS, QUALITY, VALUE_COLUMNS
 
@@ -103,9 +103,11 @@ def freshness_filter(df: DataFrame, max_age_s: float = 30, now: str = "received_
 
 
 def newer_only(df: DataFrame, keys: list[str], ts: str = "timestamp_mccs", order: str = "arrival_seq") -> DataFrame:
-    """Rows strictly newer than every earlier row of their key. Rows without a time go."""
-    seen = with_running(df.where(F.col(ts).isNotNull()), keys, order, _seen=("max_before", F.col(ts)))
-    return seen.where(F.col("_seen").isNull() | (F.col(ts) > F.col("_seen"))).drop("_seen")
+    """Rows strictly newer, to the nanosecond where rows have it, than every earlier row
+    of their key. Rows without a time go."""
+    timed = df.withColumn("_at", exact_time(df, ts)).where(F.col("_at").isNotNull())
+    seen = with_running(timed, keys, order, _seen=("max_before", F.col("_at")))
+    return seen.where(F.col("_seen").isNull() | (F.col("_at") > F.col("_seen"))).drop("_seen", "_at")
 
 
 def glob_regex(glob: Column) -> Column:
@@ -115,6 +117,14 @@ def glob_regex(glob: Column) -> Column:
     return F.concat(F.lit("^"), F.array_join(F.transform(F.split(glob, ":"), segment), ":"), F.lit("$"))
 
 
+def match_few(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """The same as ``match_mrid_glob`` for tables of few rows for each mrid: every row is compared, segment by segment."""
+    parts = df.withColumn("_s", F.split("mrid", ":")).withColumn("_n", F.size("_s"))
+    patterns = rules.withColumn("_g", F.split("glob", ":")).withColumn("_n", F.size("_g"))
+    fits = F.zip_with("_g", "_s", lambda g, x: F.when(g == "*", x != "").otherwise(g == x))
+    return parts.join(patterns, "_n").where(F.forall(fits, lambda ok: ok)).drop("_n", "_s", "_g")
+
+
 def match_mrid_glob(df: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows with every rule whose glob matches their mrid.
 

@@ -26,6 +26,10 @@ M = f"""WITH m AS (
   FROM events
 )"""
 
+#: Rows of one microsecond that differ in nanoseconds; ``ns`` orders them.
+FINE = f"""{M}, f AS (SELECT * REPLACE ({at('arrival_seq // 400 * 1000')} AS timestamp_mccs, {at('arrival_seq // 400 * 1000')} AS received_at),
+  arrival_seq // 400 * 1000000000 + arrival_seq * 37 % 1000 AS ns FROM m)"""
+
 DENSE = M.replace("event_id * 125", "event_id * 5")  # 200 rows a second
 
 STRICT = (

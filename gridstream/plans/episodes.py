@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 
 from gridstream.functions import columns as C
 from gridstream.operators import alarms as A
-from gridstream.plans.base import LOG, STRICT, M, uuid5
+from gridstream.plans.base import FINE, LOG, STRICT, M, uuid5
 from gridstream.plans.qualification import _rules_sql, rules
-from gridstream.sources.fixtures import measurements, membership_log, read
+from gridstream.sources.fixtures import fine_measurements, measurements, membership_log, read
 from gridstream.spec import ProcessorSpec
 
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
 
 
-def members(spark: SparkSession, d: str) -> DataFrame:
+def members(spark: SparkSession, d: str, log: DataFrame | None = None) -> DataFrame:
     """Additions and removals of signals, from the change log of their sources."""
     signals = F.array(*[F.concat(F.lit("urn:grid:"), "source", F.lit(f":{k}")) for k in KINDS])
-    return A.member_events(membership_log(spark, d), signals)
+    return A.member_events(membership_log(spark, d) if log is None else log, signals)
 
 
-def _transitions(spark: SparkSession, d: str) -> DataFrame:
-    return A.member_transitions(A.alarm_observations(measurements(spark, d), rules(spark)), members(spark, d), rules(spark))
+def _transitions(spark: SparkSession, d: str, log: DataFrame | None = None) -> DataFrame:
+    return A.member_transitions(A.alarm_observations(measurements(spark, d), rules(spark)), members(spark, d, log), rules(spark))
 
 
 def o24_latest_values(spark: SparkSession, d: str) -> DataFrame:
@@ -63,8 +63,15 @@ def o52_transitions(spark: SparkSession, d: str) -> DataFrame:
     return _transitions(spark, d).select("alarm_key", "arrival_seq", "action", "episode_id", "activated_at")
 
 
+def o52_exact_time(spark: SparkSession, d: str) -> DataFrame:
+    out = A.alarm_transitions(A.alarm_observations(fine_measurements(spark, d), rules(spark)))
+    return out.select("alarm_key", "arrival_seq", "action", "episode_id", "activated_at")
+
+
 def o53_current(spark: SparkSession, d: str) -> DataFrame:
-    return A.alarm_current(_transitions(spark, d))
+    # as of the last measurement: the log goes on long after it
+    last = measurements(spark, d).agg(F.max("arrival_seq")).scalar()
+    return A.alarm_current(_transitions(spark, d, membership_log(spark, d).where(F.col("arrival_seq") <= last)))
 
 
 def o54_replay(spark: SparkSession, d: str) -> DataFrame:
@@ -80,6 +87,10 @@ def o55_capture(spark: SparkSession, d: str) -> DataFrame:
     return A.capture_episodes(measurements(spark, d), policies(spark, d)).select("mrid", "onset", "cleared_at", "started_at", "ended_at", "session_id", "dropped")
 
 
+def o55_exact_time(spark: SparkSession, d: str) -> DataFrame:
+    return A.capture_episodes(fine_measurements(spark, d), policies(spark, d)).select("mrid", "arrival_seq", "onset", "cleared_at")
+
+
 def o56_first_notifications(spark: SparkSession, d: str) -> DataFrame:
     return A.first_notifications(_transitions(spark, d)).select("episode_id", "rule", "mrid", "arrival_seq")
 
@@ -126,7 +137,7 @@ def o78_processor_spec(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    o24_latest_values, o25_pair_product, o26_membership_join, o29_reconcile_desired, o52_transitions, o53_current, o54_replay, o55_capture,
+    o24_latest_values, o25_pair_product, o26_membership_join, o29_reconcile_desired, o52_transitions, o52_exact_time, o53_current, o54_replay, o55_capture, o55_exact_time,
     o56_first_notifications, o62_membership_changes, o63_union_events, o64_alarm_key, o65_uuid5, o66_canonical_uuid, o67_format_evidence, o69_formula, o78_processor_spec,
 )}
 
@@ -147,6 +158,8 @@ a AS (SELECT *, {_KEY} AS alarm_key, CASE WHEN above AND NOT was THEN 'activate'
 g AS (SELECT *, sum((action = 'activate')::INT) OVER (PARTITION BY rule, mrid ORDER BY arrival_seq) AS run FROM a),
 t AS (SELECT *, CASE WHEN action <> 'evaluate' THEN first_value(timestamp_mccs) OVER r END AS activated_at, CASE WHEN action <> 'evaluate' THEN first_value({_ID}) OVER r END AS episode_id
   FROM g WINDOW r AS (PARTITION BY rule, mrid, run ORDER BY arrival_seq))"""
+_T53 = _T.replace(LOG, LOG.replace("FROM orders", "FROM orders WHERE o_orderkey <= (SELECT max(event_id) FROM events)"))
+_FINE_ROWS = f"{STRICT} AND value_type = 'double' AND isfinite(double_value) AND kafka_key = mrid"
 _IV = f"WITH {LOG}, iv AS (SELECT *, lead(arrival_seq) OVER (PARTITION BY source ORDER BY arrival_seq) AS valid_to FROM log)"
 _LAST = "last_value(CASE WHEN input = '{0}' THEN {1} END IGNORE NULLS) OVER w AS {2}"
 
@@ -173,7 +186,22 @@ SELECT m.arrival_seq, mrid, value AS member_value, iv.arrival_seq AS member_from
 r AS (SELECT 'ep/' || o_orderkey AS event, 'urn:' || CASE WHEN o_orderkey % 5 = 0 THEN o_custkey + 1 ELSE o_custkey END AS resource FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 7 <> 0 AND o_orderstatus <> 'F')
 SELECT event, resource, 'close' AS action, NULL AS severity FROM r WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.event = r.event AND d.resource = r.resource) UNION ALL SELECT event, resource, 'upsert', severity FROM d""",
     "o52_transitions": f"{_T} SELECT alarm_key, arrival_seq, action, episode_id, activated_at FROM t",
-    "o53_current": f"""{_T}, z AS (SELECT *, max(timestamp_mccs) OVER (PARTITION BY alarm_key) AS watermark FROM t QUALIFY row_number() OVER (PARTITION BY alarm_key ORDER BY arrival_seq DESC) = 1)
+    "o52_exact_time": f"""{FINE}, {_rules_sql},
+o AS (SELECT f.*, rule, threshold FROM f JOIN rules ON regexp_full_match(mrid, replace(pattern, '*', '[^:]+')) WHERE {_FINE_ROWS}),
+n AS (SELECT *, max(ns) OVER (PARTITION BY rule, mrid ORDER BY arrival_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM o),
+k AS (SELECT *, double_value > threshold AS above FROM n WHERE seen IS NULL OR ns > seen),
+w AS (SELECT *, coalesce(lag(above) OVER (PARTITION BY rule, mrid ORDER BY arrival_seq), false) AS was FROM k),
+a AS (SELECT *, {_KEY} AS alarm_key, CASE WHEN above AND NOT was THEN 'activate' WHEN above THEN 'refresh' WHEN was THEN 'clear' ELSE 'evaluate' END AS action FROM w),
+g AS (SELECT *, sum((action = 'activate')::INT) OVER (PARTITION BY rule, mrid ORDER BY arrival_seq) AS run FROM a)
+SELECT alarm_key, arrival_seq, action, CASE WHEN action <> 'evaluate' THEN first_value(timestamp_mccs) OVER r END AS activated_at, CASE WHEN action <> 'evaluate' THEN first_value({_ID}) OVER r END AS episode_id
+FROM g WINDOW r AS (PARTITION BY rule, mrid, run ORDER BY arrival_seq)""",
+    "o55_exact_time": f"""{FINE}, q AS (SELECT * FROM f WHERE {_FINE_ROWS} AND mrid LIKE '%:error'),
+n AS (SELECT *, max(ns) OVER (PARTITION BY mrid ORDER BY arrival_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM q),
+k AS (SELECT *, double_value > 50.2 AS above FROM n WHERE seen IS NULL OR ns > seen),
+w AS (SELECT *, coalesce(lag(above) OVER (PARTITION BY mrid ORDER BY arrival_seq), false) AS was FROM k),
+o AS (SELECT *, last_value(CASE WHEN above AND NOT was THEN timestamp_mccs END IGNORE NULLS) OVER (PARTITION BY mrid ORDER BY arrival_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS onset FROM w)
+SELECT mrid, arrival_seq, onset, timestamp_mccs AS cleared_at FROM o WHERE NOT above AND was""",
+    "o53_current": f"""{_T53}, z AS (SELECT *, max(timestamp_mccs) OVER (PARTITION BY alarm_key) AS watermark FROM t QUALIFY row_number() OVER (PARTITION BY alarm_key ORDER BY arrival_seq DESC) = 1)
 SELECT alarm_key, rule, mrid, episode_id, activated_at, double_value, watermark FROM z WHERE action IN ('activate', 'refresh')""",
     "o54_replay": f"{_T} SELECT rule, mrid, action, count(*) AS n, max(timestamp_mccs) AS last FROM t GROUP BY ALL",
     "o55_capture": f"""{M}, q AS (SELECT * FROM m WHERE {STRICT} AND value_type = 'double' AND isfinite(double_value) AND kafka_key = mrid AND mrid LIKE '%:error'),

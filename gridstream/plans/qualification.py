@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from gridstream.functions import columns as C
 from gridstream.operators import qualify as Q
-from gridstream.plans.base import LOG, STRICT, M
-from gridstream.sources.fixtures import measurements, membership_log, read
+from gridstream.plans.base import FINE, LOG, STRICT, M
+from gridstream.sources.fixtures import fine_measurements, measurements, membership_log, read
 from gridstream.sources.topics import read_measurements
 
 SHORT = "arrival_seq, mrid, timestamp_mccs, value_type, double_value, quality_valid"
@@ -83,6 +83,10 @@ def o15_newer_only(spark: SparkSession, d: str) -> DataFrame:
     return Q.newer_only(measurements(spark, d), ["mrid"]).select(*_short)
 
 
+def o15_exact_time(spark: SparkSession, d: str) -> DataFrame:
+    return Q.newer_only(fine_measurements(spark, d), ["mrid"]).select(*_short)
+
+
 def o16_match_glob(spark: SparkSession, d: str) -> DataFrame:
     return Q.match_mrid_glob(measurements(spark, d), rules(spark)).select("arrival_seq", "mrid", "rule", "threshold")
 
@@ -145,7 +149,7 @@ def o23_verify(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     o1_read_measurements, o2_flatten, o4_parse_scalar_row, o9_weather, o10_compact, o11_qualify_key, o12_qualify_quality, o13_qualify_double,
-    o14_freshness, o15_newer_only, o16_match_glob, o17_select_signals, o18_numeric_value, o19_label_signals, o20_flag_rejections, o21_stat_quality,
+    o14_freshness, o15_newer_only, o15_exact_time, o16_match_glob, o17_select_signals, o18_numeric_value, o19_label_signals, o20_flag_rejections, o21_stat_quality,
     o22_normalize_frames, o23_verify,
 )}
 
@@ -179,6 +183,7 @@ SELECT profile, mrid, count(*) AS n, max(arrival_seq) AS last FROM p GROUP BY AL
     "o13_qualify_double": f"{M} SELECT {SHORT} FROM m WHERE value_type = 'double' AND isfinite(double_value)",
     "o14_freshness": f"{M} SELECT {SHORT} FROM m WHERE received_at - timestamp_mccs <= INTERVAL 30 SECONDS",
     "o15_newer_only": f"{M}, s AS (SELECT *, max({_t}) OVER (PARTITION BY mrid ORDER BY arrival_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM m) SELECT {SHORT} FROM s WHERE seen IS NULL OR {_t} > seen",
+    "o15_exact_time": f"{FINE}, s AS (SELECT *, max(ns) OVER (PARTITION BY mrid ORDER BY arrival_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM f) SELECT {SHORT} FROM s WHERE seen IS NULL OR ns > seen",
     "o16_match_glob": f"{M}, {_rules_sql} SELECT arrival_seq, mrid, rule, threshold FROM m JOIN rules ON regexp_full_match(mrid, replace(pattern, '*', '[^:]+'))",
     "o17_select_signals": f"""{M}, s AS (SELECT * FROM m WHERE mrid IN ('urn:grid:site:03:view', 'urn:grid:site:04:click') AND {_t} >= TIMESTAMP '2024-01-01 01:01:00')
 SELECT 'half_open' AS bounds, {SHORT} FROM s WHERE {_t} < TIMESTAMP '2024-01-01 01:10:00' UNION ALL SELECT 'closed', {SHORT} FROM s WHERE {_t} <= TIMESTAMP '2024-01-01 01:10:00'""",

@@ -49,6 +49,13 @@ def measurements(spark: SparkSession, sf_dir: str, step_ms: int = 125) -> DataFr
     return read(spark, sf_dir, "events").selectExpr(*[c.replace(STEP, f"event_id * {step_ms}") for c in columns])
 
 
+def fine_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements of which 400 at a time have one timestamp, and differ in their nanoseconds alone, out of order."""
+    second = _at("floor(arrival_seq / 400) * 1000")
+    return measurements(spark, sf_dir).selectExpr("* EXCEPT (timestamp_mccs, received_at, mccs_sec, mccs_nanos)", f"{second} AS timestamp_mccs", f"{second} AS received_at",
+        f"{START_SECOND} + CAST(floor(arrival_seq / 400) AS BIGINT) AS mccs_sec", "CAST(arrival_seq * 37 % 1000 AS INT) AS mccs_nanos")
+
+
 def membership_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change log of sources from ``orders``: source, value (null: removed), arrival_seq."""
     return read(spark, sf_dir, "orders").selectExpr(

@@ -15,8 +15,7 @@ def test_query(spark, name):
     df = QUERIES[name](spark, SF)
     if name in ORACLES:
         same_rows(df, ORACLES[name], SF)
-    else:
-        assert df.columns and df.count() >= 0
+    assert not df.isEmpty()
 
 
 def test_every_oracle_has_its_query():
