@@ -33,6 +33,7 @@ SHINGLE = 4
 PERCENT = 85  # of the union that must be shared
 UNIT = 1 << 21  # shingles in one tree
 SEEN = 100_000  # sets that a task remembers not to send twice
+FILTER = 1 << 24  # bits by which texts are chosen before they are dealt
 _u = np.uint64
 
 
@@ -286,6 +287,20 @@ def _signatures(rows: DataFrame, size: int, percent: int) -> DataFrame:
     return rows.select("text").mapInArrow(work, "sig long, s long")
 
 
+def _maybe_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose long ``key`` may be among the wanted ones: all of those, and few others
+    while those are fewer than FILTER. Their places in FILTER bits, at most 512 maps of
+    4 KB, go to every task, so that other texts need not be dealt to be joined."""
+    place = lambda k: F.pmod(k, F.lit(FILTER)) + 1
+    maps = wanted.select(place(F.col(key)).alias("_p")).groupBy(F.call_function("bitmap_bucket_number", F.col("_p")).alias("_map"))
+    maps = maps.agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("_p"))).alias("_bits"))
+    bit = F.call_function("bitmap_bit_position", place(F.col(key)))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_there = F.call_function("shiftright", byte, F.pmod(bit, F.lit(8)).cast("int")).bitwiseAND(1) == 1
+    held = rows.withColumn("_map", F.call_function("bitmap_bucket_number", place(F.col(key))))
+    return held.join(F.broadcast(maps), "_map").where(set_there).drop("_map", "_bits")
+
+
 def _stars(rows: DataFrame, key: str, name: str) -> DataFrame:
     """Edges (u, v) from each set to the first of those that share its key. Rows come in order
     past a window, so that a frequent key is never gathered."""
@@ -410,6 +425,7 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, d
     clusters = _labelled(_stars(_signatures(rows, size, percent), "sig", "signature-edges"))
     chosen = frozen(distinct.join(clusters, "s").select("cluster", F.col("r.doc_id").alias("_id"), F.col("r.th").alias("_th")), "chosen-sets")
     own = docs.select(*row_key(doc_id, text), F.col(text).cast("binary").alias("text"))
+    own = _maybe_in(own, chosen, "_th")
     sets = frozen(_sets(own.join(chosen, same_row(own, chosen)).select("cluster", "text"), ["cluster"], size), "candidate-sets")
     edges = _tree_links(sets, percent, unit)
 

@@ -278,3 +278,11 @@ def test_equal_places_in_every_task(spark):
     docs = docs_of(spark, [(k, f"wordone{k % 7} wordtwoo") for k in range(300)])
     one = {r.word: r.n for r in spelling.word_counts(docs.coalesce(1)).collect()}
     assert one == {r.word: r.n for r in spelling.word_counts(docs.repartition(7, F.col("doc_id"))).collect()}
+
+
+def test_rows_are_filtered_before_they_are_dealt(spark):
+    rows = spark.range(-3000, 3000).select((F.col("id") * 7_919_191_919).alias("k"))
+    wanted = rows.where(F.pmod(F.xxhash64("k"), F.lit(10)) == 0)
+    kept = jaccard._maybe_in(rows, wanted, "k")
+    assert wanted.subtract(kept).isEmpty() and wanted.count() <= kept.count() < 1.05 * wanted.count()
+    assert jaccard._maybe_in(rows, wanted.limit(0), "k").isEmpty()
