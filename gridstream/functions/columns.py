@@ -10,6 +10,7 @@ from gridstream.functions.intervals import micros
 # Namespaces of identifiers.
 EPISODE_NAMESPACE = "f5d55f94-655f-5460-a315-f56a8a891007"
 SESSION_NAMESPACE = "8f3c89c2-0b2f-5a40-b6ed-7e22a1b24f63"
+EXPORT_NAMESPACE = "f39fc794-f7e9-4d59-9c2a-5bb1d84af1b2"
 
 UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 

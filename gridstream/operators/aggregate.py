@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstream.functions.columns import EPISODE_NAMESPACE, finite, numeric_value, uuid5
+from gridstream.functions.columns import EXPORT_NAMESPACE, finite, numeric_value, uuid5
+from gridstream.functions.exact import array_mean, hex_text
 from gridstream.functions.running import with_running
 from gridstream.operators.qualify import quality_ok
 from gridstream.schema import QUALITY
@@ -15,28 +16,31 @@ def second_of(ts: str | Column) -> Column:
     return F.date_trunc("second", F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
 
 
-def exact_mean(values: Column) -> Column:
-    """Mean of an array, summed in value order so that partitioning cannot change
-    it; minus zero becomes zero."""
-    total = F.aggregate(F.array_sort(values), F.lit(0.0), lambda a, x: a + x)
-    return total / F.size(values) + F.lit(0.0)
+def export_id() -> Column:
+    """Identity of an export row: what it says, where to, why, and its flags."""
+    flag = lambda c: F.col(c).cast("int").cast("string")
+    parts = [F.col("mrid"), F.unix_seconds(F.col("second").cast("timestamp")).cast("string"), hex_text(F.col("mean")), *[F.col(c).cast("string") for c in ("common_address", "object_address", "cause")]]
+    flags = [flag(f"quality_{f}") for f in ("operator_blocked", "old_data", "overflow", "substituted")]
+    return uuid5(EXPORT_NAMESPACE, F.concat_ws("\0", *parts, *flags))
 
 
 def second_mean_export(df: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Event-second means per mapped mrid, with OR-ed quality flags.
+    """Event-second means per mapped mrid, with OR-ed quality flags and ``export_id``.
 
+    mapping: mrid, common_address, object_address and cause (3 where there is none).
     A second closes when a later valid second of the same mrid has arrived; rows
     of an earlier second than the newest seen are dropped, and the newest
-    second of each mrid stays open. Ids depend on mrid, second and mean only.
+    second of each mrid stays open. Any finite values have a mean.
     """
     ok = quality_ok("explicit_valid") & (F.col("value_type") == "double") & finite(F.col("double_value")) & F.col("kafka_key").eqNullSafe(F.col("mrid")) & F.col("timestamp_field").isNotNull()
-    rows = df.where(ok).join(mapping, "mrid").withColumn("second", second_of("timestamp_field"))
+    where = mapping if "cause" in mapping.columns else mapping.withColumn("cause", F.lit(3))
+    rows = df.where(ok).join(where, "mrid").withColumn("second", second_of("timestamp_field"))
     kept = with_running(rows, ["mrid"], "arrival_seq", _run=("max_before", F.col("second"))).where(F.col("_run").isNull() | (F.col("second") >= F.col("_run")))
     flags = [F.bool_or(F.coalesce(q, F.lit(False))).alias(q) for q in QUALITY[1:]]
-    cells = kept.groupBy("mrid", "second", *[c for c in mapping.columns if c != "mrid"]).agg(exact_mean(F.collect_list("double_value")).alias("mean"), F.count(F.lit(1)).alias("n"), *flags)
-    closed = cells.withColumn("_newest", F.max("second").over(Window.partitionBy("mrid"))).where(F.col("second") < F.col("_newest")).drop("_newest")
-    name = F.concat_ws("|", "mrid", F.date_format("second", "yyyy-MM-dd'T'HH:mm:ss"), F.col("mean").cast("decimal(18,6)").cast("string"))
-    return closed.withColumn("export_id", uuid5(EPISODE_NAMESPACE, name))
+    cells = kept.groupBy("mrid", "second", *[c for c in where.columns if c != "mrid"]).agg(F.collect_list("double_value").alias("_values"), F.count(F.lit(1)).alias("n"), *flags)
+    newest = rows.groupBy("mrid").agg(F.max("second").alias("_newest"))  # a sum for each signal, not an order of its seconds
+    closed = cells.join(newest, "mrid").where(F.col("second") < F.col("_newest")).withColumn("mean", array_mean(df.sparkSession, F.col("_values")))
+    return closed.withColumn("export_id", export_id()).drop("_newest", "_values")
 
 
 def dedupe_inputs(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridstream.functions.intervals import micros
 from gridstream.functions.columns import canonical_uuid, finite, reasons
 
 # Fixed values of the export protocol.
@@ -40,7 +41,7 @@ def validate_exports(df: DataFrame) -> DataFrame:
         "reasons",
         reasons(
             bad_id=~canonical_uuid(F.col("export_id")),
-            bad_time=F.col("created_at").isNull() | (F.col("created_at") <= F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")),
+            bad_time=~F.coalesce(F.floor(micros(F.col("created_at")) / 1000) > 0, F.lit(False)),  # whole milliseconds
             bad_type=want.isNull(),
             common_address=~F.coalesce(F.col("common_address").between(1, 0xFFFF), F.lit(False)),
             cause=~F.coalesce(F.col("cause").isin(CAUSES), F.lit(False)),

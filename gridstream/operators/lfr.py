@@ -86,15 +86,17 @@ def classify_pmu(seconds: DataFrame, s: Settings) -> DataFrame:
 
 def preferred_frequency(classified: DataFrame, s: Settings) -> DataFrame:
     """Per second the median of the best class that is not BAD, never averaged: of
-    the two middle values the one farther from nominal, then the configured one."""
+    the two middle values the one farther from nominal, then the configured one.
+    ``selected`` names the units of that class, sorted."""
     best = classified.where(F.col("quality") > BAD).withColumn("_best", F.max("quality").over(Window.partitionBy("second"))).where(F.col("quality") == F.col("_best"))
-    lists = best.groupBy("second").agg(F.max("quality").alias("quality"), F.array_sort(F.collect_list("mean_frequency")).alias("_v"))
+    of_best = [F.array_sort(F.collect_list("mean_frequency")).alias("_v"), F.array_sort(F.collect_list("pmu")).alias("selected")]
+    lists = best.groupBy("second").agg(F.max("quality").alias("quality"), *of_best)
     n = F.size("_v")
     low, high = F.element_at("_v", F.floor((n + 1) / 2).cast("int")), F.element_at("_v", F.floor(n / 2).cast("int") + 1)
     off = lambda c: F.abs(c - s.nominal_frequency)
     tied = low if s.tie == "lower" else high
     chosen = F.when(off(low) > off(high), low).when(off(high) > off(low), high).otherwise(tied)
-    return lists.select("second", "quality", chosen.alias("frequency"), n.alias("units"))
+    return lists.select("second", "quality", chosen.alias("frequency"), n.alias("units"), "selected")
 
 
 def publications(preferred: DataFrame, output_mrid: str, s: Settings) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridstream.operators import aggregate as A
 from gridstream.operators import lfr as L
-from gridstream.plans.base import DENSE, M
+from gridstream.plans.base import DENSE, M, uuid5
 from gridstream.sources.fixtures import measurements, metric_samples, read
 
 SETTINGS = L.Settings()
@@ -20,7 +20,7 @@ def _mapping(spark: SparkSession, d: str) -> DataFrame:
 
 def o39_second_mean(spark: SparkSession, d: str) -> DataFrame:
     out = A.second_mean_export(measurements(spark, d), _mapping(spark, d))
-    return out.select("mrid", "second", "common_address", "object_address", "n", F.round("mean", 6).alias("mean"), "quality_substituted", "quality_old_data")
+    return out.select("mrid", "second", "common_address", "object_address", "n", F.round("mean", 6).alias("mean"), *A.QUALITY[1:], "export_id")
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +46,7 @@ def _preferred(spark: SparkSession, d: str) -> DataFrame:
 
 
 def o42_preferred(spark: SparkSession, d: str) -> DataFrame:
-    return _preferred(spark, d).select("second", "quality", F.round("frequency", 6).alias("frequency"), "units")
+    return _preferred(spark, d).select("second", "quality", F.round("frequency", 6).alias("frequency"), "units", F.array_join("selected", ",").alias("selected"))
 
 
 def o44_latest_by(spark: SparkSession, d: str) -> DataFrame:
@@ -128,20 +128,25 @@ s AS (SELECT u.pmu, g.second, mf, mv, coalesce(good, 0) AS good, coalesce(total,
   FROM (SELECT DISTINCT second FROM k) g CROSS JOIN u LEFT JOIN p ON p.pmu = u.pmu AND p.second = g.second),
 c AS (SELECT *, CASE WHEN good <= 0 THEN 0 WHEN good >= 2 THEN 2 ELSE 1 END AS count_class, CASE WHEN abs(mv - 40) < 10 THEN 2 WHEN abs(mv - 40) <= 25 THEN 1 ELSE 0 END AS voltage_class FROM s),
 q AS (SELECT *, CASE WHEN mf IS NULL THEN 0 ELSE least(count_class, voltage_class) END AS quality FROM c),
-b0 AS (SELECT second, quality, list_sort(list(mf)) AS v FROM q WHERE quality > 0 GROUP BY ALL), b AS (SELECT * FROM b0 QUALIFY quality = max(quality) OVER (PARTITION BY second)),
-r AS (SELECT second, quality, len(v) AS units, v[(len(v) + 1) // 2] AS lo, v[len(v) // 2 + 1] AS hi FROM b),
-f AS (SELECT second, quality, units, CASE WHEN abs(lo - 50) > abs(hi - 50) THEN lo WHEN abs(hi - 50) > abs(lo - 50) THEN hi ELSE lo END AS frequency FROM r)"""
+b0 AS (SELECT second, quality, list_sort(list(mf)) AS v, string_agg(pmu, ',' ORDER BY pmu) AS selected FROM q WHERE quality > 0 GROUP BY ALL), b AS (SELECT * FROM b0 QUALIFY quality = max(quality) OVER (PARTITION BY second)),
+r AS (SELECT second, quality, selected, len(v) AS units, v[(len(v) + 1) // 2] AS lo, v[len(v) // 2 + 1] AS hi FROM b),
+f AS (SELECT second, quality, selected, units, CASE WHEN abs(lo - 50) > abs(hi - 50) THEN lo WHEN abs(hi - 50) > abs(lo - 50) THEN hi ELSE lo END AS frequency FROM r)"""
+
+_or = ", ".join(f"bool_or(coalesce(quality_{q}, false)) AS quality_{q}" for q in ("substituted", "operator_blocked", "overflow", "old_data"))
+_seed = ["mrid", "epoch(second)::BIGINT", "CASE WHEN exact = 0 THEN '0x0.0p+0' ELSE format('{:.13a}', exact) END", "common_address", "object_address", "3", *(f"quality_{q}::INT" for q in ("operator_blocked", "old_data", "overflow", "substituted"))]
+_XID = uuid5("f39fc794-f7e9-4d59-9c2a-5bb1d84af1b2", "(" + " || chr(0) || ".join(f"CAST({x} AS VARCHAR)" for x in _seed) + ")")
 
 ORACLES = {
     "o39_second_mean": f"""{M}, g AS (SELECT m.*, n_nationkey + 1 AS common_address, 100 + n_nationkey AS object_address, date_trunc('second', timestamp_field) AS second
   FROM m JOIN nation ON n_nationkey < 20 AND mrid = 'urn:grid:site:' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || ':click' WHERE quality_valid IS TRUE AND double_value IS NOT NULL AND kafka_key = mrid),
 r AS (SELECT *, max(second) OVER (PARTITION BY mrid ORDER BY arrival_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM g),
-x AS (SELECT mrid, second, common_address, object_address, count(*) AS n, round(avg(double_value), 6) AS mean, bool_or(coalesce(quality_substituted, false)) AS quality_substituted, bool_or(coalesce(quality_old_data, false)) AS quality_old_data
-  FROM r WHERE run IS NULL OR second >= run GROUP BY ALL)
-SELECT * FROM x QUALIFY second < max(second) OVER (PARTITION BY mrid)""",
+w AS (SELECT mrid, second, common_address, object_address, max(abs(double_value)) AS scale, list(double_value) AS vs, count(*) AS n, {_or} FROM r WHERE run IS NULL OR second >= run GROUP BY ALL),
+x AS (SELECT *, CASE WHEN scale = 0 THEN 0.0 ELSE scale * (list_sum(list_transform(list_sort(vs), lambda v: v / scale)) / n) + 0.0 END AS exact FROM w),
+y AS (SELECT *, {_XID} AS export_id FROM x QUALIFY second < max(second) OVER (PARTITION BY mrid))
+SELECT mrid, second, common_address, object_address, n, round(exact, 6) AS mean, quality_substituted, quality_operator_blocked, quality_overflow, quality_old_data, export_id FROM y""",
     "o40_pmu_second": f"{_LFR} SELECT pmu, second, round(mf, 6) AS mean_frequency, round(mv, 6) AS mean_voltage, good, total, rejections, round(availability, 6) AS availability FROM s",
     "o41_classify": f"{_LFR} SELECT pmu, second, count_class, voltage_class, quality FROM q",
-    "o42_preferred": f"{_LFR} SELECT second, quality, round(frequency, 6) AS frequency, CAST(units AS INT) AS units FROM f",
+    "o42_preferred": f"{_LFR} SELECT second, quality, round(frequency, 6) AS frequency, CAST(units AS INT) AS units, selected FROM f",
     "o44_latest_by": f"{M} SELECT mrid, arg_max(double_value, (timestamp_mccs, arrival_seq)) AS double_value, max(timestamp_mccs) AS timestamp_mccs FROM m WHERE double_value IS NOT NULL GROUP BY mrid",
     "o45_series_1s": f"{M} SELECT date_trunc('second', timestamp_mccs) AS second, mrid, arg_max(double_value, (timestamp_mccs, arrival_seq)) AS value FROM m WHERE double_value IS NOT NULL GROUP BY ALL",
     "o46_quality_series": f"{M}, x AS (SELECT *, date_trunc('second', timestamp_mccs) AS second, (timestamp_mccs, arrival_seq) AS k FROM m), y AS (SELECT second, mrid, {_flags} FROM x GROUP BY ALL) SELECT second, mrid, "

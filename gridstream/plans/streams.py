@@ -54,16 +54,16 @@ def o72_stream_capture(spark: SparkSession, d: str) -> DataFrame:
 
 def o73_stream_export(spark: SparkSession, d: str) -> DataFrame:
     out = _stored(spark, jobs.stream_export(_live(spark, d), aggregates._mapping(spark, d)), "exports")
-    return out.select("mrid", _time("second_us").alias("second"), "n", F.round("mean", 6).alias("mean"), "quality_substituted", "quality_old_data")
+    return out.select("mrid", _time("second_us").alias("second"), "n", F.round("mean", 6).alias("mean"), F.col("blocked").alias("quality_operator_blocked"), F.col("overflow").alias("quality_overflow"), F.col("not_topical").alias("quality_old_data"), F.col("substituted").alias("quality_substituted"), "export_id")
 
 
 def o74_stream_lfr(spark: SparkSession, d: str) -> DataFrame:
     path, s = storage.scratch(spark, "lfr"), aggregates.SETTINGS
-    live = jobs.replayed(spark, measurements(spark, d, aggregates.DENSE_MS), "live")
-    cells = jobs.stream_lfr_cells(live, aggregates._units(spark, d), s)
+    stored = jobs.with_last_tick(measurements(spark, d, aggregates.DENSE_MS), s)
+    cells = jobs.stream_lfr(jobs.replayed(spark, stored, "live", "arrival_seq"), aggregates._units(spark, d), s)
     jobs.run_to_end(cells, path, jobs.publish_lfr(path, "urn:lfr:preferred", s))
     schema = "publication_id string, mrid string, double_value double, timestamp_field timestamp_ntz, timestamp_mccs timestamp_ntz, quality_valid boolean"
-    return spark.read.schema(schema).parquet(path).select("publication_id", F.round("double_value", 6).alias("double_value"), "timestamp_field")
+    return spark.read.schema(schema).parquet(f"{path}/sent").select("publication_id", F.round("double_value", 6).alias("double_value"), "timestamp_field")
 
 
 def o77_materialize(spark: SparkSession, d: str) -> DataFrame:
@@ -77,13 +77,14 @@ def o77_materialize(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (s69_formula, o70_stream_latest, o71_stream_alarm, o72_stream_capture, o73_stream_export, o74_stream_lfr, o77_materialize)}
 
-_cut = "SELECT mrid, second, n, mean, quality_substituted, quality_old_data FROM ("
+_cut = "SELECT * EXCLUDE (common_address, object_address) FROM ("
 ORACLES = {
     "s69_formula": episodes.ORACLES["o69_formula"],
     "o70_stream_latest": episodes.ORACLES["o24_latest_values"],
     "o71_stream_alarm": episodes.ORACLES["o52_transitions"],
     "o72_stream_capture": f"SELECT mrid, onset, cleared_at FROM ({episodes.ORACLES['o55_capture']})",
     "o73_stream_export": f"{_cut}{aggregates.ORACLES['o39_second_mean']})",
+    "o74_stream_lfr": f"{aggregates._LFR} SELECT 'urn:lfr:preferred:' || second AS publication_id, round(frequency, 6) AS double_value, to_timestamp(second + 1)::TIMESTAMP AS timestamp_field FROM f",
     "o77_materialize": f"""{sessions._R} SELECT session_id, CASE WHEN min(n) > 0 THEN 'COMPLETE' ELSE 'PARTIAL' END AS status, sum(n)::BIGINT AS measurement_count, NULL AS rejection_reason, count(*)::INT AS signals, '' AS reasons FROM c GROUP BY session_id
 UNION ALL SELECT session_id, 'REJECTED', 0, CASE fault WHEN 7 THEN 'interval_too_long' WHEN 11 THEN 'mrids_unsorted' WHEN 13 THEN 'metadata_unsorted' WHEN 17 THEN 'metadata_key' ELSE 'metadata_value' END, 0, '' FROM requests WHERE fault IN (7, 11, 13, 17, 19)""",
 }

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gridstream.cluster import ship
-from gridstream.functions.columns import alarm_key, finite
+from gridstream.functions.columns import alarm_key, exact_time, finite
 from gridstream.operators import aggregate, lfr, sessions
-from gridstream.operators.qualify import glob_regex, quality_ok
+from gridstream.operators.qualify import glob_regex, match_few, quality_ok
 from gridstream.sources import storage
 from gridstream.streaming import machines
 
@@ -55,7 +55,7 @@ def _run(df: DataFrame, keys: list[str], step: Callable, schema: str, initial: D
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     df = df if "turn" in df.columns else df.withColumn("turn", F.col("arrival_seq"))
-    columns = [c.strip().split(" ")[0].strip("`") for c in schema.replace("array<double>", "x").split(",")]
+    columns = [c.strip().split(" ")[0] for c in schema.replace("array<double>", "x").split(",")]
     start = initial.groupBy(*keys) if initial is not None else None
     return df.groupBy(*keys).transformWithStateInPandas(Machine(step, columns), schema, "append", "none", start)
 
@@ -68,18 +68,31 @@ def _known(df: DataFrame, profile: str) -> DataFrame:
     return df.where(quality_ok(profile) & (F.col("value_type") == "double") & finite(F.col("double_value")) & F.col("kafka_key").eqNullSafe(F.col("mrid")))
 
 
+def _exact(df: DataFrame) -> list[F.Column]:
+    """The time that orders alarms and captures, as a row's two numbers."""
+    at = exact_time(df)
+    return [at["seconds"].alias("at_seconds"), at["nanos"].alias("at_nanos")]
+
+
 def stream_export(df: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Event-second means per mapped mrid; the newest second of each stays open."""
+    """Event-second means per mapped mrid with all flags and their identity; the newest second of
+    each stays open. mapping: mrid, common_address, object_address and cause (3 where there is none)."""
     flag = lambda c: F.coalesce(c, F.lit(False))
-    rows = _known(df, "explicit_valid").where(F.col("timestamp_field").isNotNull()).join(mapping.select("mrid"), "mrid", "left_semi")
-    rows = rows.select("mrid", "arrival_seq", _us("timestamp_field").alias("field_us"), "double_value", flag("quality_substituted").alias("substituted"), flag("quality_old_data").alias("old_data"))
-    return _run(rows, ["mrid"], machines.export_step, "mrid string, second_us long, n long, mean double, quality_substituted boolean, quality_old_data boolean")
+    where = mapping if "cause" in mapping.columns else mapping.withColumn("cause", F.lit(3))
+    rows = _known(df, "explicit_valid").where(F.col("timestamp_field").isNotNull()).join(where, "mrid")
+    rows = rows.select(
+        "mrid", "arrival_seq", _us("timestamp_field").alias("field_us"), "double_value", "common_address", "object_address", "cause",
+        flag("quality_operator_blocked").alias("blocked"), flag("quality_old_data").alias("not_topical"), flag("quality_overflow").alias("overflow"), flag("quality_substituted").alias("substituted"),
+    )
+    flags = ", ".join(f"{f} boolean" for f in machines.FLAGS)
+    return _run(rows, ["mrid"], machines.export_step, f"mrid string, second_us long, n long, mean double, {flags}, export_id string")
 
 
 def stream_capture(df: DataFrame, policies: DataFrame) -> DataFrame:
     """Closed episodes above each policy's threshold."""
     rows = _known(df, "strict").where(F.col("timestamp_mccs").isNotNull()).join(policies.select("mrid", "threshold"), "mrid")
-    return _run(rows.select("mrid", "arrival_seq", _us("timestamp_mccs").alias("mccs_us"), "double_value", "threshold"), ["mrid"], machines.capture_step, "mrid string, onset_us long, cleared_us long")
+    rows = rows.select("mrid", "arrival_seq", _us("timestamp_mccs").alias("mccs_us"), *_exact(rows), "double_value", "threshold")
+    return _run(rows, ["mrid"], machines.capture_step, "mrid string, onset_us long, cleared_us long")
 
 
 def stream_latest_values(df: DataFrame, inputs: DataFrame, names: list[str], max_age_s: float | None, clock: str = "kafka_ts") -> DataFrame:
@@ -90,9 +103,12 @@ def stream_latest_values(df: DataFrame, inputs: DataFrame, names: list[str], max
     return _run(rows, ["group"], machines.latest_step, "group string, arrival_seq long, newest_us long, inputs array<double>")
 
 
+ALARM_KINDS = "alarm_key string, rule string, mrid string, arrival_seq long, mccs_us long, action string, episode_id string, activated_us long"
+
+
 def stream_alarm(df: DataFrame, rules: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """Alarm transitions per rule and mrid. ``initial`` (rule, mrid, state) restores
-    the state from stored alarms, see ``alarm_states``.
+    the state from the stored change logs, see ``alarm_states``.
 
     If ``df`` has a column ``present``, rows where it is not null are changes of
     the membership of their mrid (see ``alarms.member_events``): a signal is
@@ -105,41 +121,152 @@ def stream_alarm(df: DataFrame, rules: DataFrame, initial: DataFrame | None = No
     fresh = F.col("received_at") - F.col("timestamp_mccs") <= F.expr("INTERVAL '30' SECOND")
     counted = df.where(F.col("_present").isNotNull()).unionByName(_known(df.where(F.col("_present").isNull()), "strict").where(fresh))
     rows = counted.withColumn("_n", size("mrid")).join(patterns, "_n").where(F.expr("mrid RLIKE _p"))
-    rows = rows.select("rule", "mrid", "arrival_seq", alarm_key(F.col("rule"), F.col("mrid")).alias("alarm_key"), "topic", F.col("partition").cast("string").alias("partition"), F.col("offset").cast("string").alias("offset"), F.coalesce(_us("timestamp_mccs"), F.lit(0)).alias("mccs_us"), "double_value", "threshold", F.coalesce(~F.col("_present"), F.lit(False)).alias("gone"), F.coalesce(F.col("_present"), F.lit(False)).alias("joined"), F.lit("present" in df.columns).alias("bound"),
-        (2 * F.col("arrival_seq") + F.when(F.col("_present").isNull(), 1).otherwise(0)).alias("turn"))  # changes of membership before rows of their place
-    return _run(rows, ["rule", "mrid"], machines.alarm_step, "alarm_key string, rule string, mrid string, arrival_seq long, mccs_us long, action string, episode_id string, activated_us long", initial)
-
-
-def alarm_states(current: DataFrame) -> DataFrame:
-    """Initial states (rule, mrid, state) from the stored active alarms."""
-    text = F.to_json(F.struct(_us("watermark").alias("watermark"), F.array(F.col("episode_id"), _us("activated_at").cast("string")).alias("episode")))
-    plain = F.regexp_replace(text, r'"(-?\d+)"\]', r"$1]")  # the time as a number
-    return current.select("rule", "mrid", plain.alias("state"))
-
-
-def stream_lfr_cells(df: DataFrame, units: DataFrame, s: lfr.Settings) -> DataFrame:
-    """Closed (unit, second) aggregates; a second closes when the watermark on the
-    field time, held back by the closing delay, has passed it."""
-    inputs = lfr.accepted_inputs(df, units, s).where(F.col("refused").isNull()).withColumn("at", F.col("timestamp_field").cast("timestamp"))
-    delay = s.close_delay_ms + 1000 * s.max_future_s + 3000
-    rows = inputs.withWatermark("at", f"{delay} milliseconds").dropDuplicatesWithinWatermark(["pmu", "topic", "partition", "offset"])
-    f, v, good = F.col("kind") == "frequency", F.col("kind") == "voltage", F.col("good")
-    cells = rows.groupBy(F.window("at", "1 second").alias("w"), "pmu").agg(
-        F.avg(F.when(f & good, F.col("double_value"))).alias("mean_frequency"), F.avg(F.when(v & good, F.col("double_value"))).alias("mean_voltage"),
-        F.count_if(f & good).alias("good"), F.count_if(f).alias("total"), F.sum(F.size("reasons")).alias("rejections"),
+    seconds, nanos = _exact(rows)
+    rows = rows.select(
+        "rule", "mrid", "arrival_seq", alarm_key(F.col("rule"), F.col("mrid")).alias("alarm_key"), "topic",
+        F.col("partition").cast("string").alias("partition"), F.col("offset").cast("string").alias("offset"),
+        F.coalesce(_us("timestamp_mccs"), F.lit(0)).alias("mccs_us"), F.coalesce(seconds, F.lit(0)).alias("at_seconds"), F.coalesce(nanos, F.lit(0)).alias("at_nanos"),
+        "double_value", "threshold", F.coalesce(~F.col("_present"), F.lit(False)).alias("gone"), F.coalesce(F.col("_present"), F.lit(False)).alias("joined"),
+        F.lit("present" in df.columns).alias("bound"),
+        (2 * F.col("arrival_seq") + F.when(F.col("_present").isNull(), 1).otherwise(0)).alias("turn"),  # changes of membership before rows of their place
     )
-    return cells.withColumn("second", F.unix_seconds("w.start")).drop("w")
+    return _run(rows, ["rule", "mrid"], machines.alarm_step, ALARM_KINDS, initial)
 
 
-def publish_lfr(output: str, mrid: str, s: lfr.Settings) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: classify the closed cells, choose the frequency, and
-    append what the outbox has not sent."""
+def alarm_states(active: DataFrame, watermarks: DataFrame, members: DataFrame, rules: DataFrame, legacy: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What alarms begin with after a restart, from the newest entries of three change logs:
+    initial states (rule, mrid, state) for ``stream_alarm``, and the alarms to be ended at once.
+
+    active: rule, mrid, episode_id, activated_at, watermark (time of the evidence). watermarks:
+    rule, mrid, seconds, nanos, of all keys that were ever evaluated, active or not. members: mrid of
+    the signals that are members now. A key's watermark is the later of its own and its
+    alarm's evidence. An active alarm without a watermark is an error, unless ``legacy`` says that
+    its evidence may stand in. Alarms of signals that are no members (any more) are
+    cleared, but keep their watermark. Rules that are not configured are left out.
+    """
+    now = match_few(members.select("mrid").distinct(), rules).select("rule", "mrid", F.lit(True).alias("member"))
+    at = F.struct("seconds", F.col("nanos").cast("int").alias("nanos"))
+    marks = watermarks.join(rules.select("rule"), "rule", "left_semi").select("rule", "mrid", at.alias("_mark"))
+    evidence = exact_time(active, "watermark")
+    alarms_now = active.join(rules.select("rule"), "rule", "left_semi").select("rule", "mrid", "episode_id", "activated_at", evidence.alias("_evidence"))
+    both = alarms_now.join(marks, ["rule", "mrid"], "full_outer").join(now, ["rule", "mrid"], "full_outer")
+    lacking = F.col("episode_id").isNotNull() & F.col("_mark").isNull()
+    checked = both if legacy else both.withColumn("_mark", F.when(lacking, F.raise_error(F.lit("an active alarm has no watermark")).cast("struct<seconds: bigint, nanos: int>")).otherwise(F.col("_mark")))
+    late = checked.withColumn("_at", F.greatest("_mark", "_evidence"))
+    number = F.col("_at.seconds").cast("decimal(38,0)") * 1_000_000_000 + F.col("_at.nanos")
+    kept = F.col("member") & F.col("episode_id").isNotNull()
+    parts = F.array_compact(F.array(
+        F.when(F.col("_at").isNotNull(), F.concat(F.lit('"watermark":'), number.cast("string"))),
+        F.when(F.col("member"), F.lit('"member":true')),
+        F.when(kept, F.concat(F.lit('"episode":["'), "episode_id", F.lit('",'), _us("activated_at").cast("string"), F.lit("]"))),
+    ))
+    states = late.select("rule", "mrid", F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias("state"))
+    stale = late.where(F.col("episode_id").isNotNull() & F.col("member").isNull())
+    ended = stale.select(alarm_key(F.col("rule"), F.col("mrid")).alias("alarm_key"), "rule", "mrid", "episode_id", F.lit("clear").alias("action"))
+    return states, ended
+
+
+CELL = "second long, pmu string, mean_frequency double, mean_voltage double, good long, total long, rejections long, refused string, n long"
+NO_SECOND = -(1 << 40)  # of rows without a field time
+
+
+class Seconds(StatefulProcessor):
+    """Sums of one second by unit, and the second's end by a timer.
+
+    The state is typed: a map of sums by unit, and a list of the inputs seen. It is read and
+    written once for each batch that has rows of the second, and gone when the timer has fired.
+    """
+
+    def __init__(self, units: list[str], close_delay_ms: int):
+        self.units, self.delay = units, close_delay_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getMapState("sums", "pmu string", "frequency double, good long, total long, voltage double, voltages long, rejections long")
+        self.seen = handle.getListState("seen", "pmu string, topic string, partition int, offset long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        batch = pd.concat(list(rows), ignore_index=True)  # of one second
+        refused = batch[batch["refused"].notna()].groupby("refused").size()
+        if len(refused):
+            yield self._rows([{"second": int(key[0]), "refused": r, "n": int(n)} for r, n in refused.items()])
+        taken = batch[batch["refused"].isna()].sort_values("arrival_seq")
+        if not len(taken):
+            return
+        ids = ["pmu", "topic", "partition", "offset"]
+        known = set(self.seen.get())
+        if not known:
+            self.handle.registerTimer((int(key[0]) + 1) * 1000 + self.delay)
+        fresh = taken[[k not in known for k in taken[ids].itertuples(index=False, name=None)]].drop_duplicates(ids)
+        self.seen.appendList([(str(p), str(t), int(a), int(o)) for p, t, a, o in fresh[ids].itertuples(index=False, name=None)])
+        frequency = fresh["kind"] == "frequency"
+        fresh = fresh.assign(
+            f=fresh["double_value"].where(frequency & fresh["good"], 0.0), g=(frequency & fresh["good"]).astype(int), t=frequency.astype(int),
+            v=fresh["double_value"].where(~frequency & fresh["good"], 0.0), w=(~frequency & fresh["good"]).astype(int),
+        )
+        for pmu, f, g, t, v, w, r in fresh.groupby("pmu")[["f", "g", "t", "v", "w", "rejections"]].sum().itertuples(name=None):
+            was = self.sums.getValue((pmu,)) or (0.0, 0, 0, 0.0, 0, 0)
+            self.sums.updateValue((pmu,), (was[0] + float(f), was[1] + int(g), was[2] + int(t), was[3] + float(v), was[4] + int(w), was[5] + int(r)))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        found = {k[0]: v for k, v in self.sums.iterator()}
+        out = []
+        for pmu in self.units:  # absent ones too
+            f, good, total, v, voltages, rejections = found.get(pmu, (None, 0, 0, None, 0, 0))
+            out.append({"second": int(key[0]), "pmu": pmu, "mean_frequency": f / good if good else None, "mean_voltage": v / voltages if voltages else None, "good": good, "total": total, "rejections": rejections})
+        self.sums.clear()
+        self.seen.clear()
+        yield self._rows(out)
+
+    def _rows(self, rows: list[dict]) -> pd.DataFrame:
+        names = [c.split(" ")[0] for c in CELL.split(", ")]
+        return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in names})
 
-    def publish(cells: DataFrame, batch: int) -> None:
-        spark = cells.sparkSession
+    def close(self) -> None:
+        pass
+
+
+def stream_lfr(df: DataFrame, units: DataFrame, s: lfr.Settings, live: bool = False, disorder_ms: int = 1) -> DataFrame:
+    """Cells of every configured unit for each second that has closed, and counts of refused
+    rows (``refused``, ``n``; too late, too far ahead, without a time) as they come.
+
+    A second closes ``close_delay_ms`` after its end, by a timer: on the clock of ``received_at``, which is
+    that of the rows themselves and so the same in a replay (rows may come ``disorder_ms`` out
+    of its order), or, if ``live``, on the wall clock. Whether a row is late its two times
+    tell. The clock of a replay stands still at its end; ``with_last_tick`` moves it on.
+    """
+    ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    names = sorted(r[0] for r in units.select("pmu").distinct().collect())  # the configuration
+    clocked = df.withColumn("_clock", F.col("received_at").cast("timestamp")).withWatermark("_clock", f"{disorder_ms} milliseconds")
+    inputs = lfr.accepted_inputs(clocked, units, s)
+    rows = inputs.select(
+        F.coalesce("second", F.lit(NO_SECOND)).alias("second"), "_clock", "arrival_seq", "pmu", "topic", "partition", "offset", "kind",
+        "double_value", "good", "refused", F.size("reasons").alias("rejections"),
+    )
+    return rows.groupBy("second").transformWithStateInPandas(Seconds(names, s.close_delay_ms), CELL, "append", "processingTime" if live else "eventTime")
+
+
+def with_last_tick(df: DataFrame, s: lfr.Settings) -> DataFrame:
+    """A stored table to replay, with a last row of no signal by whose time all seconds have closed."""
+    wait = F.expr(f"INTERVAL '{s.max_future_s + s.close_delay_ms // 1000 + 3}' SECOND")
+    # an empty mrid and not null: a filter that a join implies would take the row before its time is seen
+    ends = df.agg(F.lit("").alias("mrid"), (F.max("received_at") + wait).alias("received_at"), (F.max("arrival_seq") + 1).alias("arrival_seq"))
+    return df.unionByName(ends.where(F.col("received_at").isNotNull()), allowMissingColumns=True)
+
+
+def publish_lfr(output: str, mrid: str, s: lfr.Settings) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: keep the batch's cells and refusals (``output``/cells, by batch), classify
+    the closed cells, choose the frequency, and append what the outbox has not sent (``output``/sent)."""
+
+    def publish(found: DataFrame, batch: int) -> None:
+        spark = found.sparkSession
+        path = f"{output}/cells/batch={batch}"
+        found.write.mode("overwrite").parquet(path)
+        cells = spark.read.schema(CELL).parquet(path).where(F.col("refused").isNull())
         pending = lfr.publications(lfr.preferred_frequency(lfr.classify_pmu(cells, s), s), mrid, s)
-        sent = _stored(spark, output, "publication_id string")
-        lfr.outbox(pending, sent).write.mode("append").parquet(output)
+        sent = _stored(spark, f"{output}/sent", "publication_id string")
+        lfr.outbox(pending, sent).write.mode("append").parquet(f"{output}/sent")
 
     return publish
 

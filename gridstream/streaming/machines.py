@@ -11,10 +11,21 @@ import math
 import uuid
 from typing import Any
 
+from gridstream.functions.exact import stable_mean
+
 State = dict[str, Any]
 SECOND = 1_000_000
 
 
+FLAGS = ["blocked", "not_topical", "overflow", "substituted"]
+EXPORTS = uuid.UUID("f39fc794-f7e9-4d59-9c2a-5bb1d84af1b2")  # fixed value: namespace of export identities
+
+
+def export_id(mrid: str, second: int, mean: float, address: tuple, flags: list[bool]) -> str:
+    """Identity of an export: what it says, where to, why, and its flags in the order of FLAGS."""
+    return str(uuid.uuid5(EXPORTS, "\0".join([mrid, str(second), mean.hex(), *map(str, address), *(str(int(f)) for f in flags)])))
+
+
 def export_step(state: State, row: Any, key: tuple) -> list[dict]:
     """Per-mrid second means: a later second closes the open one, an earlier one is late."""
     second = row.field_us // SECOND
@@ -22,24 +33,27 @@ def export_step(state: State, row: Any, key: tuple) -> list[dict]:
     if state and second < state["second"]:
         return out
     if state and second > state["second"]:
-        values = sorted(state["values"])
-        total = 0.0
-        for v in values:
-            total += v
-        out.append({"mrid": key[0], "second_us": state["second"] * SECOND, "n": len(values), "mean": total / len(values) + 0.0, "quality_substituted": state["substituted"], "quality_old_data": state["old"]})
+        mean, address = stable_mean(state["values"]), (row.common_address, row.object_address, row.cause)
+        flags = dict(zip(FLAGS, state["flags"], strict=True))
+        ident = export_id(key[0], state["second"], mean, address, state["flags"])
+        out.append({"mrid": key[0], "second_us": state["second"] * SECOND, "n": len(state["values"]), "mean": mean, **flags, "export_id": ident})
         state.clear()
     state.setdefault("second", second)
     state.setdefault("values", []).append(row.double_value)
-    state["substituted"] = bool(state.get("substituted")) or bool(row.substituted)
-    state["old"] = bool(state.get("old")) or bool(row.old_data)
+    state["flags"] = [was or bool(getattr(row, f)) for was, f in zip(state.get("flags", [False] * 4), FLAGS, strict=True)]
     return out
 
 
+def nanos(row: Any) -> int:
+    """A row's time to the nanosecond."""
+    return int(row.at_seconds) * 10**9 + int(row.at_nanos)
+
+
 def capture_step(state: State, row: Any, key: tuple) -> list[dict]:
     """Episodes above a threshold, emitted when they end."""
-    if row.mccs_us <= state.get("seen", -math.inf):
+    if nanos(row) <= state.get("seen", -math.inf):
         return []
-    state["seen"] = row.mccs_us
+    state["seen"] = nanos(row)
     onset = state.get("onset")
     if row.double_value > row.threshold:
         if onset is None:
@@ -83,9 +97,9 @@ def alarm_step(state: State, row: Any, key: tuple) -> list[dict]:
         state.pop("member", None)
         state.pop("episode", None)
         return [base | {"action": "clear", "episode_id": active[0], "activated_us": active[1]}] if active else []
-    if row.mccs_us <= state.get("watermark", -math.inf):
+    if nanos(row) <= state.get("watermark", -math.inf):
         return []
-    state["watermark"] = row.mccs_us
+    state["watermark"] = nanos(row)
     if row.double_value > row.threshold:
         action = "refresh" if active else "activate"
         if not active:
