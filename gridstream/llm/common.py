@@ -8,8 +8,12 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
+import itertools
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +23,7 @@ from gridstream import cluster
 
 BATCH = 1000  # rows that a task hands to Python at a time: texts may be long
 
-__all__ = ["frozen", "give_back", "packed", "row_key", "same_row", "shared_dir", "ship", "table", "unpacked", "with_dense_index", "with_global_rank"]
+__all__ = ["clash_free", "frozen", "give_back", "packed", "row_key", "same_row", "shared_dir", "ship", "table", "unpacked", "with_dense_index", "with_global_rank"]
 
 
 def ship(spark: SparkSession) -> None:
@@ -100,6 +104,27 @@ def with_dense_index(df: DataFrame, mid: str, index: str) -> DataFrame:
     )
 
 
+def clash_free(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators whose own columns begin with an underscore: such columns of the
+    user's table are called otherwise while the operator works, and have their names
+    again in its result. The table is the first argument that is one; names in other arguments follow."""
+
+    @functools.wraps(operator)
+    def call(*args: Any, **more: Any) -> DataFrame:
+        at = next(k for k, a in enumerate(args) if isinstance(a, DataFrame))
+        docs = args[at]
+        odd = [c for c in docs.columns if c.startswith("_")]
+        if not odd:
+            return operator(*args, **more)
+        free = (f"user{k}" for k in itertools.count() if f"user{k}" not in docs.columns)
+        safe = {c: next(free) for c in odd}
+        named = lambda a: safe.get(a, a) if isinstance(a, str) else a
+        rest = [docs.withColumnsRenamed(safe) if k == at else named(a) for k, a in enumerate(args)]
+        return operator(*rest, **{k: named(a) for k, a in more.items()}).withColumnsRenamed({v: k for k, v in safe.items()})
+
+    return call
+
+
 def packed(df: DataFrame, replaced: list[str], **own: Column) -> DataFrame:
     """The user's columns but the replaced ones as one struct ``row``, beside an
     operator's own columns: whatever the user's are called, no names clash."""

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridstream.llm.common import give_back, row_key, same_row, ship
+from gridstream.llm.common import clash_free, give_back, row_key, same_row, ship
 
 WINDOW = 10
 SHARD_WORDS = 1 << 18
@@ -280,6 +280,7 @@ def merged(spans: list) -> list[dict[str, int]]:
     return out
 
 
+@clash_free
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Add ``n_words``, ``spans`` (merged word spans to remove) and ``items``
     (ids as sorted strings of the test items with a window in the text).
@@ -323,6 +324,7 @@ def n_hit(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["first"]))
 
 
+@clash_free
 def without_spans(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """Remove each span of words, from its first to its last letter, from the text."""
     ship(docs.sparkSession)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridstream.llm.common import ship
+from gridstream.llm.common import clash_free, ship
 
 WINDOW = 3
 SURGE = 86
@@ -225,6 +225,7 @@ def main_text(page: str | None) -> str:
     return "\n".join(lines[k][0] for k in sorted(kept))
 
 
+@clash_free
 def extract_main_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """Replace the html column by the main text and its length ``n_chars``.
 

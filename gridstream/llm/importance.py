@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridstream.llm.common import frozen, ship, with_global_rank
+from gridstream.llm.common import clash_free, frozen, ship, with_global_rank
 
 BUCKETS = 1 << 16
 TARGET_ROWS = 20_000  # labelled rows that the target model is fitted on, at most
@@ -88,6 +88,7 @@ def resample(weighed: DataFrame, keep: int) -> DataFrame:
     return ranked.where(F.col("rank") < keep)
 
 
+@clash_free
 def sample_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", target_rows: int = TARGET_ROWS) -> DataFrame:
     """Resample documents towards those labelled good and not toxic.
 

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridstream.llm.common import give_back, ship
+from gridstream.llm.common import clash_free, give_back, ship
 
 WIDTH = 64  # bytes in a window; documents are cut into such windows
 HIDDEN = 8
@@ -169,34 +169,37 @@ def learn(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang
     """Fit the network on rows where ``usable`` holds and text and lang are not null.
 
     Every language that such a row has is learned. The sample is bounded: at
-    most ``sample`` windows of WIDTH bytes of each language, chosen by a hash,
-    up to four windows of a text. Returns None where no row can be used.
+    most ``sample`` windows of WIDTH bytes of each language, up to four windows
+    of a text. Texts are chosen by their hash, at a rate set by how many different
+    texts a language has, and repeated ones count once: a language of few or
+    much repeated texts gives all of them. Returns None where no row can be used.
     """
-    rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where(usable & F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull())
-    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}  # a row per language
-    if not counts:
+    rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where(usable & F.col(text).rlike(r"\p{L}") & F.col(lang).isNotNull()).withColumn("o", F.xxhash64("t"))
+    different = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.approx_count_distinct("o", 0.02).alias("n")).collect()}  # a row per language
+    if not different:
         return None
-    names = sorted(counts)
-    share = F.coalesce(*[F.when(F.col("l") == n, F.lit(min(1.0, 1.5 * (sample / 4 + 50) / counts[n]))) for n in names])
+    names = sorted(different)
+    share = F.coalesce(*[F.when(F.col("l") == n, F.lit(min(1.0, 1.5 * (sample / 4 + 50) / max(1, different[n])))) for n in names])
     width = 4 * WIDTH
-    picked = rows.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < share * (1 << 20)).select(
-        "l", F.substring("t", 1 + F.pmod(F.xxhash64(F.lit(1), "t"), F.greatest(F.lit(1), F.char_length("t") - width + 1)).cast("int"), F.lit(width)).alias("w"), F.xxhash64("t").alias("o")
+    picked = rows.where(F.pmod(F.xxhash64(F.lit(2), "o"), F.lit(1 << 20)) < share * (1 << 20)).select(
+        "l", F.substring("t", 1 + F.pmod(F.xxhash64(F.lit(1), "t"), F.greatest(F.lit(1), F.char_length("t") - width + 1)).cast("int"), F.lit(width)).alias("w"), "o"
     )
-    got = picked.orderBy("o", "w", "l").limit(2 * sample * len(names)).collect()
+    got = picked.dropDuplicates(["l", "o"]).orderBy("o", "w", "l").limit(2 * sample * len(names)).collect()
     x, y, taken = [], [], dict.fromkeys(names, 0)
     for r in got:
         cut = windows_of(r["w"].encode("utf-8", "surrogatepass"))[: max(0, min(4, sample - taken[r["l"]]))]
         taken[r["l"]] += len(cut)
         x.append(cut)
         y += [names.index(r["l"])] * len(cut)
-    if not y:
-        return None
+    if lacking := [n for n in names if not taken[n]]:
+        raise ValueError(f"no text was chosen of {lacking}")
     order = np.asarray(y)  # every language weighs the same
     each = max(np.bincount(order))
-    index = np.concatenate([np.resize(np.flatnonzero(order == c), each) for c in range(len(names)) if (order == c).any()])
+    index = np.concatenate([np.resize(np.flatnonzero(order == c), each) for c in range(len(names))])
     return names, train(np.concatenate(x)[index], order[index], len(names))
 
 
+@clash_free
 def identify(docs: DataFrame, model: tuple[list[str], Params] | None, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
     """Add the most probable language of each whole text and its probability.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridstream.llm.common import frozen, row_key, same_row
+from gridstream.llm.common import clash_free, frozen, row_key, same_row
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANKS = " \t\n\x0b\f\r"
@@ -50,6 +50,7 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     return hit.groupBy("_id", "_th").agg(F.sort_array(F.collect_set("_pos")).alias("_drop"))
 
 
+@clash_free
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, doc_id: str = "doc_id", text: str = "text", kept: str = "kept") -> DataFrame:
     """Add ``kept`` (the text without frequent lines), ``n_lines`` (before) and ``n_dropped``.
 

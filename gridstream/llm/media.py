@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridstream.llm.common import ship
+from gridstream.llm.common import clash_free, ship
 
 RATE = 8000
 UP, DOWN = 2, 3
@@ -137,6 +137,7 @@ def features(payload: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[int, in
     return mel.astype(np.float16), power, segments(power)
 
 
+@clash_free
 def encode_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """Add the stored wave file of each text as a binary column.
 
@@ -166,6 +167,7 @@ def _digest(stored: bytes, mel: np.ndarray, spans: list[tuple[int, int]]) -> dic
     return dict(zip((c for c, _ in DIGEST), values, strict=True))
 
 
+@clash_free
 def media_digest(docs: DataFrame, media: str = "media") -> DataFrame:
     """Add digests of the stored file, of the payload read back from it, and of
     its features. A null file gives nulls; every row stays, equal files give
@@ -204,6 +206,7 @@ def _blocks(stored: bytes) -> tuple[np.ndarray, list[int], list[list[list[float]
     return full.reshape(n, BLOCK, MELS), sizes, inside
 
 
+@clash_free
 def with_tensors(docs: DataFrame, media: str = "media", tensors: str = "tensors") -> DataFrame:
     """Add the tensors of each file as one array: per block start_s, end_s,
     n_frames, active and ``mel`` as in ``media_tensors``. A null file has none;
@@ -238,6 +241,7 @@ def with_tensors(docs: DataFrame, media: str = "media", tensors: str = "tensors"
     return docs.mapInArrow(add, f"{kinds}, `{tensors}` array<struct<start_s: double, end_s: double, n_frames: long, active: array<array<double>>, mel: binary>>")
 
 
+@clash_free
 def stored_digest(docs: DataFrame, media: str = "media", tensors: str = "tensors") -> DataFrame:
     """The columns of ``media_digest``, its features taken from stored tensors
     instead of being computed again; both columns are left out, and input columns

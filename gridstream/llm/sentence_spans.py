@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridstream.llm.common import give_back, row_key, same_row, ship
+from gridstream.llm.common import clash_free, give_back, row_key, same_row, ship
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
@@ -360,6 +360,7 @@ def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_sentences), pa.array(removed), pa.ListArray.from_arrays(offsets.astype(np.int32), spans)], ["_id", "_th", "_n", "_removed", "_stay"])
 
 
+@clash_free
 def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", kept: str = "kept") -> DataFrame:
     """Add ``kept`` (the text without repeated sentences), ``n_sentences`` and ``n_removed``.
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstream.llm.common import frozen, give_back, row_key, same_row, ship
+from gridstream.llm.common import clash_free, frozen, give_back, row_key, same_row, ship
 from gridstream.llm.components import components
 
 BITS = 64
@@ -227,6 +227,7 @@ def links(nodes: DataFrame, count: int, radius: int = RADIUS, blocks: int | None
     return sorted_units.select("c", "key", "i", "j", "fp").mapInPandas(span, "u long, v long")
 
 
+@clash_free
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ``th``, ``fp`` and ``component_id`` (smallest id reachable over links) of every row.
 
@@ -244,6 +245,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int | None =
     return prints.join(labels, "fp").select("doc_id", "th", "fp", "component_id")
 
 
+@clash_free
 def first_of_groups(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of the smallest id of each component, one row of each: of
     several with that id, the one of the smallest text hash; of equal rows, one.

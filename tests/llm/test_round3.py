@@ -286,3 +286,58 @@ def test_rows_are_filtered_before_they_are_dealt(spark):
     kept = jaccard._maybe_in(rows, wanted, "k")
     assert wanted.subtract(kept).isEmpty() and wanted.count() <= kept.count() < 1.05 * wanted.count()
     assert jaccard._maybe_in(rows, wanted.limit(0), "k").isEmpty()
+
+
+# --- columns of the user's own -----------------------------------------------------
+
+
+def underscored():
+    """Every name with an underscore that the operators' code writes."""
+    from pathlib import Path
+
+    found = set()
+    for path in Path(jaccard.__file__).parent.glob("*.py"):
+        found |= set(re.findall(r"""["'](_[a-z_]+)["']""", path.read_text()))
+    return sorted(found)
+
+
+def test_no_column_of_the_user_clashes_or_is_lost(spark):
+    from gridstream.llm import fm_index, html_lines, importance, langid, line_dedup, media, sentence_spans, simhash
+
+    names = underscored()
+    assert {"_id", "_th", "_drop", "_edges", "_lines", "_s", "_n", "_p", "_label_id"} <= set(names)
+    line = "a common line of many characters"
+    rows = [(k, f"{line}\nown words {k} alpha beta gamma delta") for k in range(6)]
+    docs = docs_of(spark, rows).select("doc_id", "text", *[F.concat(F.lit(f"{n}/"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    bench = spark.createDataFrame([("i", "own words 3 alpha beta gamma delta")], "item_id string, text string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(6)], "doc_id long, quality int, toxic int")
+    model = langid.learn(docs.withColumn("lang", F.lit("en")), F.lit(True), sample=20)
+    stored = media.with_tensors(media.encode_media(docs))
+    found = {
+        "lines": line_dedup.dedup_lines(docs), "spans": fm_index.find_contamination(docs, bench), "cut": fm_index.without_spans(fm_index.find_contamination(docs, bench)),
+        "language": langid.identify(docs, model), "near": simhash.first_of_groups(docs), "chosen": importance.sample_documents(docs, labels),
+        "media": media.media_digest(media.encode_media(docs)), "tensors": media.stored_digest(stored), "sentences": sentence_spans.dedup_spans(docs),
+        "html": html_lines.extract_main_text(docs.withColumnRenamed("text", "html")), "fim": infilling.infilled(infilling.framed(docs)),
+    }
+    for name, df in found.items():
+        out = df.collect()
+        assert out, name
+        for r in out if name != "chosen" else []:  # that one returns its own columns alone
+            assert all(r[n] == f"{n}/{r.doc_id}" for n in names), name
+    assert {r.n_dropped for r in found["lines"].collect()} == {0, 1}
+    renamed = line_dedup.dedup_lines(docs.drop("_id").withColumnRenamed("doc_id", "_id"), doc_id="_id")
+    assert sorted((r._id, r.n_dropped) for r in renamed.collect()) == [(k, int(k < 5)) for k in range(6)]
+
+
+def test_a_language_of_one_much_repeated_text_is_learned(spark):
+    from gridstream.llm import langid
+
+    rng = random.Random(6)
+    english = [("en", " ".join(rng.choices(WORDS, k=30))) for _ in range(400)]
+    for trial in range(4):
+        german = [("de", f"das ist ein deutscher Satz über Äpfel und Birnen Nummer {trial}")] * 3000
+        docs = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(english + german)], "doc_id long, text string, lang string")
+        model = langid.learn(docs, F.lit(True), sample=60)
+        assert model[0] == ["de", "en"]
+        got = langid.identify(docs.where("doc_id IN (1, 500)"), model).collect()
+        assert {r.lang: r.lang_pred for r in got} == {"en": "en", "de": "de"}
