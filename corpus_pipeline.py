@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridstream.llm import fm_index, langid, line_dedup, packing, simhash
-from gridstream.llm.common import frozen, table
+from gridstream.llm.common import clash_free, frozen, table
 from gridstream.llm.queries import held_out, tokenizer_path
 
 LEAST = 0.4  # probability of the best language, below which a text is in none
@@ -22,6 +22,7 @@ def _as_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.withColumn("n_chars", length).select(columns) if "n_chars" in columns else docs.select(columns)
 
 
+@clash_free
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language the network can tell: null texts, texts without
     a letter, and texts of which no language has LEAST of the probability go.
@@ -33,16 +34,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return told.where((F.col("_lang") != langid.UNKNOWN) & (F.col("_sure") >= LEAST)).select(docs.columns)
 
 
+@clash_free
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that three documents share, but in the last one. Documents stay, if with fewer lines."""
     return _as_documents(line_dedup.dedup_lines(docs).withColumn("text", F.col("kept")), docs.columns)
 
 
+@clash_free
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, keep the document of the smallest id."""
     return simhash.first_of_groups(docs)
 
 
+@clash_free
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut the words of benchmark windows out of the texts; texts left without a word go."""
     found = fm_index.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -50,6 +54,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _as_documents(fm_index.without_spans(found.where(left)), docs.columns)
 
 
+@clash_free
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place of every token piece in sequences of at most 2048 tokens."""
     return packing.pack(packing.token_pieces(docs, tokenizer_path()))
