@@ -13,17 +13,26 @@ from pyspark.sql import functions as F
 WIDTH = 1 << 20  # of a bucket, in units of the order column
 
 
-def with_running(df: DataFrame, keys: list[str], order: str, width: int | None = None, **wanted: tuple[str, Column]) -> DataFrame:
+def with_running(df: DataFrame, keys: list[str], order: str, width: int | None = None, then: list[str] | None = None, **wanted: tuple[str, Column]) -> DataFrame:
     """Add columns ``name=(kind, value)``: ``max_before``, the largest value of all
     earlier rows of the key; ``last_before`` and ``last``, the newest value that is
-    not null of the earlier rows, or with the row itself. Any ``width`` gives the
-    same result. ``_bucket`` is reserved."""
+    not null of the earlier rows, or with the row itself; ``first_after``, the next
+    value that is not null of the later rows. Any ``width`` gives the same result. ``then``
+    orders rows that are equal in ``order``. ``_bucket`` is reserved."""
     cut = df.withColumn("_bucket", F.floor(F.col(order) / (width or WIDTH)))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
-    past = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    places = [order, *(then or [])]
+    inside, over = Window.partitionBy(*keys, "_bucket").orderBy(*places), Window.partitionBy(*keys).orderBy("_bucket")
+    past, coming = over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(1, Window.unboundedFollowing)
     until = {"last": 0, "last_before": -1, "max_before": -1}
     sums, carries, here, both = [], [], {}, {}
     for name, (kind, value) in wanted.items():
+        place = F.when(value.isNotNull(), F.struct(*places))
+        if kind == "first_after":
+            sums.append(F.min_by(value, place).alias(f"_{name}"))
+            carries.append(F.first(f"_{name}", ignorenulls=True).over(coming).alias(f"_past_{name}"))
+            here[name] = F.first(value, ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing))
+            both[name] = F.coalesce(name, f"_past_{name}")
+            continue
         rows = inside.rowsBetween(Window.unboundedPreceding, until[kind])
         if kind == "max_before":
             sums.append(F.max(value).alias(f"_{name}"))
@@ -31,7 +40,7 @@ def with_running(df: DataFrame, keys: list[str], order: str, width: int | None =
             here[name] = F.max(value).over(rows)
             both[name] = F.greatest(name, f"_past_{name}")
         else:
-            sums.append(F.max_by(value, F.when(value.isNotNull(), F.col(order))).alias(f"_{name}"))
+            sums.append(F.max_by(value, place).alias(f"_{name}"))
             carries.append(F.last(f"_{name}", ignorenulls=True).over(past).alias(f"_past_{name}"))
             here[name] = F.last(value, ignorenulls=True).over(rows)
             both[name] = F.coalesce(name, f"_past_{name}")

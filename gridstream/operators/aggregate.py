@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from gridstream.functions.columns import EXPORT_NAMESPACE, finite, numeric_value, uuid5
 from gridstream.functions.exact import array_mean, hex_text
+from gridstream.functions.intervals import micros
 from gridstream.functions.running import with_running
 from gridstream.operators.qualify import quality_ok
 from gridstream.schema import QUALITY
 
 
+COUNTER_WIDTH = 7 * 86_400 * 1_000_000  # microseconds of a bucket of samples
+
+
 def second_of(ts: str | Column) -> Column:
     return F.date_trunc("second", F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
 
@@ -94,13 +98,17 @@ def blob_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("blob_id", "session_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def counter_rate(df: DataFrame, series: list[str], by: list[str], ts: str = "ts", order: list[str] | None = None, value: str = "value") -> DataFrame:
+def counter_rate(df: DataFrame, series: list[str], by: list[str], ts: str = "ts", order: list[str] | None = None, value: str = "value", width: int | None = None) -> DataFrame:
     """Rate of counters between consecutive samples of a series, summed by label and
-    sample time. After a reset (a smaller value) the new value is the increase."""
-    w = Window.partitionBy(*series).orderBy(ts, *(order or []))
-    before, then = F.lag(value).over(w), F.lag(ts).over(w)
-    rows = df.withColumn("_inc", F.when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)).withColumn("_s", (F.unix_seconds(F.col(ts).cast("timestamp")) - F.unix_seconds(then.cast("timestamp"))).cast("double"))
-    some = rows.where(F.col("_s") > 0)
+    sample time. After a reset (a smaller value) the new value is the increase. Samples
+    without a time or value do not count; ``order`` tells apart those of one time. A series is
+    worked off in buckets of time (``width`` microseconds), not in one task."""
+    known = df.where(F.col(ts).isNotNull() & F.col(value).isNotNull()).withColumn("_us", micros(F.col(ts)))
+    sample = F.struct(F.col(value).alias("v"), F.col("_us").alias("us"))
+    rows = with_running(known, series, "_us", width or COUNTER_WIDTH, then=order, _was=("last_before", sample))
+    before, seconds = F.col("_was.v"), (F.col("_us") - F.col("_was.us")) / 1_000_000
+    grown = F.when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
+    some = rows.withColumn("_inc", grown).withColumn("_s", seconds).where(F.col("_s") > 0)
     return some.groupBy(*dict.fromkeys([*by, ts])).agg(F.sum(F.col("_inc") / F.col("_s")).alias("rate"))
 
 

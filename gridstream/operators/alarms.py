@@ -19,10 +19,11 @@ COMPARE = {
 }
 
 
-def membership_intervals(log: DataFrame, key: str = "source", order: str = "arrival_seq") -> DataFrame:
-    """Change log to validity intervals [from, to) of the keys that are present."""
-    nxt = F.lead(order).over(Window.partitionBy(key).orderBy(order))
-    return log.withColumn("valid_to", nxt).where(F.col("value").isNotNull()).select(key, "value", F.col(order).alias("valid_from"), "valid_to")
+def membership_intervals(log: DataFrame, key: str = "source", order: str = "arrival_seq", width: int | None = None) -> DataFrame:
+    """Change log to validity intervals [from, to) of the keys that are present. The log is
+    worked off in buckets of ``width``, so no key's whole log is in one task."""
+    ends = with_running(log, [key], order, width, valid_to=("first_after", F.col(order)))
+    return ends.where(F.col("value").isNotNull()).select(key, "value", F.col(order).alias("valid_from"), "valid_to")
 
 
 def membership_join(df: DataFrame, intervals: DataFrame, key: str = "source", order: str = "arrival_seq") -> DataFrame:
@@ -40,12 +41,13 @@ def membership_join(df: DataFrame, intervals: DataFrame, key: str = "source", or
     return both.where((F.col("_side") == 1) & inside).select("_r.*", F.col("_m.value").alias("member_value"), F.col("_m.valid_from").alias("member_from"))
 
 
-def membership_changes(log: DataFrame, key: str = "source", order: str = "arrival_seq") -> DataFrame:
+def membership_changes(log: DataFrame, key: str = "source", order: str = "arrival_seq", width: int | None = None) -> DataFrame:
     """Additions and removals: rows of the log where presence changes."""
-    before = F.lag(F.col("value").isNotNull()).over(Window.partitionBy(key).orderBy(order))
     now = F.col("value").isNotNull()
-    change = F.when(now & ~F.coalesce(before, F.lit(False)), "added").when(~now & F.coalesce(before, F.lit(False)), "removed")
-    return log.withColumn("change", change).where(F.col("change").isNotNull()).select(key, order, "change")
+    was = F.coalesce("_was", F.lit(False))
+    change = F.when(now & ~was, "added").when(~now & was, "removed")
+    rows = with_running(log, [key], order, width, _was=("last_before", now))
+    return rows.withColumn("change", change).where(F.col("change").isNotNull()).select(key, order, "change")
 
 
 def member_events(log: DataFrame, signals: Column, order: str = "arrival_seq") -> DataFrame:
