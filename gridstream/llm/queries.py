@@ -78,10 +78,9 @@ def op6_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without sentences of repeated runs of 40 words or more: what is left of
-    the sentences inside a passage of over 50 words, whose ends may cut two of them."""
+    """Texts without the sentences of repeated runs of two sentences and 20 words or more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = sentence_spans.dedup_spans(docs, min_words=40)
+    kept = sentence_spans.dedup_spans(docs)
     return kept.select("doc_id", "n_sentences", "n_removed", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
