@@ -188,6 +188,11 @@ def validate_blobmeta(df: DataFrame, bucket: str = BUCKET) -> DataFrame:
     good_object = named & o["byte_length"].between(1, MAX_OBJECT) & (F.length(o["sha256"]) == 64)
     own_length = F.exists("mrids", lambda m: ~F.octet_length(m).between(1, MAX_TEXT))
     text = F.coalesce("rejection_reason", F.lit(""))
+    # rows within all other limits have under 31 KiB: only the rest need be measured
+    outsize = (F.size("mrids") > MAX_MRIDS) | (F.size(cov) > MAX_MRIDS) | F.coalesce(own_length, F.lit(False)) | F.exists(cov, lambda c: F.octet_length(c["mrid"]) > MAX_TEXT)
+    outsize = outsize | (F.octet_length(text) > 1024) | (F.octet_length("blob_id") > 512) | (F.octet_length("session_id") > 64) | ~F.coalesce(good_object | o.isNull(), F.lit(False))
+    for breach in _metadata_reasons(df).values():
+        outsize = outsize | F.coalesce(breach, F.lit(False))
     return df.withColumn(
         "reasons",
         reasons(
@@ -208,7 +213,7 @@ def validate_blobmeta(df: DataFrame, bucket: str = BUCKET) -> DataFrame:
             partial_without_gap=(F.col("status") == "PARTIAL") & ~missing,
             coverage_on_rejection=rejected & ((F.size(cov) > 0) | (F.coalesce(F.size("mrids"), F.lit(0)) > 0) | (F.col("measurement_count") != 0)),
             reason_length=rejected & ~F.octet_length(text).between(1, 1024),
-            object_on_rejection=rejected & o.isNotNull(), too_large=evidence_size(df) > MAX_EVIDENCE, **_metadata_reasons(df),
+            object_on_rejection=rejected & o.isNotNull(), too_large=F.when(outsize, evidence_size(df)) > MAX_EVIDENCE, **_metadata_reasons(df),
         ),
     )
 
