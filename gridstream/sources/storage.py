@@ -212,10 +212,18 @@ def read_catalog_table(df: DataFrame) -> DataFrame:
 
 def date_in_order(spark: SparkSession, path: str) -> None:
     """Give the files of a folder modification times in the order of their names,
-    which is the order in which a stream reads them."""
+    which is the order in which a stream reads them.
+
+    Some object stores keep no times that are set. There the times of writing
+    must already be in order (as of files that were written one after another);
+    where they are not, this raises, since a stream would take the files in the wrong order.
+    """
     jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = sorted(f.getPath().toString() for f in store.listStatus(folder) if f.getPath().getName().endswith(".parquet"))
-    for k, name in enumerate(names):
+    store, folder = _folder(spark, path)
+    files = lambda: {f.getPath().toString(): f.getModificationTime() for f in store.listStatus(folder) if f.getPath().getName().endswith(".parquet")}
+    for k, name in enumerate(sorted(files())):
         store.setTimes(jvm.org.apache.hadoop.fs.Path(name), 1_700_000_000_000 + 1000 * k, -1)
+    found = files()
+    times = [found[name] for name in sorted(found)]
+    if any(a >= b for a, b in zip(times, times[1:], strict=False)):
+        raise ValueError(f"the store of {path} does not keep the order of files, so they cannot be replayed in it")

@@ -7,7 +7,6 @@ restart goes on where it stopped.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -27,37 +26,44 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class Machine(StatefulProcessor):
-    """Runs a step function over the rows of each key, with its state as JSON."""
+    """Runs a step function over the rows of each key; the state is typed and is read
+    and written once for each key and batch."""
 
-    def __init__(self, step: Callable[[dict, Any, tuple], list[dict]], columns: list[str]):
-        self.step, self.columns = step, columns
+    def __init__(self, step: Callable[[dict, Any, tuple], list[dict]], columns: list[str], kind: machines.Kind):
+        self.step, self.columns, self.kind = step, columns, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "value string")
+        self.state = handle.getValueState("state", self.kind.columns)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = json.loads(self.state.get()[0]) if self.state.exists() else {}
+        state = self.kind.unpack(tuple(self.state.get())) if self.state.exists() else {}
         found: list[dict] = []
         # a micro-batch is bounded by its trigger, and so is what one key has in it
         for row in pd.concat(list(rows)).sort_values("turn").itertuples(index=False):
             found += self.step(state, row, key)
-        self.state.update((json.dumps(state),))
+        if state:
+            self.state.update(self.kind.pack(state))
+        elif self.state.exists():
+            self.state.clear()
         yield pd.DataFrame(found, columns=self.columns)
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: Any) -> None:  # noqa: N802, N803
-        self.state.update((str(initialState["state"].iloc[0]),))
+        names = [(c.split(" ")[0], c.split(" ")[1]) for c in self.kind.columns.split(", ")]
+        kinds = {"long": int, "int": int, "boolean": bool, "string": str}
+        row = initialState.iloc[0]
+        self.state.update(tuple(None if pd.isna(row[n]) else kinds[k](row[n]) for n, k in names))
 
     def close(self) -> None:
         pass
 
 
-def _run(df: DataFrame, keys: list[str], step: Callable, schema: str, initial: DataFrame | None = None) -> DataFrame:
+def _run(df: DataFrame, keys: list[str], step: Callable, schema: str, kind: machines.Kind, initial: DataFrame | None = None) -> DataFrame:
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     df = df if "turn" in df.columns else df.withColumn("turn", F.col("arrival_seq"))
     columns = [c.strip().split(" ")[0] for c in schema.replace("array<double>", "x").split(",")]
     start = initial.groupBy(*keys) if initial is not None else None
-    return df.groupBy(*keys).transformWithStateInPandas(Machine(step, columns), schema, "append", "none", start)
+    return df.groupBy(*keys).transformWithStateInPandas(Machine(step, columns, kind), schema, "append", "none", start)
 
 
 def _us(c: str) -> F.Column:
@@ -85,14 +91,14 @@ def stream_export(df: DataFrame, mapping: DataFrame) -> DataFrame:
         flag("quality_operator_blocked").alias("blocked"), flag("quality_old_data").alias("not_topical"), flag("quality_overflow").alias("overflow"), flag("quality_substituted").alias("substituted"),
     )
     flags = ", ".join(f"{f} boolean" for f in machines.FLAGS)
-    return _run(rows, ["mrid"], machines.export_step, f"mrid string, second_us long, n long, mean double, {flags}, export_id string")
+    return _run(rows, ["mrid"], machines.export_step, f"mrid string, second_us long, n long, mean double, {flags}, export_id string", machines.EXPORT)
 
 
 def stream_capture(df: DataFrame, policies: DataFrame) -> DataFrame:
     """Closed episodes above each policy's threshold."""
     rows = _known(df, "strict").where(F.col("timestamp_mccs").isNotNull()).join(policies.select("mrid", "threshold"), "mrid")
     rows = rows.select("mrid", "arrival_seq", _us("timestamp_mccs").alias("mccs_us"), *_exact(rows), "double_value", "threshold")
-    return _run(rows, ["mrid"], machines.capture_step, "mrid string, onset_us long, cleared_us long")
+    return _run(rows, ["mrid"], machines.capture_step, "mrid string, onset_us long, cleared_us long", machines.CAPTURE)
 
 
 def stream_latest_values(df: DataFrame, inputs: DataFrame, names: list[str], max_age_s: float | None, clock: str = "kafka_ts") -> DataFrame:
@@ -100,15 +106,15 @@ def stream_latest_values(df: DataFrame, inputs: DataFrame, names: list[str], max
     rows = _known(df, "explicit_valid").join(inputs, "mrid")
     age = -1 if max_age_s is None else round(max_age_s * 1e6)
     rows = rows.select("group", "arrival_seq", "input", _us(clock).alias("clock_us"), "double_value", F.lit(",".join(names)).alias("names"), F.lit(age).cast("long").alias("max_age_us"))
-    return _run(rows, ["group"], machines.latest_step, "group string, arrival_seq long, newest_us long, inputs array<double>")
+    return _run(rows, ["group"], machines.latest_step, "group string, arrival_seq long, newest_us long, inputs array<double>", machines.LATEST)
 
 
 ALARM_KINDS = "alarm_key string, rule string, mrid string, arrival_seq long, mccs_us long, action string, episode_id string, activated_us long"
 
 
 def stream_alarm(df: DataFrame, rules: DataFrame, initial: DataFrame | None = None) -> DataFrame:
-    """Alarm transitions per rule and mrid. ``initial`` (rule, mrid, state) restores
-    the state from the stored change logs, see ``alarm_states``.
+    """Alarm transitions per rule and mrid. ``initial`` (rule, mrid and the columns of
+    ``machines.ALARM``) restores the state from the stored change logs, see ``alarm_states``.
 
     If ``df`` has a column ``present``, rows where it is not null are changes of
     the membership of their mrid (see ``alarms.member_events``): a signal is
@@ -130,12 +136,12 @@ def stream_alarm(df: DataFrame, rules: DataFrame, initial: DataFrame | None = No
         F.lit("present" in df.columns).alias("bound"),
         (2 * F.col("arrival_seq") + F.when(F.col("_present").isNull(), 1).otherwise(0)).alias("turn"),  # changes of membership before rows of their place
     )
-    return _run(rows, ["rule", "mrid"], machines.alarm_step, ALARM_KINDS, initial)
+    return _run(rows, ["rule", "mrid"], machines.alarm_step, ALARM_KINDS, machines.ALARM, initial)
 
 
 def alarm_states(active: DataFrame, watermarks: DataFrame, members: DataFrame, rules: DataFrame, legacy: bool = False) -> tuple[DataFrame, DataFrame]:
     """What alarms begin with after a restart, from the newest entries of three change logs:
-    initial states (rule, mrid, state) for ``stream_alarm``, and the alarms to be ended at once.
+    initial states for ``stream_alarm``, and the alarms to be ended at once.
 
     active: rule, mrid, episode_id, activated_at, watermark (time of the evidence). watermarks:
     rule, mrid, seconds, nanos, of all keys that were ever evaluated, active or not. members: mrid of
@@ -153,14 +159,8 @@ def alarm_states(active: DataFrame, watermarks: DataFrame, members: DataFrame, r
     lacking = F.col("episode_id").isNotNull() & F.col("_mark").isNull()
     checked = both if legacy else both.withColumn("_mark", F.when(lacking, F.raise_error(F.lit("an active alarm has no watermark")).cast("struct<seconds: bigint, nanos: int>")).otherwise(F.col("_mark")))
     late = checked.withColumn("_at", F.greatest("_mark", "_evidence"))
-    number = F.col("_at.seconds").cast("decimal(38,0)") * 1_000_000_000 + F.col("_at.nanos")
-    kept = F.col("member") & F.col("episode_id").isNotNull()
-    parts = F.array_compact(F.array(
-        F.when(F.col("_at").isNotNull(), F.concat(F.lit('"watermark":'), number.cast("string"))),
-        F.when(F.col("member"), F.lit('"member":true')),
-        F.when(kept, F.concat(F.lit('"episode":["'), "episode_id", F.lit('",'), _us("activated_at").cast("string"), F.lit("]"))),
-    ))
-    states = late.select("rule", "mrid", F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias("state"))
+    episode = lambda c: F.when(F.col("member"), c)
+    states = late.select("rule", "mrid", "_at.seconds", "_at.nanos", "member", episode(F.col("episode_id")).alias("episode_id"), episode(_us("activated_at")).alias("activated_us"))
     stale = late.where(F.col("episode_id").isNotNull() & F.col("member").isNull())
     ended = stale.select(alarm_key(F.col("rule"), F.col("mrid")).alias("alarm_key"), "rule", "mrid", "episode_id", F.lit("clear").alias("action"))
     return states, ended

@@ -9,7 +9,8 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from typing import Any
+from collections.abc import Callable
+from typing import Any, NamedTuple
 
 from gridstream.functions.exact import stable_mean
 
@@ -17,6 +18,48 @@ State = dict[str, Any]
 SECOND = 1_000_000
 
 
+class Kind(NamedTuple):
+    """How a machine's state lies in the store: typed columns, and the way there and back."""
+
+    columns: str
+    pack: Callable[[State], tuple]
+    unpack: Callable[[tuple], State]
+
+
+def _pair(ns: int | None) -> tuple[int | None, int | None]:
+    return (None, None) if ns is None else divmod(ns, 10**9)
+
+
+def _known(**values: Any) -> State:
+    return {k: v for k, v in values.items() if v is not None}
+
+
+def _nanos_of(seconds: int | None, part: int | None) -> int | None:
+    return None if seconds is None else int(seconds) * 10**9 + int(part or 0)
+
+
+EXPORT = Kind(
+    "second long, values array<double>, flags array<boolean>",
+    lambda s: (s["second"], s["values"], s["flags"]),
+    lambda t: {"second": int(t[0]), "values": list(t[1]), "flags": list(t[2])},
+)
+CAPTURE = Kind(
+    "seconds long, nanos int, onset long",
+    lambda s: (*_pair(s.get("seen")), s.get("onset")),
+    lambda t: _known(seen=_nanos_of(t[0], t[1]), onset=t[2]),
+)
+LATEST = Kind(
+    "names array<string>, values array<double>, clocks array<long>",
+    lambda s: (list(s), [v[0] for v in s.values()], [v[1] for v in s.values()]),
+    lambda t: {n: [v, c] for n, v, c in zip(*t, strict=True)},
+)
+ALARM = Kind(
+    "seconds long, nanos int, member boolean, episode_id string, activated_us long",
+    lambda s: (*_pair(s.get("watermark")), s.get("member"), *s.get("episode", (None, None))),
+    lambda t: _known(watermark=_nanos_of(t[0], t[1]), member=t[2], episode=None if t[3] is None else [t[3], int(t[4])]),
+)
+
+
 FLAGS = ["blocked", "not_topical", "overflow", "substituted"]
 EXPORTS = uuid.UUID("f39fc794-f7e9-4d59-9c2a-5bb1d84af1b2")  # fixed value: namespace of export identities
 

@@ -131,7 +131,7 @@ def test_alarms_go_on_wherever_they_were_stopped(spark):
     table = lambda rows, schema: spark.createDataFrame(rows, schema)
     current = table(active, "rule string, mrid string, episode_id string, activated_at timestamp_ntz, watermark timestamp_ntz")
     states, stale = jobs.alarm_states(current, table(marks, "rule string, mrid string, seconds long, nanos int"), table(inside, "mrid string"), rules)
-    restored = {r.mrid: machines.json.loads(r.state) for r in states.collect()}
+    restored = {r.mrid: machines.ALARM.unpack(tuple(r)[2:]) for r in states.collect()}
     assert stale.count() == 0
     for k, mrid in enumerate(names):
         whole, again = dict(before[mrid]), restored.get(mrid, {})
@@ -146,13 +146,55 @@ def test_alarms_of_former_members_are_ended(spark):
     members = spark.createDataFrame([("urn:a:f",), ("urn:c:f",), ("urn:d:f",)], "mrid string")
     states, stale = jobs.alarm_states(current, marks, members, rules, legacy=True)
     assert [(r.mrid, r.episode_id, r.action) for r in stale.collect()] == [("urn:b:f", "e2", "clear")]
-    got = {r.mrid: machines.json.loads(r.state) for r in states.collect()}
+    got = {r.mrid: machines.ALARM.unpack(tuple(r)[2:]) for r in states.collect()}
     assert got["urn:b:f"] == {"watermark": (seconds + 9) * 10**9 + 5} and got["urn:d:f"] == {"member": True}
     assert got["urn:a:f"]["watermark"] == seconds * 10**9 and got["urn:a:f"]["episode"] == ["e1", seconds * 10**6]
     with pytest.raises(Exception, match="no watermark"):
         jobs.alarm_states(current, marks, members, rules)[0].collect()
 
 
+def test_restored_alarms_in_the_stream(spark, tmp_path):
+    rules = spark.createDataFrame([("r", "urn:*:f", 50.0, "warning")], "rule string, glob string, threshold double, severity string")
+    rows = measures(spark, [("urn:a:f", 10, 40), ("urn:b:f", 11, 60), ("urn:b:f", 4, 60), ("urn:c:f", 12, 60)])
+    active = spark.createDataFrame([("r", "urn:a:f", "e1", T0, T0)], "rule string, mrid string, episode_id string, activated_at timestamp_ntz, watermark timestamp_ntz")
+    start = int((T0 - EPOCH).total_seconds())
+    marks = spark.createDataFrame([("r", "urn:a:f", start, 0), ("r", "urn:b:f", start + 10, 999_999_999), ("r", "urn:c:f", start + 20, 0)], "rule string, mrid string, seconds long, nanos int")
+    states, _ = jobs.alarm_states(active, marks, spark.createDataFrame([("urn:a:f",), ("urn:b:f",), ("urn:c:f",)], "mrid string"), rules)
+    log = rows.withColumn("present", F.lit(None).cast("boolean"))
+    out = f"{tmp_path}/out"
+    jobs.run_to_end(jobs.stream_alarm(jobs.replayed(spark, log, "alarms", "arrival_seq"), rules, states), out)
+    got = sorted((r.mrid, r.action, r.episode_id == "e1") for r in spark.read.parquet(out).collect())
+    assert got == [("urn:a:f", "clear", True), ("urn:b:f", "activate", False)]
+
+
+@pytest.mark.parametrize(("kind", "state"), [
+    (machines.EXPORT, {"second": 5, "values": [1.0, 2.5], "flags": [True, False, False, True]}), (machines.CAPTURE, {"seen": 5 * 10**9 + 7}), (machines.CAPTURE, {"seen": -3, "onset": 9}),
+    (machines.LATEST, {"a": [1.0, 5], "b": [2.0, -6]}), (machines.ALARM, {"watermark": 12, "member": True, "episode": ["e", 4]}), (machines.ALARM, {"member": True}), (machines.ALARM, {"watermark": -1}),
+])
+def test_states_come_back_as_they_were(kind, state):
+    assert kind.unpack(kind.pack(state)) == state
+
+
+def test_a_store_without_order_is_refused(spark, tmp_path, monkeypatch):
+    from gridstream.sources import storage
+
+    spark.range(10).repartition(3).write.parquet(f"{tmp_path}/t")
+    storage.date_in_order(spark, f"{tmp_path}/t")
+    work = storage._folder
+
+    class Forgetful:
+        def __init__(self, store):
+            self.listStatus, self.setTimes = store.listStatus, lambda *_: None
+
+    spark.range(10).repartition(3).write.parquet(f"{tmp_path}/u")
+    names = sorted(p for p in (tmp_path / "u").iterdir() if p.suffix == ".parquet")
+    for k, p in enumerate(reversed(names)):
+        __import__("os").utime(p, (1000 + k, 1000 + k))
+    monkeypatch.setattr(storage, "_folder", lambda *a: (Forgetful(work(*a)[0]), work(*a)[1]))
+    with pytest.raises(ValueError, match="order"):
+        storage.date_in_order(spark, f"{tmp_path}/u")
+
+
 # --- seconds closed by timers --------------------------------------------------------------
 
 
