@@ -20,6 +20,13 @@ def second_of(ts: str | Column) -> Column:
     return F.date_trunc("second", F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
 
 
+def export_targets(mapping: DataFrame) -> DataFrame:
+    """Where each mrid's exports go: common_address, object_address and cause; 0, 0 and 3 where the mapping has no such column."""
+    for name, value in (("common_address", 0), ("object_address", 0), ("cause", 3)):
+        mapping = mapping if name in mapping.columns else mapping.withColumn(name, F.lit(value))
+    return mapping
+
+
 def export_id() -> Column:
     """Identity of an export row: what it says, where to, why, and its flags."""
     flag = lambda c: F.col(c).cast("int").cast("string")
@@ -31,13 +38,13 @@ def export_id() -> Column:
 def second_mean_export(df: DataFrame, mapping: DataFrame) -> DataFrame:
     """Event-second means per mapped mrid, with OR-ed quality flags and ``export_id``.
 
-    mapping: mrid, common_address, object_address and cause (3 where there is none).
+    mapping: mrid, and what ``export_targets`` reads.
     A second closes when a later valid second of the same mrid has arrived; rows
     of an earlier second than the newest seen are dropped, and the newest
     second of each mrid stays open. Any finite values have a mean.
     """
     ok = quality_ok("explicit_valid") & (F.col("value_type") == "double") & finite(F.col("double_value")) & F.col("kafka_key").eqNullSafe(F.col("mrid")) & F.col("timestamp_field").isNotNull()
-    where = mapping if "cause" in mapping.columns else mapping.withColumn("cause", F.lit(3))
+    where = export_targets(mapping)
     rows = df.where(ok).join(where, "mrid").withColumn("second", second_of("timestamp_field"))
     kept = with_running(rows, ["mrid"], "arrival_seq", _run=("max_before", F.col("second"))).where(F.col("_run").isNull() | (F.col("second") >= F.col("_run")))
     flags = [F.bool_or(F.coalesce(q, F.lit(False))).alias(q) for q in QUALITY[1:]]

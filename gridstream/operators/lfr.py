@@ -87,9 +87,10 @@ def classify_pmu(seconds: DataFrame, s: Settings) -> DataFrame:
 def preferred_frequency(classified: DataFrame, s: Settings) -> DataFrame:
     """Per second the median of the best class that is not BAD, never averaged: of
     the two middle values the one farther from nominal, then the configured one.
-    ``selected`` names the units of that class, sorted."""
+    ``selected`` names the units (``pmu``) of that class, sorted."""
     best = classified.where(F.col("quality") > BAD).withColumn("_best", F.max("quality").over(Window.partitionBy("second"))).where(F.col("quality") == F.col("_best"))
-    of_best = [F.array_sort(F.collect_list("mean_frequency")).alias("_v"), F.array_sort(F.collect_list("pmu")).alias("selected")]
+    named = F.array_sort(F.collect_list("pmu")) if "pmu" in classified.columns else F.lit(None).cast("array<string>")
+    of_best = [F.array_sort(F.collect_list("mean_frequency")).alias("_v"), named.alias("selected")]
     lists = best.groupBy("second").agg(F.max("quality").alias("quality"), *of_best)
     n = F.size("_v")
     low, high = F.element_at("_v", F.floor((n + 1) / 2).cast("int")), F.element_at("_v", F.floor(n / 2).cast("int") + 1)

@@ -82,9 +82,9 @@ def _exact(df: DataFrame) -> list[F.Column]:
 
 def stream_export(df: DataFrame, mapping: DataFrame) -> DataFrame:
     """Event-second means per mapped mrid with all flags and their identity; the newest second of
-    each stays open. mapping: mrid, common_address, object_address and cause (3 where there is none)."""
+    each stays open. mapping: mrid, and what ``export_targets`` reads."""
     flag = lambda c: F.coalesce(c, F.lit(False))
-    where = mapping if "cause" in mapping.columns else mapping.withColumn("cause", F.lit(3))
+    where = aggregate.export_targets(mapping)
     rows = _known(df, "explicit_valid").where(F.col("timestamp_field").isNotNull()).join(where, "mrid")
     rows = rows.select(
         "mrid", "arrival_seq", _us("timestamp_field").alias("field_us"), "double_value", "common_address", "object_address", "cause",
@@ -139,31 +139,35 @@ def stream_alarm(df: DataFrame, rules: DataFrame, initial: DataFrame | None = No
     return _run(rows, ["rule", "mrid"], machines.alarm_step, ALARM_KINDS, machines.ALARM, initial)
 
 
-def alarm_states(active: DataFrame, watermarks: DataFrame, members: DataFrame, rules: DataFrame, legacy: bool = False) -> tuple[DataFrame, DataFrame]:
-    """What alarms begin with after a restart, from the newest entries of three change logs:
-    initial states for ``stream_alarm``, and the alarms to be ended at once.
+def alarm_states(active: DataFrame, watermarks: DataFrame | None = None, members: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
+    """What ``stream_alarm`` begins with after a restart, from the newest entries of three change logs.
 
     active: rule, mrid, episode_id, activated_at, watermark (time of the evidence). watermarks:
     rule, mrid, seconds, nanos, of all keys that were ever evaluated, active or not. members: mrid of
-    the signals that are members now. A key's watermark is the later of its own and its
-    alarm's evidence. An active alarm without a watermark is an error, unless ``legacy`` says that
-    its evidence may stand in. Alarms of signals that are no members (any more) are
-    cleared, but keep their watermark. Rules that are not configured are left out.
+    the signals that are members now; ``rules`` say which keys those are. A key's watermark is
+    the later of its own and its alarm's evidence. An active alarm without a watermark is an
+    error; only without the log of watermarks does evidence stand in. Alarms of signals that are no
+    members (any more) are not active, but keep their watermark; ``alarms_to_end`` lists
+    them. Without ``members`` all active ones are members. Keys of rules that are not configured are left out.
     """
-    now = match_few(members.select("mrid").distinct(), rules).select("rule", "mrid", F.lit(True).alias("member"))
-    at = F.struct("seconds", F.col("nanos").cast("int").alias("nanos"))
-    marks = watermarks.join(rules.select("rule"), "rule", "left_semi").select("rule", "mrid", at.alias("_mark"))
-    evidence = exact_time(active, "watermark")
-    alarms_now = active.join(rules.select("rule"), "rule", "left_semi").select("rule", "mrid", "episode_id", "activated_at", evidence.alias("_evidence"))
-    both = alarms_now.join(marks, ["rule", "mrid"], "full_outer").join(now, ["rule", "mrid"], "full_outer")
+    keys = ["rule", "mrid"]
+    marks = active.select(*keys, exact_time(active, "watermark").alias("_mark")) if watermarks is None else watermarks.select(*keys, F.struct("seconds", F.col("nanos").cast("int").alias("nanos")).alias("_mark"))
+    now = active.select(*keys) if members is None else match_few(members.select("mrid").distinct(), rules).select(*keys)
+    alarms_now = active.select(*keys, "episode_id", "activated_at", exact_time(active, "watermark").alias("_evidence"))
+    both = alarms_now.join(marks, keys, "full_outer").join(now.distinct().withColumn("member", F.lit(True)), keys, "full_outer")
+    known = both if rules is None else both.join(rules.select("rule").distinct(), "rule", "left_semi")
     lacking = F.col("episode_id").isNotNull() & F.col("_mark").isNull()
-    checked = both if legacy else both.withColumn("_mark", F.when(lacking, F.raise_error(F.lit("an active alarm has no watermark")).cast("struct<seconds: bigint, nanos: int>")).otherwise(F.col("_mark")))
-    late = checked.withColumn("_at", F.greatest("_mark", "_evidence"))
+    error = F.raise_error(F.lit("an active alarm has no watermark")).cast("struct<seconds: bigint, nanos: int>")
+    late = known.withColumn("_mark", F.when(lacking, error).otherwise(F.col("_mark"))).withColumn("_at", F.greatest("_mark", "_evidence"))
     episode = lambda c: F.when(F.col("member"), c)
-    states = late.select("rule", "mrid", "_at.seconds", "_at.nanos", "member", episode(F.col("episode_id")).alias("episode_id"), episode(_us("activated_at")).alias("activated_us"))
-    stale = late.where(F.col("episode_id").isNotNull() & F.col("member").isNull())
-    ended = stale.select(alarm_key(F.col("rule"), F.col("mrid")).alias("alarm_key"), "rule", "mrid", "episode_id", F.lit("clear").alias("action"))
-    return states, ended
+    return late.select(*keys, "_at.seconds", "_at.nanos", "member", episode(F.col("episode_id")).alias("episode_id"), episode(_us("activated_at")).alias("activated_us"))
+
+
+def alarms_to_end(active: DataFrame, members: DataFrame, rules: DataFrame) -> DataFrame:
+    """Active alarms of configured rules whose signal is no member when the work begins, as transitions that clear them."""
+    now = match_few(members.select("mrid").distinct(), rules).select("rule", "mrid")
+    stale = active.join(rules.select("rule").distinct(), "rule", "left_semi").join(now, ["rule", "mrid"], "left_anti")
+    return stale.select(alarm_key(F.col("rule"), F.col("mrid")).alias("alarm_key"), "rule", "mrid", "episode_id", F.lit("clear").alias("action"))
 
 
 CELL = "second long, pmu string, mean_frequency double, mean_voltage double, good long, total long, rejections long, refused string, n long"

@@ -88,7 +88,9 @@ def export_step(state: State, row: Any, key: tuple) -> list[dict]:
 
 
 def nanos(row: Any) -> int:
-    """A row's time to the nanosecond."""
+    """A row's time to the nanosecond, or to the microsecond where that is all it has."""
+    if not hasattr(row, "at_seconds"):
+        return 1000 * row.mccs_us
     return int(row.at_seconds) * 10**9 + int(row.at_nanos)
 
 

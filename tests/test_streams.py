@@ -130,7 +130,8 @@ def test_alarms_go_on_wherever_they_were_stopped(spark):
             inside.append((mrid,))
     table = lambda rows, schema: spark.createDataFrame(rows, schema)
     current = table(active, "rule string, mrid string, episode_id string, activated_at timestamp_ntz, watermark timestamp_ntz")
-    states, stale = jobs.alarm_states(current, table(marks, "rule string, mrid string, seconds long, nanos int"), table(inside, "mrid string"), rules)
+    members = table(inside, "mrid string")
+    states, stale = jobs.alarm_states(current, table(marks, "rule string, mrid string, seconds long, nanos int"), members, rules), jobs.alarms_to_end(current, members, rules)
     restored = {r.mrid: machines.ALARM.unpack(tuple(r)[2:]) for r in states.collect()}
     assert stale.count() == 0
     for k, mrid in enumerate(names):
@@ -144,13 +145,16 @@ def test_alarms_of_former_members_are_ended(spark):
     seconds = int((T0 - EPOCH).total_seconds())
     marks = spark.createDataFrame([("r", "urn:b:f", seconds + 9, 5), ("r", "urn:c:f", 3, 0)], "rule string, mrid string, seconds long, nanos int")
     members = spark.createDataFrame([("urn:a:f",), ("urn:c:f",), ("urn:d:f",)], "mrid string")
-    states, stale = jobs.alarm_states(current, marks, members, rules, legacy=True)
+    known = marks.unionByName(spark.createDataFrame([("r", "urn:a:f", 5, 0)], marks.schema))
+    states, stale = jobs.alarm_states(current, known, members, rules), jobs.alarms_to_end(current, members, rules)
     assert [(r.mrid, r.episode_id, r.action) for r in stale.collect()] == [("urn:b:f", "e2", "clear")]
     got = {r.mrid: machines.ALARM.unpack(tuple(r)[2:]) for r in states.collect()}
     assert got["urn:b:f"] == {"watermark": (seconds + 9) * 10**9 + 5} and got["urn:d:f"] == {"member": True}
     assert got["urn:a:f"]["watermark"] == seconds * 10**9 and got["urn:a:f"]["episode"] == ["e1", seconds * 10**6]
     with pytest.raises(Exception, match="no watermark"):
-        jobs.alarm_states(current, marks, members, rules)[0].collect()
+        jobs.alarm_states(current, marks, members, rules).collect()
+    evidence = jobs.alarm_states(current.where("mrid = 'urn:a:f' AND rule = 'r'")).first()
+    assert (evidence.seconds, evidence.member, evidence.episode_id) == (seconds, True, "e1")
 
 
 def test_restored_alarms_in_the_stream(spark, tmp_path):
@@ -159,7 +163,7 @@ def test_restored_alarms_in_the_stream(spark, tmp_path):
     active = spark.createDataFrame([("r", "urn:a:f", "e1", T0, T0)], "rule string, mrid string, episode_id string, activated_at timestamp_ntz, watermark timestamp_ntz")
     start = int((T0 - EPOCH).total_seconds())
     marks = spark.createDataFrame([("r", "urn:a:f", start, 0), ("r", "urn:b:f", start + 10, 999_999_999), ("r", "urn:c:f", start + 20, 0)], "rule string, mrid string, seconds long, nanos int")
-    states, _ = jobs.alarm_states(active, marks, spark.createDataFrame([("urn:a:f",), ("urn:b:f",), ("urn:c:f",)], "mrid string"), rules)
+    states = jobs.alarm_states(active, marks, spark.createDataFrame([("urn:a:f",), ("urn:b:f",), ("urn:c:f",)], "mrid string"), rules)
     log = rows.withColumn("present", F.lit(None).cast("boolean"))
     out = f"{tmp_path}/out"
     jobs.run_to_end(jobs.stream_alarm(jobs.replayed(spark, log, "alarms", "arrival_seq"), rules, states), out)
