@@ -235,7 +235,7 @@ def scan_shard(shard: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tu
 def _scan(docs: DataFrame, phrases: Phrases, text: str, shard_words: int) -> DataFrame:
     """Add ``_s``: n_words, spans and items of each row."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(phrases)  # of at most BLOCK_BYTES of text
+    held = spark.sparkContext.broadcast(phrases)  # of about BLOCK_BYTES of text
 
     @F.pandas_udf("n_words long, spans array<struct<first:int,end:int>>, items array<string>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -288,8 +288,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     Null texts have no words; a null item_id counts as the empty string; equal
     items count once. All rows stay, repeated ones get equal results; input
     columns named like results are replaced. The documents are not shuffled.
-    The benchmark is sent to the tasks in blocks of at most ``block_bytes`` of
-    text: one pass over the documents for each block, whose hits are merged.
+    The benchmark is sent to the tasks in blocks of about ``block_bytes`` of text
+    (items are dealt by hash; a longer item is a block): one pass over the
+    documents for each block, which builds the index anew, and whose hits are merged.
     """
     ship(docs.sparkSession)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").alias("t"))
