@@ -24,7 +24,7 @@ MIN_SENTENCES = 2
 MIN_WORDS = 20
 LONGEST = 10  # words; longer sentences are cut into parts, so that one long sentence is several too
 PIECE = 1 << 18  # characters that are cut at once; a longer text is cut alone
-HELD = 1 << 20  # runs that a task gathers before it deals them out
+HELD = 1 << 18  # runs that a task gathers before it deals them out
 BUCKETS = 8  # for each shuffle partition
 SPACE, ALONE, END, WIDE_END, COMMA, LINE, CLOSING = 1, 2, 4, 8, 16, 32, 64
 
@@ -369,8 +369,7 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
     the same document too. A text shorter than the minimum is one run. Rows that
     agree in id and text count as one row and get the same result. Null and
     empty texts stay as they are, with no sentence; white space alone is one.
-    Other columns pass; input columns named like results, or like the operator's
-    own (``_id``, ``_th``, ``_n``, ``_removed``, ``_stay``, ``_raw``), are left out.
+    Other columns pass; input columns named like results are left out.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -496,7 +496,7 @@ def test_sentence_spans_of_odd_rows(spark):
     rows = [("b", short, 1), ("a", short, 2), ("c", "Der Satz eins. Kurz.", 3), ("d", " der satz  eins. kurz.", 4), (None, short, 5), ("e", " \n ", 6), ("f", "", 7), ("g", None, 8), ("b", "another text", 9), ("b", short, 10)]
     df = spark.createDataFrame(rows, "doc_id string, text string, _n int").withColumn("kept", F.lit("old")).withColumn("extra", F.lit(1))
     out = sentence_spans.dedup_spans(df)
-    assert out.columns == ["doc_id", "text", "extra", "kept", "n_sentences", "n_removed"]
+    assert out.columns == ["doc_id", "text", "_n", "extra", "kept", "n_sentences", "n_removed"]  # a name with an underscore is the user's
     got = sorted((repr(r.doc_id), r.text, r.kept, r.n_sentences, r.n_removed) for r in out.select("doc_id", "text", "kept", "n_sentences", "n_removed").collect() if r.text)
     assert got == sorted([("None", short, short, 1, 0), ("'a'", short, "", 1, 1), ("'b'", short, "", 1, 1), ("'b'", short, "", 1, 1), ("'b'", "another text", "another text", 1, 0), ("'c'", rows[2][1], rows[2][1], 2, 0), ("'d'", rows[3][1], "", 2, 2), ("'e'", " \n ", " \n ", 1, 0)])
     assert sorted(repr((r.kept, r.n_sentences)) for r in out.collect() if not r.text) == ["('', 0)", "(None, 0)"]
