@@ -23,6 +23,7 @@ SURGE = 86
 LINK_SHARE = 0.6
 WEIGHT = 4  # by which a named article lowers the threshold of its lines and raises that of the others
 HELD = 1 / 3  # share of the text that a named article must hold to count
+PAGE_FORM = 1 / 2  # a form that holds more of the page's text is no form, but wraps the page
 
 # Element names of HTML with a meaning for the layout.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "select", "xmp")
@@ -50,6 +51,12 @@ BOXES = {
     "global", "group", "holder", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "page", "panel",
     "post", "posts", "primary", "reader", "right", "row", "section", "secondary", "site", "slot", "stories", "thread", "title", "top", "unit", "user", "wrap", "wrapper",
 }
+# What an article has itself, and words that say that such a part is an article's.
+OWN = {"header", "teaser", "byline", "tags"}
+ARTICLES = {"article", "content", "entry", "post", "story"}
+# How a copyright line and the title of reader comments begin.
+_rights = re.compile(r"(?:©|\(c\)|copyright\b(?=[\W\d]*(?:©|\(c\)|\d{4})))", re.I)
+_comments = re.compile(r"(?:\d+ )?(?:reader |user )?(?:comments?|replies|responses|kommentare|commentaires|comentarios)(?: ?\(\d+\)|:)?", re.I)
 
 # No unquoted part of a tag goes beyond the next "<", so that broken tags are not read twice.
 _inside = r"(?:[^<>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+"
@@ -69,12 +76,14 @@ def _attributes(raw: str) -> dict[str, str]:
 
 def _named(attributes: dict[str, str], inside: bool) -> bool:
     """Whether a whole word of class, id or role names such a part, alone or with
-    words for boxes and other such parts; an article has its own header."""
+    words for boxes and other such parts. An article's own header, teaser, byline
+    and tags are none, inside it or where the other words name it."""
     for name in ("class", "id", "role"):
         for word in attributes.get(name, "").split():
             parts = [word] if word in NAMES else _part.split(word)
-            found = [p for p in parts if p in NAMES and not (inside and p == "header")]
-            if found and all(p in NAMES or p in BOXES or p.isdigit() for p in parts):
+            own = inside or not ARTICLES.isdisjoint(parts)
+            found = [p for p in parts if p in NAMES and not (own and p in OWN)]
+            if found and all(p in NAMES or p in BOXES or p in ARTICLES or p.isdigit() for p in parts):
                 return True
     return False
 
@@ -86,7 +95,16 @@ def _hidden(attributes: dict[str, str]) -> bool:
 def page_lines(page: str) -> tuple[list[tuple[str, int, int, bool]], bool]:
     """(text, its length, length inside links, inside an article) per line, and
     whether the page names its article. A line is a block's text; a skipped part
-    is one blank line."""
+    is one blank line. A form is skipped unless it holds most of the page's text."""
+    lines, named, sizes = _parsed(page, -1)
+    if sizes and max(sizes) > PAGE_FORM * (sum(sizes) + sum(n for _, n, _, _ in lines)):
+        lines, named, _ = _parsed(page, sizes.index(max(sizes)))
+    return lines, named
+
+
+def _parsed(page: str, wrapper: int) -> tuple[list[tuple[str, int, int, bool]], bool, list[int]]:
+    """The lines, whether an article is named, and the length of each skipped
+    form's text; the form of the number ``wrapper`` is not skipped."""
     lines: list[tuple[str, int, int, bool]] = []
     parts: list[str] = []
     linked = 0
@@ -95,6 +113,8 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, int, bool]], bool]:
     holders: list[int] = []  # places of what no stray end tag leaves
     skipped = article = anchor = 0
     named = False
+    sizes: list[int] = []  # of forms, by their order
+    forms: list[tuple[int, int]] = []  # places and numbers of open forms
 
     def close_line() -> None:
         nonlocal linked
@@ -110,6 +130,8 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, int, bool]], bool]:
             places[name].pop()
             if name in HOLDERS:
                 holders.pop()
+            if name == "form":
+                forms.pop()
             skipped -= was_skipped
             article -= was_article
             anchor -= name == "a"
@@ -121,6 +143,8 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, int, bool]], bool]:
             parts.append(text)
             if anchor:
                 linked += len(text.strip())
+        elif m.start() > at and skipped == 1 and forms and stack[forms[-1][0]][1]:
+            sizes[forms[-1][1]] += len(page[at : m.start()].strip())
         at = m.end()
         tag = m["tag"]
         if not tag:
@@ -139,7 +163,10 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, int, bool]], bool]:
             attributes = _attributes(m["attrs"])
             main = tag in ("article", "main") or not {"main", "article"}.isdisjoint(attributes.get("role", "").split())
             named_so = bool(attributes) and tag not in ("body", "html", "main") and (_named(attributes, article > 0 or main) or _hidden(attributes))
-            skip = tag in BOILER or (tag == "header" and not article) or named_so
+            if tag == "form":
+                sizes.append(0)
+                forms.append((len(stack), len(sizes) - 1))
+            skip = (tag in BOILER and not (tag == "form" and len(sizes) - 1 == wrapper)) or (tag == "header" and not article) or named_so
             main = main and not skipped and not skip
             if skip and not skipped:
                 close_line()
@@ -155,7 +182,7 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, int, bool]], bool]:
     if at < len(page) and not skipped:
         parts.append(html_lib.unescape(page[at:]))
     close_line()
-    return lines, named
+    return lines, named, sizes
 
 
 def surges(lengths: list[int], threshold: int, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -185,20 +212,32 @@ def _fullest(lengths: list[int]) -> int:
 
 
 def _article_lengths(lines: list[tuple[str, int, int, bool]]) -> list[int]:
-    """Lengths of the article's lines. A linked title is text; only a whole window of lines made of links is blank."""
+    """Lengths of the article's lines. A linked title is text, and so are linked
+    references; only a whole window of lines made of links that is no surge is blank."""
     linked = [inside and n > 0 and links > LINK_SHARE * n for _, n, links, inside in lines]
     menu = [False] * len(lines)
     for k in range(len(lines) - WINDOW + 1):
-        if all(linked[k : k + WINDOW]):
+        if all(linked[k : k + WINDOW]) and sum(n for _, n, _, _ in lines[k : k + WINDOW]) <= SURGE:
             menu[k : k + WINDOW] = [True] * WINDOW
     return [n if inside and not listed else 0 for (_, n, _, inside), listed in zip(lines, menu, strict=True)]
 
 
+def _outer_lengths(lines: list[tuple[str, int, int, bool]]) -> list[int]:
+    """Lengths of the lines outside the article; lines of links, copyright lines
+    and whatever follows the title of reader comments are blank."""
+    out, comments = [], False
+    for text, n, links, inside in lines:
+        comments = comments or (not inside and n < SURGE // 2 and _comments.fullmatch(text) is not None)
+        out.append(0 if inside or comments or links > LINK_SHARE * n or (n < 2 * SURGE and _rights.match(text)) else n)
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The article of one page; blocks in page order, one per line.
 
     Null or empty pages give an empty text. Lines made of links count as blank,
-    and the threshold is SURGE, or half the fullest window of a short page.
+    and the threshold is SURGE, or half the fullest window of a short page. Short
+    lines between a surge and the last blank line before it belong to it.
     Where the page names its article (``article``, ``main`` or such a role) and
     that holds at least HELD of its text, the name weights the threshold: lines
     inside need SURGE / WEIGHT, and a surge there reaches back to the blank
@@ -208,9 +247,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines, named = page_lines(page)
-    lengths = [0 if links > LINK_SHARE * n else n for _, n, links, _ in lines]
     inner = _article_lengths(lines) if named else []
-    outer = [0 if inside else n for n, (*_, inside) in zip(lengths, lines, strict=True)]
+    outer = _outer_lengths(lines)
     if sum(inner) and sum(inner) >= HELD * (sum(inner) + sum(outer)):
         kept = set()
         least = 0
@@ -221,7 +259,12 @@ def main_text(page: str | None) -> str:
             least = b
         kept.update(k for a, b in surges(outer, SURGE * WEIGHT) for k in range(a, b) if outer[k])
     else:
-        kept = {k for a, b in surges(lengths, min(SURGE, _fullest(lengths) // 2)) for k in range(a, b) if lengths[k]}
+        lengths = _outer_lengths([(text, n, links, False) for text, n, links, _ in lines])
+        kept = set()
+        for a, b in surges(lengths, min(SURGE, _fullest(lengths) // 2)):
+            while a > 0 and lengths[a - 1]:
+                a -= 1
+            kept.update(k for k in range(a, b) if lengths[k])
     return "\n".join(lines[k][0] for k in sorted(kept))
 
 

@@ -94,11 +94,49 @@ def test_attributes_that_name_boilerplate(attrs):
     assert html_lines.main_text(f"<main><p>{BODY}</p><div {attrs}><p>{BODY}</p></div></main>") == BODY.strip()
 
 
+@pytest.mark.parametrize("name", ["teaser", "byline", "tags", "entry-header"])
+def test_an_article_has_its_own_parts(name):
+    page = f"<article><h1>Title</h1><p class={name}>Own part.</p><p>{BODY}</p></article><p class={name.split('-')[-1]}>Not mine.</p>"
+    assert html_lines.main_text(page).split("\n") == ["Title", "Own part.", BODY.strip()]
+    assert html_lines.main_text(f"<body><div class=content-header><h1>Title</h1></div><p>{BODY}</p></body>").split("\n") == ["Title", BODY.strip()]
+
+
+def test_a_form_around_the_page_is_no_form():
+    search, sign = "<form><p>Search the site</p><input></form>", "<div><form><label>Your name</label><button>Send</button></form></div>"
+    page = f"<body><form method=post><nav>menu</nav><h1>Title</h1><p>{BODY}</p><button>Save</button></form>{search}{sign}</body>"
+    assert html_lines.main_text(page).split("\n") == ["Title", BODY.strip()]
+    inside = f"<form><article><p>{BODY}</p></article></form>{search}"
+    assert html_lines.main_text(inside) == BODY.strip()
+    assert html_lines.main_text(f"<p>{BODY}</p>{search}{sign}<form>open") == BODY.strip()
+
+
+def test_short_blocks_before_a_long_one_stay():
+    menu = "".join(f"<li><a href=/{k}>link {k}</a></li>" for k in range(6))
+    shorts = [f"Short {k}." for k in range(12)]
+    page = f"<body><ul>{menu}</ul>{''.join(f'<p>{s}</p>' for s in shorts)}<p>{BODY}</p></body>"
+    assert html_lines.main_text(page).split("\n") == [*shorts, BODY.strip()]
+    assert html_lines.main_text(f"<p>Hi.</p><p>x</p><p>{BODY}</p>").split("\n") == ["Hi.", "x", BODY.strip()]
+
+
+def test_linked_references_are_text_of_the_article():
+    cited = [f"An Author, the title of a long work in so many words, number {k}" for k in range(5)]
+    page = f"<article><p>{BODY}</p><ul>{''.join(f'<li><a href=/>{c}</a></li>' for c in cited)}</ul></article>"
+    assert html_lines.main_text(page).split("\n") == [BODY.strip(), *cited]
+
+
+def test_copyright_lines_and_comments_without_a_class():
+    for line in ("&copy; 2024 Example Press. All rights reserved.", "Copyright 2024 Example", "(c) Example", "Copyright &copy; Example"):
+        assert html_lines.main_text(f"<body><p>{BODY}</p><div>{line}</div></body>") == BODY.strip()
+    kept = "Copyright law changed in the year of the reform."
+    assert html_lines.main_text(f"<body><p>{BODY}</p><p>{kept}</p></body>").split("\n") == [BODY.strip(), kept]
+    assert html_lines.main_text(f"<article><p>{BODY}</p></article><h3>12 Comments</h3><div><p>{BODY * 3}</p></div>") == BODY.strip()
+
+
 @pytest.mark.parametrize(
     "page",
-    ["<a " * 350_000, "<a" * 500_000, "<!" * 500_000, "<a =\"" * 200_000, "<a ='\"" * 200_000, "<div>" * 100_000 + "</b></span>" * 50_000, "<span><article>" + "<div>" * 80_000 + "</span>" * 80_000,
+    ["<form>a" * 120_000, "<a " * 350_000, "<a" * 500_000, "<!" * 500_000, "<a =\"" * 200_000, "<a ='\"" * 200_000, "<div>" * 100_000 + "</b></span>" * 50_000, "<span><article>" + "<div>" * 80_000 + "</span>" * 80_000,
      "<script>" * 120_000, "<script " * 120_000, "<!--" * 250_000, "<p>a" * 200_000, "&amp" * 250_000],
-    ids=range(12),
+    ids=range(13),
 )
 def test_a_megabyte_of_broken_markup_takes_linear_time(page):
     began = time.perf_counter()
