@@ -3,7 +3,7 @@
 ``encode_media`` stores a payload as an uncompressed mono wave file in a binary
 column; ``media_features`` reads the stored bytes back, resamples them with a
 polyphase filter, takes overlapped log-mel frames, and finds active spans by
-energy with hysteresis. Frames are stored in blocks of one fixed shape.
+energy with hysteresis. Frames are stored as Arrow tensors of one fixed shape.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridstream.llm.common import clash_free, ship
+from gridstream.llm.common import clash_free, give_back, ship
 
 RATE = 8000
 UP, DOWN = 2, 3
@@ -32,8 +32,7 @@ UNIT = 192
 CHUNK = 1 << 16  # filter steps at once
 STEP = HOP * DOWN / (RATE * UP)  # seconds a frame
 
-STORED = BLOCK * MELS * 2  # bytes of a stored tensor: half-precision values in row order
-TENSOR = pa.fixed_shape_tensor(pa.float32(), (BLOCK, MELS))
+TENSOR = pa.fixed_shape_tensor(pa.float16(), (BLOCK, MELS))  # half precision, in row order
 
 
 def payload_of(text: str | None) -> bytes:
@@ -154,17 +153,38 @@ def encode_media(docs: DataFrame, text: str = "text", media: str = "media") -> D
     return docs.withColumn(media, wave(F.col(text)))
 
 
-DIGEST_KINDS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames long, active_s double"
-DIGEST = [(c, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[t]) for c, t in (x.split() for x in DIGEST_KINDS.split(", "))]
+PAYLOAD_KINDS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+FEATURE_KINDS = "feature string, frames long, active_s double"
+DIGEST_KINDS = f"{PAYLOAD_KINDS}, {FEATURE_KINDS}"
+PAYLOAD, FEATURE, DIGEST = ([x.split()[0] for x in kinds.split(", ")] for kinds in (PAYLOAD_KINDS, FEATURE_KINDS, DIGEST_KINDS))
 
 
-def _digest(stored: bytes, mel: np.ndarray, spans: list[tuple[int, int]]) -> dict:
+def _payload_digest(stored: bytes | None) -> tuple:
+    if stored is None:
+        return (None,) * len(PAYLOAD)
     payload = from_wave(stored)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest()
+
+
+def _described(mel: np.ndarray, spans: list[tuple[int, int]]) -> tuple[str, int, float]:
     active = sum(b - a for a, b in spans)
     mean = ",".join(f"{x:.2f}" for x in mel.mean(axis=0, dtype=np.float64) + 0.0)
-    feature = f"frames={len(mel)};segments={len(spans)};active={active};mel={mean}"
-    values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, len(mel), active * HOP * DOWN / (RATE * UP))
-    return dict(zip((c for c, _ in DIGEST), values, strict=True))
+    return f"frames={len(mel)};segments={len(spans)};active={active};mel={mean}", len(mel), active * HOP * DOWN / (RATE * UP)
+
+
+@clash_free
+def payload_digest(docs: DataFrame, media: str = "media") -> DataFrame:
+    """Add digests of the stored file and of the payload read back from it. A null
+    file gives nulls; every row stays, and input columns named like results are replaced."""
+    ship(docs.sparkSession)
+
+    @F.pandas_udf(PAYLOAD_KINDS)
+    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([_payload_digest(x) for x in batch], columns=PAYLOAD)
+
+    rest = [c for c in docs.columns if c not in PAYLOAD]
+    return docs.select(*rest, digest(F.col(media)).alias("_d")).select(*rest, "_d.*")
 
 
 @clash_free
@@ -176,18 +196,17 @@ def media_digest(docs: DataFrame, media: str = "media") -> DataFrame:
 
     @F.pandas_udf(DIGEST_KINDS)
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = [c for c, _ in DIGEST]
         for batch in batches:
             rows = []
             for stored in batch:
-                if stored is None:
-                    rows.append((None,) * len(names))
-                    continue
-                mel, _, spans = features(from_wave(stored))
-                rows.append(tuple(_digest(stored, mel, spans).values()))
-            yield pd.DataFrame(rows, columns=names)
-
-    rest = [c for c in docs.columns if c != media and c not in dict(DIGEST)]
+                found = (None,) * len(FEATURE)
+                if stored is not None:
+                    mel, _, spans = features(from_wave(stored))
+                    found = _described(mel, spans)
+                rows.append((*_payload_digest(stored), *found))
+            yield pd.DataFrame(rows, columns=DIGEST)
+
+    rest = [c for c in docs.columns if c != media and c not in DIGEST]
     return docs.select(*rest, digest(F.col(media)).alias("_d")).select(*rest, "_d.*")
 
 
@@ -206,11 +225,38 @@ def _blocks(stored: bytes) -> tuple[np.ndarray, list[int], list[list[list[float]
     return full.reshape(n, BLOCK, MELS), sizes, inside
 
 
+SPANS = "array<struct<start_s: double, end_s: double, n_frames: long, active: array<array<double>>>>"
+
+
+def _tensors(values: np.ndarray) -> pa.Array:
+    """Half-precision values as an Arrow array of the fixed-shape tensor type."""
+    return pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(values.reshape(-1)), BLOCK * MELS))
+
+
+def to_cell(blocks: np.ndarray) -> bytes:
+    """Tensors as an Arrow stream, whose schema names their type and shape."""
+    batch = pa.RecordBatch.from_arrays([_tensors(blocks)], ["mel"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def from_cell(cell: bytes) -> np.ndarray:
+    """The tensors of such a stream, as an array of (blocks, BLOCK, MELS)."""
+    with pa.ipc.open_stream(cell) as stream:
+        column = stream.read_all()["mel"]
+    if column.type != TENSOR:
+        raise ValueError(f"tensors of another type: {column.type}")
+    return column.combine_chunks().storage.flatten().to_numpy().reshape(-1, BLOCK, MELS)
+
+
 @clash_free
 def with_tensors(docs: DataFrame, media: str = "media", tensors: str = "tensors") -> DataFrame:
-    """Add the tensors of each file as one array: per block start_s, end_s,
-    n_frames, active and ``mel`` as in ``media_tensors``. A null file has none;
-    an input column named like the result is replaced."""
+    """Add the tensors of each file as a struct: ``spans``, per block start_s, end_s,
+    n_frames and active as in ``media_tensors``, and ``mel``, the blocks' tensors as an
+    Arrow stream of one column of the fixed-shape tensor type (see ``to_cell``). A null
+    file has none; an input column named like the result is replaced."""
     ship(docs.sparkSession)
     docs = docs.drop(tensors)
     k = docs.columns.index(media)
@@ -219,64 +265,67 @@ def with_tensors(docs: DataFrame, media: str = "media", tensors: str = "tensors"
         for whole in batches:
             for at in range(0, len(whole), 100):  # tensors are as large as their files
                 batch = whole.slice(at, 100)
-                offsets, values, starts, ends, sizes, active = [0], [], [], [], [], []
+                offsets, cells, starts, ends, sizes, active = [0], [], [], [], [], []
                 for stored in batch.column(k):
+                    cells.append(None)
                     if stored.is_valid:
                         blocks, frames, inside = _blocks(stored.as_py())
-                        values.append(blocks.reshape(-1))
+                        cells[-1] = to_cell(blocks)
                         starts += [i * BLOCK * STEP for i in range(len(frames))]
                         ends += [(i * BLOCK + x) * STEP for i, x in enumerate(frames)]
                         sizes += frames
                         active += inside
                     offsets.append(len(sizes))
-                mel = _halves(np.concatenate(values) if values else np.zeros(0, np.float16))
                 block = pa.StructArray.from_arrays(
-                    [pa.array(starts, pa.float64()), pa.array(ends, pa.float64()), pa.array(sizes, pa.int64()), pa.array(active, pa.list_(pa.list_(pa.float64()))), mel],
-                    ["start_s", "end_s", "n_frames", "active", "mel"],
+                    [pa.array(starts, pa.float64()), pa.array(ends, pa.float64()), pa.array(sizes, pa.int64()), pa.array(active, pa.list_(pa.list_(pa.float64())))],
+                    ["start_s", "end_s", "n_frames", "active"],
                 )
                 mask = batch.column(k).is_null() if batch.column(k).null_count else None
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), block, mask=mask)], [*batch.schema.names, tensors])
+                spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), block, mask=mask)
+                both = pa.StructArray.from_arrays([spans, pa.array(cells, pa.binary())], ["spans", "mel"], mask=mask)
+                yield pa.RecordBatch.from_arrays([*batch.columns, both], [*batch.schema.names, tensors])
+        give_back()
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(add, f"{kinds}, `{tensors}` array<struct<start_s: double, end_s: double, n_frames: long, active: array<array<double>>, mel: binary>>")
+    return docs.mapInArrow(add, f"{kinds}, `{tensors}` struct<spans: {SPANS}, mel: binary>")
 
 
 @clash_free
-def stored_digest(docs: DataFrame, media: str = "media", tensors: str = "tensors") -> DataFrame:
-    """The columns of ``media_digest``, its features taken from stored tensors
-    instead of being computed again; both columns are left out, and input columns
-    named like results."""
+def tensor_features(docs: DataFrame, tensors: str = "tensors") -> DataFrame:
+    """Replace stored tensors by the features that they hold (those of ``media_digest``).
+    Null tensors give nulls; input columns named like results are replaced."""
     ship(docs.sparkSession)
-    kept = [(c, t) for c, t in docs.dtypes if c not in (media, tensors) and c not in dict(DIGEST)]
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    @F.pandas_udf(FEATURE_KINDS)
+    def describe(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for cells, sizes, active in batches:
             rows = []
-            lists = batch.column(len(kept) + 1)
-            for stored, blocks in zip(batch.column(len(kept)), lists, strict=True):
-                if not stored.is_valid:
-                    rows.append({})
+            for cell, frames, inside in zip(cells, sizes, active, strict=True):
+                if cell is None:
+                    rows.append((None,) * len(FEATURE))
                     continue
-                block = blocks.values
-                n = int(np.sum(block.field("n_frames").to_numpy()))
-                mel = np.frombuffer(b"".join(block.field("mel").to_pylist()), np.float16).reshape(-1, MELS)[:n]
-                spans: list[list[float]] = []
-                for a, b in (x for inside in block.field("active").to_pylist() for x in inside):
-                    if spans and round(spans[-1][1] / STEP) == round(a / STEP):
-                        spans[-1][1] = b  # goes on across the edge of a block
-                    else:
-                        spans.append([a, b])
-                rows.append(_digest(stored.as_py(), mel, [(round(a / STEP), round(b / STEP)) for a, b in spans]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *[pa.array([r.get(c) for r in rows], t) for c, t in DIGEST]], [*[c for c, _ in kept], *[c for c, _ in DIGEST]])
+                mel = from_cell(cell).reshape(-1, MELS)[: int(sum(frames))]
+                spans: list[tuple[int, int]] = []
+                for a, b in ((round(x[0] / STEP), round(x[1] / STEP)) for block in inside for x in block):
+                    if spans and spans[-1][1] == a:
+                        a = spans.pop()[0]  # goes on across the edge of a block
+                    spans.append((a, b))
+                rows.append(_described(mel, spans))
+            yield pd.DataFrame(rows, columns=FEATURE)
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in kept)
-    return docs.select(*[c for c, _ in kept], media, tensors).mapInArrow(digest, f"{kinds}, {DIGEST_KINDS}")
+    rest = [c for c in docs.columns if c != tensors and c not in FEATURE]
+    t = F.col(tensors)
+    found = describe(t["mel"], t["spans"]["n_frames"], t["spans"]["active"])
+    return docs.select(*rest, found.alias("_d")).select(*rest, "_d.*")
 
 
-def _halves(values: np.ndarray) -> pa.Array:
-    """Half-precision values as a binary column of whole tensors."""
-    n = values.size * 2 // STORED
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * STORED).astype(np.int32)), pa.py_buffer(values.tobytes())])
+@clash_free
+def stored_digest(docs: DataFrame, media: str = "media", tensors: str = "tensors") -> DataFrame:
+    """The columns of ``media_digest``, its features taken from stored tensors
+    instead of being computed again; both columns are left out, and input columns
+    named like results."""
+    kept = docs.drop(*FEATURE)
+    return tensor_features(payload_digest(kept, media).drop(media), tensors)
 
 
 def media_tensors(docs: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
@@ -285,12 +334,18 @@ def media_tensors(docs: DataFrame, key: str = "doc_id", media: str = "media") ->
     values of a (BLOCK, MELS) tensor in row order, the last block filled with
     zeros. ``tensor_column`` gives the Arrow tensor of such a column. Null files
     give no row, repeated rows their blocks each; other columns are left out."""
-    kind = dict(docs.dtypes)[key]
-    stored = with_tensors(docs.select(F.col(key).cast(kind).alias("key"), F.col(media).alias("_media")), "_media", "_tensors")
-    return stored.select("key", F.posexplode("_tensors").alias("block", "_t")).select("key", F.col("block").cast("long").alias("block"), "_t.*")
+
+    @F.pandas_udf("array<binary>")
+    def cells(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([None if x is None else [b.tobytes() for b in from_cell(x)] for x in batch], dtype=object)
+
+    stored = with_tensors(docs.select(F.col(key).alias("key"), F.col(media).alias("_media")), "_media", "_tensors")
+    both = F.arrays_zip(F.col("_tensors.spans").alias("span"), cells("_tensors.mel").alias("mel"))
+    blocks = stored.where(F.col("_tensors").isNotNull()).select("key", F.posexplode(both).alias("block", "_t"))
+    return blocks.select("key", F.col("block").cast("long").alias("block"), "_t.span.*", "_t.mel")
 
 
 def tensor_column(mel: pa.Array | pa.ChunkedArray) -> pa.Array:
     """A collected ``mel`` column as an Arrow array of the fixed-shape tensor type."""
-    values = np.frombuffer(b"".join(mel.to_pylist()), np.float16).astype(np.float32)
-    return pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(values), BLOCK * MELS))
+    return _tensors(np.frombuffer(b"".join(mel.to_pylist()), np.float16))

@@ -22,8 +22,9 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wave files and feature tensors of every text, stored, read back and described."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text")
-    stored = frozen(media.with_tensors(media.encode_media(docs).drop("text")), "tensors")
-    return media.stored_digest(stored)
+    waves = frozen(media.encode_media(docs).drop("text"), "waves")
+    described = frozen(media.with_tensors(media.payload_digest(waves)).drop("media"), "tensors")
+    return media.tensor_features(described)
 
 
 def held_out() -> F.Column:

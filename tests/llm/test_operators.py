@@ -189,7 +189,7 @@ def test_media_queries(spark):
     assert out[1].payload_sha256 == hashlib.sha256(b"same" + b" " * 188).hexdigest() and out[1].tail_crc32 == zlib.crc32(b" " * 16)
     blocks = media.media_tensors(media.encode_media(docs_of(spark, [(5, "tone " * 2000), (6, None)]))).orderBy("key", "block").toArrow()
     tensor = media.tensor_column(blocks["mel"])
-    assert tensor.type == pa.fixed_shape_tensor(pa.float32(), (media.BLOCK, media.MELS))
+    assert tensor.type == pa.fixed_shape_tensor(pa.float16(), (media.BLOCK, media.MELS)) and set(blocks["key"].to_pylist()) == {5, 6}
     assert tensor.to_numpy_ndarray().shape[1:] == (media.BLOCK, media.MELS)
     assert media.media_digest(media.encode_media(empty(spark))).count() == 0
 
@@ -197,9 +197,11 @@ def test_media_queries(spark):
 def test_the_media_query_stores_waves_and_tensors(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
     got = queries.op2_media(spark, "/root/testdata/sf0.001")
-    (folder,) = tmp_path.glob("tensors-*")
-    stored = spark.read.parquet(f"file://{folder}")
-    assert stored.where("tensors IS NULL OR media IS NULL").count() == 0
+    stored = {name: spark.read.parquet(f"file://{next(tmp_path.glob(name + '-*'))}") for name in ("waves", "tensors")}
+    assert stored["waves"].where("media IS NULL").count() == 0 and stored["tensors"].where("tensors.mel IS NULL").count() == 0
+    cell = stored["tensors"].select("tensors.mel", F.size("tensors.spans").alias("n")).first()
+    with pa.ipc.open_stream(cell.mel) as stream:
+        assert stream.schema.field("mel").type == pa.fixed_shape_tensor(pa.float16(), (media.BLOCK, media.MELS)) and len(stream.read_all()) == cell.n
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "text")
     want = media.media_digest(media.encode_media(docs).drop("text"))
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
