@@ -9,12 +9,14 @@ occurrences located, and the spans of a document merged.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ from gridstream.llm.common import clash_free, give_back, row_key, same_row, ship
 WINDOW = 10
 SHARD_WORDS = 1 << 18
 SAMPLE = 8
-BLOCK_BYTES = 4 << 20  # benchmark text sent to the tasks at a time: some 30 MB of windows
+BLOCK_BYTES = 4 << 20  # benchmark text searched at a time: some 30 MB of windows
+PASS_BLOCKS = 16  # blocks sent to the tasks, packed, and searched in one index
 
 _table = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _word = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
@@ -87,6 +90,25 @@ class Phrases:
         return [self.words[w - 1] for w in self.backward[window, : self.lengths[window]][::-1]]
 
 
+class Blocks:
+    """Blocks of phrases as they are sent to the tasks: packed, and unpacked one
+    after the other for each index; a single one is unpacked once."""
+
+    def __init__(self, blocks: Iterator[Phrases]):
+        self.packed = [zstandard.compress(pickle.dumps(b, 5)) for b in blocks if len(b.lengths)]
+        self.only: Phrases | None = None
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __iter__(self) -> Iterator[Phrases]:
+        if len(self) == 1:
+            self.only = self.only or pickle.loads(zstandard.decompress(self.packed[0]))
+            yield self.only
+        else:
+            yield from (pickle.loads(zstandard.decompress(b)) for b in self.packed)
+
+
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
     """Start positions of all suffixes in order. Zeros end a run; each is
     smaller than any word and than the zeros after it, so no comparison goes
@@ -193,61 +215,63 @@ class Index:
         return out
 
 
-def scan_shard(shard: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tuple[int, int]], list[str]]]:
+def scan_shard(shard: list[list[bytes]], blocks: Blocks) -> list[tuple[list[tuple[int, int]], list[str]]]:
     """Merged word spans (first, end) and items found, for each document's words.
-    The index holds every word of the shard, each document ended by a 0."""
+    The index holds every word of the shard, each document ended by a 0; it is
+    built once, and one block of phrases after the other is searched in it."""
     found: list[tuple[list[tuple[int, int]], list[str]]] = [([], []) for _ in shard]
     sizes = np.array([len(x) for x in shard], np.int64)
-    if not len(phrases.lengths) or not sizes.sum():
+    if not len(blocks) or not sizes.sum():
         return found
     flat = np.zeros(int(sizes.sum()) + len(shard), np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
     hashes, number = np.unique(np.fromiter(map(hash, chain.from_iterable(shard)), np.int64, int(sizes.sum())), return_inverse=True)
     flat[np.arange(len(number)) + np.repeat(np.arange(len(shard)), sizes)] = number + 1
     index = Index(flat)
-    low, high, which = index.search(phrases.numbered(hashes), phrases.lengths)
-    if not len(which):
-        return found
-    size = high - low
-    rows = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    window = np.repeat(which, size)
-    place = index.locate(rows)
-    # two words may share a hash: compare the words themselves
-    spelt = {w: phrases.spelt(w) for w in which.tolist()}
-    owner = np.searchsorted(starts, place, side="right") - 1
-    true = [shard[k][a : a + len(spelt[w])] == spelt[w] for k, a, w in zip(owner.tolist(), (place - starts[owner]).tolist(), window.tolist(), strict=True)]
-    place, window = place[true], window[true]
     mark = np.zeros(len(flat) + 1, np.int32)
-    np.add.at(mark, place, 1)
-    np.add.at(mark, place + phrases.lengths[window], -1)
+    items: dict[int, set[str]] = {}
+    for phrases in blocks:
+        low, high, which = index.search(phrases.numbered(hashes), phrases.lengths)
+        if not len(which):
+            continue
+        size = high - low
+        rows = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        window = np.repeat(which, size)
+        place = index.locate(rows)
+        # two words may share a hash: compare the words themselves
+        spelt = {w: phrases.spelt(w) for w in which.tolist()}
+        owner = np.searchsorted(starts, place, side="right") - 1
+        true = [shard[k][a : a + len(spelt[w])] == spelt[w] for k, a, w in zip(owner.tolist(), (place - starts[owner]).tolist(), window.tolist(), strict=True)]
+        place, window, owner = place[true], window[true], owner[true]
+        np.add.at(mark, place, 1)
+        np.add.at(mark, place + phrases.lengths[window], -1)
+        n = len(phrases.lengths)
+        pairs = np.unique(owner * n + window)
+        for k, w in zip((pairs // n).tolist(), (pairs % n).tolist(), strict=True):
+            items.setdefault(k, set()).update(phrases.items_of(w))
     hit = np.diff(np.concatenate([[0], (np.cumsum(mark) > 0).astype(np.int8), [0]]))
     a, b = np.flatnonzero(hit == 1), np.flatnonzero(hit == -1)
     for k, s, t in zip((np.searchsorted(starts, a, side="right") - 1).tolist(), a.tolist(), b.tolist(), strict=True):
         found[k][0].append((s - int(starts[k]), t - int(starts[k])))
-    items: dict[int, set[str]] = {}
-    n = len(phrases.lengths)
-    pairs = np.unique((np.searchsorted(starts, place, side="right") - 1) * n + window)
-    for k, w in zip((pairs // n).tolist(), (pairs % n).tolist(), strict=True):
-        items.setdefault(k, set()).update(phrases.items_of(w))
     return [(spans, sorted(items.get(k, ()))) for k, (spans, _) in enumerate(found)]
 
 
-def _scan(docs: DataFrame, phrases: Phrases, text: str, shard_words: int) -> DataFrame:
+def _scan(docs: DataFrame, blocks: Blocks, window: int, text: str, shard_words: int) -> DataFrame:
     """Add ``_s``: n_words, spans and items of each row."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(phrases)  # of about BLOCK_BYTES of text
+    held = spark.sparkContext.broadcast(blocks)  # of about PASS_BLOCKS * BLOCK_BYTES of text, packed
 
     @F.pandas_udf("n_words long, spans array<struct<first:int,end:int>>, items array<string>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        phrases = held.value
-        overlap = phrases.backward.shape[1] - 1
+        blocks = held.value
+        overlap = window - 1
 
         for batch in batches:
             sizes, found = [], [([], set()) for _ in batch]
             shard, owners, waiting = [], [], 0
 
             def done(shard: list[list[bytes]], owners: list[tuple[int, int]], found: list = found) -> None:
-                for (row, at), (spans, items) in zip(owners, scan_shard(shard, phrases), strict=True):
+                for (row, at), (spans, items) in zip(owners, scan_shard(shard, blocks), strict=True):
                     found[row][0].extend({"first": at + s, "end": at + e} for s, e in spans)
                     found[row][1].update(items)
 
@@ -281,29 +305,31 @@ def merged(spans: list) -> list[dict[str, int]]:
 
 
 @clash_free
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES, pass_blocks: int = PASS_BLOCKS) -> DataFrame:
     """Add ``n_words``, ``spans`` (merged word spans to remove) and ``items``
     (ids as sorted strings of the test items with a window in the text).
 
     Null texts have no words; a null item_id counts as the empty string; equal
     items count once. All rows stay, repeated ones get equal results; input
     columns named like results are replaced. The documents are not shuffled.
-    The benchmark is sent to the tasks in blocks of about ``block_bytes`` of text
-    (items are dealt by hash; a longer item is a block): one pass over the
-    documents for each block, which builds the index anew, and whose hits are merged.
+    The benchmark is searched in blocks of about ``block_bytes`` of text (items are
+    dealt by hash; a longer item is a block), ``pass_blocks`` of them in one index of
+    each shard. What a larger benchmark has beyond that (64 MB) takes more
+    passes over the documents, each building the index anew, whose hits are merged.
     """
     ship(docs.sparkSession)
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").alias("t"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").alias("t")).distinct()
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     load = lambda k: Phrases([(r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()], window)
+    turns = [range(k, min(k + pass_blocks, blocks)) for k in range(0, blocks, pass_blocks)]
     rest = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
-    base = _scan(docs.select(*rest, *row_key(doc_id, text)), load(0), text, shard_words)
-    if blocks == 1:
+    base = _scan(docs.select(*rest, *row_key(doc_id, text)), Blocks(map(load, turns[0])), window, text, shard_words)
+    if len(turns) == 1:
         return base.select(*rest, "_s.n_words", "_s.spans", "_s.items")
     more = None
-    for k in range(1, blocks):
-        hits = _scan(docs.select(*row_key(doc_id, text), F.col(text)), load(k), text, shard_words).where(F.size("_s.spans") > 0).select("_id", "_th", "_s.spans", "_s.items")
+    for turn in turns[1:]:
+        hits = _scan(docs.select(*row_key(doc_id, text), F.col(text)), Blocks(map(load, turn)), window, text, shard_words).where(F.size("_s.spans") > 0).select("_id", "_th", "_s.spans", "_s.items")
         more = hits if more is None else more.unionByName(hits)
     more = more.groupBy("_id", "_th").agg(F.flatten(F.collect_list("spans")).alias("_spans"), F.flatten(F.collect_list("items")).alias("_items"))
     none = lambda c: F.coalesce(c, F.array())

@@ -639,15 +639,15 @@ def brute_contamination(rows, items, window):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
-def test_contamination(spark, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "pass_blocks"), [(1 << 20, 16), (60, 1), (60, 2), (60, 100)])
+def test_contamination(spark, block_bytes, pass_blocks):
     rng = random.Random(8)
     say = lambda n: " ".join(rng.choice(["a", "b", "C", "dé"]) for _ in range(n))
     items = [(k, say(rng.choice([2, 3, 5, 8]))) for k in range(12)] + [(None, "a b"), (90, None), (91, "..."), (3, "b b b C")]
     rows = [(k, say(rng.randrange(0, 40)) + rng.choice(["", ".", "!x"])) for k in range(60)] + [(None, "A-b, c"), (70, None), (71, ""), (72, "q r"), (5, "a b"), (5, "a b")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = docs_of(spark, rows).withColumn("items", F.lit(1))
-    out = fm_index.find_contamination(df, bench, 4, shard_words=50, block_bytes=block_bytes)
+    out = fm_index.find_contamination(df, bench, 4, shard_words=50, block_bytes=block_bytes, pass_blocks=pass_blocks)
     got = [(r.doc_id, r.n_words, r.h, list(r["items"])) for r in out.withColumn("h", fm_index.n_hit(F.col("spans"))).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, brute_contamination(rows, items, 4)))
     clean = fm_index.without_spans(out)
@@ -670,6 +670,18 @@ def test_a_text_longer_than_a_shard(spark):
         assert all(a.end < b.first for a, b in zip(r.spans, r.spans[1:], strict=False))
 
 
+def test_a_shard_is_indexed_once_for_all_blocks(monkeypatch):
+    rng = random.Random(28)
+    say = lambda n: " ".join(rng.choice(["a", "b", "c"]) for _ in range(n))
+    items, rows = [(str(k), say(rng.choice([2, 5, 9]))) for k in range(40)], [(k, say(rng.randrange(60))) for k in range(30)]
+    made = []
+    monkeypatch.setattr(fm_index, "Index", lambda symbols, own=fm_index.Index: made.append(1) or own(symbols))
+    blocks = fm_index.Blocks(fm_index.Phrases(items[k : k + 7], 4) for k in range(0, 40, 7))
+    got = fm_index.scan_shard([fm_index.words_of(t) for _, t in rows], pickle.loads(pickle.dumps(blocks)))
+    assert len(blocks) == 6 and len(made) == 1
+    assert [(sum(b - a for a, b in spans), names) for spans, names in got] == [(hit, names) for _, _, hit, names in brute_contamination(rows, items, 4)]
+
+
 def test_phrases_are_small():
     rng = np.random.default_rng(19)
     items = [(str(k), " ".join(f"w{x}" for x in rng.integers(0, 3000, 400))) for k in range(300)]
