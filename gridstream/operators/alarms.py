@@ -244,6 +244,41 @@ def latest_values_join(df: DataFrame, inputs: DataFrame, calculation: Column, na
     return out.where(finite(F.col("value")))
 
 
+def latest_values_audit(df: DataFrame, inputs: DataFrame, calculation: Column, names: list[str], max_age_s: float | None = 5.0, ts: str = "received_at") -> DataFrame:
+    """Every arrival of a group's inputs with ``value`` or the ``reason`` why none is published.
+
+    Takes all measurements, as ``latest_values_join`` takes qualified ones. Reasons, first one first:
+    invalid_quality, scalar_mismatch (no double), non_finite_input, key_mismatch (each with ``:input``; such a row
+    counts for nothing else), incomplete_group ``:group`` (an input never came), stale_input with the sorted inputs that are too
+    old, until they come anew, result_not_numeric (the calculation gives null) and non_finite_result. Rows without
+    a reason are those of the join. A null time counts as a value that is missing.
+    """
+    rows = df.join(inputs, "mrid")
+    of = lambda reason: F.concat(F.lit(f"{reason}:"), "input")
+    bad = (
+        F.when(~quality_ok("explicit_valid"), of("invalid_quality"))
+        .when(~F.col("value_type").eqNullSafe("double") | F.col("double_value").isNull(), of("scalar_mismatch"))
+        .when(~finite(F.col("double_value")), of("non_finite_input"))
+        .when(~F.col("kafka_key").eqNullSafe(F.col("mrid")), of("key_mismatch"))
+    )
+    rows = rows.withColumn("_bad", bad)
+    counts = F.col("_bad").isNull() & F.col(ts).isNotNull()
+    newest_of = {f"_{n}": ("last", F.when(counts & (F.col("input") == n), F.struct(F.col("double_value").alias("v"), F.col(ts).alias("t")))) for n in names}
+    rows = with_running(rows, ["group"], "arrival_seq", **newest_of).withColumn("newest", F.greatest(*[F.col(f"_{n}.t") for n in names]))
+    missing = F.lit(False)
+    for n in names:
+        missing = missing | F.col(f"_{n}").isNull()
+    too_old = lambda n: F.col("newest") - F.col(f"_{n}.t") > F.expr(f"INTERVAL '{max_age_s}' SECOND")
+    stale = F.array_compact(F.array(*[F.when(F.lit(False) if max_age_s is None else too_old(n), n) for n in sorted(names)]))
+    before = F.coalesce("_bad", F.when(missing, F.concat(F.lit("incomplete_group:"), "group")), F.when(F.size(stale) > 0, F.concat(F.lit("stale_input:"), F.array_join(stale, ","))))
+    for n in names:
+        rows = rows.withColumn(n, F.col(f"_{n}.v"))
+    result = rows.withColumn("_before", before).withColumn("value", F.when(F.col("_before").isNull(), calculation))
+    after = F.when(F.col("value").isNull(), "result_not_numeric").when(~finite(F.col("value")), "non_finite_result")
+    reason = F.coalesce("_before", after)
+    return result.withColumn("reason", reason).withColumn("value", F.when(F.col("reason").isNull(), F.col("value"))).drop("_bad", "_before", *[f"_{n}" for n in names])
+
+
 def pair_product(df: DataFrame, phases: DataFrame) -> DataFrame:
     """Apparent power per phase: newest valid voltage times newest valid current, on
     either arrival, with no age limit and no finite check. phases: mrid, group, input."""

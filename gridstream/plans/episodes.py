@@ -34,6 +34,12 @@ def o24_latest_values(spark: SparkSession, d: str) -> DataFrame:
     return out.select("group", "arrival_seq", "newest", F.round("value", 6).alias("value"))
 
 
+def o24_suppressed(spark: SparkSession, d: str) -> DataFrame:
+    names = ["click", "view", "error"]
+    out = A.latest_values_audit(measurements(spark, d), _site_inputs(spark, d, names), F.col("click") + F.col("view") - F.col("error"), names, 30.0)
+    return out.select("group", "arrival_seq", "input", "reason", F.round("value", 6).alias("value"))
+
+
 def _site_inputs(spark: SparkSession, d: str, names: list[str]) -> DataFrame:
     site = read(spark, d, "nation").where("n_nationkey < 20").selectExpr("concat('urn:grid:site:', lpad(CAST(n_nationkey AS STRING), 2, '0')) AS `group`")
     return site.select("group", F.explode(F.array(*[F.lit(n) for n in names])).alias("input")).withColumn("mrid", F.concat("group", F.lit(":"), "input"))
@@ -137,7 +143,7 @@ def o78_processor_spec(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    o24_latest_values, o25_pair_product, o26_membership_join, o29_reconcile_desired, o52_transitions, o52_exact_time, o53_current, o54_replay, o55_capture, o55_exact_time,
+    o24_latest_values, o24_suppressed, o25_pair_product, o26_membership_join, o29_reconcile_desired, o52_transitions, o52_exact_time, o53_current, o54_replay, o55_capture, o55_exact_time,
     o56_first_notifications, o62_membership_changes, o63_union_events, o64_alarm_key, o65_uuid5, o66_canonical_uuid, o67_format_evidence, o69_formula, o78_processor_spec,
 )}
 
@@ -179,6 +185,15 @@ ORACLES = {
     "o24_latest_values": _latest(["click", "view", "error"], _VALID)
     + """, f AS (SELECT *, greatest(t_click, t_view, t_error) AS newest FROM l WHERE t_click IS NOT NULL AND t_view IS NOT NULL AND t_error IS NOT NULL)
 SELECT grp AS "group", arrival_seq, newest, round(click + view - error, 6) AS value FROM f WHERE newest - least(t_click, t_view, t_error) <= INTERVAL 30 SECONDS""",
+    "o24_suppressed": f"""{M}, i AS (SELECT *, substr(mrid, 1, 16) AS grp, split_part(mrid, ':', 5) AS input, CASE WHEN quality_valid IS NOT TRUE THEN 'invalid_quality:' || input
+  WHEN value_type <> 'double' OR double_value IS NULL THEN 'scalar_mismatch:' || input WHEN NOT isfinite(double_value) THEN 'non_finite_input:' || input
+  WHEN kafka_key <> mrid THEN 'key_mismatch:' || input END AS bad FROM m WHERE split_part(mrid, ':', 5) IN ('click', 'view', 'error')),
+l AS (SELECT *, {', '.join(_LAST.format(n, "CASE WHEN bad IS NULL THEN double_value END", n) + ", " + _LAST.format(n, "CASE WHEN bad IS NULL THEN received_at END", f"t_{n}") for n in ("click", "view", "error"))}
+  FROM i WINDOW w AS (PARTITION BY grp ORDER BY arrival_seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+s AS (SELECT *, greatest(t_click, t_view, t_error) - INTERVAL 30 SECONDS AS oldest FROM l),
+r AS (SELECT *, CASE WHEN bad IS NOT NULL THEN bad WHEN t_click IS NULL OR t_view IS NULL OR t_error IS NULL THEN 'incomplete_group:' || grp
+  WHEN least(t_click, t_view, t_error) < oldest THEN 'stale_input:' || concat_ws(',', CASE WHEN t_click < oldest THEN 'click' END, CASE WHEN t_error < oldest THEN 'error' END, CASE WHEN t_view < oldest THEN 'view' END) END AS reason FROM s)
+SELECT grp AS "group", arrival_seq, input, reason, CASE WHEN reason IS NULL THEN round(click + view - error, 6) END AS value FROM r""",
     "o25_pair_product": _latest(["view", "click"], _VALID) + """ SELECT grp AS "group", arrival_seq, round(view * click, 6) AS value FROM l WHERE view IS NOT NULL AND click IS NOT NULL""",
     "o26_membership_join": f"""{M}, {LOG}, iv AS (SELECT *, lead(arrival_seq) OVER (PARTITION BY source ORDER BY arrival_seq) AS valid_to FROM log)
 SELECT m.arrival_seq, mrid, value AS member_value, iv.arrival_seq AS member_from FROM m JOIN iv ON iv.source = 'site:' || substr(mrid, 15, 2) AND m.arrival_seq >= iv.arrival_seq AND (valid_to IS NULL OR m.arrival_seq < valid_to) WHERE value IS NOT NULL""",

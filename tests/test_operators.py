@@ -382,3 +382,27 @@ def test_the_contract_s_own_identities_have_no_fault(spark):
     df = spark.createDataFrame([row], jobs.EVIDENCE)
     assert list(sessions.validate_blobmeta(df, "elsewhere").first().reasons) == []
     assert list(sessions.validate_blobmeta(df).first().reasons) == ["bad_object"]
+
+
+def test_reasons_of_suppressed_latest_values(spark):
+    from gridstream.operators.alarms import latest_values_audit, latest_values_join
+
+    at = lambda s: None if s is None else dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    nan, inf = float("nan"), float("inf")
+    told = [  # input, key, type, value, valid, second, reason
+        ("a", "a", "double", 1.0, True, 0, "incomplete_group:g"), ("b", "b", "double", 2.0, None, 1, "invalid_quality:b"), ("b", "b", "int", None, True, 1, "scalar_mismatch:b"),
+        ("b", "b", "double", nan, True, 1, "non_finite_input:b"), ("b", "x", "double", 2.0, True, 1, "key_mismatch:b"), ("b", None, "double", 2.0, True, 1, "key_mismatch:b"),
+        ("b", "b", "double", 2.0, True, None, "incomplete_group:g"), ("b", "b", "double", 2.0, True, 2, None), ("a", "a", "double", 0.0, True, 3, "result_not_numeric"),
+        ("a", "a", "double", 1e308, True, 4, "non_finite_result"), ("a", "a", "double", 1e300, True, 8, "stale_input:b"), ("a", "a", "double", 3.0, True, 9, "stale_input:b"),
+        ("b", "b", None, 1.0, True, 9, "scalar_mismatch:b"), ("b", "b", "double", 4.0, True, 20, "stale_input:a"), ("a", "a", "double", inf, False, 20, "invalid_quality:a"), ("a", "a", "double", 8.0, True, 21, None),
+    ]
+    rows = [(i, k, t, v, q, at(s), n) for n, (i, k, t, v, q, s, _) in enumerate(told)]
+    df = spark.createDataFrame([*rows, ("z", "z", "double", 1.0, True, at(0), 99)], "mrid string, kafka_key string, value_type string, double_value double, quality_valid boolean, received_at timestamp, arrival_seq long")
+    inputs = spark.createDataFrame([("a", "g", "a"), ("b", "g", "b")], "mrid string, group string, input string")
+    calculation = F.when(F.col("a") != 0, F.col("a") * F.when(F.col("a") == 1e308, 100.0).otherwise(F.col("b")))
+    out = latest_values_audit(df, inputs, calculation, ["a", "b"], 5.0).orderBy("arrival_seq").collect()
+    assert [r.reason for r in out] == [r[-1] for r in told]
+    assert [(r.arrival_seq, r.value) for r in out if r.value is not None] == [(7, 2.0), (15, 32.0)]
+    good = df.where("quality_valid AND value_type = 'double' AND NOT isnan(double_value) AND kafka_key = mrid AND received_at IS NOT NULL")
+    assert sorted(r.arrival_seq for r in latest_values_join(good, inputs, calculation, ["a", "b"], 5.0).collect()) == [7, 15]
+    assert latest_values_audit(df.limit(0), inputs, calculation, ["a", "b"], None).count() == 0
