@@ -22,15 +22,19 @@ def with_running(df: DataFrame, keys: list[str], order: str, width: int | None =
     cut = df.withColumn("_bucket", F.floor(F.col(order) / (width or WIDTH)))
     places = [order, *(then or [])]
     inside, over = Window.partitionBy(*keys, "_bucket").orderBy(*places), Window.partitionBy(*keys).orderBy("_bucket")
-    past, coming = over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(1, Window.unboundedFollowing)
+    past = over.rowsBetween(Window.unboundedPreceding, -1)
+    # what follows is what comes before in the opposite order: Spark works off a frame that
+    # ends at the last row anew for each row, and one that begins at the first row once
+    backwards = Window.partitionBy(*keys, "_bucket").orderBy(*[F.desc(c) for c in places]).rowsBetween(Window.unboundedPreceding, -1)
+    coming = Window.partitionBy(*keys).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     until = {"last": 0, "last_before": -1, "max_before": -1}
     sums, carries, here, both = [], [], {}, {}
     for name, (kind, value) in wanted.items():
         place = F.when(value.isNotNull(), F.struct(*places))
         if kind == "first_after":
             sums.append(F.min_by(value, place).alias(f"_{name}"))
-            carries.append(F.first(f"_{name}", ignorenulls=True).over(coming).alias(f"_past_{name}"))
-            here[name] = F.first(value, ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing))
+            carries.append(F.last(f"_{name}", ignorenulls=True).over(coming).alias(f"_past_{name}"))
+            here[name] = F.last(value, ignorenulls=True).over(backwards)
             both[name] = F.coalesce(name, f"_past_{name}")
             continue
         rows = inside.rowsBetween(Window.unboundedPreceding, until[kind])
