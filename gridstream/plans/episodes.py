@@ -138,7 +138,7 @@ def o69_formula(spark: SparkSession, d: str) -> DataFrame:
 
 def o78_processor_spec(spark: SparkSession, d: str) -> DataFrame:
     names = ["purchase", "signup"]
-    spec = ProcessorSpec.latest_values({f"urn:grid:site:{k:02d}": {n: f"urn:grid:site:{k:02d}:{n}" for n in names} for k in range(20)}, ":ratio", F.col("purchase") / F.col("signup"), max_age_s=20.0)
+    spec = ProcessorSpec.latest_values({f"urn:grid:site:{k:02d}": {n: f"urn:grid:site:{k:02d}:{n}" for n in names} for k in range(20)}, ":ratio", F.try_divide("purchase", "signup"), max_age_s=20.0)
     return spec.apply(measurements(spark, d), ts="received_at").select("mrid", "arrival_seq", F.round("double_value", 6).alias("double_value"))
 
 

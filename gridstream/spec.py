@@ -20,7 +20,8 @@ class ProcessorSpec:
     least two inputs, each in one group, every group with one output and a
     positive age). The calculation is a Column over the input names (a formula's
     is over ``double_value``) or a plain function, which becomes a pandas UDF;
-    errors and results that are not finite are suppressed."""
+    errors of the function, nulls and results that are not finite are suppressed. A Column must
+    not raise: where a divisor may be zero it is written with ``try_divide``."""
 
     kind: str
     groups: dict[str, dict[str, str]]
