@@ -103,7 +103,8 @@ def reasons(**checks: Column) -> Column:
 def selection_filename(mrids: Column, start_ms: Column, limit: int = 240) -> Column:
     """File name of a CSV selection: start second and sanitised mrids; too long a
     list is cut and marked with its size and a digest."""
-    second = F.date_format(F.timestamp_seconds(F.floor(start_ms / 1000)), "yyyy-MM-dd'T'HH-mm-ss'Z'")
+    # years of five digits are written with a plus sign, which is no part of a name
+    second = F.ltrim(F.date_format(F.timestamp_seconds(F.floor(start_ms / 1000)), "yyyy-MM-dd'T'HH-mm-ss'Z'"), F.lit("+"))
     prefix = F.concat(F.lit("measurement-session-"), second, F.lit("-"))
     def clean(m: Column) -> Column:
         kept = F.regexp_replace(F.regexp_replace(m, r"[^A-Za-z0-9\-_.]+", "-"), r"^[\-.]+|[\-.]+$", "")
