@@ -88,8 +88,8 @@ def request_digest() -> Column:
 
 
 def session_list(blobs: DataFrame, n: int = 100) -> DataFrame:
-    """The n sessions finished last, with what a pick list shows."""
-    return blobs.where("status <> 'REJECTED'").orderBy(F.desc("finalized_at"), "blob_id").limit(n).select("blob_id", "session_id", "status", "measurement_count", "finalized_at")
+    """The n sessions finished last, with what a pick list shows; blobs of one id and time by their session."""
+    return blobs.where("status <> 'REJECTED'").orderBy(F.desc("finalized_at"), "blob_id", "session_id").limit(n).select("blob_id", "session_id", "status", "measurement_count", "finalized_at")
 
 
 def session_details(blobs: DataFrame) -> DataFrame:
