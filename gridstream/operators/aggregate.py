@@ -130,10 +130,10 @@ def usage_ratio(df: DataFrame, by: list[str], part: str, whole: str) -> DataFram
     return sums.withColumn("used_pct", F.when(F.col("whole") != 0, 100 * (1 - F.col("part") / F.col("whole"))))
 
 
-def session_order(df: DataFrame) -> DataFrame:
-    """The artifact's total order inside partitions: time, mrid, type, value text, times, flags."""
+def session_order(df: DataFrame, *before: str) -> DataFrame:
+    """The artifact's total order inside partitions: time, mrid, type, value text, times, flags; ``before`` those the columns named."""
     value = F.coalesce(F.col("double_value").cast("string"), F.col("int_value").cast("string"), F.col("uint_value").cast("string"), F.col("bool_value").cast("string"), F.col("string_value"), F.col("timestamp_value").cast("string"))
-    return df.sortWithinPartitions("timestamp_mccs", "mrid", "value_type", value, "timestamp_field", "timestamp_gateway", *QUALITY)
+    return df.sortWithinPartitions(*before, "timestamp_mccs", "mrid", "value_type", value, "timestamp_field", "timestamp_gateway", *QUALITY)
 
 
 def latest_records(df: DataFrame, mrids: list[str] | None = None, n: int = 32) -> DataFrame:

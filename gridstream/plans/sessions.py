@@ -154,14 +154,15 @@ def o35_audit_derived(spark: SparkSession, d: str) -> DataFrame:
 
 def o36_verify_artifacts(spark: SparkSession, d: str) -> DataFrame:
     path = storage.scratch(spark, "verify")
-    storage.write_session_artifacts(_session_rows(spark, d), path)
-    files = storage.file_facts(spark, path)
-    uri = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    rows = spark.read.parquet(path).withColumn("path", uri(F.col("_metadata.file_path")))
-    files = files.withColumn("path", uri(F.col("path")))
-    cover = A.session_coverage(_session_rows(spark, d), _accepted(spark, d)).groupBy("session_id").agg(F.collect_list(F.struct("mrid", (F.col("n") + F.when(F.col("mrid").endswith("03:click"), 1).otherwise(0)).alias("n"))).alias("coverage"))
+    found = storage.frozen(_session_rows(spark, d), "session-rows")
+    written = storage.write_session_artifacts(found, path)
+    files = storage.file_facts(spark, written)
+    rows = storage.read_artifact_rows(written, ["blob_id", "session_id", "mrid"])
+    cover = A.session_coverage(found, _accepted(spark, d)).groupBy("session_id").agg(F.collect_list(F.struct("mrid", (F.col("n") + F.when(F.col("mrid").endswith("03:click"), 1).otherwise(0)).alias("n"))).alias("coverage"))
     named = F.when(F.col("session_id").startswith("0"), F.lit("another")).otherwise(F.col("session_id"))
-    evidence = files.withColumn("session_id", F.regexp_extract("path", "_session=([^/]+)/", 1)).join(cover, "session_id").withColumn("blob_id", S.blob_id()).withColumn("session_id", named)
+    # what was noted at writing; the files are read again to be checked
+    noted = storage.frozen(files, "artifact-facts").join(written.select("path", "session_id"), "path")
+    evidence = noted.join(cover, "session_id").withColumn("blob_id", S.blob_id()).withColumn("session_id", named)
     return S.verify_artifacts(files, evidence, rows).select("blob_id", K.joined_reasons())
 
 

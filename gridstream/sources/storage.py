@@ -8,9 +8,12 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import groupby
 from typing import Any
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -62,15 +65,6 @@ def session_rows(df: DataFrame) -> DataFrame:
     return df.select(*[column(k, *field) for k, field in enumerate(SESSION_VALUES, 1)])
 
 
-def write_session_artifacts(df: DataFrame, path: str, again: bool = False) -> None:
-    """One zstd file for each session, rows in the session order. Sessions are
-    bounded, so the work is spread over sessions. With ``again`` the folders of
-    the sessions at hand are replaced and others are left alone."""
-    rows = session_order(session_rows(df).withColumn("_session", F.col("session_id")).repartition("_session"))
-    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") if again else rows.write.mode("errorifexists")
-    writer.partitionBy("_session").option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(path)
-
-
 _arrow = {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "boolean": pa.bool_(), "timestamp": pa.timestamp("us", "UTC")}
 _rows_key = b"org.apache.spark.sql.parquet.row.metadata"
 
@@ -82,25 +76,156 @@ def _opened(uri: str) -> tuple:
     return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", unquote(uri) if uri.startswith("file:") else uri))
 
 
-def write_empty_artifacts(found: DataFrame, path: str) -> None:
-    """An artifact without rows for each session_id of ``found``, whose signals had none."""
-    from gridstream import cluster
+PIECE = 65_536  # rows of a session that a writer holds
 
-    cluster.ship(found.sparkSession)
+
+def _artifact_schema(note: str) -> pa.Schema:
+    """The artifact's columns for Arrow, with Spark's description of them."""
     fields = [pa.field(n, _arrow[k], optional, {"PARQUET:field_id": str(i)}) for i, (n, k, optional) in enumerate(SESSION_VALUES, 1)]
+    return pa.schema(fields, {_rows_key: note})
+
+
+def _artifact(base: str, session: str | None, name: str) -> str:
+    """URI of a session's file; the folder is named as Spark names one of a partition. Session ids are UUIDs;
+    other characters are escaped once more each time that ``_opened`` takes an escape off."""
+    folder = quote(quote(session, safe="")) if session else "__HIVE_DEFAULT_PARTITION__"
+    return f"{base}/_session={quote(folder) if base.startswith('file:') else folder}/{name}.zstd.parquet"
+
+
+@contextmanager
+def _new_file(uri: str, again: bool = False) -> Iterator[Any]:
+    """A file that gets its name when it is whole, so that a task that is run twice does no harm."""
+    store, at = _opened(uri)
+    folder, name = at.rsplit("/", 1)
+    store.create_dir(folder, recursive=True)
+    own = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    with store.open_output_stream(own) as out:
+        yield out
+    store.move(own, at)
+    if again:
+        from pyarrow import fs
+
+        for old in store.get_file_info(fs.FileSelector(folder)):
+            if old.path != at and old.base_name.endswith(".parquet"):
+                store.delete_file(old.path)
+
+
+def write_session_artifacts(df: DataFrame, path: str, again: bool = False) -> DataFrame:
+    """One zstd file for each session, rows in the session order; gives the list of them (session_id,
+    path, n). Sessions are bounded, so the work is spread over sessions. With ``again`` the folders of
+    the sessions at hand are replaced and others are left alone.
+
+    Tasks write the files to where they stay and pass on their names: a commit by the driver would
+    move each file, and a reader without the list would have each folder listed.
+    """
+    from gridstream import cluster
+
+    spark = df.sparkSession
+    cluster.ship(spark)
+    store, folder = _folder(spark, path)
+    if store.exists(folder) and not again:
+        raise ValueError(f"{path} exists already")
+    store.mkdirs(folder)
+    base = store.makeQualified(folder).toString()
+    plain = session_rows(df.withColumn("session_id", F.coalesce("session_id", F.lit(""))))
+    schema, names = _artifact_schema(plain.schema.json()), [n for n, *_ in SESSION_VALUES]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = session_order(plain.repartition(tasks, "session_id"), "session_id")
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
+        for batch in batches:
+            sessions = batch.column("session_id")
+            ids = sessions.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+            typed = pa.RecordBatch.from_arrays([batch.column(n).cast(schema.field(n).type) for n in names], schema=schema)
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if end > start:
+                    yield sessions[start].as_py(), typed.slice(start, end - start)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        for session, own in groupby(pieces(batches), key=lambda p: p[0]):
+            uri, n, held = _artifact(base, session, "part"), 0, []
+            with _new_file(uri, again) as out, pq.ParquetWriter(out, schema, compression="zstd") as writer:
+                for _, piece in own:
+                    held.append(piece)
+                    n += len(piece)
+                    if sum(map(len, held)) >= PIECE:
+                        writer.write_table(pa.Table.from_batches(held))
+                        held = []
+                if held:
+                    writer.write_table(pa.Table.from_batches(held))
+            done.append((session, uri, n))
+            if len(done) == 1000:
+                yield _listed(done)
+                done = []
+        if done:
+            yield _listed(done)
+
+    return frozen(rows.mapInArrow(write, LISTED), "artifact-list")
+
+
+LISTED = "session_id string, path string, n long"
+
+
+def _listed(files: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*files, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["session_id", "path", "n"])
+
+
+def write_empty_artifacts(found: DataFrame, path: str) -> DataFrame:
+    """An artifact without rows for each session_id of ``found``, whose signals had none; gives the list of them."""
+    from gridstream import cluster
+
+    spark = found.sparkSession
+    cluster.ship(spark)
+    store, folder = _folder(spark, path)
+    base = store.makeQualified(folder).toString()
     note = {"fields": [{"name": n, "metadata": {"schema_version": ARTIFACT_VERSION}} for n, *_ in SESSION_VALUES]}
-    schema = pa.schema(fields, {_rows_key: json.dumps(note)})
+    schema = _artifact_schema(json.dumps(note))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            done = []
             for session in batch.column(0).to_pylist():
-                store, at = _opened(f"{path}/_session={session}")
-                store.create_dir(at, recursive=True)
-                with store.open_output_stream(f"{at}/part-empty.zstd.parquet") as out:
+                uri = _artifact(base, session, "part-empty")
+                with _new_file(uri) as out:
                     pq.write_table(schema.empty_table(), out, compression="zstd")
-            yield batch
+                done.append((session, uri, 0))
+            if done:
+                yield _listed(done)
+
+    return frozen(found.select("session_id").mapInArrow(write, LISTED), "empty-artifact-list")
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """A list of files dealt out evenly: the rows are small, the work behind them is not."""
+    return files.repartition(4 * files.sparkSession.sparkContext.defaultParallelism)
+
+
+def read_artifact_rows(files: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows of the artifacts listed in ``path``, with that path. Tasks open the
+    files by their names; no folder is listed and no list passes through the driver."""
+    from gridstream import cluster
+
+    cluster.ship(files.sparkSession)
+    kinds = {n: k for n, k, _ in SESSION_VALUES}
+    schema = pa.schema([("path", pa.string()), *[(c, _arrow[kinds[c]]) for c in columns]])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                store, at = _opened(uri)
+                with store.open_input_file(at) as f:
+                    for piece in pq.ParquetFile(f).iter_batches(PIECE, columns=columns):
+                        held.append(pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(uri), len(piece)), *[piece.column(c) for c in columns]], schema=schema))
+                        if sum(map(len, held)) >= 10_000:
+                            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                            held = []
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    found.select("session_id").mapInArrow(write, "session_id string").write.format("noop").mode("overwrite").save()
+    return _dealt(files.select("path")).mapInArrow(read, "path string, " + ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
 def _format_faults(store: Any, at: str) -> list[str]:
@@ -123,9 +248,9 @@ def _format_faults(store: Any, at: str) -> list[str]:
     return found
 
 
-def file_facts(spark: SparkSession, path: str) -> DataFrame:
-    """path, sha256, byte_length and ``format`` (faults, none is "") of every artifact
-    under a folder, each read in pieces by one task."""
+def file_facts(spark: SparkSession, found: str | DataFrame) -> DataFrame:
+    """path, sha256, byte_length and ``format`` (faults, none is "") of every artifact under a
+    folder, or of those whose ``path`` a table lists, each read in pieces by one task."""
     from gridstream import cluster
 
     cluster.ship(spark)
@@ -143,7 +268,10 @@ def file_facts(spark: SparkSession, path: str) -> DataFrame:
             rows.append((digest.hexdigest(), size, ",".join(_format_faults(store, at))))
         return pd.DataFrame(rows, columns=["sha256", "byte_length", "format"])
 
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    if isinstance(found, str):
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(found)
+    else:
+        listed = _dealt(found.select("path"))
     return listed.select("path", facts("path").alias("_f")).select("path", "_f.*")
 
 
