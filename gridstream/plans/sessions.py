@@ -31,9 +31,9 @@ def o3_live_store(spark: SparkSession, d: str) -> DataFrame:
 
 def o5_session_artifacts(spark: SparkSession, d: str) -> DataFrame:
     path = storage.scratch(spark, "artifacts")
-    storage.write_session_artifacts(_session_rows(spark, d), path)
-    back = spark.read.parquet(path).select("session_id", "mrid", F.col("_metadata.file_path").alias("file"))
-    return back.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file").alias("files"), F.countDistinct("mrid").alias("signals"))
+    back = storage.read_artifact_rows(storage.write_session_artifacts(_session_rows(spark, d), path), ["session_id", "mrid"])
+    per = back.groupBy("session_id", "path", "mrid").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("session_id").agg(F.sum("n").alias("n"), F.countDistinct("path").alias("files"), F.countDistinct("mrid").alias("signals"))
 
 
 def o6_selection_csv(spark: SparkSession, d: str) -> DataFrame:
