@@ -118,11 +118,15 @@ def glob_regex(glob: Column) -> Column:
 
 
 def match_few(df: DataFrame, rules: DataFrame) -> DataFrame:
-    """The same as ``match_mrid_glob`` for tables of few rows for each mrid: every row is compared, segment by segment."""
+    """The same as ``match_mrid_glob`` for tables of few rows for each mrid: every row is compared, segment by segment.
+
+    Rules are configuration and go to every task. Left to itself, Spark joins on the number of segments
+    in one task: it holds a side for unfit to be sent whose rows all have one key.
+    """
     parts = df.withColumn("_s", F.split("mrid", ":")).withColumn("_n", F.size("_s"))
     patterns = rules.withColumn("_g", F.split("glob", ":")).withColumn("_n", F.size("_g"))
     fits = F.zip_with("_g", "_s", lambda g, x: F.when(g == "*", x != "").otherwise(g == x))
-    return parts.join(patterns, "_n").where(F.forall(fits, lambda ok: ok)).drop("_n", "_s", "_g")
+    return parts.join(F.broadcast(patterns), "_n").where(F.forall(fits, lambda ok: ok)).drop("_n", "_s", "_g")
 
 
 def match_mrid_glob(df: DataFrame, rules: DataFrame) -> DataFrame:
@@ -134,7 +138,7 @@ def match_mrid_glob(df: DataFrame, rules: DataFrame) -> DataFrame:
     size = lambda c: F.size(F.split(c, ":"))
     signals = df.select("mrid").where(F.col("mrid").isNotNull()).distinct().withColumn("_n", size("mrid"))
     patterns = rules.withColumn("_n", size("glob")).withColumn("_p", glob_regex(F.col("glob")))
-    matched = signals.join(patterns, "_n").where(F.expr("mrid RLIKE _p")).drop("_n", "_p")
+    matched = signals.join(F.broadcast(patterns), "_n").where(F.expr("mrid RLIKE _p")).drop("_n", "_p")
     return df.join(matched, "mrid")
 
 
