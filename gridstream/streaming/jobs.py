@@ -337,9 +337,9 @@ def extract_sessions(live: DataFrame, output: str, max_rows: int = sessions.MAX_
         cover = aggregate.session_coverage(rows, accepted).groupBy("session_id").agg(coverage.alias("coverage"), F.first("status").alias("_status"), F.first("total").alias("_total"))
 
         path = f"{output}/artifacts/batch={batch}"
-        storage.write_session_artifacts(rows.join(cover.where(F.col("_total") > max_rows), "session_id", "left_anti"), path, again=True)
-        storage.write_empty_artifacts(cover.where("_total = 0"), path)
-        facts = storage.file_facts(spark, path).withColumn("session_id", F.regexp_extract("path", "_session=([^/]+)/", 1))
+        files = storage.write_session_artifacts(rows.join(cover.where(F.col("_total") > max_rows), "session_id", "left_anti"), path, again=True)
+        files = files.unionByName(storage.write_empty_artifacts(cover.where("_total = 0"), path))
+        facts = storage.frozen(storage.file_facts(spark, files).join(files.select("path", "session_id"), "path"), "artifact-facts")
         everything = new.where("verdict <> 'quarantine'").join(cover, "session_id", "left").join(facts, "session_id", "left")
         evidence = _evidence(everything, max_rows, max_bytes, bucket)
         evidence.write.mode("overwrite").parquet(f"{output}/evidence/batch={batch}")
