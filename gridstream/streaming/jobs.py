@@ -126,7 +126,7 @@ def stream_alarm(df: DataFrame, rules: DataFrame, initial: DataFrame | None = No
     patterns = rules.withColumn("_n", size("glob")).withColumn("_p", glob_regex(F.col("glob")))
     fresh = F.col("received_at") - F.col("timestamp_mccs") <= F.expr("INTERVAL '30' SECOND")
     counted = df.where(F.col("_present").isNotNull()).unionByName(_known(df.where(F.col("_present").isNull()), "strict").where(fresh))
-    rows = counted.withColumn("_n", size("mrid")).join(patterns, "_n").where(F.expr("mrid RLIKE _p"))
+    rows = counted.withColumn("_n", size("mrid")).join(F.broadcast(patterns), "_n").where(F.expr("mrid RLIKE _p"))
     seconds, nanos = _exact(rows)
     rows = rows.select(
         "rule", "mrid", "arrival_seq", alarm_key(F.col("rule"), F.col("mrid")).alias("alarm_key"), "topic",
