@@ -7,11 +7,12 @@ restart goes on where it stopped.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -174,11 +175,17 @@ CELL = "second long, pmu string, mean_frequency double, mean_voltage double, goo
 NO_SECOND = -(1 << 40)  # of rows without a field time
 
 
+SUMS = "pmu array<string>, frequency array<double>, good array<bigint>, total array<bigint>, voltage array<double>, voltages array<bigint>, rejections array<bigint>"
+SEEN = "pmu array<string>, topic array<string>, partition array<int>, offset array<bigint>"
+
+
 class Seconds(StatefulProcessor):
     """Sums of one second by unit, and the second's end by a timer.
 
-    The state is typed: a map of sums by unit, and a list of the inputs seen. It is read and
-    written once for each batch that has rows of the second, and gone when the timer has fired.
+    The state is typed: the sums of all units as one value, and a list of the inputs seen with one
+    entry for each batch. So a second costs the same few calls of the store however many units
+    and rows it has: each batch reads and writes the sums once and adds one entry, and the timer
+    reads them once. State is gone when the timer has fired.
     """
 
     def __init__(self, units: list[str], close_delay_ms: int):
@@ -186,45 +193,57 @@ class Seconds(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sums = handle.getMapState("sums", "pmu string", "frequency double, good long, total long, voltage double, voltages long, rejections long")
-        self.seen = handle.getListState("seen", "pmu string, topic string, partition int, offset long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows), ignore_index=True)  # of one second
-        refused = batch[batch["refused"].notna()].groupby("refused").size()
-        if len(refused):
-            yield self._rows([{"second": int(key[0]), "refused": r, "n": int(n)} for r, n in refused.items()])
-        taken = batch[batch["refused"].isna()].sort_values("arrival_seq")
-        if not len(taken):
+        self.sums = handle.getValueState("sums", SUMS)
+        self.seen = handle.getListState("seen", SEEN)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        refused: Counter = Counter()
+        taken = []
+        for row in rows:  # of one second
+            if row["refused"] is None:
+                taken.append(row)
+            else:
+                refused[row["refused"]] += 1
+        for reason, n in refused.items():
+            yield self._row(second=key[0], refused=reason, n=n)
+        if not taken:
             return
-        ids = ["pmu", "topic", "partition", "offset"]
-        known = set(self.seen.get())
-        if not known:
-            self.handle.registerTimer((int(key[0]) + 1) * 1000 + self.delay)
-        fresh = taken[[k not in known for k in taken[ids].itertuples(index=False, name=None)]].drop_duplicates(ids)
-        self.seen.appendList([(str(p), str(t), int(a), int(o)) for p, t, a, o in fresh[ids].itertuples(index=False, name=None)])
-        frequency = fresh["kind"] == "frequency"
-        fresh = fresh.assign(
-            f=fresh["double_value"].where(frequency & fresh["good"], 0.0), g=(frequency & fresh["good"]).astype(int), t=frequency.astype(int),
-            v=fresh["double_value"].where(~frequency & fresh["good"], 0.0), w=(~frequency & fresh["good"]).astype(int),
-        )
-        for pmu, f, g, t, v, w, r in fresh.groupby("pmu")[["f", "g", "t", "v", "w", "rejections"]].sum().itertuples(name=None):
-            was = self.sums.getValue((pmu,)) or (0.0, 0, 0, 0.0, 0, 0)
-            self.sums.updateValue((pmu,), (was[0] + float(f), was[1] + int(g), was[2] + int(t), was[3] + float(v), was[4] + int(w), was[5] + int(r)))
-
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        found = {k[0]: v for k, v in self.sums.iterator()}
-        out = []
-        for pmu in self.units:  # absent ones too
-            f, good, total, v, voltages, rejections = found.get(pmu, (None, 0, 0, None, 0, 0))
-            out.append({"second": int(key[0]), "pmu": pmu, "mean_frequency": f / good if good else None, "mean_voltage": v / voltages if voltages else None, "good": good, "total": total, "rejections": rejections})
+        held = self.sums.get()
+        sums, known = {}, set()
+        if held is None:
+            self.handle.registerTimer((key[0] + 1) * 1000 + self.delay)
+        else:
+            sums = {pmu: list(was) for pmu, *was in zip(*held, strict=True)}
+            known = {k for batch in self.seen.get() for k in zip(*batch, strict=True)}
+        fresh = []
+        for row in sorted(taken, key=lambda r: r["arrival_seq"]):
+            k = (row["pmu"], row["topic"], row["partition"], row["offset"])
+            if k in known:
+                continue
+            known.add(k)
+            fresh.append(k)
+            own = sums.setdefault(row["pmu"], [0.0, 0, 0, 0.0, 0, 0])
+            if row["kind"] == "frequency":
+                own[2] += 1
+            if row["good"]:
+                of = 0 if row["kind"] == "frequency" else 3
+                own[of] += row["double_value"]
+                own[of + 1] += 1
+            own[5] += row["rejections"]
+        if fresh:
+            self.seen.appendValue(tuple(map(list, zip(*fresh, strict=True))))
+            self.sums.update(tuple(map(list, zip(*((pmu, *own) for pmu, own in sums.items()), strict=True))))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
+        found = {pmu: own for pmu, *own in zip(*(self.sums.get() or ()), strict=True)}
         self.sums.clear()
         self.seen.clear()
-        yield self._rows(out)
+        for pmu in self.units:  # absent ones too
+            f, good, total, v, voltages, rejections = found.get(pmu, (None, 0, 0, None, 0, 0))
+            yield self._row(second=key[0], pmu=pmu, mean_frequency=f / good if good else None, mean_voltage=v / voltages if voltages else None, good=good, total=total, rejections=rejections)
 
-    def _rows(self, rows: list[dict]) -> pd.DataFrame:
-        names = [c.split(" ")[0] for c in CELL.split(", ")]
-        return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in names})
+    def _row(self, **values: Any) -> Row:
+        return Row(**{name: values.get(name) for name in (c.split(" ")[0] for c in CELL.split(", "))})
 
     def close(self) -> None:
         pass
@@ -248,7 +267,7 @@ def stream_lfr(df: DataFrame, units: DataFrame, s: lfr.Settings, live: bool = Fa
         F.coalesce("second", F.lit(NO_SECOND)).alias("second"), "_clock", "arrival_seq", "pmu", "topic", "partition", "offset", "kind",
         "double_value", "good", "refused", F.size("reasons").alias("rejections"),
     )
-    return rows.groupBy("second").transformWithStateInPandas(Seconds(names, s.close_delay_ms), CELL, "append", "processingTime" if live else "eventTime")
+    return rows.groupBy("second").transformWithState(Seconds(names, s.close_delay_ms), CELL, "append", "processingTime" if live else "eventTime")
 
 
 def with_last_tick(df: DataFrame, s: lfr.Settings) -> DataFrame:
