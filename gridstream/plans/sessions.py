@@ -15,11 +15,14 @@ from gridstream.sources.fixtures import measurements, membership_log, read, sess
 
 
 def _accepted(spark: SparkSession, d: str) -> DataFrame:
-    return S.validate_requests(session_requests(spark, d)).where("verdict = 'accepted'")
+    """Valid requests. All are stored with their verdict: every step of a join with them reads them, and would make and
+    check each anew; and a filter would have them checked where they are read, before they are dealt."""
+    checked = S.validate_requests(session_requests(spark, d, 4 * spark.sparkContext.defaultParallelism))
+    return storage.frozen(checked, "checked-requests").where("verdict = 'accepted'")
 
 
-def _session_rows(spark: SparkSession, d: str) -> DataFrame:
-    return S.session_join(measurements(spark, d), _accepted(spark, d)).withColumn("blob_id", S.blob_id())
+def _session_rows(spark: SparkSession, d: str, requests: DataFrame | None = None) -> DataFrame:
+    return S.session_join(measurements(spark, d), requests or _accepted(spark, d)).withColumn("blob_id", S.blob_id())
 
 
 def o3_live_store(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +87,7 @@ def o27_session_join(spark: SparkSession, d: str) -> DataFrame:
 
 def o28_coverage_audit(spark: SparkSession, d: str) -> DataFrame:
     requests = _accepted(spark, d).select(S.blob_id().alias("blob_id"), "session_id", "started_at", "ended_at", "mrids")
-    cover = A.session_coverage(_session_rows(spark, d), requests).select(S.blob_id().alias("blob_id"), "mrid", (F.col("n") + F.when(F.col("mrid").endswith("view"), 1).otherwise(0)).alias("expected"))
+    cover = A.session_coverage(_session_rows(spark, d, requests), requests).select(S.blob_id().alias("blob_id"), "mrid", (F.col("n") + F.when(F.col("mrid").endswith("view"), 1).otherwise(0)).alias("expected"))
     return S.coverage_audit(requests, cover, measurements(spark, d))
 
 
@@ -154,11 +157,12 @@ def o35_audit_derived(spark: SparkSession, d: str) -> DataFrame:
 
 def o36_verify_artifacts(spark: SparkSession, d: str) -> DataFrame:
     path = storage.scratch(spark, "verify")
-    found = storage.frozen(_session_rows(spark, d), "session-rows")
+    requests = _accepted(spark, d)
+    found = storage.frozen(_session_rows(spark, d, requests), "session-rows")
     written = storage.write_session_artifacts(found, path)
     files = storage.file_facts(spark, written)
     rows = storage.read_artifact_rows(written, ["blob_id", "session_id", "mrid"])
-    cover = A.session_coverage(found, _accepted(spark, d)).groupBy("session_id").agg(F.collect_list(F.struct("mrid", (F.col("n") + F.when(F.col("mrid").endswith("03:click"), 1).otherwise(0)).alias("n"))).alias("coverage"))
+    cover = A.session_coverage(found, requests).groupBy("session_id").agg(F.collect_list(F.struct("mrid", (F.col("n") + F.when(F.col("mrid").endswith("03:click"), 1).otherwise(0)).alias("n"))).alias("coverage"))
     named = F.when(F.col("session_id").startswith("0"), F.lit("another")).otherwise(F.col("session_id"))
     # what was noted at writing; the files are read again to be checked
     noted = storage.frozen(files, "artifact-facts").join(written.select("path", "session_id"), "path")
@@ -184,7 +188,8 @@ def o38_register_artifacts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def o43_session_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return A.session_coverage(_session_rows(spark, d), _accepted(spark, d))
+    requests = _accepted(spark, d)
+    return A.session_coverage(_session_rows(spark, d, requests), requests)
 
 
 def o57_session_order(spark: SparkSession, d: str) -> DataFrame:

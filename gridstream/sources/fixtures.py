@@ -65,12 +65,14 @@ def membership_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def session_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def session_requests(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
     """A request for each customer, spread over the whole time of the measurements;
-    some partial, some to reject, some to quarantine."""
+    some partial, some to reject, some to quarantine. They are dealt to ``tasks`` tasks, if given:
+    a file of a few MB is read by one or two, and has a million requests to make."""
     site = "concat('urn:grid:site:', lpad(CAST(c_custkey % 20 AS STRING), 2, '0'), ':')"
     entry = lambda k, v: f"named_struct('key', '{k}', 'value', '{v}')"
-    return read(spark, sf_dir, "customer").selectExpr(
+    customers = read(spark, sf_dir, "customer").select("c_custkey")
+    return (customers.repartition(tasks, "c_custkey") if tasks else customers).selectExpr(
         "c_custkey AS k",
         f"{_at('c_custkey * 833')} AS started_at",
         f"{_at('c_custkey * 833 + 60000 * CASE c_custkey % 97 WHEN 7 THEN 1500 WHEN 9 THEN 0 ELSE 1 + c_custkey % 4 END')} AS ended_at",
