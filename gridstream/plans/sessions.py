@@ -119,10 +119,16 @@ def o33_validate_catalog(spark: SparkSession, d: str) -> DataFrame:
     return K.validate_catalog(_catalog(spark, d)).select("p_partkey", K.joined_reasons())
 
 
+LINES_A_TASK = 500_000
+
+
 def _blobs(spark: SparkSession, d: str) -> DataFrame:
-    lines = read(spark, d, "lineitem").selectExpr("l_orderkey", "concat('urn:part:', lpad(CAST(l_partkey AS STRING), 7, '0')) AS mrid", "CASE WHEN l_tax < 0.005 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS n")
+    table = read(spark, d, "lineitem")
+    # dealt once, by order and by the number of lines: left to Spark, tasks are as few as the packed bytes of the lines allow
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // LINES_A_TASK))
+    lines = table.select("l_orderkey", "l_partkey", "l_tax", "l_quantity").repartition(tasks, "l_orderkey").selectExpr("l_orderkey", "concat('urn:part:', lpad(CAST(l_partkey AS STRING), 7, '0')) AS mrid", "CASE WHEN l_tax < 0.005 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS n")
     per = lines.groupBy("l_orderkey", "mrid").agg(F.sum("n").alias("n")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("mrid", "n"))).alias("cov"))
-    o = read(spark, d, "orders").join(per, F.col("o_orderkey") == F.col("l_orderkey"))
+    o = read(spark, d, "orders").repartition(tasks, "o_orderkey").join(per, F.col("o_orderkey") == F.col("l_orderkey"))
     k = F.col("o_orderkey")
     gone = k % 3 == 2
     sid = C.uuid5(C.EPISODE_NAMESPACE, k.cast("string"))
