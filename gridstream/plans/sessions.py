@@ -34,7 +34,7 @@ def o3_live_store(spark: SparkSession, d: str) -> DataFrame:
 
 def o5_session_artifacts(spark: SparkSession, d: str) -> DataFrame:
     path = storage.scratch(spark, "artifacts")
-    back = storage.read_artifact_rows(storage.write_session_artifacts(_session_rows(spark, d), path), ["session_id", "mrid"])
+    back = storage.read_artifact_rows(storage.write_session_artifacts(_session_rows(spark, d), path, flat=True), ["session_id", "mrid"])
     per = back.groupBy("session_id", "path", "mrid").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("session_id").agg(F.sum("n").alias("n"), F.countDistinct("path").alias("files"), F.countDistinct("mrid").alias("signals"))
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
-from itertools import groupby
+from itertools import chain, groupby
 from typing import Any
 from urllib.parse import quote, unquote
 
@@ -66,7 +66,7 @@ def session_rows(df: DataFrame) -> DataFrame:
 
 
 _arrow = {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "boolean": pa.bool_(), "timestamp": pa.timestamp("us", "UTC")}
-_rows_key = b"org.apache.spark.sql.parquet.row.metadata"
+_version_key = b"wama.parquet.schema_version"  # fixed value: where a file has the version of its format
 
 
 def _opened(uri: str) -> tuple:
@@ -79,17 +79,30 @@ def _opened(uri: str) -> tuple:
 PIECE = 65_536  # rows of a session that a writer holds
 
 
-def _artifact_schema(note: str) -> pa.Schema:
-    """The artifact's columns for Arrow, with Spark's description of them."""
-    fields = [pa.field(n, _arrow[k], optional, {"PARQUET:field_id": str(i)}) for i, (n, k, optional) in enumerate(SESSION_VALUES, 1)]
-    return pa.schema(fields, {_rows_key: note})
+def _artifact_schema() -> pa.Schema:
+    """The artifact's columns for Arrow."""
+    return pa.schema([pa.field(n, _arrow[k], optional, {"PARQUET:field_id": str(i)}) for i, (n, k, optional) in enumerate(SESSION_VALUES, 1)])
 
 
-def _artifact(base: str, session: str | None, name: str) -> str:
-    """URI of a session's file; the folder is named as Spark names one of a partition. Session ids are UUIDs;
-    other characters are escaped once more each time that ``_opened`` takes an escape off."""
+@contextmanager
+def _artifact_writer(out: Any, schema: pa.Schema, small: bool) -> Iterator[pq.ParquetWriter]:
+    """Most sessions have a few rows, and what a file says about its columns is the larger part of it. So the schema
+    is written once, as Parquet's own (ids and required columns are part of it), with the format's version; statistics
+    are those of time and mrid; and a session of one piece has no dictionaries."""
+    options = {"store_schema": False, "write_statistics": ["timestamp_mccs", "mrid"], "use_dictionary": not small}
+    with pq.ParquetWriter(out, schema, compression="zstd", **options) as writer:
+        writer.add_key_value_metadata({_version_key: str(ARTIFACT_VERSION)})
+        yield writer
+
+
+def _artifact(base: str, session: str | None, name: str, flat: bool = False) -> str:
+    """URI of a session's file, in a folder named as Spark names one of a partition, or, if ``flat``, beside others in
+    one of 256. Session ids are UUIDs; other characters are escaped once more each time that ``_opened`` takes an escape off."""
     folder = quote(quote(session, safe="")) if session else "__HIVE_DEFAULT_PARTITION__"
-    return f"{base}/_session={quote(folder) if base.startswith('file:') else folder}/{name}.zstd.parquet"
+    own = quote(folder) if base.startswith("file:") else folder
+    if flat:
+        return f"{base}/_part={zlib.crc32((session or '').encode()) % 256:02x}/{name}-{own}.zstd.parquet"
+    return f"{base}/_session={own}/{name}.zstd.parquet"
 
 
 @contextmanager
@@ -110,13 +123,15 @@ def _new_file(uri: str, again: bool = False) -> Iterator[Any]:
                 store.delete_file(old.path)
 
 
-def write_session_artifacts(df: DataFrame, path: str, again: bool = False) -> DataFrame:
+def write_session_artifacts(df: DataFrame, path: str, again: bool = False, flat: bool = False) -> DataFrame:
     """One zstd file for each session, rows in the session order; gives the list of them (session_id,
-    path, n). Sessions are bounded, so the work is spread over sessions. With ``again`` the folders of
-    the sessions at hand are replaced and others are left alone.
+    path, n). Sessions are bounded, so the work is spread over sessions. With ``again`` the folders (if
+    ``flat``, the files) of the sessions at hand are replaced and others are left alone.
 
     Tasks write the files to where they stay and pass on their names: a commit by the driver would
-    move each file, and a reader without the list would have each folder listed.
+    move each file, and a reader without the list would have each folder listed. A folder for each
+    session can be read as a column ``_session``, but takes a block and an inode of a disk like the file in it;
+    ``flat`` puts the files into 256 folders.
     """
     from gridstream import cluster
 
@@ -128,7 +143,7 @@ def write_session_artifacts(df: DataFrame, path: str, again: bool = False) -> Da
     store.mkdirs(folder)
     base = store.makeQualified(folder).toString()
     plain = session_rows(df.withColumn("session_id", F.coalesce("session_id", F.lit(""))))
-    schema, names = _artifact_schema(plain.schema.json()), [n for n, *_ in SESSION_VALUES]
+    schema, names = _artifact_schema(), [n for n, *_ in SESSION_VALUES]
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = session_order(plain.repartition(tasks, "session_id"), "session_id")
 
@@ -142,19 +157,25 @@ def write_session_artifacts(df: DataFrame, path: str, again: bool = False) -> Da
                 if end > start:
                     yield sessions[start].as_py(), typed.slice(start, end - start)
 
+    def row_groups(own: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        for piece in own:
+            held.append(piece)
+            if sum(map(len, held)) >= PIECE:
+                yield pa.Table.from_batches(held)
+                held = []
+        if held:
+            yield pa.Table.from_batches(held)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
         for session, own in groupby(pieces(batches), key=lambda p: p[0]):
-            uri, n, held = _artifact(base, session, "part"), 0, []
-            with _new_file(uri, again) as out, pq.ParquetWriter(out, schema, compression="zstd") as writer:
-                for _, piece in own:
-                    held.append(piece)
-                    n += len(piece)
-                    if sum(map(len, held)) >= PIECE:
-                        writer.write_table(pa.Table.from_batches(held))
-                        held = []
-                if held:
-                    writer.write_table(pa.Table.from_batches(held))
+            uri, n, groups = _artifact(base, session, "part", flat), 0, row_groups(p for _, p in own)
+            first = next(groups)
+            with _new_file(uri, again and not flat) as out, _artifact_writer(out, schema, len(first) < PIECE) as writer:
+                for table in chain([first], groups):
+                    writer.write_table(table)
+                    n += len(table)
             done.append((session, uri, n))
             if len(done) == 1000:
                 yield _listed(done)
@@ -172,24 +193,24 @@ def _listed(files: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*files, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["session_id", "path", "n"])
 
 
-def write_empty_artifacts(found: DataFrame, path: str) -> DataFrame:
-    """An artifact without rows for each session_id of ``found``, whose signals had none; gives the list of them."""
+def write_empty_artifacts(found: DataFrame, path: str, flat: bool = False) -> DataFrame:
+    """An artifact without rows for each session_id of ``found``, whose signals had none; gives the list of them.
+    ``flat`` is that of ``write_session_artifacts``."""
     from gridstream import cluster
 
     spark = found.sparkSession
     cluster.ship(spark)
     store, folder = _folder(spark, path)
     base = store.makeQualified(folder).toString()
-    note = {"fields": [{"name": n, "metadata": {"schema_version": ARTIFACT_VERSION}} for n, *_ in SESSION_VALUES]}
-    schema = _artifact_schema(json.dumps(note))
+    schema = _artifact_schema()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = []
             for session in batch.column(0).to_pylist():
-                uri = _artifact(base, session, "part-empty")
-                with _new_file(uri) as out:
-                    pq.write_table(schema.empty_table(), out, compression="zstd")
+                uri = _artifact(base, session, "part-empty", flat)
+                with _new_file(uri) as out, _artifact_writer(out, schema, True) as writer:
+                    writer.write_table(schema.empty_table())
                 done.append((session, uri, 0))
             if done:
                 yield _listed(done)
@@ -232,10 +253,8 @@ def _format_faults(store: Any, at: str) -> list[str]:
     """Differences of a file's columns to the artifact format: names and order, types, ids, required, version."""
     with store.open_input_file(at) as f:
         schema = pq.ParquetFile(f).schema_arrow
-    note = json.loads((schema.metadata or {}).get(_rows_key, b"{}"))
-    versions = {c.get("metadata", {}).get("schema_version") for c in note.get("fields", [])}
     found = [] if schema.names == [n for n, *_ in SESSION_VALUES] else ["columns"]
-    found += [] if versions == {ARTIFACT_VERSION} else ["version"]
+    found += [] if (schema.metadata or {}).get(_version_key) == str(ARTIFACT_VERSION).encode() else ["version"]
     for i, (name, kind, optional) in enumerate(SESSION_VALUES, 1):
         if name in schema.names:
             field, want = schema.field(name), _arrow[kind]
