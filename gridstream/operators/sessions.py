@@ -255,9 +255,11 @@ def verify_artifacts(files: DataFrame, evidence: DataFrame, rows: DataFrame) ->
     own = evidence.select("path", "blob_id", "session_id", F.inline_outer("coverage")).withColumnRenamed("n", "want")
     whose = evidence.select("path", "blob_id", "session_id")
     strange = [~F.col(f"_{k}_{c}").eqNullSafe(F.col(c)) for c in ("blob_id", "session_id") for k in ("lo", "hi")]
-    foreign = counts.join(whose, "path").groupBy("path").agg(F.bool_or(strange[0] | strange[1] | strange[2] | strange[3]).alias("_foreign"))
-    off = own.select("path", "mrid", "want").where("want > 0").join(counts.join(whose.select("path"), "path", "left_semi"), ["path", "mrid"], "full_outer").groupBy("path").agg(F.count_if(~F.col("want").eqNullSafe(F.col("n"))).alias("_off"))
-    joined = evidence.join(facts, "path", "left").join(off, "path", "left").join(foreign, "path", "left")
+    # one pass over the rows for both: they are read from the files
+    known = counts.join(whose, "path").select("path", "mrid", "n", (strange[0] | strange[1] | strange[2] | strange[3]).alias("_strange"))
+    met = own.select("path", "mrid", "want").where("want > 0").join(known, ["path", "mrid"], "full_outer")
+    off = met.groupBy("path").agg(F.count_if(~F.col("want").eqNullSafe(F.col("n"))).alias("_off"), F.bool_or("_strange").alias("_foreign"))
+    joined = evidence.join(facts, "path", "left").join(off, "path", "left")
     why = reasons(
         no_file=F.col("_sha256").isNull(), digest=F.col("_sha256") != F.col("sha256"), length=F.col("_bytes") != F.col("byte_length"), counts=F.col("_off") > 0, identity=F.col("_foreign"), format=F.col("_format") != "",
     )

@@ -165,14 +165,13 @@ def o36_verify_artifacts(spark: SparkSession, d: str) -> DataFrame:
     path = storage.scratch(spark, "verify")
     requests = _accepted(spark, d)
     found = storage.frozen(_session_rows(spark, d, requests), "session-rows")
-    written = storage.write_session_artifacts(found, path)
+    written = storage.write_session_artifacts(found, path, flat=True)
     files = storage.file_facts(spark, written)
     rows = storage.read_artifact_rows(written, ["blob_id", "session_id", "mrid"])
     cover = A.session_coverage(found, requests).groupBy("session_id").agg(F.collect_list(F.struct("mrid", (F.col("n") + F.when(F.col("mrid").endswith("03:click"), 1).otherwise(0)).alias("n"))).alias("coverage"))
     named = F.when(F.col("session_id").startswith("0"), F.lit("another")).otherwise(F.col("session_id"))
-    # what was noted at writing; the files are read again to be checked
-    noted = storage.frozen(files, "artifact-facts").join(written.select("path", "session_id"), "path")
-    evidence = noted.join(cover, "session_id").withColumn("blob_id", S.blob_id()).withColumn("session_id", named)
+    # what was noted at writing; the files are read to be checked
+    evidence = written.drop("n").join(cover, "session_id").withColumn("blob_id", S.blob_id()).withColumn("session_id", named)
     return S.verify_artifacts(files, evidence, rows).select("blob_id", K.joined_reasons())
 
 

@@ -125,7 +125,7 @@ def _new_file(uri: str, again: bool = False) -> Iterator[Any]:
 
 def write_session_artifacts(df: DataFrame, path: str, again: bool = False, flat: bool = False) -> DataFrame:
     """One zstd file for each session, rows in the session order; gives the list of them (session_id,
-    path, n). Sessions are bounded, so the work is spread over sessions. With ``again`` the folders (if
+    path, n, and the sha256 and byte_length of what was written). Sessions are bounded, so the work is spread over sessions. With ``again`` the folders (if
     ``flat``, the files) of the sessions at hand are replaced and others are left alone.
 
     Tasks write the files to where they stay and pass on their names: a commit by the driver would
@@ -176,7 +176,7 @@ def write_session_artifacts(df: DataFrame, path: str, again: bool = False, flat:
                 for table in chain([first], groups):
                     writer.write_table(table)
                     n += len(table)
-            done.append((session, uri, n))
+            done.append((session, uri, n, *_digest(*_opened(uri))))
             if len(done) == 1000:
                 yield _listed(done)
                 done = []
@@ -186,11 +186,22 @@ def write_session_artifacts(df: DataFrame, path: str, again: bool = False, flat:
     return frozen(rows.mapInArrow(write, LISTED), "artifact-list")
 
 
-LISTED = "session_id string, path string, n long"
+LISTED = "session_id string, path string, n long, sha256 string, byte_length long"
 
 
 def _listed(files: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*files, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["session_id", "path", "n"])
+    names, kinds = zip(*(c.split(" ") for c in LISTED.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == "long" else pa.string()) for c, k in zip(zip(*files, strict=True), kinds, strict=True)], names=list(names))
+
+
+def _digest(store: Any, at: str) -> tuple[str, int]:
+    """SHA-256 and length of a file, read in pieces."""
+    digest, size = hashlib.sha256(), 0
+    with store.open_input_stream(at) as f:
+        while piece := f.read(1 << 20):
+            digest.update(piece)
+            size += len(piece)
+    return digest.hexdigest(), size
 
 
 def write_empty_artifacts(found: DataFrame, path: str, flat: bool = False) -> DataFrame:
@@ -211,7 +222,7 @@ def write_empty_artifacts(found: DataFrame, path: str, flat: bool = False) -> Da
                 uri = _artifact(base, session, "part-empty", flat)
                 with _new_file(uri) as out, _artifact_writer(out, schema, True) as writer:
                     writer.write_table(schema.empty_table())
-                done.append((session, uri, 0))
+                done.append((session, uri, 0, *_digest(*_opened(uri))))
             if done:
                 yield _listed(done)
 
@@ -253,6 +264,8 @@ def _format_faults(store: Any, at: str) -> list[str]:
     """Differences of a file's columns to the artifact format: names and order, types, ids, required, version."""
     with store.open_input_file(at) as f:
         schema = pq.ParquetFile(f).schema_arrow
+    if schema.equals(_artifact_schema().with_metadata({_version_key: str(ARTIFACT_VERSION)}), check_metadata=True):
+        return []
     found = [] if schema.names == [n for n, *_ in SESSION_VALUES] else ["columns"]
     found += [] if (schema.metadata or {}).get(_version_key) == str(ARTIFACT_VERSION).encode() else ["version"]
     for i, (name, kind, optional) in enumerate(SESSION_VALUES, 1):
@@ -279,12 +292,7 @@ def file_facts(spark: SparkSession, found: str | DataFrame) -> DataFrame:
         rows = []
         for uri in paths:
             store, at = _opened(uri)
-            digest, size = hashlib.sha256(), 0
-            with store.open_input_stream(at) as f:
-                while piece := f.read(1 << 20):
-                    digest.update(piece)
-                    size += len(piece)
-            rows.append((digest.hexdigest(), size, ",".join(_format_faults(store, at))))
+            rows.append((*_digest(store, at), ",".join(_format_faults(store, at))))
         return pd.DataFrame(rows, columns=["sha256", "byte_length", "format"])
 
     if isinstance(found, str):
