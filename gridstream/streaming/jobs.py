@@ -344,20 +344,22 @@ def extract_sessions(live: DataFrame, output: str, max_rows: int = sessions.MAX_
         first = asked.groupBy("session_id").agg(F.min_by("request_sha256", F.struct("requested_at", "request_sha256")).alias("_first"))
         known = _stored(spark, f"{output}/evidence", f"{EVIDENCE}, batch int").where((F.col("batch") < batch) & (F.col("status") != "FAILED")).drop("batch")
         held = known.select("session_id", F.col("request_sha256").alias("_held"))
-        marked = asked.join(first, "session_id").join(held, "session_id", "left")
+        # stored, as the coverage below: every step that follows reads them, and would deal and join them anew
+        marked = storage.frozen(sessions.validate_requests(asked.join(first, "session_id").join(held, "session_id", "left")), "checked-requests")
         clash = marked.where(F.coalesce("_held", "_first") != F.col("request_sha256"))
         clash.select("session_id", "request_sha256", F.coalesce("_held", "_first").alias("held_sha256")).write.mode("overwrite").parquet(f"{output}/conflicts/batch={batch}")
 
-        new = sessions.validate_requests(marked.where(F.col("_held").isNull() & (F.col("request_sha256") == F.col("_first"))).drop("_held", "_first"))
+        new = marked.where(F.col("_held").isNull() & (F.col("request_sha256") == F.col("_first"))).drop("_held", "_first")
         accepted = new.where("verdict = 'accepted'")
         found = sessions.session_join(live, accepted.select("session_id", "started_at", "ended_at", "mrids"))
         rows = _written_once(found.withColumn("blob_id", sessions.blob_id()), f"{output}/rows/batch={batch}")
         coverage = F.array_sort(F.collect_list(F.struct("mrid", "n")))  # a request has at most 32 signals
-        cover = aggregate.session_coverage(rows, accepted).groupBy("session_id").agg(coverage.alias("coverage"), F.first("status").alias("_status"), F.first("total").alias("_total"))
+        per = aggregate.session_coverage(rows, accepted).groupBy("session_id").agg(coverage.alias("coverage"), F.first("status").alias("_status"), F.first("total").alias("_total"))
+        cover = storage.frozen(per, "session-coverage")
 
         path = f"{output}/artifacts/batch={batch}"
-        files = storage.write_session_artifacts(rows.join(cover.where(F.col("_total") > max_rows), "session_id", "left_anti"), path, again=True)
-        files = files.unionByName(storage.write_empty_artifacts(cover.where("_total = 0"), path))
+        files = storage.write_session_artifacts(rows.join(cover.where(F.col("_total") > max_rows), "session_id", "left_anti"), path, again=True, flat=True)
+        files = files.unionByName(storage.write_empty_artifacts(cover.where("_total = 0"), path, flat=True))
         facts = storage.frozen(storage.file_facts(spark, files).join(files.select("path", "session_id"), "path"), "artifact-facts")
         everything = new.where("verdict <> 'quarantine'").join(cover, "session_id", "left").join(facts, "session_id", "left")
         evidence = _evidence(everything, max_rows, max_bytes, bucket)
